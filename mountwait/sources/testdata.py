@@ -88,11 +88,15 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``file``: one row per order; ``bfid`` from the order date, ``volume``
+    (the tape the file is on) from the customer."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     return o.select(k.alias("id"), F.concat(F.lit("P"), k.cast("string")).alias("pnfsid"),
                     F.when(k % 4 != 0, F.col("o_custkey")).alias("package_id"),
-                    F.col("o_orderpriority").alias("original_library"))
+                    F.col("o_orderpriority").alias("original_library"),
+                    _bfid(F.lit("CDMS"), F.col("o_orderdate"), k).alias("bfid"),
+                    _label(F.col("o_custkey") % 200).alias("volume"))
 
 
 def billinginfo(spark: SparkSession, sf_dir: str) -> DataFrame:
