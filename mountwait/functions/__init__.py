@@ -1,12 +1,12 @@
 """Column expressions (built-in Spark functions only, no UDFs)."""
 
-from mountwait.functions.age import age_parts, age_struct, wait_micros
+from mountwait.functions.age import age_parts, age_struct, wait_micros, with_age
 from mountwait.functions.bfid import bfid_epoch, bfid_site_ok, bfid_time, parse_bfid
 from mountwait.functions.family import family_key
 from mountwait.functions.timecols import as_duration_us, epoch_micros
 
 __all__ = [
-    "age_parts", "age_struct", "wait_micros",
+    "age_parts", "age_struct", "wait_micros", "with_age",
     "bfid_epoch", "bfid_site_ok", "bfid_time", "parse_bfid",
     "family_key", "as_duration_us", "epoch_micros",
 ]

@@ -18,7 +18,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mountwait.functions.age import age_parts as _age, wait_micros
+from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_epoch, bfid_site_ok, bfid_time
 from mountwait.operators import aggregates as agg
 from mountwait.operators.asof import next_within, prev_within
@@ -152,10 +152,8 @@ def age_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Calendar age between each event and the event 5000 ids later."""
     e = td.table(spark, sf, "events").select("event_id", "ts")
     o = e.select((F.col("event_id") - 5000).alias("event_id"), F.col("ts").alias("other_ts"))
-    j = e.join(o, "event_id")
-    m, d, u = _age(F.col("ts"), F.col("other_ts"))
-    return j.select("event_id", wait_micros("ts", "other_ts").alias("wait_us"),
-                    m.alias("age_months"), d.alias("age_days"), u.alias("age_us"))
+    j = with_age(e.join(o, "event_id"), "ts", "other_ts", prefix="age_", total="wait_us")
+    return j.select("event_id", "wait_us", "age_months", "age_days", "age_us")
 
 
 def age_parts_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,11 +161,10 @@ def age_parts_dates(spark: SparkSession, sf: str) -> DataFrame:
     li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = td.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     j = li.join(o, "l_orderkey")
-    m1, d1, u1 = _age(F.col("l_shipdate"), F.col("o_orderdate"))
-    m2, d2, u2 = _age(F.col("o_orderdate"), F.col("l_shipdate"))
-    return j.select("l_orderkey", "l_linenumber", m1.alias("ship_months"), d1.alias("ship_days"),
-                    u1.alias("ship_us"), m2.alias("back_months"), d2.alias("back_days"),
-                    u2.alias("back_us"))
+    j = with_age(j, "l_shipdate", "o_orderdate", prefix="ship_")
+    j = with_age(j, "o_orderdate", "l_shipdate", prefix="back_")
+    return j.select("l_orderkey", "l_linenumber", "ship_months", "ship_days", "ship_us",
+                    "back_months", "back_days", "back_us")
 
 
 # ------------------------------------------------------------------ as-of joins

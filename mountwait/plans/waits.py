@@ -16,7 +16,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mountwait.functions.age import age_parts, wait_micros
+from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_site_ok, bfid_time
 from mountwait.operators.asof import next_within, prev_within
 from mountwait.operators.enrich import set_where
@@ -27,12 +27,22 @@ HOST_VOLUME_WINDOW = _dt.timedelta(seconds=8_640_000)
 _BFID_T = "_bfid_time"
 
 
-def wait_struct(later, earlier) -> Column:
-    """``AGE(later, earlier)`` parts plus the exact difference in micros."""
-    m, d, u = age_parts(later, earlier)
-    return F.when(later.isNotNull() & earlier.isNotNull(), F.struct(
-        m.alias("months"), d.alias("days"), u.alias("us"),
-        wait_micros(later, earlier).alias("total_us")))
+_W = "_wait_"
+
+
+def with_wait(df: DataFrame, later: Column, earlier: Column) -> tuple[DataFrame, Column]:
+    """Add the parts of ``AGE(later, earlier)`` and the exact difference as
+    helper columns; return the frame and the wait struct built from them
+    (null when either time is null).  Drop the helpers with ``drop_wait``."""
+    d = with_age(df, later, earlier, prefix=_W, total=_W + "total")
+    st = F.when(later.isNotNull() & earlier.isNotNull(), F.struct(
+        F.col(_W + "months").alias("months"), F.col(_W + "days").alias("days"),
+        F.col(_W + "us").alias("us"), F.col(_W + "total").alias("total_us")))
+    return d, st
+
+
+def drop_wait(df: DataFrame) -> DataFrame:
+    return df.drop(*[_W + x for x in ("months", "days", "us", "total")])
 
 
 def _nn(*cols: str) -> Column:
@@ -95,11 +105,11 @@ def read_waits(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, bucke
     out = next_within(reads, m, left_by=volume_col, right_by="_m_volume",
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", eligible=eligible_read(volume_col), bucket=bucket)
-    hit = F.col("match").isNotNull()
-    return set_where(out, hit, {
+    out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
+    return drop_wait(set_where(out, F.col("match").isNotNull(), {
         id_out: F.col("match.tapemount_id"),
-        wait_out: wait_struct(F.col("match.time"), F.col("datestamp")),
-    }).drop("match")
+        wait_out: wait,
+    })).drop("match")
 
 
 def read_waits_migrated(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
@@ -125,10 +135,11 @@ def previous_mount(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
                       tie="tapemount_id", carry=["finish"],
                       eligible=eligible_read(volume_col), bucket=bucket)
     hit = F.col("match").isNotNull() & F.col("match.finish").isNotNull()
-    return set_where(out, hit, {
+    out, wait = with_wait(out, F.col("match.finish"), F.col("datestamp"))
+    return drop_wait(set_where(out, hit, {
         "previous_mount_100d_id": F.col("match.tapemount_id"),
-        "previous_mount_100d_wait": wait_struct(F.col("match.finish"), F.col("datestamp")),
-    }).drop("match")
+        "previous_mount_100d_wait": wait,
+    })).drop("match")
 
 
 def read_host_volume(reads: DataFrame, family_mounts: DataFrame, window=HOST_VOLUME_WINDOW,
@@ -157,13 +168,14 @@ def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WIND
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", carry=["_m_volume"],
                       eligible=eligible_store(stores, done), bucket=bucket)
-    return set_where(out, F.col("match").isNotNull(), {
+    out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
+    return drop_wait(set_where(out, F.col("match").isNotNull(), {
         "volume": F.col("match._m_volume"),
         done: F.lit(True),
         "next_mount_time": F.col("match.time"),
         "next_mount_id": F.col("match.tapemount_id"),
-        "mount_wait": wait_struct(F.col("match.time"), F.col("datestamp")),
-    }).drop("match")
+        "mount_wait": wait,
+    })).drop("match")
 
 
 def restore_host_volume(stores: DataFrame, family_mounts: DataFrame,
@@ -195,11 +207,12 @@ def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, b
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", eligible=eligible_restore_wait(stores, done),
                       bucket=bucket)
-    return set_where(out, F.col("match").isNotNull(), {
+    out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
+    return drop_wait(set_where(out, F.col("match").isNotNull(), {
         done: F.lit(True),
         "next_mount_time": F.col("match.time"),
-        "mount_wait": wait_struct(F.col("match.time"), F.col("datestamp")),
-    }).drop("match")
+        "mount_wait": wait,
+    })).drop("match")
 
 
 def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
