@@ -214,7 +214,7 @@ def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("match.time").alias("next_orderdate"))
 
 
-# ------------------------------------------------------------------ pipelines
+# ------------------------------------------------------------------ wait jobs
 
 def _family_mounts(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.filtered_tape_mounts(td.tape_mounts(spark, sf), td.volume(spark, sf))

@@ -1,4 +1,4 @@
-"""Wait pipelines: eligible requests -> bounded as-of join -> enrichment.
+"""Wait jobs: eligible requests -> bounded as-of join -> enrichment.
 
 Each function returns the whole request table with the result columns set
 on matched rows; ineligible and unmatched rows come back unchanged.  A wait
@@ -90,7 +90,7 @@ def eligible_read_volume() -> Column:
     return _nn("bfid", "file_family", "sfbr_id") & F.coalesce(bfid_site_ok("bfid"), F.lit(False))
 
 
-# ---------------------------------------------------------------- pipelines
+# ---------------------------------------------------------------- waits
 
 def _mount_cols(mounts: DataFrame, *extra: str) -> DataFrame:
     cols = ["tapemount_id", "volume", "start"] + [c for c in extra if c in mounts.columns]
@@ -217,14 +217,17 @@ def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, b
 
 def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                   volume_window=HOST_VOLUME_WINDOW, wait_window=DEFAULT_WINDOW,
-                  bucket=None) -> DataFrame:
+                  bucket=None, between=None) -> DataFrame:
     """Host volume, then wait, of every restore, each stage with its own
     done-column (``volume_done``, ``wait_done``) so that a restore that just
-    received a tape still gets its wait."""
+    received a tape still gets its wait.  ``between`` (e.g.
+    ``session.cut_lineage``) is applied to the first stage's result."""
     s = stores
     if "volume_done" not in s.columns:
         s = s.withColumn("volume_done", F.lit(False))
     if "wait_done" not in s.columns:
         s = s.withColumn("wait_done", F.lit(False))
     s = restore_host_volume(s, family_mounts, volume_window, bucket, done="volume_done")
+    if between is not None:
+        s = between(s)
     return restore_waits(s, mounts, wait_window, bucket, done="wait_done")
