@@ -52,3 +52,17 @@ def parse_bfid(bfid) -> Column:
         bfid_time(bfid).alias("time"),
         (site_ok & epoch.isNotNull()).alias("valid"),
     )
+
+
+def bad_bfids(df, bfid: str = "bfid"):
+    """Rows whose BFID carries the site code but no readable creation time
+    (short, or not ten digits).  Such rows get no time and so no match; this
+    frame lets a job count or keep them instead of failing."""
+    return df.filter(F.coalesce(bfid_site_ok(bfid), F.lit(False)) & bfid_epoch(bfid).isNull())
+
+
+def require_good_bfids(df, bfid: str = "bfid") -> None:
+    """Raise when any row has a site BFID without a readable time (strict mode)."""
+    bad = bad_bfids(df, bfid).select(bfid).limit(5).collect()
+    if bad:
+        raise ValueError(f"unreadable BFIDs, e.g. {[r[0] for r in bad]}")

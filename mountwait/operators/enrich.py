@@ -31,14 +31,20 @@ def _type_of(df: DataFrame, expr: Column):
 
 
 def enrich(base: DataFrame, updates: DataFrame, key: str | list[str],
-           columns: list[str] | None = None) -> DataFrame:
+           columns: list[str] | None = None, check_unique: bool = False) -> DataFrame:
     """``UPDATE base SET c = u.c ... FROM updates u WHERE base.key = u.key``.
 
-    ``updates`` must hold at most one row per key (checked by the caller's
-    construction, e.g. a group-by on the key).  Base rows without an update
-    keep their values; columns new to ``base`` are null there.
+    ``updates`` must hold at most one row per key; with ``check_unique`` this
+    is verified first (one aggregation of the update keys) and a repeated
+    key raises.  Base rows without an update keep their values; columns new
+    to ``base`` are null there.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    if check_unique:
+        dup = (updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > 1).limit(5).collect())
+        if dup:
+            raise ValueError(f"update keys repeat: {[tuple(r)[:-1] for r in dup]}")
     cols = columns or [c for c in updates.columns if c not in keys]
     hit = "_en_hit"
     u = updates.select(*keys, *[F.col(c).alias(f"_en_{c}") for c in cols], F.lit(True).alias(hit))

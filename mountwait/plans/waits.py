@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mountwait.functions.age import with_age
-from mountwait.functions.bfid import bfid_site_ok, bfid_time
+from mountwait.functions.bfid import bfid_site_ok, bfid_time, require_good_bfids
 from mountwait.operators.asof import next_within, prev_within
 from mountwait.operators.enrich import set_where
 
@@ -143,9 +143,12 @@ def previous_mount(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
 
 
 def read_host_volume(reads: DataFrame, family_mounts: DataFrame, window=HOST_VOLUME_WINDOW,
-                     bucket=None) -> DataFrame:
+                     bucket=None, strict: bool = False) -> DataFrame:
     """Simulated host tape of each read: the first mount with writes of the
-    file's family after the file was created (time from the BFID)."""
+    file's family after the file was created (time from the BFID).  A site
+    BFID without a readable time gets no match; ``strict`` raises instead."""
+    if strict:
+        require_good_bfids(reads.filter(eligible_read_volume()))
     m = _mount_cols(family_mounts, "file_family").select(
         "tapemount_id", "start", F.col("volume").alias("_m_volume"),
         F.col("file_family").alias("_m_family"))
@@ -180,10 +183,13 @@ def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WIND
 
 def restore_host_volume(stores: DataFrame, family_mounts: DataFrame,
                         window=HOST_VOLUME_WINDOW, bucket=None,
-                        done: str = "updated", mark: str | None = None) -> DataFrame:
+                        done: str = "updated", mark: str | None = None,
+                        strict: bool = False) -> DataFrame:
     """Simulated host tape of each successful restore (from the BFID time);
     sets ``volume`` and marks ``done`` (and ``mark``, when given, to tell
-    the rows changed by this run)."""
+    the rows changed by this run).  ``strict`` as in ``read_host_volume``."""
+    if strict:
+        require_good_bfids(stores.filter(eligible_restore_volume(stores, done)))
     m = _mount_cols(family_mounts, "file_family").select(
         "tapemount_id", "start", F.col("volume").alias("_m_volume"),
         F.col("file_family").alias("_m_family"))

@@ -108,3 +108,23 @@ def test_matches_brute_force(spark, seed, direction):
     window = dt.timedelta(hours=rnd.choice([3, 12, 30]))
     bucket = rnd.choice([None, dt.timedelta(minutes=45), dt.timedelta(hours=7)])
     assert run(spark, reqs, mounts, window, direction, bucket) == brute(reqs, mounts, window, direction)
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_hot_key_and_hot_instant(spark, direction):
+    """One key holds most rows, many of them at one instant; results equal
+    the brute force and every request row comes back once."""
+    rnd = random.Random(11)
+    hot_t = T0 + dt.timedelta(hours=30)
+    reqs = [(i, "hot", hot_t) for i in range(400)]
+    reqs += [(1000 + i, "hot", T0 + dt.timedelta(minutes=rnd.randrange(0, 5 * 24 * 60)))
+             for i in range(300)]
+    reqs += [(2000 + i, "cold", T0 + dt.timedelta(minutes=rnd.randrange(0, 5 * 24 * 60)))
+             for i in range(50)]
+    mounts = [(5000 + i, rnd.choice(["hot", "hot", "cold"]),
+               T0 + dt.timedelta(minutes=rnd.randrange(0, 5 * 24 * 60, 15)), None) for i in range(120)]
+    mounts += [(9000, "hot", hot_t, None), (9001, "hot", hot_t, None)]   # equal to the hot instant
+    window = dt.timedelta(hours=10)
+    got = run(spark, reqs, mounts, window, direction, bucket=dt.timedelta(minutes=20))
+    assert len(got) == len(reqs)
+    assert got == brute(reqs, mounts, window, direction)

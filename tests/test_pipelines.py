@@ -74,3 +74,21 @@ def test_restore_chain_uses_own_done_columns(spark):
     assert out.volume == "V7" and out.volume_done and out.wait_done
     assert out.next_mount_time == T0 + 2 * H
     assert out.updated is False          # the input flag is left alone
+
+
+def test_enrich_check_unique_raises(spark):
+    import pytest
+    base = spark.createDataFrame([(1, "x")], "id bigint, v string")
+    upd = spark.createDataFrame([(1, "a"), (1, "b")], "id bigint, v string")
+    with pytest.raises(ValueError):
+        enrich(base, upd, "id", check_unique=True)
+
+
+def test_bad_bfid_strict(spark):
+    import pytest
+    reads = spark.createDataFrame([(1, "CDMS17x", T0, "f", "V1", None, None)], READS)
+    fam_mounts = spark.createDataFrame([(200, "V7", T0, None, 1, "f")], MOUNTS + ", file_family string")
+    out = waits.read_host_volume(reads, fam_mounts).first()
+    assert out.volume == "V1"          # no time -> no match, old value kept
+    with pytest.raises(ValueError):
+        waits.read_host_volume(reads, fam_mounts, strict=True)
