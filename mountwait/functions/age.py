@@ -74,36 +74,34 @@ def with_age(df, later, earlier, prefix: str = "age_", total: str | None = None)
     """Add ``{prefix}months``, ``{prefix}days``, ``{prefix}us`` (and ``total``,
     the exact difference in micros, when named) for ``AGE(later, earlier)``.
 
-    Same result as ``age_parts``, computed in small steps: each intermediate
-    value is its own column, so the generated code stays small and inside
-    whole-stage code generation (a single nested expression repeats its
-    sub-trees and grows past the generated-method limit).
+    Same result as ``age_parts``, computed in a few small projections: each
+    intermediate value is its own column, so the generated code stays small
+    and inside whole-stage code generation (a single nested expression
+    repeats its sub-trees and grows past the generated-method limit).
+    Intermediate values are only referenced as columns, which the optimizer
+    keeps as separate cheap projections.
     """
-    a, b = _c(later), _c(earlier)
     t = "_ag_"
-    d = df.withColumn(t + "a", epoch_micros(a)).withColumn(t + "b", epoch_micros(b))
-    A, B = F.col(t + "a"), F.col(t + "b")
-    d = d.withColumn(t + "hi", F.greatest(A, B)).withColumn(t + "lo", F.least(A, B))
-    hi, lo = F.col(t + "hi"), F.col(t + "lo")
+    A, B, hi, lo, sg, us0, hd, ld, d0 = (F.col(t + x) for x in
+                                          ("a", "b", "hi", "lo", "sg", "us0", "hd", "ld", "d0"))
     day = F.lit(_DAY_US)
-    d = (d.withColumn(t + "us0", F.pmod(hi, day) - F.pmod(lo, day))
-          .withColumn(t + "hd", F.date_from_unix_date(F.floor(hi / day).cast("int")))
-          .withColumn(t + "ld", F.date_from_unix_date(F.floor(lo / day).cast("int"))))
-    us0, hd, ld = F.col(t + "us0"), F.col(t + "hd"), F.col(t + "ld")
-    d = d.withColumn(t + "b1", (us0 < 0).cast("int"))
-    b1 = F.col(t + "b1")
-    d = d.withColumn(t + "d0", F.dayofmonth(hd) - F.dayofmonth(ld) - b1)
-    d0 = F.col(t + "d0")
-    d = d.withColumn(t + "b2", (d0 < 0).cast("int"))
-    b2 = F.col(t + "b2")
-    d = d.withColumn(t + "sg", F.when(A < B, F.lit(-1)).otherwise(F.lit(1)))
-    sg = F.col(t + "sg")
+    d = df.select("*", epoch_micros(_c(later)).alias(t + "a"), epoch_micros(_c(earlier)).alias(t + "b"))
+    d = d.select("*", F.greatest(A, B).alias(t + "hi"), F.least(A, B).alias(t + "lo"),
+                 F.when(A < B, F.lit(-1)).otherwise(F.lit(1)).alias(t + "sg"))
+    d = d.select("*", (F.pmod(hi, day) - F.pmod(lo, day)).alias(t + "us0"),
+                 F.date_from_unix_date(F.floor(hi / day).cast("int")).alias(t + "hd"),
+                 F.date_from_unix_date(F.floor(lo / day).cast("int")).alias(t + "ld"))
+    b1 = (us0 < 0).cast("int")
+    d = d.select("*", (F.dayofmonth(hd) - F.dayofmonth(ld) - b1).alias(t + "d0"))
+    b2 = (d0 < 0).cast("int")
     months = (F.year(hd) - F.year(ld)) * 12 + F.month(hd) - F.month(ld) - b2
     days = d0 + b2 * F.dayofmonth(F.last_day(ld))
     us = us0 + b1.cast("long") * _DAY_US
-    d = (d.withColumn(prefix + "months", (months * sg).cast("int"))
-          .withColumn(prefix + "days", (days * sg).cast("int"))
-          .withColumn(prefix + "us", (us * sg).cast("long")))
+    keep = [F.col(c) for c in df.columns if c not in (prefix + "months", prefix + "days",
+                                                      prefix + "us", total)]
+    out = [(months * sg).cast("int").alias(prefix + "months"),
+           (days * sg).cast("int").alias(prefix + "days"),
+           (us * sg).cast("long").alias(prefix + "us")]
     if total:
-        d = d.withColumn(total, (A - B).cast("long"))
-    return d.drop(*[t + x for x in ("a", "b", "hi", "lo", "us0", "hd", "ld", "b1", "d0", "b2", "sg")])
+        out.append((A - B).cast("long").alias(total))
+    return d.select(*keep, *out)

@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 
 def set_where(df: DataFrame, cond: Column, assignments: Mapping[str, Column]) -> DataFrame:
     """For rows where ``cond`` holds, set each column to its new expression;
-    other rows keep their value (null when the column is new)."""
+    other rows keep their value (null when the column is new).  One
+    projection; column order is kept and new columns are appended."""
     hit = F.coalesce(cond, F.lit(False))
-    out = df
-    for name, expr in assignments.items():
-        old = F.col(name) if name in df.columns else F.lit(None)
-        out = out.withColumn(name, F.when(hit, expr).otherwise(old.cast(_type_of(out, expr))))
-    return out
-
-
-def _type_of(df: DataFrame, expr: Column):
-    return df.select(expr.alias("_x")).schema["_x"].dataType
+    types = df.select(*[e.alias(n) for n, e in assignments.items()]).schema
+    new = {}
+    for f in types.fields:
+        old = F.col(f.name) if f.name in df.columns else F.lit(None)
+        new[f.name] = F.when(hit, assignments[f.name]).otherwise(old.cast(f.dataType)).alias(f.name)
+    cols = [new.pop(c) if c in new else F.col(c) for c in df.columns]
+    return df.select(*cols, *new.values())
 
 
 def enrich(base: DataFrame, updates: DataFrame, key: str | list[str],
