@@ -220,6 +220,17 @@ o as (select c_nationkey as o_nation, o_orderdate, min(o_orderkey) as o_orderkey
 select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
        case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderkey end as next_orderkey,
        case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderdate end as next_orderdate
+from l asof left join o on l.nation = o.o_nation and l.l_shipdate < o.o_orderdate""",
+    "asof_next_hot_key": """
+with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+                  case when l_orderkey % 3 = 0 then 99 else s_nationkey end as nation
+           from lineitem join supplier on s_suppkey = l_suppkey),
+o as (select case when o_orderkey % 3 = 0 then 99 else c_nationkey end as o_nation, o_orderdate,
+             min(o_orderkey) as o_orderkey
+      from orders join customer on c_custkey = o_custkey group by all)
+select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
+       case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderkey end as next_orderkey,
+       case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderdate end as next_orderdate
 from l asof left join o on l.nation = o.o_nation and l.l_shipdate < o.o_orderdate""",
     "read_waits": _read_wait_sql("volume", "next_mount_id"),
     "read_waits_migrated": _read_wait_sql("migrated_volume", "migration_next_mount_id"),

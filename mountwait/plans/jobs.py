@@ -20,6 +20,7 @@ from mountwait.operators.aggregates import family_min_id, library_counts
 from mountwait.plans import ingest, prepare, waits
 from mountwait.session import build_session, cut_lineage
 from mountwait.sources.jdbc import read_jdbc
+from mountwait.sources.shards import with_shards
 from mountwait.sources.sinks import family_labels, write_snapshot
 from mountwait.sources.tables import read_table
 
@@ -40,8 +41,14 @@ def library_counts_job(spark, file_src) -> DataFrame:
     return library_counts(load(spark, file_src, "file"))
 
 
-def packaged_files_job(spark, file_src, target: str) -> None:
-    write_snapshot(prepare.packaged_files(load(spark, file_src, "file")), target)
+def packaged_files_job(spark, file_src, target: str, shards: int | None = None) -> None:
+    """Packaged files; with ``shards`` written partitioned by id range
+    (``shard``), so a later id-range read prunes to its partitions."""
+    files = prepare.packaged_files(load(spark, file_src, "file"))
+    if shards:
+        write_snapshot(with_shards(files, "id", int(shards)), target, partition_by=["shard"])
+    else:
+        write_snapshot(files, target)
 
 
 def package_reads_job(spark, billing_src, packaged_src, target: str) -> None:

@@ -35,6 +35,7 @@ FAMILY_WINDOW = _dt.timedelta(minutes=15)
 EVENT_WINDOW = _dt.timedelta(days=3)
 TIES_WINDOW = _dt.timedelta(days=100)
 N_SHARDS = 10
+HOT_KEY = 99
 
 
 def _flat_wait(df: DataFrame, col: str) -> DataFrame:
@@ -214,6 +215,28 @@ def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("match.time").alias("next_orderdate"))
 
 
+def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``asof_next_ties`` with a third of both sides (order keys divisible
+    by 3) moved onto one hot key, to exercise the skew handling."""
+    li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
+                                                "l_suppkey", "l_shipdate")
+    sup = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
+                                                 F.col("s_nationkey").alias("s_nation"))
+    orders = td.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    cust = td.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"),
+                                                  F.col("c_nationkey").alias("c_nation"))
+    left = join_dimension(li, sup, "l_suppkey").withColumn(
+        "nation", F.when(F.col("l_orderkey") % 3 == 0, F.lit(HOT_KEY)).otherwise(F.col("s_nation")))
+    right = join_dimension(orders, cust, "o_custkey").withColumn(
+        "o_nation", F.when(F.col("o_orderkey") % 3 == 0, F.lit(HOT_KEY)).otherwise(F.col("c_nation")))
+    out = next_within(left, right, left_by="nation", right_by="o_nation",
+                      left_time="l_shipdate", right_time="o_orderdate", window=TIES_WINDOW,
+                      tie="o_orderkey")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                      F.col("match.o_orderkey").alias("next_orderkey"),
+                      F.col("match.time").alias("next_orderdate"))
+
+
 # ------------------------------------------------------------------ wait jobs
 
 def _family_mounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,6 +325,7 @@ SUITE = {
     "asof_next": asof_next,
     "asof_prev": asof_prev,
     "asof_next_ties": asof_next_ties,
+    "asof_next_hot_key": asof_next_hot_key,
     "read_waits": read_waits,
     "read_waits_migrated": read_waits_migrated,
     "previous_mount": previous_mount,

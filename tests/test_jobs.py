@@ -31,6 +31,13 @@ def test_jobs_end_to_end(spark, tmp_dir):
     n_packaged = spark.read.parquet(out("packaged")).count()
     assert n_packaged == td.file(spark, SF001).filter("package_id is not null").count()
 
+    jobs.packaged_files_job(spark, p["file"], out("packaged_sharded"), shards=4)
+    sharded = spark.read.parquet(out("packaged_sharded"))
+    assert sharded.count() == n_packaged
+    scan = sharded.filter("shard = 1")._jdf.queryExecution().executedPlan().toString()
+    pf = scan[scan.index("PartitionFilters"):].split("]")[0]
+    assert "shard" in pf                                      # id-range read prunes partitions
+
     jobs.package_reads_job(spark, p["billinginfo"], out("packaged"), out("package_reads"))
     assert spark.read.parquet(out("package_reads")).count() > 0
 
