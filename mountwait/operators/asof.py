@@ -100,36 +100,32 @@ def asof_within(
     if eligible is not None:
         cond = cond & eligible
     cond = F.coalesce(cond, F.lit(False))
-    flag = "_aj_ok"
-    left_f = left.withColumn(flag, cond)
-    left_in = left_f.filter(F.col(flag)).drop(flag)
-    left_out = left_f.filter(~F.col(flag)).drop(flag)
+    left_in = left.filter(cond)
+    left_out = left.filter(~cond)
 
     # --- right side: drop rows that can never match, build the carried struct
     fields = [F.col(right_time).alias("time")]
     if tie is not None:
         fields.append(F.col(tie).alias(tie))
     fields += [F.col(c) for c in carry]
-    rsel = right.filter(F.col(right_by).isNotNull() & F.col(right_time).isNotNull()).select(
+    s_us = epoch_micros(right_time)
+    mnt_rows = right.filter(F.col(right_by).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(right_by).cast(key_type).alias(_K),
-        epoch_micros(right_time).alias(_S),
+        F.lit(None).cast(time_type).alias(_T),
+        s_us.alias(_S),
+        F.floor(s_us / F.lit(bucket_us)).cast("long").alias(_B),
+        F.lit(0).alias(_R),
         (F.col(tie) if tie is not None else F.lit(None).cast("long")).alias(_TIE),
         F.struct(*fields).alias(_M),
     )
-    m_type = rsel.schema[_M].dataType
+    m_type = mnt_rows.schema[_M].dataType
     null_m = F.lit(None).cast(m_type)
 
     # --- 1. distinct request pairs ------------------------------------------
-    pairs = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct()
-
-    def with_bucket(df: DataFrame) -> DataFrame:
-        return df.withColumn(_B, F.floor(F.col(_S) / F.lit(bucket_us)).cast("long"))
-
-    req_rows = with_bucket(pairs.select(
-        _K, _T, epoch_micros(_T).alias(_S), F.lit(1).alias(_R),
-        F.lit(None).cast("long").alias(_TIE), null_m.alias(_M)))
-    mnt_rows = with_bucket(rsel.select(
-        _K, F.lit(None).cast(time_type).alias(_T), _S, F.lit(0).alias(_R), _TIE, _M))
+    req_rows = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct().select(
+        _K, _T, epoch_micros(_T).alias(_S),
+        F.floor(epoch_micros(_T) / F.lit(bucket_us)).cast("long").alias(_B),
+        F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M))
     cells = req_rows.unionByName(mnt_rows)
 
     # --- 2. within each cell: one window, one consumer ----------------------
@@ -141,7 +137,7 @@ def asof_within(
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reqs = cells.select(
         _K, _B, _T, _S, _R, F.last(_M, ignorenulls=True).over(run).alias(_IN)
-    ).filter(F.col(_R) == 1).drop(_R)
+    ).filter(F.col(_R) == 1)
 
     # --- 3. across cells, on cell-level rows only ----------------------------
     # edge of a cell: its first right row going forward, its last going
@@ -158,18 +154,18 @@ def asof_within(
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     onward = level.select(
         _K, _B, _R, F.last(_M, ignorenulls=True).over(w_key).alias(_NEXT)
-    ).filter(F.col(_R) == 1).drop(_R)
+    ).filter(F.col(_R) == 1).select(_K, _B, _NEXT)
 
     # --- 4. far end of the window, then back to the left rows ----------------
-    found = reqs.join(onward, [_K, _B], "left").select(
-        _K, _T, _S, F.coalesce(F.col(_IN), F.col(_NEXT)).alias(_M))
-    gap = (epoch_micros(F.col(_M).getField("time")) - F.col(_S)) if fwd else (
-        F.col(_S) - epoch_micros(F.col(_M).getField("time")))
-    resolved = found.select(_K, _T, F.when(gap < F.lit(win_us), F.col(_M)).alias(match))
-
-    keyed = left_in.withColumn(_K, F.col(left_by)).withColumn(_T, F.col(left_time))
-    joined = keyed.join(resolved, [_K, _T], "left").drop(_K, _T)
-    rest = left_out.withColumn(match, null_m)
+    nearest = F.coalesce(F.col(_IN), F.col(_NEXT))
+    m_us = epoch_micros(nearest.getField("time"))
+    gap = (m_us - F.col(_S)) if fwd else (F.col(_S) - m_us)
+    resolved = reqs.join(onward, [_K, _B], "left").select(
+        _K, _T, F.when(gap < F.lit(win_us), nearest).alias(match))
+
+    keyed = left_in.select("*", F.col(left_by).alias(_K), F.col(left_time).alias(_T))
+    joined = keyed.join(resolved, [_K, _T], "left").select(*left.columns, match)
+    rest = left_out.select("*", null_m.alias(match))
     return joined.unionByName(rest)
 
 
