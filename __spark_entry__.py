@@ -289,6 +289,18 @@ from st left join j using (storageinfo_id)""",
 select cast(datestamp as date) as slice_start, cast(datestamp as date) + 1 as slice_end,
        count(*)::BIGINT as n_rows from bi group by 1, 2""",
 }
+_ORACLE["read_waits_all"] = f"""
+with a as ({_ORACLE["read_waits"]}),
+b as ({_ORACLE["read_waits_migrated"]}),
+c as ({_ORACLE["previous_mount"]})
+select a.sfbr_id, a.next_mount_id, b.migration_next_mount_id, c.previous_mount_100d_id,
+       a.wait_us as next_wait_us, a.age_months as next_age_months, a.age_days as next_age_days,
+       a.age_us as next_age_us,
+       b.wait_us as mig_wait_us, b.age_months as mig_age_months, b.age_days as mig_age_days,
+       b.age_us as mig_age_us,
+       c.wait_us as prev_wait_us, c.age_months as prev_age_months, c.age_days as prev_age_days,
+       c.age_us as prev_age_us
+from a join b using (sfbr_id) join c using (sfbr_id)"""
 _ORACLE["enrich_update"] = _ORACLE["restore_host_volume"].replace(
     "select st.storageinfo_id, case when", "select st.storageinfo_id, st.action, case when")
 

@@ -187,3 +187,32 @@ def top1_after(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
 def top1_before(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
     """``order by time desc limit 1`` per request, folded into the as-of join."""
     return prev_within(left, right, **kw)
+
+
+def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: str,
+                 right_time: str, lookups: Sequence[dict], tie: str | None = None,
+                 carry: Sequence[str] | str | None = None, bucket=None) -> DataFrame:
+    """Several as-of lookups of one table against one right table, with the
+    full left rows shuffled once.
+
+    Each lookup is a dict with ``left_by``, ``left_time``, ``window``,
+    ``direction`` (default forward), ``match`` (output column) and optionally
+    ``eligible``.  Every lookup runs on narrow ``(id, key, time)`` rows; the
+    results are then joined to the full rows by ``id_col``, which must be
+    unique.  All those joins share the key ``id_col``, so Spark shuffles the
+    full rows once and only the narrow results for every further join
+    (small results become broadcasts at run time).
+    """
+    out = left
+    for lk in lookups:
+        cols = {id_col, lk["left_by"], lk["left_time"]}
+        elig = lk.get("eligible")
+        narrow = left.select(*cols, *([elig.alias("_lk_ok")] if elig is not None else []))
+        res = asof_within(
+            narrow, right, left_by=lk["left_by"], right_by=right_by, left_time=lk["left_time"],
+            right_time=right_time, window=lk["window"], direction=lk.get("direction", "forward"),
+            tie=tie, carry=carry, bucket=bucket, match=lk["match"],
+            eligible=F.col("_lk_ok") if elig is not None else None,
+        ).select(id_col, lk["match"])
+        out = out.join(res, id_col, "left")
+    return out

@@ -260,6 +260,23 @@ def previous_mount(spark: SparkSession, sf: str) -> DataFrame:
                       "previous_mount_100d_wait")
 
 
+def read_waits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The three read lookups in one job (one shuffle of the reads)."""
+    out = waits.read_waits_all(td.reads(spark, sf), td.tape_mounts(spark, sf), READ_WINDOW,
+                               READ_WINDOW)
+    out = out.select("sfbr_id", "next_mount_id", "migration_next_mount_id",
+                     "previous_mount_100d_id", "mount_wait", "migration_mount_wait",
+                     "previous_mount_100d_wait")
+    for c, p in [("mount_wait", "next_"), ("migration_mount_wait", "mig_"),
+                 ("previous_mount_100d_wait", "prev_")]:
+        out = out.select(*[x for x in out.columns if x != c],
+                         F.col(f"{c}.total_us").alias(p + "wait_us"),
+                         F.col(f"{c}.months").alias(p + "age_months"),
+                         F.col(f"{c}.days").alias(p + "age_days"),
+                         F.col(f"{c}.us").alias(p + "age_us"))
+    return out
+
+
 def read_host_volume(spark: SparkSession, sf: str) -> DataFrame:
     out = waits.read_host_volume(td.reads(spark, sf), _family_mounts(spark, sf), FAMILY_WINDOW)
     return out.select("sfbr_id", "volume")
@@ -329,6 +346,7 @@ SUITE = {
     "read_waits": read_waits,
     "read_waits_migrated": read_waits_migrated,
     "previous_mount": previous_mount,
+    "read_waits_all": read_waits_all,
     "read_host_volume": read_host_volume,
     "store_waits": store_waits,
     "restore_host_volume": restore_host_volume,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_site_ok, bfid_time, require_good_bfids
-from mountwait.operators.asof import next_within, prev_within
+from mountwait.operators.asof import asof_lookups, next_within, prev_within
 from mountwait.operators.enrich import set_where
 
 DEFAULT_WINDOW = _dt.timedelta(days=100)
@@ -237,3 +237,36 @@ def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame
     if between is not None:
         s = between(s)
     return restore_waits(s, mounts, wait_window, bucket, done="wait_done")
+
+
+def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
+                   previous_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
+    """The three read lookups in one job: next mount of the read's tape, next
+    mount of the tape after migration, and last mount before the read on
+    that tape (with the ``finish`` test).  The reads are shuffled once
+    (``sfbr_id`` must be unique); each lookup works on narrow rows.
+    Results equal ``read_waits``, ``read_waits_migrated`` and
+    ``previous_mount`` applied in turn."""
+    m = _mount_cols(mounts, "finish").withColumnRenamed("volume", "_m_volume")
+    out = asof_lookups(reads, m, id_col="sfbr_id", right_by="_m_volume", right_time="start",
+                       tie="tapemount_id", carry=["finish"], bucket=bucket, lookups=[
+                           dict(left_by="volume", left_time="datestamp", window=window,
+                                match="_lk_next", eligible=eligible_read("volume")),
+                           dict(left_by="migrated_volume", left_time="datestamp", window=window,
+                                match="_lk_mig", eligible=eligible_read("migrated_volume")),
+                           dict(left_by="migrated_volume", left_time="datestamp",
+                                window=previous_window, direction="backward", match="_lk_prev",
+                                eligible=eligible_read("migrated_volume")),
+                       ])
+    steps = [
+        ("_lk_next", "time", F.col("_lk_next").isNotNull(), "next_mount_id", "mount_wait"),
+        ("_lk_mig", "time", F.col("_lk_mig").isNotNull(), "migration_next_mount_id",
+         "migration_mount_wait"),
+        ("_lk_prev", "finish", F.col("_lk_prev").isNotNull() & F.col("_lk_prev.finish").isNotNull(),
+         "previous_mount_100d_id", "previous_mount_100d_wait"),
+    ]
+    for col, field, hit, id_out, wait_out in steps:
+        out, wait = with_wait(out, F.col(f"{col}.{field}"), F.col("datestamp"))
+        out = drop_wait(set_where(out, hit, {id_out: F.col(f"{col}.tapemount_id"),
+                                             wait_out: wait}))
+    return out.drop("_lk_next", "_lk_mig", "_lk_prev")
