@@ -81,12 +81,13 @@ def _existing_families(spark, target: str):
 
 def read_waits_job(spark, reads_src, mounts_src, target: str, kind: str = "next",
                    window=waits.DEFAULT_WINDOW) -> None:
-    """``kind``: ``next`` (own tape), ``migrated`` (tape after migration) or
-    ``previous`` (last mount before the read)."""
+    """``kind``: ``next`` (own tape), ``migrated`` (tape after migration),
+    ``previous`` (last mount before the read) or ``all`` (the three at once,
+    one shuffle of the reads)."""
     reads = load(spark, reads_src, "small_file_billinginfo_reads")
     mounts = load(spark, mounts_src, "tape_mounts")
     fn = {"next": waits.read_waits, "migrated": waits.read_waits_migrated,
-          "previous": waits.previous_mount}[kind]
+          "previous": waits.previous_mount, "all": waits.read_waits_all}[kind]
     write_snapshot(fn(reads, mounts, window), target)
 
 
