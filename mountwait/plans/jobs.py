@@ -14,7 +14,10 @@ from __future__ import annotations
 
 import sys
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mountwait.operators.aggregates import family_min_id, library_counts
 from mountwait.plans import ingest, prepare, waits
@@ -36,6 +39,49 @@ def load(spark: SparkSession, src, contract: str | None = None) -> DataFrame:
     return read_table(spark, src, contract)
 
 
+# ------------------------------------------------------------ incremental runs
+# Enriched request tables are written partitioned by request day ``ds``.  A
+# run with ``since`` recomputes only the request days on or after ``since``
+# (whole day partitions, replaced by dynamic partition overwrite) using the
+# mounts from ``since - window`` on; older days keep their files.  A request
+# older than (last cutoff - window) can no longer change, so
+# ``since = last cutoff - window`` gives the same table as a full run.
+# (Host-volume lookups start at the file's creation, which precedes its
+# requests, so the same ``since`` covers them.)
+
+DAY_COL = "ds"
+
+
+def _day_start(since) -> _dt.datetime:
+    d = since if isinstance(since, (_dt.date, _dt.datetime)) else _dt.datetime.fromisoformat(str(since))
+    return _dt.datetime(d.year, d.month, d.day)
+
+
+def _ts(value: _dt.datetime):
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def pending_requests(requests: DataFrame, since=None, time_col: str = "datestamp") -> DataFrame:
+    """Requests of the days on or after ``since`` (all requests when None)."""
+    if since is None:
+        return requests
+    return requests.filter(F.col(time_col) >= _ts(_day_start(since)))
+
+
+def relevant_mounts(mounts: DataFrame, since=None, window=waits.DEFAULT_WINDOW,
+                    time_col: str = "start") -> DataFrame:
+    """Mounts that can answer a request of ``since``'s day or later, in either
+    direction (the filter reaches the scan)."""
+    if since is None:
+        return mounts
+    w = window if isinstance(window, _dt.timedelta) else _dt.timedelta(seconds=float(window))
+    return mounts.filter(F.col(time_col) > _ts(_day_start(since) - w))
+
+
+def write_by_day(out: DataFrame, target: str, time_col: str = "datestamp") -> None:
+    write_snapshot(out.withColumn(DAY_COL, F.to_date(time_col)), target, partition_by=[DAY_COL])
+
+
 def library_counts_job(spark, file_src) -> DataFrame:
     """Files per library (the caller shows or writes the small result)."""
     return library_counts(load(spark, file_src, "file"))
@@ -80,15 +126,19 @@ def _existing_families(spark, target: str):
 
 
 def read_waits_job(spark, reads_src, mounts_src, target: str, kind: str = "next",
-                   window=waits.DEFAULT_WINDOW) -> None:
+                   window=waits.DEFAULT_WINDOW, since=None) -> None:
     """``kind``: ``next`` (own tape), ``migrated`` (tape after migration),
     ``previous`` (last mount before the read) or ``all`` (the three at once,
     one shuffle of the reads)."""
-    reads = load(spark, reads_src, "small_file_billinginfo_reads")
-    mounts = load(spark, mounts_src, "tape_mounts")
-    fn = {"next": waits.read_waits, "migrated": waits.read_waits_migrated,
-          "previous": waits.previous_mount, "all": waits.read_waits_all}[kind]
-    write_snapshot(fn(reads, mounts, window), target)
+    reads = pending_requests(load(spark, reads_src, "small_file_billinginfo_reads"), since)
+    mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, window)
+    if kind == "all":
+        out = waits.read_waits_all(reads, mounts, window, previous_window=window)
+    else:
+        fn = {"next": waits.read_waits, "migrated": waits.read_waits_migrated,
+              "previous": waits.previous_mount}[kind]
+        out = fn(reads, mounts, window)
+    write_by_day(out, target)
 
 
 def read_host_volume_job(spark, reads_src, mounts_src, volume_src, target: str,
@@ -96,28 +146,30 @@ def read_host_volume_job(spark, reads_src, mounts_src, volume_src, target: str,
     fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
                                       load(spark, volume_src, "volume"))
     reads = load(spark, reads_src, "small_file_billinginfo_reads")
-    write_snapshot(waits.read_host_volume(reads, fm, window), target)
+    write_by_day(waits.read_host_volume(reads, fm, window), target)
 
 
 def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
-                    window=waits.DEFAULT_WINDOW) -> None:
-    fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
-                                      load(spark, volume_src, "volume"))
-    stores = load(spark, stores_src, "storageinfo_sfa")
-    write_snapshot(waits.store_waits(stores, fm, window), target)
+                    window=waits.DEFAULT_WINDOW, since=None) -> None:
+    mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, window)
+    fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
+    stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
+    write_by_day(waits.store_waits(stores, fm, window), target)
 
 
 def restore_job(spark, stores_src, mounts_src, volume_src, target: str,
-                volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW) -> None:
+                volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW,
+                since=None) -> None:
     """Host volume, then wait, of every restore; the first stage's result is
     checkpointed in the shared checkpoint folder so the second stage starts
     from stored data instead of re-running the first."""
-    mounts = load(spark, mounts_src, "tape_mounts")
-    fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
-    stores = load(spark, stores_src, "storageinfo_sfa")
+    mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, wait_window)
+    fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
+                                      load(spark, volume_src, "volume"))
+    stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
     out = waits.restore_chain(stores, fm, mounts, volume_window, wait_window,
                               between=cut_lineage)
-    write_snapshot(out, target)
+    write_by_day(out, target)
 
 
 def copy_by_dates_job(spark, billing_src, target: str, dates_file: str) -> DataFrame:
