@@ -128,3 +128,21 @@ def test_hot_key_and_hot_instant(spark, direction):
     got = run(spark, reqs, mounts, window, direction, bucket=dt.timedelta(minutes=20))
     assert len(got) == len(reqs)
     assert got == brute(reqs, mounts, window, direction)
+
+
+def test_result_independent_of_shuffle_partitions(spark):
+    rnd = random.Random(5)
+    reqs = [(i, rnd.choice("abc"), T0 + dt.timedelta(minutes=rnd.randrange(0, 3 * 24 * 60, 10)))
+            for i in range(200)]
+    mounts = [(1000 + i, rnd.choice("abc"), T0 + dt.timedelta(minutes=rnd.randrange(0, 3 * 24 * 60, 10)),
+               None) for i in range(100)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        results = []
+        for n in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            results.append(run(spark, reqs, mounts, dt.timedelta(hours=8), "forward",
+                               dt.timedelta(minutes=30)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == brute(reqs, mounts, dt.timedelta(hours=8), "forward")
