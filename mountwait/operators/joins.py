@@ -19,9 +19,10 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def broadcast_if_small(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Return ``broadcast(dim)`` when it has at most ``max_rows`` rows, else ``dim``.
 
-    The count stops early: it counts at most ``max_rows + 1`` rows.
+    The count is a distributed count (partial counts per task, no rows
+    moved); a ``limit`` before it would funnel rows into a single task.
     """
-    n = dim.limit(max_rows + 1).count()
+    n = dim.count()
     return F.broadcast(dim) if n <= max_rows else dim
 
 

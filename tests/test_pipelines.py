@@ -92,3 +92,13 @@ def test_bad_bfid_strict(spark):
     assert out.volume == "V1"          # no time -> no match, old value kept
     with pytest.raises(ValueError):
         waits.read_host_volume(reads, fam_mounts, strict=True)
+
+
+def test_dimension_broadcast_only_under_bound(spark):
+    from mountwait.operators.joins import join_dimension
+    fact = spark.range(100).withColumnRenamed("id", "k")
+    dim = spark.range(10).withColumnRenamed("id", "k")
+    small = join_dimension(fact, dim, "k")._jdf.queryExecution().analyzed().toString()
+    big = join_dimension(fact, dim, "k", max_rows=5)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" in small        # counted 10 <= bound: hinted
+    assert "strategy=broadcast" not in big      # over the bound: no hint
