@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mountwait.operators.joins import join_dimension
+
 # Fixed value: first slice start of the reference's copy.
 DEFAULT_FIRST_DATE = _dt.date(2022, 9, 9)
 SLICE_COL = "ds"
@@ -54,10 +56,11 @@ def day_slices(slices: DataFrame) -> DataFrame:
 def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
     """Rows of ``df`` inside some slice, with ``slice_start``/``slice_end``.
 
-    ``slices`` holds whole dates, so the day of ``ts`` decides the slice."""
-    days = F.broadcast(day_slices(slices))
-    return df.withColumn("_day", F.to_date(ts_col)).join(
-        days, F.col("_day") == F.col("day"), "inner").drop("_day", "day")
+    ``slices`` holds whole dates, so the day of ``ts`` decides the slice: an
+    equi-join on the day against one row per covered day, broadcast after
+    its size is counted (it grows with the date span, not with the rows)."""
+    days = day_slices(slices).withColumnRenamed("day", "_day")
+    return join_dimension(df.withColumn("_day", F.to_date(ts_col)), days, "_day").drop("_day")
 
 
 def daily_slices(df: DataFrame, ts_col: str) -> DataFrame:
