@@ -4,7 +4,8 @@ Given boundary dates ``d0 < d1 < ... < dn`` slice ``i`` holds the rows with
 ``d(i-1) <= ts < d(i)``; rows before ``d0`` or from ``dn`` on are not copied.
 A slice is assigned by an equi-join on the calendar day against a day ->
 slice table (one row per day between ``d0`` and ``dn``, so its size is
-bounded by the boundary list, not by the data, and it is broadcast).
+bounded by the boundary list, not by the data; it is broadcast after its
+row count is checked).
 
 Resume: completed slices are recorded in a manifest *after* their data has
 been written.  A run copies only slices not in the manifest and writes them

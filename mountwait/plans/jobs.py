@@ -149,6 +149,21 @@ def read_host_volume_job(spark, reads_src, mounts_src, volume_src, target: str,
     write_by_day(waits.read_host_volume(reads, fm, window), target)
 
 
+def reads_job(spark, reads_src, mounts_src, volume_src, target: str,
+              volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW,
+              since=None) -> None:
+    """All read stages in order: simulated host tape (from the file's
+    creation), then next mount, next mount after migration and previous
+    mount.  The first stage's result is checkpointed in the shared folder."""
+    mounts = load(spark, mounts_src, "tape_mounts")
+    fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
+    reads = pending_requests(load(spark, reads_src, "small_file_billinginfo_reads"), since)
+    hosted = cut_lineage(waits.read_host_volume(reads, fm, volume_window))
+    out = waits.read_waits_all(hosted, relevant_mounts(mounts, since, wait_window), wait_window,
+                               previous_window=wait_window)
+    write_by_day(out, target)
+
+
 def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
                     window=waits.DEFAULT_WINDOW, since=None) -> None:
     mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, window)
@@ -187,6 +202,7 @@ JOBS = {
     "family_tables": family_tables_job,
     "read_waits": read_waits_job,
     "read_host_volume": read_host_volume_job,
+    "reads": reads_job,
     "store_waits": store_waits_job,
     "restores": restore_job,
     "copy_by_dates": copy_by_dates_job,

@@ -82,3 +82,21 @@ def test_incremental_run_equals_full_run(spark, tmp_dir):
     a = spark.read.parquet(full).select(*cols)
     b = spark.read.parquet(inc).select(*cols)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_reads_job_chains_host_volume_and_waits(spark, tmp_dir):
+    from mountwait.plans import waits as W
+    p = _stage(spark, tmp_dir)
+    target = os.path.join(tmp_dir, "reads_out")
+    jobs.reads_job(spark, p["reads"], p["tape_mounts"], p["volume"], target,
+                   volume_window=900, wait_window=86400)
+    got = spark.read.parquet(target)
+    reads = spark.read.parquet(p["reads"])
+    fm = jobs.prepare.filtered_tape_mounts(spark.read.parquet(p["tape_mounts"]),
+                                           spark.read.parquet(p["volume"]))
+    hosted = W.read_host_volume(reads, fm, 900)
+    want = W.read_waits(hosted, spark.read.parquet(p["tape_mounts"]), 86400)
+    a = got.select("sfbr_id", "volume", "next_mount_id", "mount_wait")
+    b = want.select("sfbr_id", "volume", "next_mount_id", "mount_wait")
+    assert a.count() == reads.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
