@@ -53,8 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (distributed) folder and is
-    used as given.  Only when it is unset, as in local tests, a folder is
-    made under the system temp area and registered with the context.
+    used as given; when it is unset there, this raises rather than fall
+    back to a folder only one machine sees.  Only in local mode (tests) an
+    unset folder is made under the system temp area.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -62,6 +63,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or an "
+                               "object store) before running multi-stage jobs")
         d = tempfile.mkdtemp(prefix="mountwait-ckpt-")
     sc.setCheckpointDir(d)
     return d
