@@ -285,6 +285,28 @@ from st left join x using (storageinfo_id)""",
 select st.storageinfo_id, case when j.mstart is not null then true else st.updated end as updated,
        j.mstart as next_mount_time, {_wait("j.mstart", "st.datestamp")}
 from st left join j using (storageinfo_id)""",
+    "restore_chain": _with("st", "fm", "tm", extra=_first_mount_by_family() + ",\n"
+                           + _first_mount_by_volume() + f""",
+    e1 as (select storageinfo_id, file_family, {_BFID_T} as bt from st
+           where action is not null and errorcode is not null and storageinfo_id is not null
+             and action = 'restore' and errorcode = 0 and bfid is not null
+             and file_family is not null and {_BFID_OK}),
+    j1 as (select e1.storageinfo_id,
+                  case when m.start < e1.bt + interval 15 minute then m.tapemount_id end as mid
+           from e1 asof left join mf m on e1.file_family = m.file_family and e1.bt < m.start),
+    x1 as (select j1.storageinfo_id, t.volume as mvol from j1 join fm t on t.tapemount_id = j1.mid),
+    s1 as (select st.storageinfo_id, st.action, st.errorcode, st.datestamp,
+                  coalesce(x1.mvol, st.volume) as volume, x1.mvol is not null as volume_done
+           from st left join x1 using (storageinfo_id)),
+    e2 as (select storageinfo_id, datestamp, volume from s1
+           where action is not null and errorcode is not null and storageinfo_id is not null
+             and action = 'restore' and errorcode = 0 and datestamp is not null and volume is not null),
+    j2 as (select e2.storageinfo_id,
+                  case when m.start < e2.datestamp + interval 1 day then m.start end as mstart
+           from e2 asof left join mv m on e2.volume = m.volume and e2.datestamp < m.start)""") + f"""
+select s1.storageinfo_id, s1.volume, s1.volume_done, j2.mstart is not null as wait_done,
+       j2.mstart as next_mount_time, {_wait("j2.mstart", "s1.datestamp")}
+from s1 left join j2 using (storageinfo_id)""",
     "date_slices": _with("bi") + """
 select cast(datestamp as date) as slice_start, cast(datestamp as date) + 1 as slice_end,
        count(*)::BIGINT as n_rows from bi group by 1, 2""",

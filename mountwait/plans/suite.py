@@ -300,6 +300,15 @@ def restore_waits(spark: SparkSession, sf: str) -> DataFrame:
                       "mount_wait")
 
 
+def restore_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Host volume, then wait, of every restore, each stage with its own
+    done column: a restore that just received a tape also gets its wait."""
+    out = waits.restore_chain(td.stores(spark, sf), _family_mounts(spark, sf),
+                              td.tape_mounts(spark, sf), FAMILY_WINDOW, READ_WINDOW)
+    return _flat_wait(out.select("storageinfo_id", "volume", "volume_done", "wait_done",
+                                 "next_mount_time", "mount_wait"), "mount_wait")
+
+
 def enrich_update(spark: SparkSession, sf: str) -> DataFrame:
     """Apply host-volume results to the store table by id (matched rows get
     the new volume and the done flag, the others keep theirs)."""
@@ -351,6 +360,7 @@ SUITE = {
     "store_waits": store_waits,
     "restore_host_volume": restore_host_volume,
     "restore_waits": restore_waits,
+    "restore_chain": restore_chain,
     "enrich_update": enrich_update,
     "date_slices": date_slices,
 }
