@@ -323,6 +323,16 @@ select a.sfbr_id, a.next_mount_id, b.migration_next_mount_id, c.previous_mount_1
        c.wait_us as prev_wait_us, c.age_months as prev_age_months, c.age_days as prev_age_days,
        c.age_us as prev_age_us
 from a join b using (sfbr_id) join c using (sfbr_id)"""
+_ORACLE["storage_waits_all"] = f"""
+with a as ({_ORACLE["store_waits"]}),
+b as ({_ORACLE["restore_chain"]})
+select a.storageinfo_id,
+       case when a.next_mount_id is not null then a.volume else b.volume end as volume,
+       a.updated, b.volume_done, b.wait_done,
+       coalesce(a.next_mount_time, b.next_mount_time) as next_mount_time, a.next_mount_id,
+       coalesce(a.wait_us, b.wait_us) as wait_us, coalesce(a.age_months, b.age_months) as age_months,
+       coalesce(a.age_days, b.age_days) as age_days, coalesce(a.age_us, b.age_us) as age_us
+from a join b using (storageinfo_id)"""
 _ORACLE["enrich_update"] = _ORACLE["restore_host_volume"].replace(
     "select st.storageinfo_id, case when", "select st.storageinfo_id, st.action, case when")
 

@@ -309,6 +309,16 @@ def restore_chain(spark: SparkSession, sf: str) -> DataFrame:
                                  "next_mount_time", "mount_wait"), "mount_wait")
 
 
+def storage_waits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Store waits, restore host tapes and restore waits in one job."""
+    out = waits.storage_waits_all(td.stores(spark, sf), _family_mounts(spark, sf),
+                                  td.tape_mounts(spark, sf), FAMILY_WINDOW, FAMILY_WINDOW,
+                                  READ_WINDOW)
+    return _flat_wait(out.select("storageinfo_id", "volume", "updated", "volume_done",
+                                 "wait_done", "next_mount_time", "next_mount_id", "mount_wait"),
+                      "mount_wait")
+
+
 def enrich_update(spark: SparkSession, sf: str) -> DataFrame:
     """Apply host-volume results to the store table by id (matched rows get
     the new volume and the done flag, the others keep theirs)."""
@@ -361,6 +371,7 @@ SUITE = {
     "restore_host_volume": restore_host_volume,
     "restore_waits": restore_waits,
     "restore_chain": restore_chain,
+    "storage_waits_all": storage_waits_all,
     "enrich_update": enrich_update,
     "date_slices": date_slices,
 }

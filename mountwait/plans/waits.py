@@ -270,3 +270,41 @@ def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
         out = drop_wait(set_where(out, hit, {id_out: F.col(f"{col}.tapemount_id"),
                                              wait_out: wait}))
     return out.drop("_lk_next", "_lk_mig", "_lk_prev")
+
+
+def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
+                      store_window=DEFAULT_WINDOW, volume_window=HOST_VOLUME_WINDOW,
+                      wait_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
+    """All store-table stages in one job: wait of every store (``updated``
+    as done flag), host tape of every restore (``volume_done``), then wait
+    of every restore on that tape (``wait_done``).  The first two lookups
+    share one shuffle of the full rows (``storageinfo_id`` must be unique);
+    the restore wait needs the new tape, so it follows as a second stage.
+    Equal to ``store_waits`` followed by ``restore_chain``."""
+    s = stores
+    for c in ("volume_done", "wait_done"):
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(False))
+    m = _mount_cols(family_mounts, "file_family").select(
+        "tapemount_id", "start", F.col("volume").alias("_m_volume"),
+        F.col("file_family").alias("_m_family"))
+    r = s.withColumn(_BFID_T, bfid_time("bfid"))
+    out = asof_lookups(r, m, id_col="storageinfo_id", right_by="_m_family", right_time="start",
+                       tie="tapemount_id", carry=["_m_volume"], bucket=bucket, lookups=[
+                           dict(left_by="file_family", left_time="datestamp", window=store_window,
+                                match="_lk_store", eligible=eligible_store(s)),
+                           dict(left_by="file_family", left_time=_BFID_T, window=volume_window,
+                                match="_lk_vol", eligible=eligible_restore_volume(s, "volume_done")),
+                       ])
+    out, wait = with_wait(out, F.col("_lk_store.time"), F.col("datestamp"))
+    out = drop_wait(set_where(out, F.col("_lk_store").isNotNull(), {
+        "volume": F.col("_lk_store._m_volume"),
+        "updated": F.lit(True),
+        "next_mount_time": F.col("_lk_store.time"),
+        "next_mount_id": F.col("_lk_store.tapemount_id"),
+        "mount_wait": wait,
+    }))
+    out = set_where(out, F.col("_lk_vol").isNotNull(), {
+        "volume_done": F.lit(True), "volume": F.col("_lk_vol._m_volume"),
+    }).drop("_lk_store", "_lk_vol", _BFID_T)
+    return restore_waits(out, mounts, wait_window, bucket, done="wait_done")
