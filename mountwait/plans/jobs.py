@@ -1,7 +1,8 @@
 """Batch jobs: read the input tables, run one plan, write one snapshot.
 
 A table is named by a Parquet path, or by a dict for JDBC
-(``{"url": ..., "table": ..., "column": ..., "partitions": ..., "properties": {...}}``).
+(``{"url": ..., "table": ..., "column": ..., "partitions": ..., "properties": {...}}``);
+a JDBC target is appended to (created when absent), as the reference does.
 Outputs are written as new snapshots (overwrite of the target path, or of
 the partitions present); the target must differ from the inputs.  Re-running
 a job after a failure rewrites the same snapshot, so no partial result
@@ -24,7 +25,7 @@ from mountwait.plans import ingest, prepare, waits
 from mountwait.session import build_session, cut_lineage
 from mountwait.sources.jdbc import read_jdbc
 from mountwait.sources.shards import with_shards
-from mountwait.sources.sinks import family_labels, write_snapshot
+from mountwait.sources.sinks import append_table, family_labels, write_snapshot
 from mountwait.sources.tables import read_table
 
 
@@ -82,6 +83,15 @@ def write_by_day(out: DataFrame, target: str, time_col: str = "datestamp") -> No
     write_snapshot(out.withColumn(DAY_COL, F.to_date(time_col)), target, partition_by=[DAY_COL])
 
 
+def save(df: DataFrame, target) -> None:
+    """Parquet path: snapshot overwrite.  JDBC dict: append."""
+    if isinstance(target, dict):
+        append_table(df, target["table"], jdbc_url=target["url"],
+                     properties=target.get("properties"))
+    else:
+        write_snapshot(df, target)
+
+
 def library_counts_job(spark, file_src) -> DataFrame:
     """Files per library (the caller shows or writes the small result)."""
     return library_counts(load(spark, file_src, "file"))
@@ -91,15 +101,15 @@ def packaged_files_job(spark, file_src, target: str, shards: int | None = None)
     """Packaged files; with ``shards`` written partitioned by id range
     (``shard``), so a later id-range read prunes to its partitions."""
     files = prepare.packaged_files(load(spark, file_src, "file"))
-    if shards:
+    if shards and not isinstance(target, dict):
         write_snapshot(with_shards(files, "id", int(shards)), target, partition_by=["shard"])
     else:
-        write_snapshot(files, target)
+        save(files, target)
 
 
 def package_reads_job(spark, billing_src, packaged_src, target: str) -> None:
     reads = prepare.package_reads(load(spark, billing_src, "billinginfo"), load(spark, packaged_src))
-    write_snapshot(reads, target)
+    save(reads, target)
 
 
 def family_tables_job(spark, volume_src, target: str, keep_existing: bool = True) -> DataFrame:

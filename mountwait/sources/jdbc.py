@@ -22,8 +22,12 @@ def _opts(url: str, properties: dict | None, fetch_size: int) -> dict:
 
 def jdbc_bounds(spark: SparkSession, url: str, table: str, column: str,
                 properties: dict | None = None) -> tuple[int, int]:
-    """``(min, max)`` of ``column``, computed by the database (one row)."""
-    q = f"select min({column}) as lo, max({column}) as hi from {table}"
+    """``(min, max)`` of ``column``, computed by the database (one row).
+
+    The column is quoted the way Spark's JDBC dialect for ``url`` quotes it
+    (tables written by Spark keep their lower-case names quoted)."""
+    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    q = f"select min({quoted}) as lo, max({quoted}) as hi from {table}"
     row = (spark.read.format("jdbc").options(**_opts(url, properties, DEFAULT_FETCH_SIZE))
            .option("query", q).load().first())
     lo, hi = row[0], row[1]

@@ -59,3 +59,25 @@ def test_contract(spark):
     assert out.schema["id"].dataType.simpleString() == "bigint" and "x" in out.columns
     with pytest.raises(ContractError):
         conform(ok.drop("label"), VOLUME)
+
+
+def test_jobs_over_jdbc(spark, derby_url):
+    """The reference's flow on a database: scan, filter, join, append."""
+    from mountwait.plans import jobs
+    from mountwait.sources import testdata as td
+    from conftest import SF001
+    append_table(td.file(spark, SF001), "MW_FILE", jdbc_url=derby_url, properties=DRIVER)
+    append_table(td.billinginfo(spark, SF001), "MW_BILLING", jdbc_url=derby_url, properties=DRIVER)
+    src = lambda t, col=None: {"url": derby_url, "table": t, "column": col,
+                               "partitions": 4 if col else None, "properties": DRIVER}
+    counts = {r.original_library: r.n_files
+              for r in jobs.library_counts_job(spark, src("MW_FILE", "id")).collect()}
+    assert counts == {r.original_library: r.n_files for r in
+                      jobs.library_counts(td.file(spark, SF001)).collect()}
+    jobs.packaged_files_job(spark, src("MW_FILE", "id"), src("MW_PACKAGED"))
+    jobs.package_reads_job(spark, src("MW_BILLING", "billinginfo_id"), src("MW_PACKAGED"),
+                           src("MW_READS"))
+    got = read_jdbc(spark, derby_url, "MW_READS", properties=DRIVER).count()
+    want = jobs.prepare.package_reads(td.billinginfo(spark, SF001),
+                                      jobs.prepare.packaged_files(td.file(spark, SF001))).count()
+    assert got == want > 0
