@@ -20,6 +20,7 @@ from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_site_ok, bfid_time, require_good_bfids
 from mountwait.operators.asof import asof_lookups, next_within, prev_within
 from mountwait.operators.enrich import set_where
+from mountwait.session import cut_lineage
 
 DEFAULT_WINDOW = _dt.timedelta(days=100)
 HOST_VOLUME_WINDOW = _dt.timedelta(seconds=8_640_000)
@@ -223,11 +224,16 @@ def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, b
 
 def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                   volume_window=HOST_VOLUME_WINDOW, wait_window=DEFAULT_WINDOW,
-                  bucket=None, between=None) -> DataFrame:
+                  bucket=None, between=cut_lineage) -> DataFrame:
     """Host volume, then wait, of every restore, each stage with its own
     done-column (``volume_done``, ``wait_done``) so that a restore that just
-    received a tape still gets its wait.  ``between`` (e.g.
-    ``session.cut_lineage``) is applied to the first stage's result."""
+    received a tape still gets its wait.
+
+    ``between`` is applied to the first stage's result; by default it is
+    stored as a reliable checkpoint in the shared checkpoint folder, because
+    the second stage reads its input several times (eligible rows, the
+    others, the request pairs) and would otherwise recompute the first
+    stage for each.  Pass ``None`` to keep one lazy plan."""
     s = stores
     if "volume_done" not in s.columns:
         s = s.withColumn("volume_done", F.lit(False))
@@ -274,13 +280,15 @@ def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
 
 def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                       store_window=DEFAULT_WINDOW, volume_window=HOST_VOLUME_WINDOW,
-                      wait_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
+                      wait_window=DEFAULT_WINDOW, bucket=None, between=cut_lineage) -> DataFrame:
     """All store-table stages in one job: wait of every store (``updated``
     as done flag), host tape of every restore (``volume_done``), then wait
     of every restore on that tape (``wait_done``).  The first two lookups
     share one shuffle of the full rows (``storageinfo_id`` must be unique);
-    the restore wait needs the new tape, so it follows as a second stage.
-    Equal to ``store_waits`` followed by ``restore_chain``."""
+    the restore wait needs the new tape, so it follows as a second stage,
+    after ``between`` (a reliable checkpoint by default, see
+    ``restore_chain``).  Equal to ``store_waits`` followed by
+    ``restore_chain``."""
     s = stores
     for c in ("volume_done", "wait_done"):
         if c not in s.columns:
@@ -307,4 +315,6 @@ def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataF
     out = set_where(out, F.col("_lk_vol").isNotNull(), {
         "volume_done": F.lit(True), "volume": F.col("_lk_vol._m_volume"),
     }).drop("_lk_store", "_lk_vol", _BFID_T)
+    if between is not None:
+        out = between(out)
     return restore_waits(out, mounts, wait_window, bucket, done="wait_done")
