@@ -8,14 +8,16 @@ the partitions present); the target must differ from the inputs.  Re-running
 a job after a failure rewrites the same snapshot, so no partial result
 survives and task retries and speculation are harmless.
 
-Command line: ``python -m mountwait.plans.jobs <job> key=value ...``.
+Command line: ``python -m mountwait.plans.jobs <job> key=value ...``; a
+value that is JSON (a JDBC table spec, a number, ``true``/``false``) is
+parsed, anything else is a string (paths, dates).  Windows are seconds.
 """
 
 from __future__ import annotations
 
-import sys
-
 import datetime as _dt
+import json
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,11 +235,18 @@ JOBS = {
 }
 
 
+def _value(text: str):
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 def main(argv: list[str]) -> None:
     if not argv or argv[0] not in JOBS:
         print("jobs:", ", ".join(JOBS))
         raise SystemExit(2)
-    kwargs = dict(a.split("=", 1) for a in argv[1:])
+    kwargs = {k: _value(v) for k, v in (a.split("=", 1) for a in argv[1:])}
     spark = build_session()
     out = JOBS[argv[0]](spark, **kwargs)
     if isinstance(out, DataFrame):

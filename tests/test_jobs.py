@@ -100,3 +100,13 @@ def test_reads_job_chains_host_volume_and_waits(spark, tmp_dir):
     b = want.select("sfbr_id", "volume", "next_mount_id", "mount_wait")
     assert a.count() == reads.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_cli_lists_jobs_and_parses_values(capsys):
+    import pytest
+    with pytest.raises(SystemExit):
+        jobs.main([])
+    assert "read_waits" in capsys.readouterr().out
+    assert jobs._value("false") is False and jobs._value("900") == 900
+    assert jobs._value('{"url": "u", "table": "t"}') == {"url": "u", "table": "t"}
+    assert jobs._value("/data/x") == "/data/x"
