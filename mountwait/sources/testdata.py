@@ -22,8 +22,20 @@ READ_EVENT_TYPE = "view"
 STORE_EVENT_TYPE = "click"
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table.  Its schema is inferred from the Parquet footers once
+    per path and then given to the reader, so later reads of the same file
+    skip the footer-reading job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def _family(user_id: Column) -> Column:
