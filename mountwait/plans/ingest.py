@@ -54,14 +54,25 @@ def day_slices(slices: DataFrame) -> DataFrame:
         "slice_start", "slice_end")
 
 
-def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
+# Days of a slice table that may be broadcast.
+MAX_BROADCAST_DAYS = 2_000_000
+
+
+def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame,
+                  n_days: int | None = None) -> DataFrame:
     """Rows of ``df`` inside some slice, with ``slice_start``/``slice_end``.
 
     ``slices`` holds whole dates, so the day of ``ts`` decides the slice: an
-    equi-join on the day against one row per covered day, broadcast after
-    its size is counted (it grows with the date span, not with the rows)."""
+    equi-join on the day against one row per covered day (it grows with the
+    date span, not with the rows).  ``n_days``, when the caller knows it
+    (slices from a date list), bounds that table; otherwise it is counted
+    before it is broadcast."""
     days = day_slices(slices).withColumnRenamed("day", "_day")
-    return join_dimension(df.withColumn("_day", F.to_date(ts_col)), days, "_day").drop("_day")
+    keyed = df.withColumn("_day", F.to_date(ts_col))
+    if n_days is not None:
+        side = F.broadcast(days) if n_days <= MAX_BROADCAST_DAYS else days
+        return keyed.join(side, "_day").drop("_day")
+    return join_dimension(keyed, days, "_day").drop("_day")
 
 
 def daily_slices(df: DataFrame, ts_col: str) -> DataFrame:
@@ -102,7 +113,8 @@ def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target:
     if not pending_rows:
         return pending
     todo = spark.createDataFrame(pending_rows, pending.schema)
-    rows = assign_slices(source, ts_col, todo).withColumn(
+    n_days = sum((r.slice_end - r.slice_start).days for r in pending_rows)
+    rows = assign_slices(source, ts_col, todo, n_days=n_days).withColumn(
         SLICE_COL, F.date_format("slice_start", "yyyy-MM-dd")).drop("slice_start", "slice_end")
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(SLICE_COL).parquet(target))
