@@ -27,7 +27,15 @@ def append_table(df: DataFrame, target: str, *, jdbc_url: str | None = None,
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite ``path``; with ``partition_by`` only the partitions present
-    in ``df`` are replaced (``partitionOverwriteMode=dynamic``)."""
+    in ``df`` are replaced (``partitionOverwriteMode=dynamic``).
+
+    A partitioned write is preceded by a REBALANCE on the partition columns:
+    without it every task writes one file per partition value it holds
+    (tasks x days files); with it adaptive execution groups each value's
+    rows into partitions of the advisory size, splitting a hot value over
+    several tasks and merging small ones."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
