@@ -191,7 +191,8 @@ def top1_before(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
 
 def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: str,
                  right_time: str, lookups: Sequence[dict], tie: str | None = None,
-                 carry: Sequence[str] | str | None = None, bucket=None) -> DataFrame:
+                 carry: Sequence[str] | str | None = None, bucket=None,
+                 check_unique: bool = False) -> DataFrame:
     """Several as-of lookups of one table against one right table, with the
     full left rows shuffled once.
 
@@ -201,8 +202,15 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
     results are then joined to the full rows by ``id_col``, which must be
     unique.  All those joins share the key ``id_col``, so Spark shuffles the
     full rows once and only the narrow results for every further join
-    (small results become broadcasts at run time).
+    (small results become broadcasts at run time).  A repeated id would
+    multiply rows; ``check_unique`` verifies the ids first (one aggregation)
+    and raises on a repeat.
     """
+    if check_unique:
+        dup = (left.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > 1).limit(5).collect())
+        if dup:
+            raise ValueError(f"{id_col} repeats: {[r[0] for r in dup]}")
     out = left
     for lk in lookups:
         cols = {id_col, lk["left_by"], lk["left_time"]}

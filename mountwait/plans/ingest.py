@@ -116,7 +116,7 @@ def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target:
     n_days = sum((r.slice_end - r.slice_start).days for r in pending_rows)
     rows = assign_slices(source, ts_col, todo, n_days=n_days).withColumn(
         SLICE_COL, F.date_format("slice_start", "yyyy-MM-dd")).drop("slice_start", "slice_end")
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(SLICE_COL).parquet(target))
+    (rows.hint("rebalance", SLICE_COL).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(SLICE_COL).parquet(target))
     todo.write.mode("append").parquet(f"{target.rstrip('/')}/{MANIFEST}")
     return todo

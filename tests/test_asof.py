@@ -146,3 +146,13 @@ def test_result_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == brute(reqs, mounts, dt.timedelta(hours=8), "forward")
+
+
+def test_asof_lookups_unique_check(spark):
+    from mountwait.operators.asof import asof_lookups
+    r = spark.createDataFrame([(1, "a", T0), (1, "a", T0 + DAY)], R_SCHEMA)
+    m = spark.createDataFrame([(10, "a", T0 + dt.timedelta(hours=1), None)], M_SCHEMA)
+    look = [dict(left_by="k", left_time="t", window=DAY, match="m1")]
+    with pytest.raises(ValueError):
+        asof_lookups(r, m, id_col="rid", right_by="mk", right_time="mt", lookups=look,
+                     tie="mid", check_unique=True)
