@@ -1,4 +1,4 @@
-"""Enrichment and wait pipelines on hand-made rows."""
+"""Enrichment and wait jobs on hand-made rows."""
 
 import datetime as dt
 
