@@ -57,6 +57,12 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _require(df: DataFrame, side: str, cols: list[str]) -> None:
+    missing = [c for c in cols if c not in df.columns]
+    if missing:
+        raise ValueError(f"{side} side lacks columns {missing}; has {df.columns}")
+
+
 def asof_within(
     left: DataFrame,
     right: DataFrame,
@@ -91,6 +97,8 @@ def asof_within(
     if bucket_us <= 0:
         raise ValueError("bucket must be positive")
     carry = [c for c in _as_list(carry) if c not in (right_time, tie)]
+    _require(left, "left", [left_by, left_time])
+    _require(right, "right", [right_by, right_time, *([tie] if tie else []), *carry])
 
     key_type = left.schema[left_by].dataType
     time_type = left.schema[left_time].dataType

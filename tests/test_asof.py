@@ -156,3 +156,10 @@ def test_asof_lookups_unique_check(spark):
     with pytest.raises(ValueError):
         asof_lookups(r, m, id_col="rid", right_by="mk", right_time="mt", lookups=look,
                      tie="mid", check_unique=True)
+
+
+def test_missing_column_is_reported(spark):
+    r = spark.createDataFrame([(1, "a", T0)], R_SCHEMA)
+    m = spark.createDataFrame([(10, "a", T0, None)], M_SCHEMA)
+    with pytest.raises(ValueError, match="right side lacks"):
+        next_within(r, m, left_by="k", right_by="nope", left_time="t", right_time="mt", window=DAY)
