@@ -79,29 +79,28 @@ def with_age(df, later, earlier, prefix: str = "age_", total: str | None = None)
     and inside whole-stage code generation (a single nested expression
     repeats its sub-trees and grows past the generated-method limit).
     Intermediate values are only referenced as columns, which the optimizer
-    keeps as separate cheap projections.
+    keeps as separate cheap projections.  The arithmetic is written as SQL
+    expressions: one call to the JVM per projection instead of one per
+    operator.
     """
-    t = "_ag_"
-    A, B, hi, lo, sg, us0, hd, ld, d0 = (F.col(t + x) for x in
-                                          ("a", "b", "hi", "lo", "sg", "us0", "hd", "ld", "d0"))
-    day = F.lit(_DAY_US)
-    d = df.select("*", epoch_micros(_c(later)).alias(t + "a"), epoch_micros(_c(earlier)).alias(t + "b"))
-    d = d.select("*", F.greatest(A, B).alias(t + "hi"), F.least(A, B).alias(t + "lo"),
-                 F.when(A < B, F.lit(-1)).otherwise(F.lit(1)).alias(t + "sg"))
-    d = d.select("*", (F.pmod(hi, day) - F.pmod(lo, day)).alias(t + "us0"),
-                 F.date_from_unix_date(F.floor(hi / day).cast("int")).alias(t + "hd"),
-                 F.date_from_unix_date(F.floor(lo / day).cast("int")).alias(t + "ld"))
-    b1 = (us0 < 0).cast("int")
-    d = d.select("*", (F.dayofmonth(hd) - F.dayofmonth(ld) - b1).alias(t + "d0"))
-    b2 = (d0 < 0).cast("int")
-    months = (F.year(hd) - F.year(ld)) * 12 + F.month(hd) - F.month(ld) - b2
-    days = d0 + b2 * F.dayofmonth(F.last_day(ld))
-    us = us0 + b1.cast("long") * _DAY_US
-    keep = [F.col(c) for c in df.columns if c not in (prefix + "months", prefix + "days",
-                                                      prefix + "us", total)]
-    out = [(months * sg).cast("int").alias(prefix + "months"),
-           (days * sg).cast("int").alias(prefix + "days"),
-           (us * sg).cast("long").alias(prefix + "us")]
+    day = _DAY_US
+    d = df.select("*", epoch_micros(_c(later)).alias("_ag_a"),
+                  epoch_micros(_c(earlier)).alias("_ag_b"))
+    d = d.selectExpr("*", "greatest(_ag_a, _ag_b) AS _ag_hi", "least(_ag_a, _ag_b) AS _ag_lo",
+                     "CASE WHEN _ag_a < _ag_b THEN -1 ELSE 1 END AS _ag_sg")
+    d = d.selectExpr("*", f"pmod(_ag_hi, {day}) - pmod(_ag_lo, {day}) AS _ag_us0",
+                     f"date_from_unix_date(CAST(floor(_ag_hi / {day}) AS INT)) AS _ag_hd",
+                     f"date_from_unix_date(CAST(floor(_ag_lo / {day}) AS INT)) AS _ag_ld")
+    d = d.selectExpr("*", "dayofmonth(_ag_hd) - dayofmonth(_ag_ld) - CAST(_ag_us0 < 0 AS INT) AS _ag_d0")
+    outs = {prefix + "months", prefix + "days", prefix + "us", total}
+    keep = ["`" + c.replace("`", "``") + "`" for c in df.columns if c not in outs]
+    exprs = [
+        "CAST(((year(_ag_hd) - year(_ag_ld)) * 12 + month(_ag_hd) - month(_ag_ld)"
+        f" - CAST(_ag_d0 < 0 AS INT)) * _ag_sg AS INT) AS `{prefix}months`",
+        "CAST((_ag_d0 + CAST(_ag_d0 < 0 AS INT) * dayofmonth(last_day(_ag_ld))) * _ag_sg AS INT)"
+        f" AS `{prefix}days`",
+        f"CAST((_ag_us0 + CAST(_ag_us0 < 0 AS BIGINT) * {day}) * _ag_sg AS BIGINT) AS `{prefix}us`",
+    ]
     if total:
-        out.append((A - B).cast("long").alias(total))
-    return d.select(*keep, *out)
+        exprs.append(f"CAST(_ag_a - _ag_b AS BIGINT) AS `{total}`")
+    return d.selectExpr(*keep, *exprs)
