@@ -206,7 +206,10 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
 
     Each lookup is a dict with ``left_by``, ``left_time``, ``window``,
     ``direction`` (default forward), ``match`` (output column) and optionally
-    ``eligible``.  Every lookup runs on narrow ``(id, key, time)`` rows; the
+    ``eligible`` and ``finish``: a function applied to the lookup's narrow
+    result (``id``, key, time, ``match``) that returns ``id`` plus the
+    columns to add, so that derived values are computed on the small plan
+    before the join.  Every lookup runs on narrow ``(id, key, time)`` rows; the
     results are then joined to the full rows by ``id_col``, which must be
     unique.  All those joins share the key ``id_col``, so Spark shuffles the
     full rows once and only the narrow results for every further join
@@ -229,6 +232,7 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
             right_time=right_time, window=lk["window"], direction=lk.get("direction", "forward"),
             tie=tie, carry=carry, bucket=bucket, match=lk["match"],
             eligible=F.col("_lk_ok") if elig is not None else None,
-        ).select(id_col, lk["match"])
+        )
+        res = lk["finish"](res) if lk.get("finish") else res.select(id_col, lk["match"])
         out = out.join(res, id_col, "left")
     return out

@@ -245,37 +245,57 @@ def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame
     return restore_waits(s, mounts, wait_window, bucket, done="wait_done")
 
 
+def _lookup_result(id_col: str, match: str, field: str, hit: Column, id_out: str | None,
+                   tag: str):
+    """``finish`` step of one lookup: the hit flag, the mount id and the wait,
+    computed on the lookup's narrow result before it is joined to the rows."""
+    def finish(res: DataFrame) -> DataFrame:
+        res, wait = with_wait(res, F.col(f"{match}.{field}"), F.col("datestamp"))
+        cols = [F.col(id_col), F.coalesce(hit, F.lit(False)).alias(f"_{tag}_hit"),
+                wait.alias(f"_{tag}_wait")]
+        if id_out:
+            cols.append(F.col(f"{match}.tapemount_id").alias(f"_{tag}_id"))
+        return res.select(*cols)
+    return finish
+
+
 def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
                    previous_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
     """The three read lookups in one job: next mount of the read's tape, next
     mount of the tape after migration, and last mount before the read on
     that tape (with the ``finish`` test).  The reads are shuffled once
-    (``sfbr_id`` must be unique); each lookup works on narrow rows.
-    Results equal ``read_waits``, ``read_waits_migrated`` and
+    (``sfbr_id`` must be unique); each lookup and its wait are computed on
+    narrow rows.  Results equal ``read_waits``, ``read_waits_migrated`` and
     ``previous_mount`` applied in turn."""
     m = _mount_cols(mounts, "finish").withColumnRenamed("volume", "_m_volume")
-    out = asof_lookups(reads, m, id_col="sfbr_id", right_by="_m_volume", right_time="start",
-                       tie="tapemount_id", carry=["finish"], bucket=bucket, lookups=[
-                           dict(left_by="volume", left_time="datestamp", window=window,
-                                match="_lk_next", eligible=eligible_read("volume")),
-                           dict(left_by="migrated_volume", left_time="datestamp", window=window,
-                                match="_lk_mig", eligible=eligible_read("migrated_volume")),
-                           dict(left_by="migrated_volume", left_time="datestamp",
-                                window=previous_window, direction="backward", match="_lk_prev",
-                                eligible=eligible_read("migrated_volume")),
-                       ])
-    steps = [
-        ("_lk_next", "time", F.col("_lk_next").isNotNull(), "next_mount_id", "mount_wait"),
-        ("_lk_mig", "time", F.col("_lk_mig").isNotNull(), "migration_next_mount_id",
+    steps = [  # tag, key column, window, direction, time field, hit, id column, wait column
+        ("nx", "volume", window, "forward", "time", None, "next_mount_id", "mount_wait"),
+        ("mg", "migrated_volume", window, "forward", "time", None, "migration_next_mount_id",
          "migration_mount_wait"),
-        ("_lk_prev", "finish", F.col("_lk_prev").isNotNull() & F.col("_lk_prev.finish").isNotNull(),
+        ("pv", "migrated_volume", previous_window, "backward", "finish", "finish",
          "previous_mount_100d_id", "previous_mount_100d_wait"),
     ]
-    for col, field, hit, id_out, wait_out in steps:
-        out, wait = with_wait(out, F.col(f"{col}.{field}"), F.col("datestamp"))
-        out = drop_wait(set_where(out, hit, {id_out: F.col(f"{col}.tapemount_id"),
-                                             wait_out: wait}))
-    return out.drop("_lk_next", "_lk_mig", "_lk_prev")
+    lookups = []
+    for tag, key, win, direction, field, need, id_out, wait_out in steps:
+        match = f"_lk_{tag}"
+        hit = F.col(match).isNotNull()
+        if need:
+            hit = hit & F.col(f"{match}.{need}").isNotNull()
+        lookups.append(dict(left_by=key, left_time="datestamp", window=win, direction=direction,
+                            match=match, eligible=eligible_read(key),
+                            finish=_lookup_result("sfbr_id", match, field, hit, id_out, tag)))
+    out = asof_lookups(reads, m, id_col="sfbr_id", right_by="_m_volume", right_time="start",
+                       tie="tapemount_id", carry=["finish"], bucket=bucket, lookups=lookups)
+    sets = {}
+    for tag, _, _, _, _, _, id_out, wait_out in steps:
+        hit = F.coalesce(F.col(f"_{tag}_hit"), F.lit(False))
+        old_id = F.col(id_out) if id_out in reads.columns else F.lit(None).cast("long")
+        old_wait = F.col(wait_out) if wait_out in reads.columns else F.lit(None)
+        sets[id_out] = F.when(hit, F.col(f"_{tag}_id")).otherwise(old_id)
+        sets[wait_out] = F.when(hit, F.col(f"_{tag}_wait")).otherwise(
+            old_wait.cast(out.schema[f"_{tag}_wait"].dataType))
+    keep = [F.col(c) for c in reads.columns if c not in sets]
+    return out.select(*keep, *[e.alias(n) for n, e in sets.items()])
 
 
 def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
