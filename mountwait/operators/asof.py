@@ -46,6 +46,10 @@ from mountwait.functions.timecols import as_duration_us, epoch_micros
 
 # Default cell width: one hour, or the window when that is shorter.
 DEFAULT_BUCKET = _dt.timedelta(hours=1)
+# bucket="auto": request pairs aimed at per cell, and the finest split.
+AUTO_TARGET_CELL_ROWS = 1_000_000
+AUTO_MAX_HALVINGS = 30
+_DAY_US = 86_400 * 1_000_000
 
 _K, _T, _S, _B, _R, _M = "_aj_k", "_aj_t", "_aj_s", "_aj_b", "_aj_r", "_aj_m"
 _IN, _NEXT, _TIE = "_aj_in", "_aj_next", "_aj_tie"
@@ -78,6 +82,7 @@ def asof_within(
     eligible: Column | None = None,
     bucket=None,
     match: str = "match",
+    target_cell_rows: int = AUTO_TARGET_CELL_ROWS,
 ) -> DataFrame:
     """Attach the nearest right row within ``window`` as struct column ``match``.
 
@@ -85,6 +90,15 @@ def asof_within(
     the ``carry`` columns, or is null.  ``direction`` is ``"forward"`` (next
     right row) or ``"backward"`` (previous right row).  ``window`` and
     ``bucket`` are ``timedelta`` or seconds.
+
+    ``bucket="auto"`` sizes the cells per key: a narrow aggregate counts each
+    key's request pairs per coarse cell (the window, at most a day) and the
+    key's cells become that width halved until its busiest coarse cell is
+    split into parts of about ``target_cell_rows`` pairs.  Any cell ids that
+    grow with time within a key give the same answer, so this only changes
+    how the work is cut; it removes the last skew case (a burst of distinct
+    request times of one key) at the cost of one more aggregate and a join
+    with one row per key.  Right rows of keys without requests drop out.
     """
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
@@ -92,8 +106,12 @@ def asof_within(
     win_us = as_duration_us(window)
     if win_us <= 0:
         raise ValueError("window must be positive")
-    bucket_us = as_duration_us(bucket) if bucket is not None else min(
-        win_us, as_duration_us(DEFAULT_BUCKET))
+    auto = isinstance(bucket, str) and bucket == "auto"
+    if auto:
+        bucket_us = min(win_us, _DAY_US)
+    else:
+        bucket_us = as_duration_us(bucket) if bucket is not None else min(
+            win_us, as_duration_us(DEFAULT_BUCKET))
     if bucket_us <= 0:
         raise ValueError("bucket must be positive")
     carry = [c for c in _as_list(carry) if c not in (right_time, tie)]
@@ -121,7 +139,6 @@ def asof_within(
         F.col(right_by).cast(key_type).alias(_K),
         F.lit(None).cast(time_type).alias(_T),
         s_us.alias(_S),
-        F.floor(s_us / F.lit(bucket_us)).cast("long").alias(_B),
         F.lit(0).alias(_R),
         (F.col(tie) if tie is not None else F.lit(None).cast("long")).alias(_TIE),
         F.struct(*fields).alias(_M),
@@ -130,10 +147,28 @@ def asof_within(
     null_m = F.lit(None).cast(m_type)
 
     # --- 1. distinct request pairs ------------------------------------------
-    req_rows = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct().select(
+    pairs = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct()
+    req_rows = pairs.select(
         _K, _T, epoch_micros(_T).alias(_S),
-        F.floor(epoch_micros(_T) / F.lit(bucket_us)).cast("long").alias(_B),
         F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M))
+
+    if auto:
+        coarse = F.floor(F.col(_S) / F.lit(bucket_us))
+        dens = (req_rows.groupBy(_K, coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+                .groupBy(_K).agg(F.max("_n").alias("_n")))
+        halvings = F.least(F.lit(AUTO_MAX_HALVINGS), F.greatest(F.lit(0), F.ceil(
+            F.log2(F.col("_n") / F.lit(float(target_cell_rows))))).cast("int"))
+        widths = dens.select(_K, F.greatest(F.lit(1), F.floor(
+            F.lit(bucket_us) / F.pow(F.lit(2.0), halvings))).cast("long").alias("_w"))
+        req_rows = req_rows.join(widths, _K)
+        mnt_rows = mnt_rows.join(widths, _K)
+        width = F.col("_w")
+    else:
+        width = F.lit(bucket_us)
+    req_rows = req_rows.select(_K, _T, _S, F.floor(F.col(_S) / width).cast("long").alias(_B),
+                               _R, _TIE, _M)
+    mnt_rows = mnt_rows.select(_K, _T, _S, F.floor(F.col(_S) / width).cast("long").alias(_B),
+                               _R, _TIE, _M)
     cells = req_rows.unionByName(mnt_rows)
 
     # --- 2. within each cell: one window, one consumer ----------------------

@@ -217,7 +217,8 @@ def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
     """As ``asof_next_ties`` with a third of both sides (order keys divisible
-    by 3) moved onto one hot key, to exercise the skew handling."""
+    by 3) moved onto one hot key, to exercise the skew handling; cells are
+    sized per key (``bucket="auto"``)."""
     li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                                 "l_suppkey", "l_shipdate")
     sup = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
@@ -231,7 +232,7 @@ def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
         "o_nation", F.when(F.col("o_orderkey") % 3 == 0, F.lit(HOT_KEY)).otherwise(F.col("c_nation")))
     out = next_within(left, right, left_by="nation", right_by="o_nation",
                       left_time="l_shipdate", right_time="o_orderdate", window=TIES_WINDOW,
-                      tie="o_orderkey")
+                      tie="o_orderkey", bucket="auto")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                       F.col("match.o_orderkey").alias("next_orderkey"),
                       F.col("match.time").alias("next_orderdate"))

@@ -163,3 +163,28 @@ def test_missing_column_is_reported(spark):
     m = spark.createDataFrame([(10, "a", T0, None)], M_SCHEMA)
     with pytest.raises(ValueError, match="right side lacks"):
         next_within(r, m, left_by="k", right_by="nope", left_time="t", right_time="mt", window=DAY)
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+@pytest.mark.parametrize("target", [2, 50, 1_000_000])
+def test_auto_buckets_match_brute_force(spark, direction, target):
+    """Per-key cell widths (bucket="auto"): tiny targets force very fine
+    cells for the hot key; the answer must not change."""
+    rnd = random.Random(23)
+    hot_t = T0 + dt.timedelta(hours=30)
+    reqs = [(i, "hot", hot_t) for i in range(50)]
+    reqs += [(100 + i, "hot", T0 + dt.timedelta(seconds=rnd.randrange(0, 2 * 86400)))
+             for i in range(200)]
+    reqs += [(500 + i, rnd.choice(["cold", None]), T0 + dt.timedelta(minutes=rnd.randrange(0, 2880)))
+             for i in range(40)]
+    mounts = [(5000 + i, rnd.choice(["hot", "cold", "none"]),
+               T0 + dt.timedelta(seconds=rnd.randrange(0, 2 * 86400, 60)), None) for i in range(150)]
+    mounts += [(9000, "hot", hot_t, None), (9001, "hot", hot_t + dt.timedelta(seconds=1), None)]
+    window = dt.timedelta(hours=6)
+    r = spark.createDataFrame(reqs, R_SCHEMA)
+    m = spark.createDataFrame(mounts, M_SCHEMA)
+    fn = next_within if direction == "forward" else prev_within
+    out = fn(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=window,
+             tie="mid", bucket="auto", target_cell_rows=target)
+    got = {row.rid: (row.match.mid if row.match else None) for row in out.select("rid", "match").collect()}
+    assert got == brute(reqs, mounts, window, direction)
