@@ -235,7 +235,8 @@ def top1_before(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
 def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: str,
                  right_time: str, lookups: Sequence[dict], tie: str | None = None,
                  carry: Sequence[str] | str | None = None, bucket=None,
-                 check_unique: bool = False) -> DataFrame:
+                 check_unique: bool = False,
+                 target_cell_rows: int = AUTO_TARGET_CELL_ROWS) -> DataFrame:
     """Several as-of lookups of one table against one right table, with the
     full left rows shuffled once.
 
@@ -267,6 +268,7 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
             right_time=right_time, window=lk["window"], direction=lk.get("direction", "forward"),
             tie=tie, carry=carry, bucket=bucket, match=lk["match"],
             eligible=F.col("_lk_ok") if elig is not None else None,
+            target_cell_rows=target_cell_rows,
         )
         res = lk["finish"](res) if lk.get("finish") else res.select(id_col, lk["match"])
         out = out.join(res, id_col, "left")
