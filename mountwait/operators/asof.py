@@ -5,7 +5,8 @@ smallest time strictly after the left time and strictly before
 ``left time + window``.  ``prev_within``: the right row with the largest time
 strictly before the left time and strictly after ``left time - window``.
 Ties on the right time are settled by the ``tie`` column: the smallest value
-wins in both directions.  Left rows without a match (or with a null key or
+wins in both directions (then the smallest carried values, so the choice is
+always the same).  Left rows without a match (or with a null key or
 time, or not ``eligible``) get a null match; no left row is dropped or
 duplicated.
 
@@ -175,7 +176,10 @@ def asof_within(
     s_ord = F.col(_S).desc() if fwd else F.col(_S).asc()
     # equal times: pairs before right rows (strict ends); among right rows the
     # smallest tie is met last, so it wins; a null tie is least preferred.
-    order = [s_ord, F.col(_R).desc(), F.col(_TIE).desc_nulls_first()]
+    # The carried struct breaks any remaining tie, so the choice is total:
+    # a recomputed task picks the same row, and it agrees with the edges.
+    order = [s_ord, F.col(_R).desc(), F.col(_TIE).desc_nulls_first(),
+             F.col(_M).desc_nulls_first()]
     run = (Window.partitionBy(_K, _B).orderBy(*order)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reqs = cells.select(

@@ -188,3 +188,15 @@ def test_auto_buckets_match_brute_force(spark, direction, target):
              tie="mid", bucket="auto", target_cell_rows=target)
     got = {row.rid: (row.match.mid if row.match else None) for row in out.select("rid", "match").collect()}
     assert got == brute(reqs, mounts, window, direction)
+
+
+def test_equal_times_without_tie_are_deterministic(spark):
+    """No tie column: equal mount times resolve to the smallest carried
+    values, both inside a cell and across cells."""
+    r = spark.createDataFrame([(1, "a", T0), (2, "a", T0 - dt.timedelta(hours=5))], R_SCHEMA)
+    m = spark.createDataFrame([(12, "a", T0 + dt.timedelta(minutes=5), None),
+                               (11, "a", T0 + dt.timedelta(minutes=5), None)], M_SCHEMA)
+    out = next_within(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt",
+                      window=DAY, carry=["mid"], bucket=dt.timedelta(hours=1))
+    got = {row.rid: row.match.mid for row in out.collect()}
+    assert got == {1: 11, 2: 11}
