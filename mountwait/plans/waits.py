@@ -22,6 +22,7 @@ from mountwait.operators.asof import asof_lookups, next_within, prev_within
 from mountwait.operators.enrich import set_where
 from mountwait.session import cut_lineage
 
+# Lookup windows of the production runs.
 DEFAULT_WINDOW = _dt.timedelta(days=100)
 HOST_VOLUME_WINDOW = _dt.timedelta(seconds=8_640_000)
 
