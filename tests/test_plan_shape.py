@@ -30,3 +30,10 @@ def test_no_python_in_any_registered_query(spark):
         plan = _plan(fn(spark, SF001))
         assert "EvalPython" not in plan and "PythonUDF" not in plan, name
         assert "CartesianProduct" not in plan, name
+
+
+def test_auto_bucket_plan_keeps_the_same_shape(spark):
+    plan = _plan(suite.asof_next_hot_key(spark, SF001))
+    assert plan.count("Window [") == 2
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+        assert bad not in plan, bad
