@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from mountwait.operators.aggregates import family_min_id, library_counts
 from mountwait.plans import ingest, prepare, waits
 from mountwait.session import build_session, cut_lineage
-from mountwait.sources.jdbc import read_jdbc
+from mountwait.sources.jdbc import read_jdbc, read_jdbc_grouped
 from mountwait.sources.shards import with_shards
 from mountwait.sources.sinks import append_table, family_labels, write_snapshot
 from mountwait.sources.tables import read_table
@@ -95,7 +95,13 @@ def save(df: DataFrame, target) -> None:
 
 
 def library_counts_job(spark, file_src) -> DataFrame:
-    """Files per library (the caller shows or writes the small result)."""
+    """Files per library (the caller shows or writes the small result).  On
+    a JDBC source the grouping runs in the database (one row per library
+    crosses the connection instead of every file)."""
+    if isinstance(file_src, dict):
+        return read_jdbc_grouped(spark, file_src["url"], file_src["table"], "original_library",
+                                 {"n_files": "count"}, properties=file_src.get("properties")
+                                 ).select("original_library", F.col("n_files").cast("long"))
     return library_counts(load(spark, file_src, "file"))
 
 
@@ -125,6 +131,10 @@ def family_tables_job(spark, volume_src, target: str, keep_existing: bool = True
         if have is not None:
             labels = labels.join(have, "file_family", "left_anti")
     write_snapshot(labels, target, partition_by=["file_family"])
+    if isinstance(volume_src, dict):  # derived table: the database groups
+        return read_jdbc_grouped(spark, volume_src["url"], volume_src["table"], "file_family",
+                                 {"min_id": "min:id"}, properties=volume_src.get("properties")
+                                 ).select("file_family", F.col("min_id").cast("long"))
     return family_min_id(vol)
 
 

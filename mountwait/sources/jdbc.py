@@ -20,13 +20,38 @@ def _opts(url: str, properties: dict | None, fetch_size: int) -> dict:
     return o
 
 
+def quote(spark: SparkSession, url: str, name: str) -> str:
+    """An identifier quoted the way Spark's JDBC dialect for ``url`` does."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(name)
+
+
+def read_jdbc_grouped(spark: SparkSession, url: str, table: str, by: str,
+                      aggregates: dict[str, str], *, properties: dict | None = None) -> DataFrame:
+    """``select by, agg... from table group by by`` computed by the database
+    (a derived table): only one row per group crosses the connection.
+    ``aggregates`` maps output names to ``"count"`` or ``"<fn>:<column>"``
+    (``fn`` one of min, max, sum)."""
+    q_by = quote(spark, url, by)
+    parts = []
+    for out, spec in aggregates.items():
+        if spec == "count":
+            parts.append(f"count(*) as {quote(spark, url, out)}")
+        else:
+            fn, col = spec.split(":", 1)
+            if fn not in ("min", "max", "sum"):
+                raise ValueError(f"unsupported aggregate {fn!r}")
+            parts.append(f"{fn}({quote(spark, url, col)}) as {quote(spark, url, out)}")
+    q = f"select {q_by}, {', '.join(parts)} from {table} group by {q_by}"
+    return read_jdbc_query(spark, url, q, properties=properties)
+
+
 def jdbc_bounds(spark: SparkSession, url: str, table: str, column: str,
                 properties: dict | None = None) -> tuple[int, int]:
     """``(min, max)`` of ``column``, computed by the database (one row).
 
     The column is quoted the way Spark's JDBC dialect for ``url`` quotes it
     (tables written by Spark keep their lower-case names quoted)."""
-    quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    quoted = quote(spark, url, column)
     q = f"select min({quoted}) as lo, max({quoted}) as hi from {table}"
     row = (spark.read.format("jdbc").options(**_opts(url, properties, DEFAULT_FETCH_SIZE))
            .option("query", q).load().first())
