@@ -110,3 +110,42 @@ def test_cli_lists_jobs_and_parses_values(capsys):
     assert jobs._value("false") is False and jobs._value("900") == 900
     assert jobs._value('{"url": "u", "table": "t"}') == {"url": "u", "table": "t"}
     assert jobs._value("/data/x") == "/data/x"
+
+
+def test_store_table_jobs(spark, tmp_dir):
+    from mountwait.plans import waits as W
+    p = _stage(spark, tmp_dir)
+    out = lambda n: os.path.join(tmp_dir, "out", n)
+    stores = spark.read.parquet(p["stores"])
+    mounts = spark.read.parquet(p["tape_mounts"])
+    fm = jobs.prepare.filtered_tape_mounts(mounts, spark.read.parquet(p["volume"]))
+
+    jobs.storage_job(spark, p["stores"], p["tape_mounts"], p["volume"], out("storage"),
+                     store_window=900, volume_window=900, wait_window=86400)
+    want = W.storage_waits_all(stores, fm, mounts, 900, 900, 86400)
+    cols = ["storageinfo_id", "volume", "updated", "volume_done", "wait_done",
+            "next_mount_time", "next_mount_id", "mount_wait"]
+    got = spark.read.parquet(out("storage")).select(*cols)
+    assert got.count() == stores.count()
+    assert got.exceptAll(want.select(*cols)).count() == 0
+
+    jobs.store_waits_job(spark, p["stores"], p["tape_mounts"], p["volume"], out("store"),
+                         window=900)
+    sw = spark.read.parquet(out("store"))
+    assert sw.count() == stores.count() and "mount_wait" in sw.columns
+
+    jobs.read_host_volume_job(spark, p["reads"], p["tape_mounts"], p["volume"], out("hv"),
+                              window=900)
+    assert spark.read.parquet(out("hv")).count() == spark.read.parquet(p["reads"]).count()
+
+    # incremental restore run equals a full run
+    for t in ("rs_full", "rs_inc"):
+        jobs.restore_job(spark, p["stores"], p["tape_mounts"], p["volume"], out(t),
+                         volume_window=900, wait_window=86400)
+    cols = ["storageinfo_id", "volume", "wait_done", "next_mount_time", "ds"]
+    full = spark.read.parquet(out("rs_full")).select(*cols)
+    days = sorted(r.ds for r in full.select("ds").distinct().collect())
+    jobs.restore_job(spark, p["stores"], p["tape_mounts"], p["volume"], out("rs_inc"),
+                     volume_window=900, wait_window=86400, since=str(days[len(days) // 2]))
+    again = spark.read.parquet(out("rs_inc")).select(*cols)
+    assert again.count() == full.count() and again.exceptAll(full).count() == 0
