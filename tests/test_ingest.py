@@ -35,3 +35,20 @@ def test_copy_resumes_without_duplicates(spark, tmp_dir):
     assert out.count() == 16 and out.select("id").distinct().count() == 16
     assert completed_slices(spark, target).count() == 3
     assert out.filter(F.col("ds") == "2022-09-11").count() == 8
+
+
+def test_copy_by_dates_job_reads_the_date_list(spark, tmp_dir):
+    from mountwait.plans import jobs
+    src = os.path.join(tmp_dir, "billing")
+    rows = [(i, f"P{i}", dt.datetime(2022, 9, 8, 12) + dt.timedelta(hours=12 * i)) for i in range(10)]
+    spark.createDataFrame(rows, "billinginfo_id bigint, pnfsid string, datestamp timestamp_ntz") \
+        .write.parquet(src)
+    dates = os.path.join(tmp_dir, "dates.txt")
+    with open(dates, "w") as fh:
+        fh.write("2022-09-10\n2022-09-12\n\n")
+    target = os.path.join(tmp_dir, "copy")
+    copied = jobs.copy_by_dates_job(spark, src, target, dates)   # first slice starts 2022-09-09
+    assert sorted(str(r.slice_start) for r in copied.collect()) == ["2022-09-09", "2022-09-10"]
+    out = spark.read.parquet(target)
+    assert out.count() == 6      # 09-09 00:00 .. 09-11 12:00; 09-08 and from 09-12 are outside
+    assert jobs.copy_by_dates_job(spark, src, target, dates).count() == 0   # resume: nothing left
