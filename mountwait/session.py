@@ -74,7 +74,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df, eager: bool = True):
     """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
 
-    Survives executor loss, unlike a local checkpoint.
+    Survives executor loss, unlike a local checkpoint.  Under Spark Connect
+    there is no client-side context; the server's checkpoint folder is used.
     """
-    checkpoint_dir(df.sparkSession)
+    try:
+        has_context = df.sparkSession.sparkContext is not None
+    except Exception:  # Spark Connect: no SparkContext on the client
+        has_context = False
+    if has_context:
+        checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
