@@ -51,6 +51,9 @@ DEFAULT_BUCKET = _dt.timedelta(hours=1)
 AUTO_TARGET_CELL_ROWS = 1_000_000
 AUTO_MAX_HALVINGS = 30
 _DAY_US = 86_400 * 1_000_000
+# strategy="auto": the single-shuffle form is used when no window-wide cell
+# (requests plus the mounts copied into it) holds more rows than this.
+COPIES_MAX_CELL_ROWS = 2_000_000
 
 _K, _T, _S, _B, _R, _M = "_aj_k", "_aj_t", "_aj_s", "_aj_b", "_aj_r", "_aj_m"
 _IN, _NEXT, _TIE = "_aj_in", "_aj_next", "_aj_tie"
@@ -62,6 +65,55 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _copy_cells(fwd: bool, win_us: int):
+    """Window-wide cell of a right row and of its copy (next match of a
+    request in cell b lies in cell b or b+1 going forward, b-1 or b back)."""
+    own = F.floor(F.col(_S) / F.lit(win_us)).cast("long")
+    return F.explode(F.array(own, own - 1 if fwd else own + 1))
+
+
+def _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd) -> bool:
+    """Rows of the busiest window-wide cell (requests plus copied right rows)
+    are at most ``COPIES_MAX_CELL_ROWS``?  A narrow aggregate; one number
+    reaches the driver."""
+    lk = left_in.select(F.col(left_by).alias(_K), F.floor(
+        epoch_micros(left_time) / F.lit(win_us)).cast("long").alias(_B))
+    mk = mnt_rows.select(_K, _copy_cells(fwd, win_us).alias(_B))
+    top = (lk.unionByName(mk).groupBy(_K, _B).agg(F.count(F.lit(1)).alias("_n"))
+           .agg(F.max("_n")).first()[0])
+    return top is None or top <= COPIES_MAX_CELL_ROWS
+
+
+def _asof_copies(left, left_in, left_out, mnt_rows, null_m, left_by, left_time, win_us, fwd,
+                 match):
+    """Single-shuffle form: full left rows and copied right rows meet in
+    window-wide cells; one window finds the nearest right row."""
+    L = "_aj_l"
+    l_struct = F.struct(*[F.col(c) for c in left.columns])
+    l_type = left_in.select(l_struct.alias(L)).schema[L].dataType
+    req = left_in.select(
+        F.col(left_by).alias(_K), epoch_micros(left_time).alias(_S),
+        F.floor(epoch_micros(left_time) / F.lit(win_us)).cast("long").alias(_B),
+        F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M),
+        l_struct.alias(L))
+    mnt = mnt_rows.select(_K, _S, _copy_cells(fwd, win_us).alias(_B), _R, _TIE, _M,
+                          F.lit(None).cast(l_type).alias(L))
+    s_ord = F.col(_S).desc() if fwd else F.col(_S).asc()
+    order = [s_ord, F.col(_R).desc(), F.col(_TIE).desc_nulls_first(),
+             F.col(_M).desc_nulls_first()]
+    run = (Window.partitionBy(_K, _B).orderBy(*order)
+           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hits = req.unionByName(mnt).select(
+        L, _S, _R, F.last(_M, ignorenulls=True).over(run).alias(_IN)
+    ).filter(F.col(_R) == 1)
+    m_us = epoch_micros(F.col(_IN).getField("time"))
+    gap = (m_us - F.col(_S)) if fwd else (F.col(_S) - m_us)
+    joined = hits.select(*[F.col(L).getField(c).alias(c) for c in left.columns],
+                         F.when(gap < F.lit(win_us), F.col(_IN)).alias(match))
+    rest = left_out.select("*", null_m.alias(match))
+    return joined.unionByName(rest)
+
+
 def _require(df: DataFrame, side: str, cols: list[str]) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
@@ -84,6 +136,7 @@ def asof_within(
     bucket=None,
     match: str = "match",
     target_cell_rows: int = AUTO_TARGET_CELL_ROWS,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Attach the nearest right row within ``window`` as struct column ``match``.
 
@@ -100,7 +153,18 @@ def asof_within(
     how the work is cut; it removes the last skew case (a burst of distinct
     request times of one key) at the cost of one more aggregate and a join
     with one row per key.  Right rows of keys without requests drop out.
+
+    ``strategy``: ``"cells"`` is the plan described in the module docstring;
+    ``"copies"`` is a single-shuffle form (window-wide cells, each right row
+    copied into its own and the neighbouring cell, full left rows carried
+    through one window), cheaper but with one task per (key, window) cell;
+    ``"auto"`` (default, only when no ``bucket`` is given) measures the
+    busiest such cell with a narrow aggregate (one number to the driver) and
+    takes ``"copies"`` when it holds at most ``COPIES_MAX_CELL_ROWS`` rows,
+    else ``"cells"`` - a size check with a fallback, as for broadcasts.
     """
+    if strategy not in ("auto", "cells", "copies"):
+        raise ValueError("strategy must be 'auto', 'cells' or 'copies'")
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
     fwd = direction == "forward"
@@ -147,6 +211,13 @@ def asof_within(
     m_type = mnt_rows.schema[_M].dataType
     null_m = F.lit(None).cast(m_type)
 
+    copies = strategy == "copies"
+    if strategy == "auto" and bucket is None:
+        copies = _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd)
+    if copies:
+        return _asof_copies(left, left_in, left_out, mnt_rows, null_m, left_by, left_time,
+                            win_us, fwd, match)
+
     # --- 1. distinct request pairs ------------------------------------------
     pairs = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct()
     req_rows = pairs.select(

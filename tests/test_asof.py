@@ -19,12 +19,12 @@ M_SCHEMA = T.StructType([T.StructField("mid", T.LongType()), T.StructField("mk",
                          T.StructField("finish", T.TimestampNTZType())])
 
 
-def run(spark, reqs, mounts, window=DAY, direction="forward", bucket=None):
+def run(spark, reqs, mounts, window=DAY, direction="forward", bucket=None, strategy="auto"):
     r = spark.createDataFrame(reqs, R_SCHEMA)
     m = spark.createDataFrame(mounts, M_SCHEMA)
     fn = next_within if direction == "forward" else prev_within
     out = fn(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=window,
-             tie="mid", carry=["finish"], bucket=bucket)
+             tie="mid", carry=["finish"], bucket=bucket, strategy=strategy)
     return {row.rid: (row.match.mid if row.match else None)
             for row in out.select("rid", "match").collect()}
 
@@ -94,9 +94,10 @@ def brute(reqs, mounts, window, direction):
     return out
 
 
+@pytest.mark.parametrize("strategy", ["cells", "copies"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-def test_matches_brute_force(spark, seed, direction):
+def test_matches_brute_force(spark, seed, direction, strategy):
     rnd = random.Random(seed)
     keys = ["a", "b", "c", None]
 
@@ -107,11 +108,15 @@ def test_matches_brute_force(spark, seed, direction):
     mounts = [(1000 + i, rnd.choice(keys), ts(), None) for i in range(80)]
     window = dt.timedelta(hours=rnd.choice([3, 12, 30]))
     bucket = rnd.choice([None, dt.timedelta(minutes=45), dt.timedelta(hours=7)])
-    assert run(spark, reqs, mounts, window, direction, bucket) == brute(reqs, mounts, window, direction)
+    if strategy == "copies":
+        bucket = None
+    assert run(spark, reqs, mounts, window, direction, bucket, strategy) == \
+        brute(reqs, mounts, window, direction)
 
 
+@pytest.mark.parametrize("strategy", ["cells", "copies"])
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-def test_hot_key_and_hot_instant(spark, direction):
+def test_hot_key_and_hot_instant(spark, direction, strategy):
     """One key holds most rows, many of them at one instant; results equal
     the brute force and every request row comes back once."""
     rnd = random.Random(11)
@@ -125,7 +130,8 @@ def test_hot_key_and_hot_instant(spark, direction):
                T0 + dt.timedelta(minutes=rnd.randrange(0, 5 * 24 * 60, 15)), None) for i in range(120)]
     mounts += [(9000, "hot", hot_t, None), (9001, "hot", hot_t, None)]   # equal to the hot instant
     window = dt.timedelta(hours=10)
-    got = run(spark, reqs, mounts, window, direction, bucket=dt.timedelta(minutes=20))
+    got = run(spark, reqs, mounts, window, direction,
+              bucket=dt.timedelta(minutes=20) if strategy == "cells" else None, strategy=strategy)
     assert len(got) == len(reqs)
     assert got == brute(reqs, mounts, window, direction)
 

@@ -14,8 +14,25 @@ def test_asof_plan_has_no_pairs_and_no_single_partition(spark):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition",
                 "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, bad
-    # one window over (key, cell) and one over cell-level rows
-    assert plan.count("Window [") == 2
+
+
+def test_each_strategy_has_its_shape(spark):
+    import pytest
+    from mountwait.operators.asof import next_within
+    req, mnt = suite._event_sides(spark, SF001)
+    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
+              window=86400, tie="m_event_id")
+    cells = _plan(next_within(req, mnt, strategy="cells", **kw))
+    copies = _plan(next_within(req, mnt, strategy="copies", **kw))
+    # cells: one window over (key, cell), one over cell-level rows
+    assert cells.count("Window [") == 2
+    # copies: one window over window-wide cells, no join back
+    assert copies.count("Window [") == 1 and "Join" not in copies
+    for plan in (cells, copies):
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+            assert bad not in plan, bad
+    with pytest.raises(ValueError):
+        next_within(req, mnt, strategy="nope", **kw)
 
 
 def test_scans_are_pushed_and_pruned(spark):
