@@ -10,7 +10,11 @@ always the same).  Left rows without a match (or with a null key or
 time, or not ``eligible``) get a null match; no left row is dropped or
 duplicated.
 
-Plan (all DataFrame operations, no UDF, no pairs):
+Two plans, both DataFrame operations only (no UDF, no pairs).  ``copies``:
+window-wide cells, each right row copied into its own and the neighbouring
+cell, full left rows carried through one window - a single shuffle, used
+(``strategy="auto"``) when a narrow aggregate shows that no such cell holds
+more than ``COPIES_MAX_CELL_ROWS`` rows.  Otherwise ``cells``:
 
 1. The left side is reduced to its distinct ``(key, time)`` pairs.  Map-side
    partial aggregation collapses repeated pairs before the shuffle, so a key
