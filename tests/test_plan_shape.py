@@ -54,3 +54,13 @@ def test_auto_bucket_plan_keeps_the_same_shape(spark):
     assert plan.count("Window [") == 2
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
         assert bad not in plan, bad
+
+
+def test_auto_switches_on_the_size_check(spark, monkeypatch):
+    from mountwait.operators import asof
+    req, mnt = suite._event_sides(spark, SF001)
+    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
+              window=86400, tie="m_event_id")
+    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1     # fits: copies
+    monkeypatch.setattr(asof, "COPIES_MAX_CELL_ROWS", 1)
+    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 2     # over: cells
