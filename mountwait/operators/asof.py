@@ -76,16 +76,25 @@ def _copy_cells(fwd: bool, win_us: int):
     return F.explode(F.array(own, own - 1 if fwd else own + 1))
 
 
+def _copies_bound(spark) -> int:
+    """``COPIES_MAX_CELL_ROWS``, or the session's ``mountwait.asof.copiesMaxCellRows``."""
+    try:
+        value = spark.conf.get("mountwait.asof.copiesMaxCellRows", None)
+    except Exception:
+        value = None
+    return int(value) if value else COPIES_MAX_CELL_ROWS
+
+
 def _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd) -> bool:
     """Rows of the busiest window-wide cell (requests plus copied right rows)
-    are at most ``COPIES_MAX_CELL_ROWS``?  A narrow aggregate; one number
-    reaches the driver."""
+    are within the bound (``_copies_bound``)?  A narrow aggregate; one
+    number reaches the driver."""
     lk = left_in.select(F.col(left_by).alias(_K), F.floor(
         epoch_micros(left_time) / F.lit(win_us)).cast("long").alias(_B))
     mk = mnt_rows.select(_K, _copy_cells(fwd, win_us).alias(_B))
     top = (lk.unionByName(mk).groupBy(_K, _B).agg(F.count(F.lit(1)).alias("_n"))
            .agg(F.max("_n")).first()[0])
-    return top is None or top <= COPIES_MAX_CELL_ROWS
+    return top is None or top <= _copies_bound(left_in.sparkSession)
 
 
 def _asof_copies(left, left_in, left_out, mnt_rows, null_m, left_by, left_time, win_us, fwd,
@@ -164,8 +173,9 @@ def asof_within(
     through one window), cheaper but with one task per (key, window) cell;
     ``"auto"`` (default, only when no ``bucket`` is given) measures the
     busiest such cell with a narrow aggregate (one number to the driver) and
-    takes ``"copies"`` when it holds at most ``COPIES_MAX_CELL_ROWS`` rows,
-    else ``"cells"`` - a size check with a fallback, as for broadcasts.
+    takes ``"copies"`` when it holds at most ``COPIES_MAX_CELL_ROWS`` rows
+    (session setting ``mountwait.asof.copiesMaxCellRows`` overrides), else
+    ``"cells"`` - a size check with a fallback, as for broadcasts.
     """
     if strategy not in ("auto", "cells", "copies"):
         raise ValueError("strategy must be 'auto', 'cells' or 'copies'")

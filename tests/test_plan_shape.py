@@ -64,3 +64,16 @@ def test_auto_switches_on_the_size_check(spark, monkeypatch):
     assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1     # fits: copies
     monkeypatch.setattr(asof, "COPIES_MAX_CELL_ROWS", 1)
     assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 2     # over: cells
+
+
+def test_copies_bound_from_session_conf(spark):
+    from mountwait.operators import asof
+    req, mnt = suite._event_sides(spark, SF001)
+    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
+              window=86400, tie="m_event_id")
+    spark.conf.set("mountwait.asof.copiesMaxCellRows", "1")
+    try:
+        assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 2
+    finally:
+        spark.conf.unset("mountwait.asof.copiesMaxCellRows")
+    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1
