@@ -10,12 +10,20 @@ appear on both sides: ``mountwait.sources.testdata`` and the CTEs below.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mountwait.plans import suite
-from mountwait.session import apply_core_conf
+# The package sits next to this file; make it importable however this file
+# is loaded (by path, from another working directory).
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from mountwait.plans import suite  # noqa: E402
+from mountwait.session import apply_core_conf  # noqa: E402
 
 ENTRY_SF_DIR = "/root/testdata/sf0.001"
 
