@@ -105,7 +105,12 @@ def completed_slices(spark: SparkSession, target: str) -> DataFrame:
 def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target: str,
                    boundaries: Sequence) -> DataFrame:
     """Copy ``source`` into ``target`` (Parquet, partitioned by slice start),
-    skipping slices already completed.  Returns the slices copied now."""
+    skipping slices already completed.  Returns the slices copied now.
+
+    Boundaries are expected to grow at the end between runs (new dates
+    appended), as with a date list.  Splitting a copied slice is safe (each
+    new slice replaces its own partition); merging copied slices is not (the
+    merged slice rewrites only its first partition)."""
     wanted = slice_table(spark, boundaries)
     done = completed_slices(spark, target)
     pending = wanted.join(done, ["slice_start", "slice_end"], "left_anti")
