@@ -77,3 +77,16 @@ def test_copies_bound_from_session_conf(spark):
     finally:
         spark.conf.unset("mountwait.asof.copiesMaxCellRows")
     assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1
+
+
+def test_combined_lookups_shuffle_the_rows_once(spark):
+    """read_waits_all: one exchange of the reads by id plus one per lookup
+    result (size-based broadcasts off, as for large inputs)."""
+    import re
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(suite.read_waits_all(spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(re.findall(r"Exchange hashpartitioning\(sfbr_id", plan)) == 4
