@@ -29,8 +29,10 @@ def copy_new_files(spark: SparkSession, source_dir: str, schema: T.StructType, t
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    # One file per day per micro-batch (adaptive rebalancing does not run in
+    # micro-batches); a batch is bounded by ``max_files_per_trigger``.
     stream = reader.parquet(source_dir).withColumn(
-        "ds", F.date_format(F.to_date(ts_col), "yyyy-MM-dd"))
+        "ds", F.date_format(F.to_date(ts_col), "yyyy-MM-dd")).repartition("ds")
     query = (stream.writeStream.format("parquet").option("path", target)
              .option("checkpointLocation", ckpt).partitionBy("ds")
              .trigger(availableNow=True).start())
