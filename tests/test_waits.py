@@ -102,3 +102,15 @@ def test_dimension_broadcast_only_under_bound(spark):
     big = join_dimension(fact, dim, "k", max_rows=5)._jdf.queryExecution().analyzed().toString()
     assert "strategy=broadcast" in small        # counted 10 <= bound: hinted
     assert "strategy=broadcast" not in big      # over the bound: no hint
+
+
+def test_read_waits_all_same_under_both_plans(spark):
+    from conftest import SF01
+    from mountwait.sources import testdata as td
+    reads, mounts = td.reads(spark, SF01), td.tape_mounts(spark, SF01)
+    cols = ["sfbr_id", "next_mount_id", "mount_wait", "migration_next_mount_id",
+            "migration_mount_wait", "previous_mount_100d_id", "previous_mount_100d_wait"]
+    a = waits.read_waits_all(reads, mounts, 86400, 86400).select(*cols)           # size check
+    b = waits.read_waits_all(reads, mounts, 86400, 86400, bucket="auto").select(*cols)  # cells
+    assert a.count() == b.count() == reads.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
