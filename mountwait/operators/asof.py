@@ -76,13 +76,18 @@ def _copy_cells(fwd: bool, win_us: int):
     return F.explode(F.array(own, own - 1 if fwd else own + 1))
 
 
-def _copies_bound(spark) -> int:
-    """``COPIES_MAX_CELL_ROWS``, or the session's ``mountwait.asof.copiesMaxCellRows``."""
+def _conf_int(spark, key: str, default: int) -> int:
+    """An integer session setting, or ``default`` when unset."""
     try:
-        value = spark.conf.get("mountwait.asof.copiesMaxCellRows", None)
+        value = spark.conf.get(key, None)
     except Exception:
         value = None
-    return int(value) if value else COPIES_MAX_CELL_ROWS
+    return int(value) if value else default
+
+
+def _copies_bound(spark) -> int:
+    """``COPIES_MAX_CELL_ROWS``, or the session's ``mountwait.asof.copiesMaxCellRows``."""
+    return _conf_int(spark, "mountwait.asof.copiesMaxCellRows", COPIES_MAX_CELL_ROWS)
 
 
 def _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd) -> bool:
@@ -148,7 +153,7 @@ def asof_within(
     eligible: Column | None = None,
     bucket=None,
     match: str = "match",
-    target_cell_rows: int = AUTO_TARGET_CELL_ROWS,
+    target_cell_rows: int | None = None,
     strategy: str = "auto",
 ) -> DataFrame:
     """Attach the nearest right row within ``window`` as struct column ``match``.
@@ -161,7 +166,9 @@ def asof_within(
     ``bucket="auto"`` sizes the cells per key: a narrow aggregate counts each
     key's request pairs per coarse cell (the window, at most a day) and the
     key's cells become that width halved until its busiest coarse cell is
-    split into parts of about ``target_cell_rows`` pairs.  Any cell ids that
+    split into parts of about ``target_cell_rows`` pairs (default: session
+    setting ``mountwait.asof.targetCellRows``, else
+    ``AUTO_TARGET_CELL_ROWS``).  Any cell ids that
     grow with time within a key give the same answer, so this only changes
     how the work is cut; it removes the last skew case (a burst of distinct
     request times of one key) at the cost of one more aggregate and a join
@@ -239,11 +246,13 @@ def asof_within(
         F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M))
 
     if auto:
+        target = target_cell_rows or _conf_int(left.sparkSession, "mountwait.asof.targetCellRows",
+                                               AUTO_TARGET_CELL_ROWS)
         coarse = F.floor(F.col(_S) / F.lit(bucket_us))
         dens = (req_rows.groupBy(_K, coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
                 .groupBy(_K).agg(F.max("_n").alias("_n")))
         halvings = F.least(F.lit(AUTO_MAX_HALVINGS), F.greatest(F.lit(0), F.ceil(
-            F.log2(F.col("_n") / F.lit(float(target_cell_rows))))).cast("int"))
+            F.log2(F.col("_n") / F.lit(float(target))))).cast("int"))
         widths = dens.select(_K, F.greatest(F.lit(1), F.floor(
             F.lit(bucket_us) / F.pow(F.lit(2.0), halvings))).cast("long").alias("_w"))
         req_rows = req_rows.join(widths, _K)
@@ -325,7 +334,7 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
                  right_time: str, lookups: Sequence[dict], tie: str | None = None,
                  carry: Sequence[str] | str | None = None, bucket=None,
                  check_unique: bool = False,
-                 target_cell_rows: int = AUTO_TARGET_CELL_ROWS) -> DataFrame:
+                 target_cell_rows: int | None = None) -> DataFrame:
     """Several as-of lookups of one table against one right table, with the
     full left rows shuffled once.
 

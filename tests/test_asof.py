@@ -206,3 +206,17 @@ def test_equal_times_without_tie_are_deterministic(spark):
                       window=DAY, carry=["mid"], bucket=dt.timedelta(hours=1))
     got = {row.rid: row.match.mid for row in out.collect()}
     assert got == {1: 11, 2: 11}
+
+
+def test_auto_target_from_session_conf(spark):
+    rnd = random.Random(31)
+    reqs = [(i, "hot", T0 + dt.timedelta(seconds=rnd.randrange(0, 86400))) for i in range(120)]
+    mounts = [(5000 + i, "hot", T0 + dt.timedelta(seconds=rnd.randrange(0, 86400, 30)), None)
+              for i in range(60)]
+    window = dt.timedelta(hours=3)
+    spark.conf.set("mountwait.asof.targetCellRows", "2")
+    try:
+        got = run(spark, reqs, mounts, window, "forward", bucket="auto")
+    finally:
+        spark.conf.unset("mountwait.asof.targetCellRows")
+    assert got == brute(reqs, mounts, window, "forward")
