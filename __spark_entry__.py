@@ -25,6 +25,14 @@ if _HERE not in sys.path:
 from mountwait.plans import suite  # noqa: E402
 from mountwait.session import apply_core_conf  # noqa: E402
 
+# The operators for training-data pipelines are optional: without their
+# subpackage the other queries stay as they are.
+try:
+    from mountwait.llm import queries as llm_queries  # noqa: E402
+    import corpus_pipeline  # noqa: E402
+except ImportError:
+    llm_queries = corpus_pipeline = None
+
 ENTRY_SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -42,7 +50,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         return run
-    return {name: wrap(fn) for name, fn in suite.SUITE.items()}
+    out = {name: wrap(fn) for name, fn in suite.SUITE.items()}
+    if llm_queries is not None:
+        out |= {name: wrap(fn) for name, fn in llm_queries.QUERIES.items()}
+        out["pipeline"] = wrap(corpus_pipeline.run)
+    return out
 
 
 # ----------------------------------------------------------------- oracle SQL
@@ -348,4 +360,9 @@ _ORACLE["enrich_update"] = _ORACLE["restore_host_volume"].replace(
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for each registered query (same column names and values)."""
     names = set(queries())
-    return {k: v for k, v in _ORACLE.items() if k in names}
+    out = {k: v for k, v in _ORACLE.items() if k in names}
+    if llm_queries is not None:
+        out |= llm_queries.ORACLES
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

@@ -7,7 +7,7 @@ from tools.oracle_check import duck, fingerprint
 
 from conftest import SF001
 
-NAMES = sorted(E.queries())
+NAMES = sorted(E.suite.SUITE)
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +16,7 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(NAMES) <= set(E.queries()) and set(NAMES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
