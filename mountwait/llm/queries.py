@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mountwait.llm import decontam, lattice, nbsvm, pii, repetition, sharding, simhash
+from mountwait.llm import decontam, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, transducer
 from mountwait.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the site style tree."""
+    return styletree.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, by the compiled transducer."""
+    return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentation of every whole text, decoded again."""
     return lattice.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -52,7 +62,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_sentencepiece, op4_decontamination, op5_quality_rules, op7_pii, op8_quality_classifier, op9_simhash,
+        op1_html_extraction, op2_token_counts, op3_sentencepiece, op4_decontamination,
+        op5_quality_rules, op7_pii, op8_quality_classifier, op9_simhash,
         op10_sharding)
 }
 
