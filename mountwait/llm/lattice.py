@@ -9,14 +9,15 @@ probabilities; an edge weighs 1 / (rank + RANK_SHIFT), to the power ALPHA.
 Forward filtering sums the weights of all ways to each place; backward
 sampling then draws edges from the end.  No piece holds U+2581 after another
 character, so a lattice falls apart into segments (spaces, then a word), and
-filtering runs once per distinct segment of a slice, in numpy over all of
-them.  Each draw takes its random number from the row key and the place in
+filtering runs once per distinct segment, in numpy over all new segments of
+a slice, and is kept for later slices up to a bound.  Each draw takes its random number from the row key and the place in
 the text: neither batches nor tasks change the segmentation.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ ALPHA = 1.0
 RANK_SHIFT = 2.7
 SEED = 20240
 SLICE = 2 << 20
+MAX_CHARS = 2_500_000
 SPACE = "▁"
 _BASE = 0xA24BAED4963EE407
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
@@ -71,6 +73,7 @@ class Pieces:
                 q = p.replace(SPACE, " ")
                 text[q] = i
                 self.raw[i] = q.encode()
+        self.raw_array = pa.array(self.raw, pa.large_binary())
         if len(self.bytes_at) < 256:
             raise ValueError("the model has no byte pieces")
         if any(" " in q.lstrip(" ") for q in text):
@@ -81,32 +84,41 @@ class Pieces:
         self.longest = max(map(len, text))
         self.byte_weight = float(self.weight[list(text.values())].min())
         # Chance weights differ by length only through a factor that cancels; this one keeps sums near one.
-        self.scale = 1.0 / float(np.median(self.weight[list(text.values())])) ** (1 / 3)
-        keys = np.zeros(len(text), np.uint64)
-        ids = np.zeros(len(text), np.int32)
+        scale = 1.0 / float(np.median(self.weight[list(text.values())])) ** (1 / 3)
+        self.scaled = scale ** np.arange(self.longest + 1)
+        # All prefixes of pieces: a look-up tells the piece and whether a longer one begins so.
+        grows = {q[:k] for q in text for k in range(1, len(q))}
+        every = sorted(grows | set(text))
         inv = powers(pow(_BASE, -1, 1 << 64), 32)
-        for k, (q, i) in enumerate(text.items()):
-            c = _codes(q)
-            keys[k] = _hash(_prefix(c), np.zeros(1, np.int64), len(c), inv)[0]
-            ids[k] = i
+        codes = _codes("".join(every))
+        lengths = np.fromiter(map(len, every), np.int64, len(every))
+        begin = np.cumsum(lengths) - lengths
+        prefix = _prefix(codes)
+        inv = powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
+        keys = np.zeros(len(every), np.uint64)
+        for l in range(1, self.longest + 1):
+            own = np.flatnonzero(lengths == l)
+            keys[own] = _hash(prefix, begin[own], l, inv)
+        self.keys = keys
+        self.ids = np.fromiter((text.get(q, -1) for q in every), np.int32, len(every))
+        self.grows = np.fromiter((q in grows for q in every), bool, len(every))
         self.tables = []
-        left = np.arange(len(ids))
+        left = np.arange(len(keys))
         for level in range(3):
             shift = np.uint64(64 - _TABLE_BITS * (level + 1))
             slot = ((keys[left] >> shift) & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
             _, first = np.unique(slot, return_index=True)
-            t_id = np.full(1 << _TABLE_BITS, -1, np.int32)
-            t_id[slot[first]] = left[first]
-            self.tables.append((shift, t_id))
+            table = np.full(1 << _TABLE_BITS, -1, np.int32)
+            table[slot[first]] = left[first]
+            self.tables.append((shift, table))
             left = np.delete(left, first)
             if not len(left):
                 break
         if len(left):
             raise ValueError("piece hashes collide")
-        self.keys, self.ids = keys, ids
 
     def look(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 for none."""
+        """Entries of ``ids`` and ``grows`` for hashes, -1 for none."""
         out = np.full(len(h), -1, np.int32)
         todo = np.arange(len(h))
         for shift, table in self.tables:
@@ -114,7 +126,7 @@ class Pieces:
             some = at >= 0
             todo, at = todo[some], at[some]
             good = self.keys[at] == h[todo]
-            out[todo[good]] = self.ids[at[good]]
+            out[todo[good]] = at[good]
             todo = todo[~good]
         return out
 
@@ -135,42 +147,43 @@ class Lattice:
         n = len(self.codes)
         prefix = _prefix(self.codes)
         inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        offset = np.arange(n) - np.repeat(self.begin, lengths)  # place in the segment
-        room = np.repeat(lengths, lengths) - offset  # characters from here to the segment's end
-        start, length, piece = [], [], []
-        alone = np.full(n, -1, np.int32)
+        stop = np.repeat(self.end, lengths)
+        # found[e - 1, l - 1]: the piece of length l that ends at place e; -2 stands for bytes, -1 for none.
+        found = np.full((n, pieces.longest), -1, np.int32)
+        s = np.arange(n)
         for l in range(1, pieces.longest + 1):
-            s = np.flatnonzero(room >= l)
+            at = pieces.look(_hash(prefix, s, l, inverse))
+            if l == 1:
+                at[self.codes[s] == ord(SPACE)] = -1
+                found[:, 0] = -2
+            hit = np.flatnonzero(at >= 0)
+            s, at = s[hit], at[hit]
+            p = pieces.ids[at]
+            some = p >= 0
+            found[s[some] + l - 1, l - 1] = p[some]
+            s = s[pieces.grows[at]]
+            s = s[s + l < stop[s]]
             if not len(s):
                 break
-            p = pieces.look(_hash(prefix, s, l, inverse))
-            some = p >= 0
-            if l == 1:
-                some &= self.codes[s] != ord(SPACE)
-                alone[s[some]] = p[some]
-            start.append(s[some])
-            length.append(np.full(int(some.sum()), l, np.int8))
-            piece.append(p[some])
-        raw = np.flatnonzero(alone < 0)
-        start.append(raw)
-        length.append(np.ones(len(raw), np.int8))
-        piece.append(np.full(len(raw), -1, np.int32))
-        start, length, piece = map(np.concatenate, (start, length, piece))
-        order = np.argsort(start + length, kind="stable")
-        start, self.length, self.piece = start[order], length[order], piece[order]
-        end = start + self.length
-        weight = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight) * pieces.scale ** self.length
+        end, column = np.nonzero(found != -1)
+        self.piece = found[end, column]
+        self.piece[self.piece == -2] = -1
+        del found
+        self.length = (column + 1).astype(np.int8)
+        end += 1
+        start = end - self.length
+        weight = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight) * pieces.scaled[self.length]
         self.first = np.searchsorted(end, np.arange(n + 2))
         chance = np.zeros(len(end))
         ways = np.zeros(n + 1)
         # A place that ends a segment also begins the next: keep sums by place inside segments.
-        place = (start - np.repeat(self.begin, lengths)[start]) if n else start
-        from_zero = place == 0
-        edge_t = end - np.repeat(self.begin, lengths)[start] if n else end
-        in_short = (np.repeat(lengths, lengths)[start] <= _LONG) if n else np.zeros(0, bool)
+        origin = np.repeat(self.begin, lengths)[start]
+        from_zero = start == origin
+        edge_t = (end - origin).astype(np.int32)
+        in_short = np.repeat(lengths, lengths)[start] <= _LONG
         # Edges of one end place t of all short segments at a time.
         at = np.flatnonzero(in_short)
-        at = at[np.argsort(edge_t[at], kind="stable")]
+        at = at[np.argsort(edge_t[at].astype(np.int8), kind="stable")]
         cut = np.searchsorted(edge_t[at], np.arange(1, _LONG + 2))
         for t in range(1, _LONG + 1):
             e = at[cut[t - 1]:cut[t]]
@@ -204,19 +217,57 @@ class Lattice:
                 ways = {k: v / total for k, v in ways.items()}
 
 
-def sample(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Numbers(dict):
+    """A number for each key, in order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+class Lattices:
+    """The lattices of segments seen so far, up to MAX_CHARS characters, then anew."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._reset()
+
+    def _reset(self) -> None:
+        self.known = _Numbers()
+        z = np.zeros
+        self.codes, self.first = z(0, np.uint32), z(1, np.int32)
+        self.begin, self.end = z(0, np.int64), z(0, np.int64)
+        self.cum, self.length, self.piece = z(0), z(0, np.int8), z(0, np.int32)
+
+    def numbers(self, found: list[list[str]]) -> np.ndarray:
+        """The number of each segment of the texts, lattices made as needed."""
+        if len(self.codes) > MAX_CHARS:
+            self._reset()
+        known, had = self.known, len(self.known)
+        out = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64)
+        if len(known) > had:
+            self._add(list(islice(known, had, None)))
+        return out
+
+    def _add(self, segments: list[str]) -> None:
+        new = Lattice(self.pieces, segments)
+        n, edges = len(self.codes), len(self.cum)
+        self.first = np.concatenate([self.first[:n + 1], (new.first[1:] + edges).astype(np.int32)])
+        self.begin = np.concatenate([self.begin, new.begin + n])
+        self.end = np.concatenate([self.end, new.end + n])
+        for name in ("codes", "cum", "length", "piece"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(new, name)]))
+
+
+def sample(lat: Lattices, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): one sampled segmentation of each text."""
-    known: dict[str, int] = {}
-    seg, counts = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            found = _SEGMENT.findall(" " + t)
-            counts[i] = len(found)
-            seg.extend([known.setdefault(s, len(known)) for s in found])
-    if not seg:
+    pieces = lat.pieces
+    found = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+    counts = np.fromiter(map(len, found), np.int64, len(found))
+    seg = lat.numbers(found)
+    del found
+    if not len(seg):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    lat = Lattice(pieces, list(known))
-    seg = np.array(seg, np.int64)
     doc = np.repeat(np.arange(len(texts)), counts)
     length = (lat.end - lat.begin)[seg]
     stop = np.cumsum(length)
@@ -245,8 +296,7 @@ def sample(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.ndar
     width = np.ones(len(edge), np.int64)
     raw = np.flatnonzero(piece < 0)
     if len(raw):
-        start = place_of = (np.searchsorted(lat.first, edge[raw], "right") - 1) - 1
-        code = lat.codes[place_of]
+        code = lat.codes[np.searchsorted(lat.first, edge[raw], "right") - 2]
         width[raw] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
     steps = np.bincount(occ, minlength=len(seg))
     n_round = np.concatenate([np.full(len(x), k) for k, x in enumerate(step_occ)])
@@ -266,18 +316,22 @@ def sample(pieces: Pieces, texts: list[str], seeds: np.ndarray) -> tuple[np.ndar
     return ids, np.r_[0, np.cumsum(per)]
 
 
-def decode_ids(pieces: Pieces, ids) -> bytes:
-    """The text's bytes: pieces joined, without the space put before the text."""
-    raw = pieces.raw
-    return b"".join([raw[i] for i in ids])[1:]
+def decode_lists(pieces: Pieces, lists: pa.ListArray) -> pa.Array:
+    """The texts of id lists: pieces joined, without the space put before a text."""
+    joined = pieces.raw_array.take(lists.flatten())  # its buffer holds the pieces one after the other
+    size = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset)
+    cut = size[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    data = joined.buffers()[2]
+    texts = [data[a + 1:b].to_pybytes().decode() if b > a else "" for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return pa.array(texts, pa.string(), mask=np.asarray(lists.is_null()))
 
 
-_loaded: dict[tuple[str, float], Pieces] = {}
+_loaded: dict[tuple[str, float], Lattices] = {}
 
 
-def load(path: str, alpha: float = ALPHA) -> Pieces:
+def load(path: str, alpha: float = ALPHA) -> Lattices:
     if (path, alpha) not in _loaded:
-        _loaded[path, alpha] = Pieces(path, alpha)
+        _loaded[path, alpha] = Lattices(Pieces(path, alpha))
     return _loaded[path, alpha]
 
 
@@ -299,11 +353,11 @@ def encode_sampled(docs: DataFrame, model_path: str, key_col: str = "doc_id", te
     schema = T.StructType([*src.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
 
     def run(batches):
-        pieces = load(model_path, alpha)
+        lattices = load(model_path, alpha)
         for rows, data, off in slices(batches, text_col, SLICE):
             texts = [t or "" for t in rows.column(rows.schema.get_field_index(text_col)).to_pylist()]
             keys = rows.column(rows.schema.get_field_index(key_col)).cast(pa.int64())
-            ids, at = sample(pieces, texts, seeds_of(keys, seed))
+            ids, at = sample(lattices, texts, seeds_of(keys, seed))
             col = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*rows.columns, col], names=[*rows.schema.names, ids_col])
     return src.mapInArrow(run, schema)
@@ -315,11 +369,10 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     src = encoded.select(*[encoded[c] for c in rest])
 
     def run(batches):
-        pieces = load(model_path)
+        pieces = load(model_path).pieces
         for b in batches:
-            col = b.column(b.schema.get_field_index(ids_col))
-            texts = [None if x is None else decode_ids(pieces, x).decode() for x in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
+            texts = decode_lists(pieces, b.column(b.schema.get_field_index(ids_col)))
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
