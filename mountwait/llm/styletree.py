@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mountwait.session import cut_lineage
+
 THRESHOLD = 0.6
 SHRINK = 200  # pages of a host at which its own tree weighs as much as that of all hosts
 
@@ -307,7 +309,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(h.as_py() or "", sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
-    low = low_branches(pages, url_col, html_col, threshold)
+    # Written down, so that the join's two sides are plain exchanges and a hot host's pages can be split.
+    low = cut_lineage(low_branches(pages, url_col, html_col, threshold))
     left = src.mapInArrow(hosts, "page_id long, url string, html string, host string")
     return (left.join(low, "host", "left").select("page_id", "url", "host", "low", "html")
             .mapInArrow(run, "page_id long, url string, text string")
