@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mountwait.session import cut_lineage
+
 SHARDS = 24
 HEAVY_PARTS = 64
 LEVELS = (0.90, 0.99, 1.0)
@@ -72,16 +74,17 @@ def assign(df: DataFrame, key: str, size: str, shards: int = SHARDS) -> DataFram
     """
     spark = df.sparkSession
     cells = max(MIN_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = (df.groupBy(F.col(key).alias("gk")).agg(F.sum(size).alias("gsize"))
-              .withColumn("cell", F.pmod(F.xxhash64("gk"), F.lit(cells)).cast("int")))
+    # Groups and packing are written down, as several jobs read them.
+    groups = cut_lineage(df.groupBy(F.col(key).alias("gk")).agg(F.sum(size).alias("gsize"))
+                         .withColumn("cell", F.pmod(F.xxhash64("gk"), F.lit(cells)).cast("int")))
     total = groups.agg(F.sum("gsize")).first()[0] or 0
     heavy_at = max(1, total // (shards * HEAVY_PARTS))
     heavy = [(r.gsize, bytes(r.gk)) for r in groups.where(F.col("gsize") >= heavy_at).select("gk", "gsize").collect()]
     light = groups.where(F.col("gsize") < heavy_at)
     cell_bytes = {r.cell: r.b for r in light.groupBy("cell").agg(F.sum("gsize").alias("b")).collect()}
-    packed = (light.repartition(cells, "cell").sortWithinPartitions("cell", F.desc("gsize"), "gk")
-              .select("cell", "gk", "gsize")
-              .mapInArrow(_pack(cell_bytes, shards), "gk binary, gsize long, bundle long"))
+    packed = cut_lineage(light.repartition(cells, "cell").sortWithinPartitions("cell", F.desc("gsize"), "gk")
+                         .select("cell", "gk", "gsize")
+                         .mapInArrow(_pack(cell_bytes, shards), "gk binary, gsize long, bundle long"))
     bundles = [(r.b, r.bundle) for r in packed.groupBy("bundle").agg(F.sum("gsize").alias("b")).collect()]
     # Heavy groups and bundles share the final heap; items are tagged to sort together.
     place = lpt([(b, (0, k)) for b, k in heavy] + [(b, (1, k)) for b, k in bundles], shards)
@@ -115,12 +118,12 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept.  An empty table gives no rows.  Other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    rows = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        F.unhex(F.md5(text)).alias("key"))
-    out = assign(rows, "key", "size", shards)
+        F.unhex(F.md5(text)).alias("key")))
+    out = cut_lineage(assign(rows, "key", "size", shards))
     out = number(out, "shard", ["doc_id", "key"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
                       F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
