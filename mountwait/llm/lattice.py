@@ -26,37 +26,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mountwait.llm.common import mix64, powers, slices
+from mountwait.llm.common import mix64, slices
 
 ALPHA = 1.0
 RANK_SHIFT = 2.7
 SEED = 20240
-SLICE = 2 << 20
-MAX_CHARS = 2_500_000
+SLICE = 1 << 20
+MAX_CHARS = 1_500_000
 SPACE = "▁"
-_BASE = 0xA24BAED4963EE407
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = re.compile(r" *[^ ]+| +")
-_LONG = 64  # segments above this are filtered one by one
-_TABLE_BITS = 21
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _prefix(codes: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(mix64((codes.astype(np.uint64) + np.uint64(1)) * _GAMMA) * powers(_BASE, len(codes)), out=out[1:])
-    return out
-
-
-def _hash(prefix: np.ndarray, start: np.ndarray, length: int, inverse: np.ndarray) -> np.ndarray:
-    return mix64((prefix[start + length] - prefix[start]) * inverse[start] + np.array([length], np.uint64) * _GAMMA)
-
-
 class Pieces:
-    """The vocabulary of a model, as hash tables and weights."""
+    """The vocabulary of a model: weights and a trie."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -86,135 +73,111 @@ class Pieces:
         # Chance weights differ by length only through a factor that cancels; this one keeps sums near one.
         scale = 1.0 / float(np.median(self.weight[list(text.values())])) ** (1 / 3)
         self.scaled = scale ** np.arange(self.longest + 1)
-        # All prefixes of pieces: a look-up tells the piece and whether a longer one begins so.
-        grows = {q[:k] for q in text for k in range(1, len(q))}
-        every = sorted(grows | set(text))
-        inv = powers(pow(_BASE, -1, 1 << 64), 32)
-        codes = _codes("".join(every))
-        lengths = np.fromiter(map(len, every), np.int64, len(every))
-        begin = np.cumsum(lengths) - lengths
-        prefix = _prefix(codes)
-        inv = powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
-        keys = np.zeros(len(every), np.uint64)
-        for l in range(1, self.longest + 1):
-            own = np.flatnonzero(lengths == l)
-            keys[own] = _hash(prefix, begin[own], l, inv)
-        self.keys = keys
-        self.ids = np.fromiter((text.get(q, -1) for q in every), np.int32, len(every))
-        self.grows = np.fromiter((q in grows for q in every), bool, len(every))
-        self.tables = []
-        left = np.arange(len(keys))
-        for level in range(3):
-            shift = np.uint64(64 - _TABLE_BITS * (level + 1))
-            slot = ((keys[left] >> shift) & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            table = np.full(1 << _TABLE_BITS, -1, np.int32)
-            table[slot[first]] = left[first]
-            self.tables.append((shift, table))
-            left = np.delete(left, first)
-            if not len(left):
-                break
-        if len(left):
-            raise ValueError("piece hashes collide")
-
-    def look(self, h: np.ndarray) -> np.ndarray:
-        """Entries of ``ids`` and ``grows`` for hashes, -1 for none."""
-        out = np.full(len(h), -1, np.int32)
-        todo = np.arange(len(h))
-        for shift, table in self.tables:
-            at = table[((h[todo] >> shift) & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)]
-            some = at >= 0
-            todo, at = todo[some], at[some]
-            good = self.keys[at] == h[todo]
-            out[todo[good]] = at[good]
-            todo = todo[~good]
-        return out
+        self._trie()
+
+    def _trie(self) -> None:
+        """Nodes are the prefixes of pieces, those that grow first; node 0 is none.
+
+        ``root`` leads from a character's class to a node; ``next`` from a
+        growing node and a class to a node.  Classes of characters that stand
+        second or later in a piece come first, so ``next`` stays narrow.
+        """
+        grows = sorted({q[:k] for q in self.text for k in range(1, len(q))})
+        ends = sorted(set(self.text) - set(grows))
+        node = {q: n for n, q in enumerate(grows + ends, 1)}
+        later = sorted({c for q in self.text for c in q[1:]})
+        chars = later + sorted({q[0] for q in self.text} - set(later))
+        number = {c: n for n, c in enumerate(chars, 1)}
+        self.class_of = np.zeros(0x110000, np.int32)
+        self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n_grows, self.width = len(grows), len(later) + 1
+        self.root = np.zeros(len(chars) + 1, np.int32)
+        self.next = np.zeros((len(grows) + 1, self.width), np.int32 if len(node) > 0xFFFF else np.uint16)
+        for q, n in node.items():
+            if len(q) == 1:
+                self.root[number[q]] = n
+            else:
+                self.next[node[q[:-1]], number[q[-1]]] = n
+        self.next = self.next.ravel()
+        every = [""] + grows + ends
+        self.ids = np.fromiter((self.text.get(q, -1) for q in every), np.int32, len(every))
+        self.node_weight = np.array([self.weight[i] * self.scaled[len(q)] if i >= 0 else 0.0
+                                     for q, i in zip(every, self.ids)])
 
 
 class Lattice:
     """Edges into every place of the given segments, with normalised cumulative chances.
 
-    Place e (a global index over all characters, ends counted from 1) has the
-    edges first[e] .. first[e + 1]; an edge is (piece or -1 for bytes, length).
+    A place is the end of a character.  Places are ordered by their distance
+    t from the segment's begin, then by segment, the longest first: all sums
+    for one t come from one stretch of edges.  Place p has the edges first[p]
+    .. first[p + 1]; an edge has a piece (-1: the character's bytes) and the
+    place before it (-1: the segment's begin).
     """
 
     def __init__(self, pieces: Pieces, segments: list[str]):
         lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-        self.end = np.cumsum(lengths)
-        self.begin = self.end - lengths
-        joined = "".join(segments)
-        self.codes = _codes(joined)
-        n = len(self.codes)
-        prefix = _prefix(self.codes)
-        inverse = powers(pow(_BASE, -1, 1 << 64), n + 1)
-        stop = np.repeat(self.end, lengths)
-        # found[e - 1, l - 1]: the piece of length l that ends at place e; -2 stands for bytes, -1 for none.
-        found = np.full((n, pieces.longest), -1, np.int32)
-        s = np.arange(n)
-        for l in range(1, pieces.longest + 1):
-            at = pieces.look(_hash(prefix, s, l, inverse))
-            if l == 1:
-                at[self.codes[s] == ord(SPACE)] = -1
-                found[:, 0] = -2
-            hit = np.flatnonzero(at >= 0)
-            s, at = s[hit], at[hit]
-            p = pieces.ids[at]
-            some = p >= 0
-            found[s[some] + l - 1, l - 1] = p[some]
-            s = s[pieces.grows[at]]
-            s = s[s + l < stop[s]]
-            if not len(s):
+        order = np.argsort(-lengths, kind="stable")
+        size = lengths[order]
+        codes = _codes("".join([segments[i] for i in order.tolist()]))
+        n, longest = len(codes), int(size[0])
+        off = np.r_[0, np.cumsum(len(size) - np.searchsorted(size[::-1], np.arange(1, longest + 1)))]  # places before t + 1
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        begin = np.cumsum(size) - size
+        t0 = (np.arange(n) - begin[row]).astype(np.int32)
+        self.end = np.empty(len(size), np.int64)
+        self.end[order] = off[size - 1] + np.arange(len(size))
+        place = off[t0] + row  # of each character
+        self.codes = np.empty(n, np.uint32)
+        self.codes[place] = codes
+        cls = pieces.class_of[codes]
+        at = np.arange(n)
+        node = pieces.root[cls]
+        room = size[row] - t0
+        counts = np.ones(n, np.int64)
+        found = [(place, np.where(t0 > 0, off[t0 - 1] + row, -1), np.where(node > 0, pieces.ids[node], -1),
+                  np.where((node > 0) & (pieces.ids[node] >= 0), pieces.node_weight[node],
+                           pieces.byte_weight * pieces.scaled[1]))]
+        for l in range(2, pieces.longest + 1):
+            go = np.flatnonzero((node > 0) & (node <= pieces.n_grows) & (room[at] >= l))
+            at, node = at[go], node[go]
+            c = cls[at + l - 1]
+            node = np.where(c < pieces.width, pieces.next[node * np.int64(pieces.width) + np.minimum(c, pieces.width - 1)], 0)
+            some = np.flatnonzero(pieces.ids[node] >= 0)
+            if len(some):
+                s, m = at[some], node[some]
+                p = place[s + l - 1]
+                counts[p] += 1
+                found.append((p, np.where(t0[s] > 0, off[t0[s] - 1] + row[s], -1), pieces.ids[m], pieces.node_weight[m]))
+            if not len(at):
                 break
-        end, column = np.nonzero(found != -1)
-        self.piece = found[end, column]
-        self.piece[self.piece == -2] = -1
+        self.first = np.r_[0, np.cumsum(counts)]
+        total = int(self.first[-1])
+        self.prev, self.piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        weight = np.empty(total)
+        fill = self.first[:-1].copy()
+        for p, prev, piece, w in found:
+            e = fill[p]
+            self.prev[e], self.piece[e], weight[e] = prev, piece, w
+            fill[p] += 1
         del found
-        self.length = (column + 1).astype(np.int8)
-        end += 1
-        start = end - self.length
-        weight = np.where(self.piece >= 0, pieces.weight[self.piece], pieces.byte_weight) * pieces.scaled[self.length]
-        self.first = np.searchsorted(end, np.arange(n + 2))
-        chance = np.zeros(len(end))
-        ways = np.zeros(n + 1)
-        # A place that ends a segment also begins the next: keep sums by place inside segments.
-        origin = np.repeat(self.begin, lengths)[start]
-        from_zero = start == origin
-        edge_t = (end - origin).astype(np.int32)
-        in_short = np.repeat(lengths, lengths)[start] <= _LONG
-        # Edges of one end place t of all short segments at a time.
-        at = np.flatnonzero(in_short)
-        at = at[np.argsort(edge_t[at].astype(np.int8), kind="stable")]
-        cut = np.searchsorted(edge_t[at], np.arange(1, _LONG + 2))
-        for t in range(1, _LONG + 1):
-            e = at[cut[t - 1]:cut[t]]
-            if not len(e):
-                continue
-            w = weight[e] * np.where(from_zero[e], 1.0, ways[start[e]])
-            group = end[e]
-            new = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            total = np.add.reduceat(w, new)
-            ways[group[new]] = total
-            chance[e] = w / np.repeat(total, np.diff(np.r_[new, len(e)]))
-        for g in np.flatnonzero(lengths > _LONG):
-            self._long(int(self.begin[g]), int(self.end[g]), start, weight, chance, pieces.longest)
-        total = np.cumsum(chance)
-        before = np.r_[0.0, total][self.first[end]]
-        self.cum = total - before
-        last = self.first[1:][np.diff(self.first) > 0] - 1
-        self.cum[last] = 2.0  # the last edge takes what rounding leaves
-
-    def _long(self, begin: int, stop: int, start, weight, chance, longest: int) -> None:
-        """One long segment, place by place, with sums rescaled as they go."""
-        ways = {begin: 1.0}
-        for e in range(begin + 1, stop + 1):
-            a, b = int(self.first[e]), int(self.first[e + 1])
-            w = [weight[i] * ways[int(start[i])] for i in range(a, b)]
-            total = sum(w)
-            chance[a:b] = [x / total for x in w]
-            ways[e] = total
-            ways.pop(e - longest - 1, None)
-            if not 1e-100 < total < 1e100:
-                ways = {k: v / total for k, v in ways.items()}
+        ways = np.empty(n + 1)
+        ways[-1] = 1.0  # the begin of a segment
+        self.cum = np.empty(total)
+        for t in range(longest):
+            a, b = int(off[t]), int(off[t + 1])
+            cut = self.first[a:b + 1]
+            e, f = int(cut[0]), int(cut[-1])
+            w = weight[e:f] * ways[self.prev[e:f]]
+            total = np.add.reduceat(w, cut[:-1] - e)
+            ways[a:b] = total
+            run = np.r_[0.0, np.cumsum(w / np.repeat(total, np.diff(cut)))]
+            self.cum[e:f] = run[1:] - np.repeat(run[cut[:-1] - e], np.diff(cut))
+            if t % 16 == 15 and (total.min() < 1e-100 or total.max() > 1e100):
+                # Only ratios among the last places count: bring each segment's back to one.
+                for k in range(max(0, t - pieces.longest), t + 1):
+                    ways[off[k]:off[k] + b - a] /= total
+        self.cum[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
 
 
 class _Numbers(dict):
@@ -235,16 +198,15 @@ class Lattices:
     def _reset(self) -> None:
         self.known = _Numbers()
         z = np.zeros
-        self.codes, self.first = z(0, np.uint32), z(1, np.int32)
-        self.begin, self.end = z(0, np.int64), z(0, np.int64)
-        self.cum, self.length, self.piece = z(0), z(0, np.int8), z(0, np.int32)
+        self.codes, self.first, self.end, self.size = z(0, np.uint32), z(1, np.int32), z(0, np.int32), z(0, np.int32)
+        self.cum, self.prev, self.piece = z(0), z(0, np.int32), z(0, np.int32)
 
     def numbers(self, found: list[list[str]]) -> np.ndarray:
         """The number of each segment of the texts, lattices made as needed."""
         if len(self.codes) > MAX_CHARS:
             self._reset()
         known, had = self.known, len(self.known)
-        out = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64)
+        out = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int32)
         if len(known) > had:
             self._add(list(islice(known, had, None)))
         return out
@@ -252,10 +214,11 @@ class Lattices:
     def _add(self, segments: list[str]) -> None:
         new = Lattice(self.pieces, segments)
         n, edges = len(self.codes), len(self.cum)
-        self.first = np.concatenate([self.first[:n + 1], (new.first[1:] + edges).astype(np.int32)])
-        self.begin = np.concatenate([self.begin, new.begin + n])
-        self.end = np.concatenate([self.end, new.end + n])
-        for name in ("codes", "cum", "length", "piece"):
+        new.prev[new.prev >= 0] += n
+        new.first = (new.first[1:] + edges).astype(np.int32)
+        new.end = (new.end + n).astype(np.int32)
+        new.size = np.fromiter(map(len, segments), np.int32, len(segments))
+        for name in ("first", "end", "size", "codes", "cum", "prev", "piece"):
             setattr(self, name, np.concatenate([getattr(self, name), getattr(new, name)]))
 
 
@@ -269,34 +232,31 @@ def sample(lat: Lattices, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarr
     if not len(seg):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     doc = np.repeat(np.arange(len(texts)), counts)
-    length = (lat.end - lat.begin)[seg]
-    stop = np.cumsum(length)
+    stop = np.cumsum(lat.size[seg], dtype=np.int64)
     base = np.r_[0, stop][np.cumsum(counts) - counts]  # characters before each text
-    shift = (stop - length - base[doc]).astype(np.int64) - lat.begin[seg]  # place in the text - place in the lattice
-    seed = seeds[doc]
-    place, goal = lat.end[seg].copy(), lat.begin[seg]
-    live = np.arange(len(seg))
+    # The k-th draw of a segment takes the number of the character k before its end.
+    random = seeds[doc] + (stop - base[doc]).astype(np.uint64) * _GAMMA
+    live, place = np.arange(len(seg)), lat.end[seg]
     step_occ, step_edge = [], []
     while len(live):
-        p = place[live]
-        u = (mix64(seed[live] + (p + shift[live]).astype(np.uint64) * _GAMMA) >> np.uint64(11)) * 2.0 ** -53
-        e = lat.first[p]
+        u = (mix64(random) >> np.uint64(11)) * 2.0 ** -53
+        e = lat.first[place]
         more = np.flatnonzero(lat.cum[e] <= u)
         while len(more):
             e[more] += 1
             more = more[lat.cum[e[more]] <= u[more]]
         step_occ.append(live)
         step_edge.append(e)
-        p = p - lat.length[e]
-        place[live] = p
-        live = live[p > goal[live]]
+        place = lat.prev[e]
+        go = place >= 0
+        live, place, random = live[go], place[go], random[go] - _GAMMA
     # Draws came from the end; number them back to front inside each segment, bytes spread out.
     occ, edge = np.concatenate(step_occ), np.concatenate(step_edge)
     piece = lat.piece[edge]
     width = np.ones(len(edge), np.int64)
     raw = np.flatnonzero(piece < 0)
     if len(raw):
-        code = lat.codes[np.searchsorted(lat.first, edge[raw], "right") - 2]
+        code = lat.codes[np.searchsorted(lat.first, edge[raw], "right") - 1]
         width[raw] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
     steps = np.bincount(occ, minlength=len(seg))
     n_round = np.concatenate([np.full(len(x), k) for k, x in enumerate(step_occ)])
