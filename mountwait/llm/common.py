@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from mountwait.session import checkpoint_dir
+
 SLICE_BYTES = 4 << 20
 MASK64 = (1 << 64) - 1
 
@@ -54,6 +57,14 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a compressed table in the shared checkpoint folder: cuts lineage, read by several jobs."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/mountwait-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mountwait.llm import decontam, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, transducer
+from mountwait.llm import decontam, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, suffixes, transducer
 from mountwait.llm.common import table
 
 
@@ -37,6 +37,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 400-byte strings removed from every whole text."""
+    out = suffixes.remove_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
     return pii.find(table(spark, sf_dir, "documents"))
@@ -63,7 +69,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_token_counts, op3_sentencepiece, op4_decontamination,
-        op5_quality_rules, op7_pii, op8_quality_classifier, op9_simhash,
+        op5_quality_rules, op6_substring_dedup, op7_pii, op8_quality_classifier, op9_simhash,
         op10_sharding)
 }
 
