@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mountwait.llm.common import mix64, prefix_hash, slices, span_hash, word_spans
+from mountwait.session import cut_lineage
 
 BITS = 18
 DIM = 1 << BITS
 SAMPLE = 2500
 FOLDS = 5
 THRESHOLD = 0.3
+BROADCAST_LABELS = 1_000_000  # (id, label) pairs, about 30 MB in a hash table
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 20
@@ -139,7 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             part = at[k:k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[0, part]), pa.array(n[1, part])],
                                              names=["bucket", "n0", "n1"])
-    sums = (src.join(lab, src["doc_id"] == lab["lid"]).select("text", "y")
+    # Few labels go to the texts; with many, the texts move instead.
+    lab = cut_lineage(lab)
+    side = F.broadcast(lab) if lab.count() <= BROADCAST_LABELS else lab
+    sums = (src.join(side, src["doc_id"] == side["lid"]).select("text", "y")
             .mapInArrow(count, "bucket int, n0 long, n1 long")
             .groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))).toArrow()  # 2**18 + 1 rows at most
     n = np.zeros((2, DIM + 1))
