@@ -31,8 +31,8 @@ from mountwait.llm.common import mix64, slices
 ALPHA = 1.0
 RANK_SHIFT = 2.7
 SEED = 20240
-SLICE = 1 << 20
-MAX_CHARS = 1_500_000
+SLICE = 1 << 19
+MAX_CHARS = 600_000
 SPACE = "▁"
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = re.compile(r" *[^ ]+| +")
@@ -42,51 +42,54 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def read_pieces(path: str) -> tuple[dict[str, int], dict[int, int], pa.Array, np.ndarray]:
+    """(text piece -> id, byte -> id, bytes of each id, scores) of a model."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    n = sp.get_piece_size()
+    at_byte: dict[int, int] = {}
+    raw: list[bytes] = [b""] * n
+    text: dict[str, int] = {}
+    for i in range(n):
+        p = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            at_byte[int(p[3:5], 16)] = i
+            raw[i] = bytes([int(p[3:5], 16)])
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            q = p.replace(SPACE, " ")
+            text[q] = i
+            raw[i] = q.encode()
+    if len(at_byte) < 256:
+        raise ValueError("the model has no byte pieces")
+    if any(" " in q.lstrip(" ") for q in text):
+        raise ValueError("a piece holds a space after another character")
+    return text, at_byte, pa.array(raw, pa.large_binary()), np.array([sp.get_score(i) for i in range(n)])
+
+
 class Pieces:
     """The vocabulary of a model: weights and a trie."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.bytes_at = {}
-        self.raw: list[bytes] = [b""] * n
-        text = {}
-        for i in range(n):
-            p = sp.id_to_piece(i)
-            if sp.is_byte(i):
-                self.bytes_at[int(p[3:5], 16)] = i
-                self.raw[i] = bytes([int(p[3:5], 16)])
-            elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
-                q = p.replace(SPACE, " ")
-                text[q] = i
-                self.raw[i] = q.encode()
-        self.raw_array = pa.array(self.raw, pa.large_binary())
-        if len(self.bytes_at) < 256:
-            raise ValueError("the model has no byte pieces")
-        if any(" " in q.lstrip(" ") for q in text):
-            raise ValueError("a piece holds a space after another character")
-        scores = np.array([sp.get_score(i) for i in range(n)])
+        text, self.bytes_at, _, scores = read_pieces(path)
         self.weight = (1.0 / (np.maximum(-scores, 0) + RANK_SHIFT)) ** alpha
-        self.text = text
         self.longest = max(map(len, text))
-        self.byte_weight = float(self.weight[list(text.values())].min())
+        own = self.weight[list(text.values())]
+        self.byte_weight = float(own.min())
         # Chance weights differ by length only through a factor that cancels; this one keeps sums near one.
-        scale = 1.0 / float(np.median(self.weight[list(text.values())])) ** (1 / 3)
-        self.scaled = scale ** np.arange(self.longest + 1)
-        self._trie()
+        self.scaled = (1.0 / float(np.median(own)) ** (1 / 3)) ** np.arange(self.longest + 1)
+        self._trie(text)
 
-    def _trie(self) -> None:
+    def _trie(self, text: dict[str, int]) -> None:
         """Nodes are the prefixes of pieces, those that grow first; node 0 is none.
 
         ``root`` leads from a character's class to a node; ``next`` from a
         growing node and a class to a node.  Classes of characters that stand
         second or later in a piece come first, so ``next`` stays narrow.
         """
-        grows = sorted({q[:k] for q in self.text for k in range(1, len(q))})
-        ends = sorted(set(self.text) - set(grows))
+        grows = sorted({q[:k] for q in text for k in range(1, len(q))})
+        ends = sorted(set(text) - set(grows))
         node = {q: n for n, q in enumerate(grows + ends, 1)}
-        later = sorted({c for q in self.text for c in q[1:]})
-        chars = later + sorted({q[0] for q in self.text} - set(later))
+        later = sorted({c for q in text for c in q[1:]})
+        chars = later + sorted({q[0] for q in text} - set(later))
         number = {c: n for n, c in enumerate(chars, 1)}
         self.class_of = np.zeros(0x110000, np.int32)
         self.class_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
@@ -100,7 +103,7 @@ class Pieces:
                 self.next[node[q[:-1]], number[q[-1]]] = n
         self.next = self.next.ravel()
         every = [""] + grows + ends
-        self.ids = np.fromiter((self.text.get(q, -1) for q in every), np.int32, len(every))
+        self.ids = np.fromiter((text.get(q, -1) for q in every), np.int32, len(every))
         self.node_weight = np.array([self.weight[i] * self.scaled[len(q)] if i >= 0 else 0.0
                                      for q, i in zip(every, self.ids)])
 
@@ -276,9 +279,9 @@ def sample(lat: Lattices, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarr
     return ids, np.r_[0, np.cumsum(per)]
 
 
-def decode_lists(pieces: Pieces, lists: pa.ListArray) -> pa.Array:
+def decode_lists(raw: pa.Array, lists: pa.ListArray) -> pa.Array:
     """The texts of id lists: pieces joined, without the space put before a text."""
-    joined = pieces.raw_array.take(lists.flatten())  # its buffer holds the pieces one after the other
+    joined = raw.take(lists.flatten())  # its buffer holds the pieces one after the other
     size = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset)
     cut = size[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
     data = joined.buffers()[2]
@@ -295,6 +298,16 @@ def load(path: str, alpha: float = ALPHA) -> Lattices:
     return _loaded[path, alpha]
 
 
+_raw: dict[str, pa.Array] = {}
+
+
+def load_raw(path: str) -> pa.Array:
+    """The bytes of each piece, all that decoding needs."""
+    if path not in _raw:
+        _raw[path] = read_pieces(path)[2]
+    return _raw[path]
+
+
 def seeds_of(keys: pa.Array, seed: int) -> np.ndarray:
     """Row seeds from 64-bit row keys; a null key counts as 0."""
     k = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -329,9 +342,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     src = encoded.select(*[encoded[c] for c in rest])
 
     def run(batches):
-        pieces = load(model_path).pieces
+        raw = load_raw(model_path)
         for b in batches:
-            texts = decode_lists(pieces, b.column(b.schema.get_field_index(ids_col)))
+            texts = decode_lists(raw, b.column(b.schema.get_field_index(ids_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
