@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from mountwait.session import cut_lineage
 
 THRESHOLD = 0.6
+BROADCAST_BYTES = 16 << 20
 SHRINK = 200  # pages of a host at which its own tree weighs as much as that of all hosts
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "noembed", "noframes", "xmp"}
@@ -309,8 +310,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(h.as_py() or "", sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
-    # Written down, so that the join's two sides are plain exchanges and a hot host's pages can be split.
+    # Written down and measured: a small table goes to the pages; else both sides are plain exchanges,
+    # in which a hot host's pages can be split.
     low = cut_lineage(low_branches(pages, url_col, html_col, threshold))
+    size = low.agg(F.sum(F.octet_length("host") + 8 * F.size("low") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        low = F.broadcast(low)
     left = src.mapInArrow(hosts, "page_id long, url string, html string, host string")
     return (left.join(low, "host", "left").select("page_id", "url", "host", "low", "html")
             .mapInArrow(run, "page_id long, url string, text string")
