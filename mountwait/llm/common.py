@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mountwait.session import checkpoint_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 MASK64 = (1 << 64) - 1
 
 # Arrow batches stay small, so that one batch of long texts fits a worker.
@@ -98,6 +98,7 @@ def slices(batches, text_col: str, bound: int = SLICE_BYTES) -> Iterator[tuple[p
             j = min(j, n)
             yield batch.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i]
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on: give back what the task took
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

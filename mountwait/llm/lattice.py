@@ -196,9 +196,9 @@ class Lattices:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self._reset()
+        self.clear()
 
-    def _reset(self) -> None:
+    def clear(self) -> None:
         self.known = _Numbers()
         z = np.zeros
         self.codes, self.first, self.end, self.size = z(0, np.uint32), z(1, np.int32), z(0, np.int32), z(0, np.int32)
@@ -207,7 +207,7 @@ class Lattices:
     def numbers(self, found: list[list[str]]) -> np.ndarray:
         """The number of each segment of the texts, lattices made as needed."""
         if len(self.codes) > MAX_CHARS:
-            self._reset()
+            self.clear()
         known, had = self.known, len(self.known)
         out = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int32)
         if len(known) > had:
@@ -333,6 +333,7 @@ def encode_sampled(docs: DataFrame, model_path: str, key_col: str = "doc_id", te
             ids, at = sample(lattices, texts, seeds_of(keys, seed))
             col = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*rows.columns, col], names=[*rows.schema.names, ids_col])
+        lattices.clear()  # the worker lives on with other tasks
     return src.mapInArrow(run, schema)
 
 
