@@ -7,6 +7,7 @@ in work at a time; a single text longer than the bound is one slice.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -86,6 +87,14 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - lo
 
 
+def give_back() -> None:
+    """At a task's end: return freed memory to the system, as the worker lives on with other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, text_col: str, bound: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) for runs of rows of about ``bound`` bytes."""
     for batch in batches:
@@ -98,7 +107,7 @@ def slices(batches, text_col: str, bound: int = SLICE_BYTES) -> Iterator[tuple[p
             j = min(j, n)
             yield batch.slice(i, j - i), data[off[i]:off[j]], off[i:j + 1] - off[i]
             i = j
-    pa.default_memory_pool().release_unused()  # workers live on: give back what the task took
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mountwait.llm.common import give_back
+
 ERROR_RATE = 0.1
 BLOCK_CHARS = 2 << 20
 
@@ -183,6 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         dist.append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
                                                   pa.array(dist, pa.int32())], names=["doc_id", "item_id", "distance"])
+            give_back()
         part = src.mapInArrow(run, "doc_id long, item_id long, distance int")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -200,5 +203,6 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
             for b in batches:
                 texts = b.column(b.schema.get_field_index(text_col))
                 yield b.filter(pa.array([not m.find(normal(t.as_py()), first=True) for t in texts], pa.bool_()))
+            give_back()
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mountwait.llm.common import mix64, slices
+from mountwait.llm.common import give_back, mix64, slices
 
 ALPHA = 1.0
 RANK_SHIFT = 2.7
@@ -333,7 +333,8 @@ def encode_sampled(docs: DataFrame, model_path: str, key_col: str = "doc_id", te
             ids, at = sample(lattices, texts, seeds_of(keys, seed))
             col = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*rows.columns, col], names=[*rows.schema.names, ids_col])
-        lattices.clear()  # the worker lives on with other tasks
+        lattices.clear()
+        give_back()
     return src.mapInArrow(run, schema)
 
 
@@ -347,6 +348,7 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
         for b in batches:
             texts = decode_lists(raw, b.column(b.schema.get_field_index(ids_col)))
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
+        give_back()
     return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
