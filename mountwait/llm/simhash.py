@@ -189,7 +189,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """prints with component_id, the smallest doc_id of the component."""
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes, "fp", max_bits))
+    # Nodes are narrow and grow by the index entry: deal them out by number, not by bytes.
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    roots = components(links(spread, "fp", max_bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -6,7 +6,8 @@ each node it counts, over the host's pages, the contents (the text below the
 node) and the presentations (the order of its child elements).  The entropy
 of each, over the logarithm of the number of pages, is its importance: 0 if
 all pages agree, 1 if all differ.  A node's importance is the larger of the
-two; a host with few pages leans on the tree of all hosts.  Branches below
+two; a host with few pages leans on the tree of all hosts, and a node on few
+pages at all is taken as important.  Copies of a page count once.  Branches below
 ``THRESHOLD`` are removed from each page.  Inside an article or main element
 importance counts double, as a page's own words are expected there.
 
@@ -15,15 +16,14 @@ headers, footers, forms, adverts, comments, scripts, ...) have importance
 zero from the start.  Where a page has an article or main element with text,
 the blocks outside of it go as well.
 
-Counts travel as one row per (host, node, signature) with partial sums, so a
-host with a third of all pages is summed on every task that reads it.
+Counts travel as rows (host, node, signature, page) and then as partial sums,
+so a host with a third of all pages spreads over all tasks.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from mountwait.session import cut_lineage
 
 THRESHOLD = 0.6
+EVIDENCE = 20  # pages with a node at which its entropy weighs as much as the benefit of the doubt
 BROADCAST_BYTES = 16 << 20
 SHRINK = 200  # pages of a host at which its own tree weighs as much as that of all hosts
 
@@ -261,23 +262,26 @@ def low_branches(pages: DataFrame, url_col: str, html_col: str, threshold: float
     """(host, low): paths of little importance, one row per host that has any."""
     def run(batches):
         for b in batches:
-            seen: Counter = Counter()
+            seen: set[tuple] = set()
             for u, h in zip(b.column(0).to_pylist(), b.column(1)):
-                host = host_of(u)
-                for p, k, s in signatures(host, h.as_py() or ""):
-                    seen[host, p, k, s] += 1
+                host, page = host_of(u), h.as_py() or ""
+                whole = _signed(xxhash.xxh64_intdigest(page))
+                seen.update((host, p, k, s, whole) for p, k, s in signatures(host, page))
             if seen:
-                hosts, paths, kinds, sigs = zip(*seen)
+                hosts, paths, kinds, sigs, pages_ = zip(*seen)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()),
-                     pa.array(sigs, pa.int64()), pa.array(seen.values(), pa.int64())],
-                    names=["host", "node", "kind", "sig", "n"])
+                     pa.array(sigs, pa.int64()), pa.array(pages_, pa.int64())],
+                    names=["host", "node", "kind", "sig", "page"])
     rows = (pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-            .mapInArrow(run, "host string, node long, kind int, sig long, n long"))
-    own = rows.groupBy("host", "node", "kind", "sig").agg(F.sum("n").alias("n"))
+            .mapInArrow(run, "host string, node long, kind int, sig long, page long"))
+    # Copies of a whole page say nothing about its template: each page counts once.
+    own = rows.distinct().groupBy("host", "node", "kind", "sig").agg(F.count(F.lit(1)).alias("n"))
     every = own.groupBy("node", "kind", "sig").agg(F.sum("n").alias("n"))
     site = _importance(own, "host", "node", "kind")
-    corpus = _importance(every, "node", "kind").select("node", "kind", F.col("imp").alias("imp_all"))
+    trust = F.col("pages") / (F.col("pages") + EVIDENCE)
+    corpus = _importance(every, "node", "kind").select(
+        "node", "kind", (trust * F.col("imp") + (1 - trust)).alias("imp_all"))
     share = F.col("pages") / (F.col("pages") + SHRINK)
     both = site.join(corpus, ["node", "kind"]).withColumn(
         "imp", (share * F.col("imp") + (1 - share) * F.col("imp_all")) * F.when(F.col("kind") > 1, 2.0).otherwise(1.0))
