@@ -168,9 +168,9 @@ select p.billinginfo_id as sfbr_id, p.pnfsid, p.bfid, p.datestamp, f.file_family
        cast(null as varchar) as volume, p.volume as migrated_volume
 from (select * from bi join pk using (pnfsid)) p left join fam f on f.label = p.volume""",
     "small_file_stores": _with("st", "pk", "fam") + """
-select s.storageinfo_id, s.pnfsid, s.action, s.volume, f.file_family
-from st s left join fam f on f.label = s.volume
-where s.pnfsid in (select pnfsid from pk)""",
+select s.storageinfo_id, s.pnfsid, s.action, s.volume, coalesce(s.file_family, f.file_family) as file_family
+from st s join (select pnfsid, min(volume) as tape from pk group by 1) p using (pnfsid)
+left join fam f on f.label = p.tape""",
     "filtered_mounts": _with("fm") + "select * from fm",
     "mounts_with_family": _with("tm", "fam") + """
 select t.*, f.file_family from tm t join fam f on f.label = t.volume
@@ -211,7 +211,7 @@ select sfbr_id, {_BFID_T} as bfid_time, {_BFID_T} + interval 8640000 second as w
 from rd where {_BFID_OK}""",
     "age_parts": f"""
 select e.event_id, {_wait("e.ts", "o.ts")}
-from events e join events o on o.event_id = e.event_id + 5000""",
+from events e left join (select user_id, min(ts) as ts from events group by 1) o using (user_id)""",
     "age_parts_dates": f"""
 select l.l_orderkey, l.l_linenumber, {_age("l.l_shipdate", "o.o_orderdate", "ship_")},
        {_age("o.o_orderdate", "l.l_shipdate", "back_")}
@@ -224,6 +224,15 @@ select r.event_id,
        case when m.m_ts < r.ts + interval 3 day then m.m_event_id end as next_event_id,
        case when m.m_ts < r.ts + interval 3 day then m.m_ts end as next_ts
 from r asof left join m on r.user_id = m.user_id and r.ts < m.m_ts""",
+    "asof_next_split": """
+with r as (select event_id, case when event_id % 3 = 0 then -1 else user_id end as k, ts
+           from events where event_type = 'view'),
+m as (select case when event_id % 3 = 0 then -1 else user_id end as mk, ts as m_ts, min(event_id) as m_event_id
+      from events where event_type = 'purchase' group by all)
+select r.event_id,
+       case when m.m_ts < r.ts + interval 3 day then m.m_event_id end as next_event_id,
+       case when m.m_ts < r.ts + interval 3 day then m.m_ts end as next_ts
+from r asof left join m on r.k = m.mk and r.ts < m.m_ts""",
     "asof_prev": """
 with r as (select event_id, user_id, ts from events where event_type = 'view'),
 m as (select user_id, ts as m_ts, min(event_id) as m_event_id from events
@@ -308,7 +317,7 @@ from st left join j using (storageinfo_id)""",
     "restore_chain": _with("st", "fm", "tm", extra=_first_mount_by_family() + ",\n"
                            + _first_mount_by_volume() + f""",
     e1 as (select storageinfo_id, file_family, {_BFID_T} as bt from st
-           where action is not null and errorcode is not null and storageinfo_id is not null
+           where action is not null and errorcode is not null and storageinfo_id is not null and {_NOT_DONE}
              and action = 'restore' and errorcode = 0 and bfid is not null
              and file_family is not null and {_BFID_OK}),
     j1 as (select e1.storageinfo_id,

@@ -62,14 +62,6 @@ def age_parts(a, b) -> tuple[Column, Column, Column]:
     )
 
 
-def age_struct(a, b) -> Column:
-    """``AGE(a, b)`` as ``struct<months int, days int, us bigint>`` (null if an input is)."""
-    m, d, u = age_parts(a, b)
-    a, b = _c(a), _c(b)
-    return F.when(a.isNotNull() & b.isNotNull(),
-                  F.struct(m.alias("months"), d.alias("days"), u.alias("us")))
-
-
 def with_age(df, later, earlier, prefix: str = "age_", total: str | None = None):
     """Add ``{prefix}months``, ``{prefix}days``, ``{prefix}us`` (and ``total``,
     the exact difference in micros, when named) for ``AGE(later, earlier)``.

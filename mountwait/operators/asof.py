@@ -10,33 +10,32 @@ always the same).  Left rows without a match (or with a null key or
 time, or not ``eligible``) get a null match; no left row is dropped or
 duplicated.
 
-Two plans, both DataFrame operations only (no UDF, no pairs).  ``copies``:
-window-wide cells, each right row copied into its own and the neighbouring
-cell, full left rows carried through one window - a single shuffle, used
-(``strategy="auto"``) when a narrow aggregate shows that no such cell holds
-more than ``COPIES_MAX_CELL_ROWS`` rows.  Otherwise ``cells``:
+One plan at every size, DataFrame operations only (no UDF, no pairs, no job
+while planning):
 
 1. The left side is reduced to its distinct ``(key, time)`` pairs.  Map-side
    partial aggregation collapses repeated pairs before the shuffle, so a key
    or instant that holds a large share of all requests costs one row here.
-2. Pairs and right rows are cut into cells ``(key, floor(time / bucket))``
-   and unioned.  One window per cell, sorted by time, carries the nearest
-   right row to each pair (``last(..., ignorenulls)`` over a running frame:
-   linear, no quadratic frame).  The window has one consumer, so the sort
-   runs once.
-3. Each cell's edge row (its first right row going forward, its last going
-   backward) comes from a map-side partial aggregate of the right side.
-   Pairs with no right row in their own cell take the edge of the nearest
-   non-empty cell through a per-key window over cell-level rows only (cells
-   with pairs plus cell edges).  Its size is bounded by the time span divided
-   by the bucket width, not by the data volume, so a hot key stays cheap.
+2. Pairs and right rows are cut into cells ``(key, floor(time / width))``.
+   The width is per key: a narrow aggregate counts its pairs and right rows
+   per coarse cell (the window, at most a day), and the width is that cell
+   halved until its busiest one would hold about ``TARGET_CELL_ROWS``.  One
+   exchange by cell serves both the window and the edges below.  The window,
+   sorted by time, carries the nearest right row to each pair (``last(...,
+   ignorenulls)`` over a running frame: linear, no quadratic frame).
+3. One aggregate per cell gives its edge row (its first right row going
+   forward, its last going backward) and whether it holds pairs.  Pairs with
+   no right row in their own cell take the edge of the nearest non-empty cell
+   through a per-key window over these cell-level rows: one row per
+   ``TARGET_CELL_ROWS`` rows of a hot key, at most.
 4. The far end of the window is applied, and the resolved pairs are joined
-   back to the left rows on ``(key, time)``.  This is the one shuffle of the
+   back to all left rows on ``(key, time)``.  Ineligible rows pass through the
+   same join with null keys, spread by a salt.  This is the one shuffle of the
    full left rows; adaptive execution splits skewed partitions of it and
    turns it into a broadcast join when the resolved side measures small.
 
-Because a cell never needs to see its neighbours' rows, the bucket width can
-be much finer than the window without copying any right rows.
+Because a cell never needs to see its neighbours' rows, cells can be much
+finer than the window without copying any right rows.
 """
 
 from __future__ import annotations
@@ -49,17 +48,11 @@ from pyspark.sql import functions as F
 
 from mountwait.functions.timecols import as_duration_us, epoch_micros
 
-# Default cell width: one hour, or the window when that is shorter.
-DEFAULT_BUCKET = _dt.timedelta(hours=1)
-# bucket="auto": request pairs aimed at per cell, and the finest split.
-AUTO_TARGET_CELL_ROWS = 1_000_000
-AUTO_MAX_HALVINGS = 30
+# Pairs and right rows aimed at per cell (session setting mountwait.asof.targetCellRows).
+TARGET_CELL_ROWS = 1_000_000
 _DAY_US = 86_400 * 1_000_000
-# strategy="auto": the single-shuffle form is used when no window-wide cell
-# (requests plus the mounts copied into it) holds more rows than this.
-COPIES_MAX_CELL_ROWS = 2_000_000
 
-_K, _T, _S, _B, _R, _M = "_aj_k", "_aj_t", "_aj_s", "_aj_b", "_aj_r", "_aj_m"
+_K, _S, _B, _R, _M, _X = "_aj_k", "_aj_s", "_aj_b", "_aj_r", "_aj_m", "_aj_x"
 _IN, _NEXT, _TIE = "_aj_in", "_aj_next", "_aj_tie"
 
 
@@ -69,13 +62,6 @@ def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _copy_cells(fwd: bool, win_us: int):
-    """Window-wide cell of a right row and of its copy (next match of a
-    request in cell b lies in cell b or b+1 going forward, b-1 or b back)."""
-    own = F.floor(F.col(_S) / F.lit(win_us)).cast("long")
-    return F.explode(F.array(own, own - 1 if fwd else own + 1))
-
-
 def _conf_int(spark, key: str, default: int) -> int:
     """An integer session setting, or ``default`` when unset."""
     try:
@@ -85,53 +71,6 @@ def _conf_int(spark, key: str, default: int) -> int:
     return int(value) if value else default
 
 
-def _copies_bound(spark) -> int:
-    """``COPIES_MAX_CELL_ROWS``, or the session's ``mountwait.asof.copiesMaxCellRows``."""
-    return _conf_int(spark, "mountwait.asof.copiesMaxCellRows", COPIES_MAX_CELL_ROWS)
-
-
-def _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd) -> bool:
-    """Rows of the busiest window-wide cell (requests plus copied right rows)
-    are within the bound (``_copies_bound``)?  A narrow aggregate; one
-    number reaches the driver."""
-    lk = left_in.select(F.col(left_by).alias(_K), F.floor(
-        epoch_micros(left_time) / F.lit(win_us)).cast("long").alias(_B))
-    mk = mnt_rows.select(_K, _copy_cells(fwd, win_us).alias(_B))
-    top = (lk.unionByName(mk).groupBy(_K, _B).agg(F.count(F.lit(1)).alias("_n"))
-           .agg(F.max("_n")).first()[0])
-    return top is None or top <= _copies_bound(left_in.sparkSession)
-
-
-def _asof_copies(left, left_in, left_out, mnt_rows, null_m, left_by, left_time, win_us, fwd,
-                 match):
-    """Single-shuffle form: full left rows and copied right rows meet in
-    window-wide cells; one window finds the nearest right row."""
-    L = "_aj_l"
-    l_struct = F.struct(*[F.col(c) for c in left.columns])
-    l_type = left_in.select(l_struct.alias(L)).schema[L].dataType
-    req = left_in.select(
-        F.col(left_by).alias(_K), epoch_micros(left_time).alias(_S),
-        F.floor(epoch_micros(left_time) / F.lit(win_us)).cast("long").alias(_B),
-        F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M),
-        l_struct.alias(L))
-    mnt = mnt_rows.select(_K, _S, _copy_cells(fwd, win_us).alias(_B), _R, _TIE, _M,
-                          F.lit(None).cast(l_type).alias(L))
-    s_ord = F.col(_S).desc() if fwd else F.col(_S).asc()
-    order = [s_ord, F.col(_R).desc(), F.col(_TIE).desc_nulls_first(),
-             F.col(_M).desc_nulls_first()]
-    run = (Window.partitionBy(_K, _B).orderBy(*order)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = req.unionByName(mnt).select(
-        L, _S, _R, F.last(_M, ignorenulls=True).over(run).alias(_IN)
-    ).filter(F.col(_R) == 1)
-    m_us = epoch_micros(F.col(_IN).getField("time"))
-    gap = (m_us - F.col(_S)) if fwd else (F.col(_S) - m_us)
-    joined = hits.select(*[F.col(L).getField(c).alias(c) for c in left.columns],
-                         F.when(gap < F.lit(win_us), F.col(_IN)).alias(match))
-    rest = left_out.select("*", null_m.alias(match))
-    return joined.unionByName(rest)
-
-
 def _require(df: DataFrame, side: str, cols: list[str]) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
@@ -154,7 +93,6 @@ def asof_within(
     bucket=None,
     match: str = "match",
     target_cell_rows: int | None = None,
-    strategy: str = "auto",
 ) -> DataFrame:
     """Attach the nearest right row within ``window`` as struct column ``match``.
 
@@ -163,41 +101,20 @@ def asof_within(
     right row) or ``"backward"`` (previous right row).  ``window`` and
     ``bucket`` are ``timedelta`` or seconds.
 
-    ``bucket="auto"`` sizes the cells per key: a narrow aggregate counts each
-    key's request pairs per coarse cell (the window, at most a day) and the
-    key's cells become that width halved until its busiest coarse cell is
-    split into parts of about ``target_cell_rows`` pairs (default: session
-    setting ``mountwait.asof.targetCellRows``, else
-    ``AUTO_TARGET_CELL_ROWS``).  Any cell ids that
-    grow with time within a key give the same answer, so this only changes
-    how the work is cut; it removes the last skew case (a burst of distinct
-    request times of one key) at the cost of one more aggregate and a join
-    with one row per key.  Right rows of keys without requests drop out.
-
-    ``strategy``: ``"cells"`` is the plan described in the module docstring;
-    ``"copies"`` is a single-shuffle form (window-wide cells, each right row
-    copied into its own and the neighbouring cell, full left rows carried
-    through one window), cheaper but with one task per (key, window) cell;
-    ``"auto"`` (default, only when no ``bucket`` is given) measures the
-    busiest such cell with a narrow aggregate (one number to the driver) and
-    takes ``"copies"`` when it holds at most ``COPIES_MAX_CELL_ROWS`` rows
-    (session setting ``mountwait.asof.copiesMaxCellRows`` overrides), else
-    ``"cells"`` - a size check with a fallback, as for broadcasts.
+    ``bucket`` fixes the cell width; by default it is chosen per key from the
+    counts of request pairs and right rows, for cells of about
+    ``target_cell_rows`` rows (default: session setting
+    ``mountwait.asof.targetCellRows``, else ``TARGET_CELL_ROWS``).  Cell ids
+    only need to grow with time within a key, so this changes how the work is
+    cut and nothing else.  Right rows of keys without requests drop out.
     """
-    if strategy not in ("auto", "cells", "copies"):
-        raise ValueError("strategy must be 'auto', 'cells' or 'copies'")
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
     fwd = direction == "forward"
     win_us = as_duration_us(window)
     if win_us <= 0:
         raise ValueError("window must be positive")
-    auto = isinstance(bucket, str) and bucket == "auto"
-    if auto:
-        bucket_us = min(win_us, _DAY_US)
-    else:
-        bucket_us = as_duration_us(bucket) if bucket is not None else min(
-            win_us, as_duration_us(DEFAULT_BUCKET))
+    bucket_us = as_duration_us(bucket) if bucket is not None else min(win_us, _DAY_US)
     if bucket_us <= 0:
         raise ValueError("bucket must be positive")
     carry = [c for c in _as_list(carry) if c not in (right_time, tie)]
@@ -205,15 +122,11 @@ def asof_within(
     _require(right, "right", [right_by, right_time, *([tie] if tie else []), *carry])
 
     key_type = left.schema[left_by].dataType
-    time_type = left.schema[left_time].dataType
-
-    # --- split left rows: only eligible rows with key and time take part ----
+    # --- only eligible left rows with key and time take part ----------------
     cond = F.col(left_by).isNotNull() & F.col(left_time).isNotNull()
     if eligible is not None:
         cond = cond & eligible
     cond = F.coalesce(cond, F.lit(False))
-    left_in = left.filter(cond)
-    left_out = left.filter(~cond)
 
     # --- right side: drop rows that can never match, build the carried struct
     fields = [F.col(right_time).alias("time")]
@@ -223,7 +136,6 @@ def asof_within(
     s_us = epoch_micros(right_time)
     mnt_rows = right.filter(F.col(right_by).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(right_by).cast(key_type).alias(_K),
-        F.lit(None).cast(time_type).alias(_T),
         s_us.alias(_S),
         F.lit(0).alias(_R),
         (F.col(tie) if tie is not None else F.lit(None).cast("long")).alias(_TIE),
@@ -232,41 +144,28 @@ def asof_within(
     m_type = mnt_rows.schema[_M].dataType
     null_m = F.lit(None).cast(m_type)
 
-    copies = strategy == "copies"
-    if strategy == "auto" and bucket is None:
-        copies = _copies_fit(left_in, mnt_rows, left_by, left_time, win_us, fwd)
-    if copies:
-        return _asof_copies(left, left_in, left_out, mnt_rows, null_m, left_by, left_time,
-                            win_us, fwd, match)
-
     # --- 1. distinct request pairs ------------------------------------------
-    pairs = left_in.select(F.col(left_by).alias(_K), F.col(left_time).alias(_T)).distinct()
-    req_rows = pairs.select(
-        _K, _T, epoch_micros(_T).alias(_S),
-        F.lit(1).alias(_R), F.lit(None).cast("long").alias(_TIE), null_m.alias(_M))
+    pairs = left.filter(cond).select(F.col(left_by).alias(_K), epoch_micros(left_time).alias(_S)).distinct()
+    req_rows = pairs.select(_K, _S, F.lit(1).alias(_R), F.lit(None).cast(mnt_rows.schema[_TIE].dataType).alias(_TIE),
+                            null_m.alias(_M))
+    rows = req_rows.unionByName(mnt_rows)
 
-    if auto:
+    # --- 2. cells: one exchange for the window and the edges ------------------
+    if bucket is None:
         target = target_cell_rows or _conf_int(left.sparkSession, "mountwait.asof.targetCellRows",
-                                               AUTO_TARGET_CELL_ROWS)
+                                               TARGET_CELL_ROWS)
         coarse = F.floor(F.col(_S) / F.lit(bucket_us))
-        dens = (req_rows.groupBy(_K, coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-                .groupBy(_K).agg(F.max("_n").alias("_n")))
-        halvings = F.least(F.lit(AUTO_MAX_HALVINGS), F.greatest(F.lit(0), F.ceil(
-            F.log2(F.col("_n") / F.lit(float(target))))).cast("int"))
+        dens = (rows.groupBy(_K, coarse.alias("_c")).agg(F.count(F.lit(1)).alias("_n"), F.max(_R).alias("_q"))
+                .groupBy(_K).agg(F.max("_n").alias("_n"), F.max("_q").alias("_q")).filter(F.col("_q") == 1))
+        halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / F.lit(float(target)))))
         widths = dens.select(_K, F.greatest(F.lit(1), F.floor(
             F.lit(bucket_us) / F.pow(F.lit(2.0), halvings))).cast("long").alias("_w"))
-        req_rows = req_rows.join(widths, _K)
-        mnt_rows = mnt_rows.join(widths, _K)
+        rows = rows.join(widths, _K)
         width = F.col("_w")
     else:
         width = F.lit(bucket_us)
-    req_rows = req_rows.select(_K, _T, _S, F.floor(F.col(_S) / width).cast("long").alias(_B),
-                               _R, _TIE, _M)
-    mnt_rows = mnt_rows.select(_K, _T, _S, F.floor(F.col(_S) / width).cast("long").alias(_B),
-                               _R, _TIE, _M)
-    cells = req_rows.unionByName(mnt_rows)
+    cells = rows.select(_K, F.floor(F.col(_S) / width).cast("long").alias(_B), _S, _R, _TIE, _M).repartition(_K, _B)
 
-    # --- 2. within each cell: one window, one consumer ----------------------
     s_ord = F.col(_S).desc() if fwd else F.col(_S).asc()
     # equal times: pairs before right rows (strict ends); among right rows the
     # smallest tie is met last, so it wins; a null tie is least preferred.
@@ -277,22 +176,22 @@ def asof_within(
     run = (Window.partitionBy(_K, _B).orderBy(*order)
            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     reqs = cells.select(
-        _K, _B, _T, _S, _R, F.last(_M, ignorenulls=True).over(run).alias(_IN)
+        _K, _B, _S, _R, F.last(_M, ignorenulls=True).over(run).alias(_IN)
     ).filter(F.col(_R) == 1)
 
     # --- 3. across cells, on cell-level rows only ----------------------------
     # edge of a cell: its first right row going forward, its last going
-    # backward (same preference as above), from a map-side partial aggregate.
+    # backward (same preference as above); min skips the nulls of requests.
     signed = F.col(_S) if fwd else -F.col(_S)
-    edges = mnt_rows.groupBy(_K, _B).agg(F.min(F.struct(
-        signed.alias("o"), F.col(_TIE).isNull().alias("n"), F.col(_TIE).alias("t"),
-        F.col(_M).alias("m"))).getField("m").alias(_M))
-    pending = req_rows.select(_K, _B).distinct()
-    level = pending.select(_K, _B, F.lit(1).alias(_R), null_m.alias(_M)).unionByName(
-        edges.select(_K, _B, F.lit(0).alias(_R), _M))
+    level = cells.groupBy(_K, _B).agg(
+        F.max(_R).alias(_R),
+        F.min(F.when(F.col(_R) == 0, F.struct(
+            signed.alias("o"), F.col(_TIE).isNull().alias("n"), F.col(_TIE).alias("t"),
+            F.col(_M).alias("m")))).getField("m").alias(_M))
     b_ord = F.col(_B).desc() if fwd else F.col(_B).asc()
-    w_key = (Window.partitionBy(_K).orderBy(b_ord, F.col(_R).desc())
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the edge of the nearest cell beyond; a cell's own rows were looked at above
+    w_key = (Window.partitionBy(_K).orderBy(b_ord)
+             .rowsBetween(Window.unboundedPreceding, -1))
     onward = level.select(
         _K, _B, _R, F.last(_M, ignorenulls=True).over(w_key).alias(_NEXT)
     ).filter(F.col(_R) == 1).select(_K, _B, _NEXT)
@@ -302,12 +201,11 @@ def asof_within(
     m_us = epoch_micros(nearest.getField("time"))
     gap = (m_us - F.col(_S)) if fwd else (F.col(_S) - m_us)
     resolved = reqs.join(onward, [_K, _B], "left").select(
-        _K, _T, F.when(gap < F.lit(win_us), nearest).alias(match))
+        _K, _S, F.lit(-1).alias(_X), F.when(gap < F.lit(win_us), nearest).alias(match))
 
-    keyed = left_in.select("*", F.col(left_by).alias(_K), F.col(left_time).alias(_T))
-    joined = keyed.join(resolved, [_K, _T], "left").select(*left.columns, match)
-    rest = left_out.select("*", null_m.alias(match))
-    return joined.unionByName(rest)
+    keyed = left.select("*", F.when(cond, F.col(left_by)).alias(_K), F.when(cond, epoch_micros(left_time)).alias(_S),
+                        F.when(cond, F.lit(-1)).otherwise(F.spark_partition_id()).alias(_X))
+    return keyed.join(resolved, [_K, _S, _X], "left").select(*left.columns, match)
 
 
 def next_within(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
@@ -320,20 +218,9 @@ def prev_within(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
     return asof_within(left, right, direction="backward", **kw)
 
 
-def top1_after(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
-    """``order by time limit 1`` per request, folded into the as-of join."""
-    return next_within(left, right, **kw)
-
-
-def top1_before(left: DataFrame, right: DataFrame, **kw) -> DataFrame:
-    """``order by time desc limit 1`` per request, folded into the as-of join."""
-    return prev_within(left, right, **kw)
-
-
 def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: str,
                  right_time: str, lookups: Sequence[dict], tie: str | None = None,
                  carry: Sequence[str] | str | None = None, bucket=None,
-                 check_unique: bool = False,
                  target_cell_rows: int | None = None) -> DataFrame:
     """Several as-of lookups of one table against one right table, with the
     full left rows shuffled once.
@@ -343,31 +230,27 @@ def asof_lookups(left: DataFrame, right: DataFrame, *, id_col: str, right_by: st
     ``eligible`` and ``finish``: a function applied to the lookup's narrow
     result (``id``, key, time, ``match``) that returns ``id`` plus the
     columns to add, so that derived values are computed on the small plan
-    before the join.  Every lookup runs on narrow ``(id, key, time)`` rows; the
-    results are then joined to the full rows by ``id_col``, which must be
-    unique.  All those joins share the key ``id_col``, so Spark shuffles the
-    full rows once and only the narrow results for every further join
-    (small results become broadcasts at run time).  A repeated id would
-    multiply rows; ``check_unique`` verifies the ids first (one aggregation)
-    and raises on a repeat.
+    before the join.
+
+    The narrow rows are distinct in id, keys, times and eligibility, and the
+    results are joined back on all of these (as one struct, in which nulls
+    are equal), so an id that repeats neither multiplies rows nor mixes them.
+    All joins share that key: Spark shuffles the full rows once and only the
+    narrow results for every further join.
     """
-    if check_unique:
-        dup = (left.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > 1).limit(5).collect())
-        if dup:
-            raise ValueError(f"{id_col} repeats: {[r[0] for r in dup]}")
-    out = left
-    for lk in lookups:
-        cols = {id_col, lk["left_by"], lk["left_time"]}
-        elig = lk.get("eligible")
-        narrow = left.select(*cols, *([elig.alias("_lk_ok")] if elig is not None else []))
+    okays = {f"_lk_ok{n}": lk["eligible"] for n, lk in enumerate(lookups) if lk.get("eligible") is not None}
+    parts = dict.fromkeys([id_col, *(c for lk in lookups for c in (lk["left_by"], lk["left_time"]))])
+    row = F.struct(*parts, *[F.coalesce(e, F.lit(False)).alias(n) for n, e in okays.items()])
+    out = left.withColumn("_lk_row", row)
+    for n, lk in enumerate(lookups):
+        narrow = left.select(row.alias(id_col), *dict.fromkeys([lk["left_by"], lk["left_time"]])).distinct()
+        ok = F.col(id_col).getField(f"_lk_ok{n}") if f"_lk_ok{n}" in okays else None
         res = asof_within(
             narrow, right, left_by=lk["left_by"], right_by=right_by, left_time=lk["left_time"],
             right_time=right_time, window=lk["window"], direction=lk.get("direction", "forward"),
-            tie=tie, carry=carry, bucket=bucket, match=lk["match"],
-            eligible=F.col("_lk_ok") if elig is not None else None,
+            tie=tie, carry=carry, bucket=bucket, match=lk["match"], eligible=ok,
             target_cell_rows=target_cell_rows,
         )
         res = lk["finish"](res) if lk.get("finish") else res.select(id_col, lk["match"])
-        out = out.join(res, id_col, "left")
-    return out
+        out = out.join(res.withColumnRenamed(id_col, "_lk_row"), "_lk_row", "left")
+    return out.drop("_lk_row")

@@ -30,12 +30,12 @@ def set_where(df: DataFrame, cond: Column, assignments: Mapping[str, Column]) ->
 
 
 def enrich(base: DataFrame, updates: DataFrame, key: str | list[str],
-           columns: list[str] | None = None, check_unique: bool = False) -> DataFrame:
+           columns: list[str] | None = None, check_unique: bool = True) -> DataFrame:
     """``UPDATE base SET c = u.c ... FROM updates u WHERE base.key = u.key``.
 
-    ``updates`` must hold at most one row per key; with ``check_unique`` this
-    is verified first (one aggregation of the update keys) and a repeated
-    key raises.  Base rows without an update keep their values; columns new
+    ``updates`` must hold at most one row per key; this is verified first (one
+    aggregation of the update keys) and a repeated key raises, unless
+    ``check_unique`` is false.  Base rows without an update keep their values; columns new
     to ``base`` are null there.
     """
     keys = [key] if isinstance(key, str) else list(key)

@@ -1,35 +1,19 @@
 """Joins.
 
 ``join_dimension`` joins a large table to a dimension (volumes, suppliers,
-customers ...).  The dimension is broadcast only after its row count has
-been measured under a bound; above the bound the join stays a shuffle join
-(and adaptive execution may still pick a broadcast from measured shuffle
-sizes).  The count reads the dimension once; dimensions are small tables.
+customers ...).  No hint is given: adaptive execution broadcasts the
+dimension when its measured bytes are under the session's threshold and
+keeps a shuffle join, with split skewed partitions, otherwise.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Rows of a dimension that may be broadcast (a few MB for narrow rows).
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Return ``broadcast(dim)`` when it has at most ``max_rows`` rows, else ``dim``.
-
-    The count is a distributed count (partial counts per task, no rows
-    moved); a ``limit`` before it would funnel rows into a single task.
-    """
-    n = dim.count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Join ``fact`` to ``dim`` with a size-checked broadcast of ``dim``."""
-    return fact.join(broadcast_if_small(dim, max_rows), on, how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``fact`` to ``dim``; the strategy follows the measured bytes."""
+    return fact.join(dim, on, how)
 
 
 def using_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:

@@ -4,8 +4,7 @@ Given boundary dates ``d0 < d1 < ... < dn`` slice ``i`` holds the rows with
 ``d(i-1) <= ts < d(i)``; rows before ``d0`` or from ``dn`` on are not copied.
 A slice is assigned by an equi-join on the calendar day against a day ->
 slice table (one row per day between ``d0`` and ``dn``, so its size is
-bounded by the boundary list, not by the data; it is broadcast after its
-row count is checked).
+bounded by the boundary list, not by the data).
 
 Resume: completed slices are recorded in a manifest *after* their data has
 been written.  A run copies only slices not in the manifest and writes them
@@ -83,6 +82,13 @@ def daily_slices(df: DataFrame, ts_col: str) -> DataFrame:
         "slice_start", F.date_add("slice_start", 1).alias("slice_end"))
 
 
+def daily_counts(df: DataFrame, ts_col: str) -> DataFrame:
+    """Rows per calendar day as one-day slices: one aggregate, one read."""
+    return (df.where(F.col(ts_col).isNotNull()).groupBy(F.to_date(ts_col).alias("slice_start"))
+            .agg(F.count(F.lit(1)).alias("n_rows"))
+            .select("slice_start", F.date_add("slice_start", 1).alias("slice_end"), "n_rows"))
+
+
 def slice_counts(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
     """Rows per slice (slices without rows are not listed)."""
     return (assign_slices(df.select(ts_col), ts_col, slices)
@@ -109,14 +115,22 @@ def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target:
 
     Boundaries are expected to grow at the end between runs (new dates
     appended), as with a date list.  Splitting a copied slice is safe (each
-    new slice replaces its own partition); merging copied slices is not (the
-    merged slice rewrites only its first partition)."""
+    new slice replaces its own partition); a slice that holds a smaller copied
+    one raises, as it would rewrite its first partition only.  The bounds of
+    the pending slices go to the scan as literals."""
     wanted = slice_table(spark, boundaries)
     done = completed_slices(spark, target)
     pending = wanted.join(done, ["slice_start", "slice_end"], "left_anti")
     pending_rows = pending.collect()  # at most len(boundaries) rows
     if not pending_rows:
         return pending
+    held = pending.alias("p").join(done.alias("d"), F.expr(
+        "d.slice_start >= p.slice_start and d.slice_end <= p.slice_end")).select("d.*").limit(5).collect()
+    if held:
+        raise ValueError(f"slices copied already lie inside new ones: {[tuple(map(str, r)) for r in held]}")
+    kind = source.schema[ts_col].dataType
+    source = source.where((F.col(ts_col) >= F.lit(f"{min(r.slice_start for r in pending_rows)}").cast(kind))
+                          & (F.col(ts_col) < F.lit(f"{max(r.slice_end for r in pending_rows)}").cast(kind)))
     todo = spark.createDataFrame(pending_rows, pending.schema)
     n_days = sum((r.slice_end - r.slice_start).days for r in pending_rows)
     rows = assign_slices(source, ts_col, todo, n_days=n_days).withColumn(

@@ -1,8 +1,8 @@
 """Prepared tables: packaged files, their reads, mounts with families.
 
 All are filters and equi-joins.  Joins against ``volume`` (one row per
-tape, a small dimension) use a size-checked broadcast; the joins between the
-large tables (billing records x packaged files, store requests x packaged
+tape) become broadcasts where adaptive execution measures few bytes; the joins
+between the large tables (billing records x packaged files, store requests x packaged
 files) are shuffle joins on ``pnfsid`` whose skewed keys adaptive execution
 splits.
 """
@@ -76,10 +76,15 @@ def small_file_reads(package_reads_df: DataFrame, volume: DataFrame) -> DataFram
 
 
 def small_file_stores(storageinfo: DataFrame, packaged: DataFrame, volume: DataFrame) -> DataFrame:
-    """Store/restore requests of small (packaged) files, with the family of
-    the request's tape.  The packaged-file test is a left-semi join on
-    ``pnfsid`` (no file columns are added, no request is repeated)."""
-    small = storageinfo.join(packaged.select("pnfsid"), "pnfsid", "left_semi")
-    fam = family_of_labels(volume, keep_null=True).withColumnRenamed("label", "volume")
-    cols = [c for c in small.columns if c != "file_family"]
-    return join_dimension(small.select(*cols), fam, "volume", "left")
+    """Store/restore requests of small (packaged) files, each once.
+
+    A request keeps its family; where it has none it gets that of the tape
+    its file is on (the least tape label, should a file be listed twice).
+    """
+    tapes = packaged.groupBy("pnfsid").agg(F.min("volume").alias("_tape"))
+    fam = family_of_labels(volume, keep_null=True).select(
+        F.col("label").alias("_tape"), F.col("file_family").alias("_family"))
+    small = storageinfo.join(join_dimension(tapes, fam, "_tape", "left"), "pnfsid")
+    own = F.col("file_family") if "file_family" in storageinfo.columns else F.lit(None).cast("string")
+    cols = [c for c in storageinfo.columns if c != "file_family"]
+    return small.select(*cols, F.coalesce(own, F.col("_family")).alias("file_family"))

@@ -150,10 +150,10 @@ def bfid_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def age_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Calendar age between each event and the event 5000 ids later."""
-    e = td.table(spark, sf, "events").select("event_id", "ts")
-    o = e.select((F.col("event_id") - 5000).alias("event_id"), F.col("ts").alias("other_ts"))
-    j = with_age(e.join(o, "event_id"), "ts", "other_ts", prefix="age_", total="wait_us")
+    """Calendar age of each event since its user's first event (every event, once)."""
+    e = td.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    o = e.groupBy("user_id").agg(F.min("ts").alias("other_ts"))
+    j = with_age(e.join(o, "user_id", "left"), "ts", "other_ts", prefix="age_", total="wait_us")
     return j.select("event_id", "wait_us", "age_months", "age_days", "age_us")
 
 
@@ -195,6 +195,18 @@ def asof_prev(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("match.time").alias("prev_ts"))
 
 
+def asof_next_split(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``asof_next``, with a third of all events on one key, whose distinct
+    times a small target splits into many cells."""
+    req, mnt = _event_sides(spark, sf)
+    key = lambda i, u: F.when(F.col(i) % 3 == 0, F.lit(-1)).otherwise(F.col(u)).cast("long")
+    out = next_within(req.withColumn("k", key("event_id", "user_id")), mnt.withColumn("mk", key("m_event_id", "m_user_id")),
+                      left_by="k", right_by="mk", left_time="ts", right_time="m_ts", window=EVENT_WINDOW,
+                      tie="m_event_id", target_cell_rows=20)
+    return out.select("event_id", F.col("match.m_event_id").alias("next_event_id"),
+                      F.col("match.time").alias("next_ts"))
+
+
 def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Line items by supplier nation -> next order by customer nation within
     100 days; midnight times give many ties, the smallest order key wins."""
@@ -218,7 +230,7 @@ def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
 def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
     """As ``asof_next_ties`` with a third of both sides (order keys divisible
     by 3) moved onto one hot key, to exercise the skew handling; cells are
-    sized per key (``bucket="auto"``)."""
+    sized per key (cells are sized per key)."""
     li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                                 "l_suppkey", "l_shipdate")
     sup = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
@@ -232,7 +244,7 @@ def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
         "o_nation", F.when(F.col("o_orderkey") % 3 == 0, F.lit(HOT_KEY)).otherwise(F.col("c_nation")))
     out = next_within(left, right, left_by="nation", right_by="o_nation",
                       left_time="l_shipdate", right_time="o_orderdate", window=TIES_WINDOW,
-                      tie="o_orderkey", bucket="auto")
+                      tie="o_orderkey")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                       F.col("match.o_orderkey").alias("next_orderkey"),
                       F.col("match.time").alias("next_orderdate"))
@@ -336,7 +348,7 @@ def enrich_update(spark: SparkSession, sf: str) -> DataFrame:
 
 def date_slices(spark: SparkSession, sf: str) -> DataFrame:
     b = td.billinginfo(spark, sf)
-    return ingest.slice_counts(b, "datestamp", ingest.daily_slices(b, "datestamp"))
+    return ingest.daily_counts(b, "datestamp")
 
 
 SUITE = {
@@ -360,6 +372,7 @@ SUITE = {
     "age_parts": age_parts,
     "age_parts_dates": age_parts_dates,
     "asof_next": asof_next,
+    "asof_next_split": asof_next_split,
     "asof_prev": asof_prev,
     "asof_next_ties": asof_next_ties,
     "asof_next_hot_key": asof_next_hot_key,

@@ -186,20 +186,23 @@ def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WIND
 def restore_host_volume(stores: DataFrame, family_mounts: DataFrame,
                         window=HOST_VOLUME_WINDOW, bucket=None,
                         done: str = "updated", mark: str | None = None,
-                        strict: bool = False) -> DataFrame:
+                        strict: bool = False, skip_done: str | None = None) -> DataFrame:
     """Simulated host tape of each successful restore (from the BFID time);
     sets ``volume`` and marks ``done`` (and ``mark``, when given, to tell
-    the rows changed by this run).  ``strict`` as in ``read_host_volume``."""
+    the rows changed by this run).  ``skip_done`` names a further flag that
+    must be present and false.  ``strict`` as in ``read_host_volume``."""
+    ok = eligible_restore_volume(stores, done)
+    if skip_done:
+        ok = ok & _not_done(stores, skip_done)
     if strict:
-        require_good_bfids(stores.filter(eligible_restore_volume(stores, done)))
+        require_good_bfids(stores.filter(ok))
     m = _mount_cols(family_mounts, "file_family").select(
         "tapemount_id", "start", F.col("volume").alias("_m_volume"),
         F.col("file_family").alias("_m_family"))
     r = stores.withColumn(_BFID_T, bfid_time("bfid"))
     out = next_within(r, m, left_by="file_family", right_by="_m_family", left_time=_BFID_T,
                       right_time="start", window=window, tie="tapemount_id",
-                      carry=["_m_volume"], eligible=eligible_restore_volume(stores, done),
-                      bucket=bucket)
+                      carry=["_m_volume"], eligible=ok, bucket=bucket)
     sets = {done: F.lit(True), "volume": F.col("match._m_volume")}
     if mark:
         sets[mark] = F.lit(True)
@@ -240,7 +243,7 @@ def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame
         s = s.withColumn("volume_done", F.lit(False))
     if "wait_done" not in s.columns:
         s = s.withColumn("wait_done", F.lit(False))
-    s = restore_host_volume(s, family_mounts, volume_window, bucket, done="volume_done")
+    s = restore_host_volume(s, family_mounts, volume_window, bucket, done="volume_done", skip_done="updated")
     if between is not None:
         s = between(s)
     return restore_waits(s, mounts, wait_window, bucket, done="wait_done")
@@ -264,8 +267,8 @@ def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
                    previous_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
     """The three read lookups in one job: next mount of the read's tape, next
     mount of the tape after migration, and last mount before the read on
-    that tape (with the ``finish`` test).  The reads are shuffled once
-    (``sfbr_id`` must be unique); each lookup and its wait are computed on
+    that tape (with the ``finish`` test).  The reads are shuffled once, and
+    ``sfbr_id`` may repeat; each lookup and its wait are computed on
     narrow rows.  Results equal ``read_waits``, ``read_waits_migrated`` and
     ``previous_mount`` applied in turn."""
     m = _mount_cols(mounts, "finish").withColumnRenamed("volume", "_m_volume")
@@ -305,7 +308,7 @@ def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataF
     """All store-table stages in one job: wait of every store (``updated``
     as done flag), host tape of every restore (``volume_done``), then wait
     of every restore on that tape (``wait_done``).  The first two lookups
-    share one shuffle of the full rows (``storageinfo_id`` must be unique);
+    share one shuffle of the full rows;
     the restore wait needs the new tape, so it follows as a second stage,
     after ``between`` (a reliable checkpoint by default, see
     ``restore_chain``).  Equal to ``store_waits`` followed by
@@ -323,7 +326,8 @@ def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataF
                            dict(left_by="file_family", left_time="datestamp", window=store_window,
                                 match="_lk_store", eligible=eligible_store(s)),
                            dict(left_by="file_family", left_time=_BFID_T, window=volume_window,
-                                match="_lk_vol", eligible=eligible_restore_volume(s, "volume_done")),
+                                match="_lk_vol", eligible=eligible_restore_volume(s, "volume_done")
+                                & _not_done(s, "updated")),
                        ])
     out, wait = with_wait(out, F.col("_lk_store.time"), F.col("datestamp"))
     out = drop_wait(set_where(out, F.col("_lk_store").isNotNull(), {

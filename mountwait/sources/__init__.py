@@ -2,11 +2,11 @@
 
 from mountwait.sources.jdbc import jdbc_bounds, read_jdbc, read_jdbc_query
 from mountwait.sources.shards import id_shard, shard_bounds
-from mountwait.sources.sinks import append_table, write_family_labels, write_snapshot
+from mountwait.sources.sinks import append_table, write_snapshot
 from mountwait.sources.tables import read_table
 
 __all__ = [
     "read_table", "read_jdbc", "read_jdbc_query", "jdbc_bounds",
     "id_shard", "shard_bounds",
-    "append_table", "write_snapshot", "write_family_labels",
+    "append_table", "write_snapshot",
 ]

@@ -46,11 +46,3 @@ def family_labels(volume: DataFrame) -> DataFrame:
     """``(file_family, label)`` of every volume with a family.  Repeated
     pairs are kept as they are in the volume table."""
     return volume.filter(F.col("file_family").isNotNull()).select("file_family", "label")
-
-
-def write_family_labels(volume: DataFrame, path: str) -> None:
-    """Write the label set of every family, one partition folder per family.
-
-    Families present in ``volume`` replace their old folder; families not
-    present keep theirs."""
-    write_snapshot(family_labels(volume), path, partition_by=["file_family"])

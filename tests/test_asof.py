@@ -19,12 +19,12 @@ M_SCHEMA = T.StructType([T.StructField("mid", T.LongType()), T.StructField("mk",
                          T.StructField("finish", T.TimestampNTZType())])
 
 
-def run(spark, reqs, mounts, window=DAY, direction="forward", bucket=None, strategy="auto"):
+def run(spark, reqs, mounts, window=DAY, direction="forward", bucket=None):
     r = spark.createDataFrame(reqs, R_SCHEMA)
     m = spark.createDataFrame(mounts, M_SCHEMA)
     fn = next_within if direction == "forward" else prev_within
     out = fn(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=window,
-             tie="mid", carry=["finish"], bucket=bucket, strategy=strategy)
+             tie="mid", carry=["finish"], bucket=bucket)
     return {row.rid: (row.match.mid if row.match else None)
             for row in out.select("rid", "match").collect()}
 
@@ -94,10 +94,9 @@ def brute(reqs, mounts, window, direction):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["cells", "copies"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-def test_matches_brute_force(spark, seed, direction, strategy):
+def test_matches_brute_force(spark, seed, direction):
     rnd = random.Random(seed)
     keys = ["a", "b", "c", None]
 
@@ -108,15 +107,12 @@ def test_matches_brute_force(spark, seed, direction, strategy):
     mounts = [(1000 + i, rnd.choice(keys), ts(), None) for i in range(80)]
     window = dt.timedelta(hours=rnd.choice([3, 12, 30]))
     bucket = rnd.choice([None, dt.timedelta(minutes=45), dt.timedelta(hours=7)])
-    if strategy == "copies":
-        bucket = None
-    assert run(spark, reqs, mounts, window, direction, bucket, strategy) == \
+    assert run(spark, reqs, mounts, window, direction, bucket) == \
         brute(reqs, mounts, window, direction)
 
 
-@pytest.mark.parametrize("strategy", ["cells", "copies"])
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-def test_hot_key_and_hot_instant(spark, direction, strategy):
+def test_hot_key_and_hot_instant(spark, direction):
     """One key holds most rows, many of them at one instant; results equal
     the brute force and every request row comes back once."""
     rnd = random.Random(11)
@@ -131,7 +127,7 @@ def test_hot_key_and_hot_instant(spark, direction, strategy):
     mounts += [(9000, "hot", hot_t, None), (9001, "hot", hot_t, None)]   # equal to the hot instant
     window = dt.timedelta(hours=10)
     got = run(spark, reqs, mounts, window, direction,
-              bucket=dt.timedelta(minutes=20) if strategy == "cells" else None, strategy=strategy)
+              bucket=dt.timedelta(minutes=20))
     assert len(got) == len(reqs)
     assert got == brute(reqs, mounts, window, direction)
 
@@ -154,14 +150,19 @@ def test_result_independent_of_shuffle_partitions(spark):
     assert results[0] == results[1] == brute(reqs, mounts, dt.timedelta(hours=8), "forward")
 
 
-def test_asof_lookups_unique_check(spark):
+def test_asof_lookups_with_repeated_ids(spark):
+    """A repeated id, also with a null key, gives one row out per row in, each with its own match."""
     from mountwait.operators.asof import asof_lookups
-    r = spark.createDataFrame([(1, "a", T0), (1, "a", T0 + DAY)], R_SCHEMA)
-    m = spark.createDataFrame([(10, "a", T0 + dt.timedelta(hours=1), None)], M_SCHEMA)
-    look = [dict(left_by="k", left_time="t", window=DAY, match="m1")]
-    with pytest.raises(ValueError):
-        asof_lookups(r, m, id_col="rid", right_by="mk", right_time="mt", lookups=look,
-                     tie="mid", check_unique=True)
+    rows = [(1, "a", T0), (1, "a", T0), (1, "a", T0 + DAY), (1, "b", T0), (1, None, T0), (None, "a", T0)]
+    r = spark.createDataFrame(rows, R_SCHEMA)
+    m = spark.createDataFrame([(10, "a", T0 + dt.timedelta(hours=1), None), (11, "b", T0 + dt.timedelta(hours=2), None)],
+                              M_SCHEMA)
+    look = [dict(left_by="k", left_time="t", window=DAY, match="m1"),
+            dict(left_by="k", left_time="t", window=DAY, match="m2", eligible=F.col("rid").isNotNull())]
+    out = asof_lookups(r, m, id_col="rid", right_by="mk", right_time="mt", lookups=look, tie="mid").collect()
+    got = sorted(str((x.rid, x.k, x.t, x.m1 and x.m1.mid, x.m2 and x.m2.mid)) for x in out)
+    assert got == sorted(map(str, [(1, "a", T0, 10, 10)] * 2 + [(1, "a", T0 + DAY, None, None), (1, "b", T0, 11, 11),
+                                   (1, None, T0, None, None), (None, "a", T0, 10, None)]))
 
 
 def test_missing_column_is_reported(spark):
@@ -174,7 +175,7 @@ def test_missing_column_is_reported(spark):
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 @pytest.mark.parametrize("target", [2, 50, 1_000_000])
 def test_auto_buckets_match_brute_force(spark, direction, target):
-    """Per-key cell widths (bucket="auto"): tiny targets force very fine
+    """Per-key cell widths (the default): tiny targets force very fine
     cells for the hot key; the answer must not change."""
     rnd = random.Random(23)
     hot_t = T0 + dt.timedelta(hours=30)
@@ -191,7 +192,7 @@ def test_auto_buckets_match_brute_force(spark, direction, target):
     m = spark.createDataFrame(mounts, M_SCHEMA)
     fn = next_within if direction == "forward" else prev_within
     out = fn(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=window,
-             tie="mid", bucket="auto", target_cell_rows=target)
+             tie="mid", target_cell_rows=target)
     got = {row.rid: (row.match.mid if row.match else None) for row in out.select("rid", "match").collect()}
     assert got == brute(reqs, mounts, window, direction)
 
@@ -216,7 +217,7 @@ def test_auto_target_from_session_conf(spark):
     window = dt.timedelta(hours=3)
     spark.conf.set("mountwait.asof.targetCellRows", "2")
     try:
-        got = run(spark, reqs, mounts, window, "forward", bucket="auto")
+        got = run(spark, reqs, mounts, window, "forward")
     finally:
         spark.conf.unset("mountwait.asof.targetCellRows")
     assert got == brute(reqs, mounts, window, "forward")

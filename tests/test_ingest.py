@@ -52,3 +52,17 @@ def test_copy_by_dates_job_reads_the_date_list(spark, tmp_dir):
     out = spark.read.parquet(target)
     assert out.count() == 6      # 09-09 00:00 .. 09-11 12:00; 09-08 and from 09-12 are outside
     assert jobs.copy_by_dates_job(spark, src, target, dates).count() == 0   # resume: nothing left
+
+
+def test_merged_slices_are_refused(spark, tmp_dir):
+    import datetime as dt
+
+    import pytest
+    from mountwait.plans.ingest import copy_by_slices
+    src = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i)) for i in range(59)],
+                                "id int, ts timestamp_ntz")
+    target = f"{tmp_dir}/merged"
+    copy_by_slices(spark, src, "ts", target, ["2024-01-01", "2024-02-01", "2024-03-01"])
+    with pytest.raises(ValueError, match="inside new ones"):
+        copy_by_slices(spark, src, "ts", target, ["2024-01-01", "2024-03-01"])
+    assert spark.read.parquet(target).where("id is not null").count() == 59

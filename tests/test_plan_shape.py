@@ -16,25 +16,6 @@ def test_asof_plan_has_no_pairs_and_no_single_partition(spark):
         assert bad not in plan, bad
 
 
-def test_each_strategy_has_its_shape(spark):
-    import pytest
-    from mountwait.operators.asof import next_within
-    req, mnt = suite._event_sides(spark, SF001)
-    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
-              window=86400, tie="m_event_id")
-    cells = _plan(next_within(req, mnt, strategy="cells", **kw))
-    copies = _plan(next_within(req, mnt, strategy="copies", **kw))
-    # cells: one window over (key, cell), one over cell-level rows
-    assert cells.count("Window [") == 2
-    # copies: one window over window-wide cells, no join back
-    assert copies.count("Window [") == 1 and "Join" not in copies
-    for plan in (cells, copies):
-        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
-            assert bad not in plan, bad
-    with pytest.raises(ValueError):
-        next_within(req, mnt, strategy="nope", **kw)
-
-
 def test_scans_are_pushed_and_pruned(spark):
     plan = _plan(suite.read_waits(spark, SF001))
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)" in plan
@@ -49,34 +30,48 @@ def test_no_python_in_any_registered_query(spark):
         assert "CartesianProduct" not in plan, name
 
 
-def test_auto_bucket_plan_keeps_the_same_shape(spark):
-    plan = _plan(suite.asof_next_hot_key(spark, SF001))
-    assert plan.count("Window [") == 2
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
-        assert bad not in plan, bad
-
-
-def test_auto_switches_on_the_size_check(spark, monkeypatch):
-    from mountwait.operators import asof
-    req, mnt = suite._event_sides(spark, SF001)
-    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
-              window=86400, tie="m_event_id")
-    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1     # fits: copies
-    monkeypatch.setattr(asof, "COPIES_MAX_CELL_ROWS", 1)
-    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 2     # over: cells
+def test_asof_plan_has_one_shape_and_starts_no_job(spark):
+    """One window per cell, one over cell rows, whatever the sizes; no job while planning."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("asof-plan", "planning")
+    plans = [_plan(fn(spark, SF001)) for fn in (suite.asof_next_split, suite.asof_next, suite.read_waits)]
+    jobs = tracker.getJobIdsForGroup("asof-plan")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert not jobs
+    for plan in plans:
+        assert plan.count("Window [") == 2
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
+            assert bad not in plan, bad
 
 
-def test_copies_bound_from_session_conf(spark):
-    from mountwait.operators import asof
+def test_hot_key_really_splits(spark):
+    """The registered query's target cuts the hot key's times into many cells."""
+    from pyspark.sql import functions as F
     req, mnt = suite._event_sides(spark, SF001)
-    kw = dict(left_by="user_id", right_by="m_user_id", left_time="ts", right_time="m_ts",
-              window=86400, tie="m_event_id")
-    spark.conf.set("mountwait.asof.copiesMaxCellRows", "1")
+    hot = (req.where("event_id % 3 = 0").select("ts").union(mnt.where("m_event_id % 3 = 0").select("m_ts"))
+           .groupBy(F.to_date("ts")).count().agg(F.max("count")).first()[0])
+    assert hot > 0
+    plan = _plan(suite.asof_next_split(spark, SF001))
+    assert "LOG2" in plan.upper()
+
+
+def test_date_copy_prunes_the_scan(spark, tmp_dir):
+    """Both bounds of the pending slices reach the scan."""
+    from mountwait.plans import ingest
+    src = spark.read.parquet(f"{SF001}/events.parquet")
+    seen = []
+    real = ingest.assign_slices
+
+    def spy(df, *a, **k):
+        seen.append(_plan(df))
+        return real(df, *a, **k)
+    ingest.assign_slices = spy
     try:
-        assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 2
+        day = src.selectExpr("min(to_date(ts))").first()[0]
+        ingest.copy_by_slices(spark, src, "ts", f"{tmp_dir}/copy", [day, day + __import__("datetime").timedelta(days=1)])
     finally:
-        spark.conf.unset("mountwait.asof.copiesMaxCellRows")
-    assert _plan(asof.next_within(req, mnt, **kw)).count("Window [") == 1
+        ingest.assign_slices = real
+    assert "GreaterThanOrEqual(ts" in seen[0] and "LessThan(ts" in seen[0]
 
 
 def test_combined_lookups_shuffle_the_rows_once(spark):
@@ -89,4 +84,4 @@ def test_combined_lookups_shuffle_the_rows_once(spark):
         plan = _plan(suite.read_waits_all(spark, SF001))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert len(re.findall(r"Exchange hashpartitioning\(sfbr_id", plan)) == 4
+    assert len(re.findall(r"Exchange hashpartitioning\(_lk_row", plan)) == 4

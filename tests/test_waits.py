@@ -94,23 +94,41 @@ def test_bad_bfid_strict(spark):
         waits.read_host_volume(reads, fam_mounts, strict=True)
 
 
-def test_dimension_broadcast_only_under_bound(spark):
+def test_dimension_join_gives_no_hint(spark):
     from mountwait.operators.joins import join_dimension
     fact = spark.range(100).withColumnRenamed("id", "k")
     dim = spark.range(10).withColumnRenamed("id", "k")
-    small = join_dimension(fact, dim, "k")._jdf.queryExecution().analyzed().toString()
-    big = join_dimension(fact, dim, "k", max_rows=5)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" in small        # counted 10 <= bound: hinted
-    assert "strategy=broadcast" not in big      # over the bound: no hint
+    plan = join_dimension(fact, dim, "k")._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in plan
 
 
-def test_read_waits_all_same_under_both_plans(spark):
+def test_restore_chain_skips_restores_marked_updated(spark):
+    stores = spark.createDataFrame([
+        (n, "restore", 0, flag, "P1", "CDMS1714557600000001", T0, "fam", None) for n, flag in enumerate([True, None, False])
+    ], "storageinfo_id bigint, action string, errorcode int, updated boolean, pnfsid string, "
+       "bfid string, datestamp timestamp_ntz, file_family string, volume string")
+    fam = spark.createDataFrame([(200, "V7", T0 + dt.timedelta(minutes=5), None, 1, "fam")], MOUNTS + ", file_family string")
+    mounts = spark.createDataFrame([(300, "V7", T0 + 2 * H, None, 1)], MOUNTS)
+    out = {r.storageinfo_id: r.volume_done for r in waits.restore_chain(stores, fam, mounts).collect()}
+    assert out == {0: False, 1: False, 2: True}
+
+
+def test_small_file_stores_keep_their_family(spark):
+    from mountwait.plans import prepare
+    stores = spark.createDataFrame([(1, "P1", "own", None), (2, "P1", None, None), (3, "P2", None, "V9"), (4, "P3", None, None)],
+                                   "storageinfo_id long, pnfsid string, file_family string, volume string")
+    packaged = spark.createDataFrame([("P1", "V1"), ("P1", "V1"), ("P2", "V2")], "pnfsid string, volume string")
+    volume = spark.createDataFrame([("V1", "fam-1"), ("V9", "fam-9")], "label string, file_family string")
+    out = {r.storageinfo_id: r.file_family for r in prepare.small_file_stores(stores, packaged, volume).collect()}
+    assert out == {1: "own", 2: "fam-1", 3: None}
+
+def test_read_waits_all_same_for_any_cell_width(spark):
     from conftest import SF01
     from mountwait.sources import testdata as td
     reads, mounts = td.reads(spark, SF01), td.tape_mounts(spark, SF01)
     cols = ["sfbr_id", "next_mount_id", "mount_wait", "migration_next_mount_id",
             "migration_mount_wait", "previous_mount_100d_id", "previous_mount_100d_wait"]
-    a = waits.read_waits_all(reads, mounts, 86400, 86400).select(*cols)           # size check
-    b = waits.read_waits_all(reads, mounts, 86400, 86400, bucket="auto").select(*cols)  # cells
+    a = waits.read_waits_all(reads, mounts, 86400, 86400).select(*cols)
+    b = waits.read_waits_all(reads, mounts, 86400, 86400, bucket=1800).select(*cols)
     assert a.count() == b.count() == reads.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -1,7 +1,6 @@
 """Compare three plans for the bounded forward as-of join on the same data.
 
-* ``cells``   - the library's skew-robust plan (pairs, time cells, cell edges)
-* ``auto``    - the library's default: size check, then copies or cells
+* ``library`` - the library's plan (pairs, time cells sized per key, cell edges)
 * ``by_key``  - one window per key over requests and mounts (a hot key is
                 one task)
 * ``copies``  - cells as wide as the window, each mount copied into its own
@@ -40,11 +39,10 @@ def sides(spark, sf):
     return li, od
 
 
-def form_library(li, od, strategy):
+def form_library(li, od):
     from mountwait.operators.asof import next_within
     out = next_within(li, od, left_by="k", right_by="mk", left_time="l_shipdate",
-                      right_time="o_orderdate", window=WINDOW_US / 1e6, tie="o_orderkey",
-                      strategy=strategy)
+                      right_time="o_orderdate", window=WINDOW_US / 1e6, tie="o_orderkey")
     return out.select(F.col("match.o_orderkey").alias("hit"))
 
 
@@ -75,8 +73,7 @@ def main() -> None:
     spark = build_session("local[8]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     li, od = sides(spark, sf)
-    forms = {"cells": lambda a, b: form_library(a, b, "cells"),
-             "auto": lambda a, b: form_library(a, b, "auto"),
+    forms = {"library": form_library,
              "by_key": lambda a, b: _window_form(a, b, False),
              "copies": lambda a, b: _window_form(a, b, True)}
     for name, fn in forms.items():
