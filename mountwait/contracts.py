@@ -19,7 +19,8 @@ def _s(*fields):
 
 
 FILE = _s(("id", T.LongType()), ("pnfsid", T.StringType()),
-          ("package_id", T.LongType()), ("original_library", T.StringType()))
+          ("package_id", T.LongType()), ("original_library", T.StringType()),
+          ("bfid", T.StringType()), ("volume", T.StringType()))
 BILLINGINFO = _s(("billinginfo_id", T.LongType()), ("pnfsid", T.StringType()), ("datestamp", TS))
 VOLUME = _s(("id", T.LongType()), ("label", T.StringType()), ("file_family", T.StringType()))
 TAPE_MOUNTS = _s(("tapemount_id", T.LongType()), ("volume", T.StringType()), ("start", TS),
@@ -32,7 +33,12 @@ STORAGEINFO = _s(("storageinfo_id", T.LongType()), ("action", T.StringType()),
                  ("pnfsid", T.StringType()), ("bfid", T.StringType()), ("datestamp", TS),
                  ("file_family", T.StringType()), ("volume", T.StringType()))
 
+# The request log before family, tape and done flag are added.
+RAW_STORAGEINFO = _s(*[(f.name, f.dataType) for f in STORAGEINFO.fields
+                       if f.name not in ("updated", "file_family", "volume")])
+
 CONTRACTS = {
+    "storageinfo": RAW_STORAGEINFO,
     "file": FILE,
     "billinginfo": BILLINGINFO,
     "volume": VOLUME,

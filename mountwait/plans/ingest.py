@@ -53,24 +53,15 @@ def day_slices(slices: DataFrame) -> DataFrame:
         "slice_start", "slice_end")
 
 
-# Days of a slice table that may be broadcast.
-MAX_BROADCAST_DAYS = 2_000_000
-
-
-def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame,
-                  n_days: int | None = None) -> DataFrame:
+def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
     """Rows of ``df`` inside some slice, with ``slice_start``/``slice_end``.
 
     ``slices`` holds whole dates, so the day of ``ts`` decides the slice: an
     equi-join on the day against one row per covered day (it grows with the
-    date span, not with the rows).  ``n_days``, when the caller knows it
-    (slices from a date list), bounds that table; otherwise it is counted
-    before it is broadcast."""
+    date span, not with the rows, and adaptive execution broadcasts it where
+    it measures few bytes)."""
     days = day_slices(slices).withColumnRenamed("day", "_day")
     keyed = df.withColumn("_day", F.to_date(ts_col))
-    if n_days is not None:
-        side = F.broadcast(days) if n_days <= MAX_BROADCAST_DAYS else days
-        return keyed.join(side, "_day").drop("_day")
     return join_dimension(keyed, days, "_day").drop("_day")
 
 
@@ -132,8 +123,7 @@ def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target:
     source = source.where((F.col(ts_col) >= F.lit(f"{min(r.slice_start for r in pending_rows)}").cast(kind))
                           & (F.col(ts_col) < F.lit(f"{max(r.slice_end for r in pending_rows)}").cast(kind)))
     todo = spark.createDataFrame(pending_rows, pending.schema)
-    n_days = sum((r.slice_end - r.slice_start).days for r in pending_rows)
-    rows = assign_slices(source, ts_col, todo, n_days=n_days).withColumn(
+    rows = assign_slices(source, ts_col, todo).withColumn(
         SLICE_COL, F.date_format("slice_start", "yyyy-MM-dd")).drop("slice_start", "slice_end")
     (rows.hint("rebalance", SLICE_COL).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(SLICE_COL).parquet(target))

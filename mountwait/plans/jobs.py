@@ -1,12 +1,14 @@
 """Batch jobs: read the input tables, run one plan, write one snapshot.
 
 A table is named by a Parquet path, or by a dict for JDBC
-(``{"url": ..., "table": ..., "column": ..., "partitions": ..., "properties": {...}}``);
-a JDBC target is appended to (created when absent), as the reference does.
-Outputs are written as new snapshots (overwrite of the target path, or of
-the partitions present); the target must differ from the inputs.  Re-running
-a job after a failure rewrites the same snapshot, so no partial result
-survives and task retries and speculation are harmless.
+(``{"url": ..., "table": ..., "column": ..., "partitions": ..., "lower": ..., "upper": ...,
+"fetch_size": ..., "properties": {...}}``).
+Parquet outputs are written as new snapshots (overwrite of the target path,
+or of the partitions present), so re-running a job after a failure rewrites
+the same snapshot; the target must differ from the inputs.  A JDBC target is
+appended to (created when absent), with structs as flat columns
+(``mount_wait_days``); a repeated append repeats its rows, so a run with
+``since`` takes a Parquet target only.
 
 Command line: ``python -m mountwait.plans.jobs <job> key=value ...``; a
 value that is JSON (a JDBC table spec, a number, ``true``/``false``) is
@@ -22,10 +24,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mountwait.contracts import CONTRACTS, conform
 from mountwait.operators.aggregates import family_min_id, library_counts
 from mountwait.plans import ingest, prepare, waits
-from mountwait.session import build_session, cut_lineage
-from mountwait.sources.jdbc import read_jdbc, read_jdbc_grouped
+from mountwait.session import build_session, scratch_tables
+from mountwait.sources.jdbc import DEFAULT_FETCH_SIZE, read_jdbc, read_jdbc_grouped
 from mountwait.sources.shards import with_shards
 from mountwait.sources.sinks import append_table, family_labels, write_snapshot
 from mountwait.sources.tables import read_table
@@ -34,11 +37,10 @@ from mountwait.sources.tables import read_table
 def load(spark: SparkSession, src, contract: str | None = None) -> DataFrame:
     if isinstance(src, dict):
         df = read_jdbc(spark, src["url"], src["table"], column=src.get("column"),
-                       num_partitions=src.get("partitions"), properties=src.get("properties"))
-        if contract:
-            from mountwait.contracts import CONTRACTS, conform
-            df = conform(df, CONTRACTS[contract])
-        return df
+                       num_partitions=src.get("partitions"), lower=src.get("lower"),
+                       upper=src.get("upper"), properties=src.get("properties"),
+                       fetch_size=src.get("fetch_size", DEFAULT_FETCH_SIZE))
+        return conform(df, CONTRACTS[contract]) if contract else df
     return read_table(spark, src, contract)
 
 
@@ -81,14 +83,31 @@ def relevant_mounts(mounts: DataFrame, since=None, window=waits.DEFAULT_WINDOW,
     return mounts.filter(F.col(time_col) > _ts(_day_start(since) - w))
 
 
-def write_by_day(out: DataFrame, target: str, time_col: str = "datestamp") -> None:
+def flat(df: DataFrame) -> DataFrame:
+    """Every struct column as columns ``<column>_<field>`` (databases store no structs)."""
+    cols = []
+    for f in df.schema.fields:
+        if f.dataType.typeName() == "struct":
+            cols += [F.col(f"`{f.name}`.`{n}`").alias(f"{f.name}_{n}") for n in f.dataType.names]
+        else:
+            cols.append(F.col(f"`{f.name}`"))
+    return df.select(*cols)
+
+
+def write_by_day(out: DataFrame, target, time_col: str = "datestamp", since=None) -> None:
+    """Parquet path: day partitions replaced.  JDBC dict: append of flat rows."""
+    if isinstance(target, dict):
+        if since is not None:
+            raise ValueError("a run with since needs a Parquet target: an append would repeat rows of those days")
+        save(out, target)
+        return
     write_snapshot(out.withColumn(DAY_COL, F.to_date(time_col)), target, partition_by=[DAY_COL])
 
 
 def save(df: DataFrame, target) -> None:
     """Parquet path: snapshot overwrite.  JDBC dict: append."""
     if isinstance(target, dict):
-        append_table(df, target["table"], jdbc_url=target["url"],
+        append_table(flat(df), target["table"], jdbc_url=target["url"],
                      properties=target.get("properties"))
     else:
         write_snapshot(df, target)
@@ -120,17 +139,47 @@ def package_reads_job(spark, billing_src, packaged_src, target: str) -> None:
     save(reads, target)
 
 
-def family_tables_job(spark, volume_src, target: str, keep_existing: bool = True) -> DataFrame:
+def filtered_mounts_job(spark, mounts_src, volume_src, target) -> None:
+    """Mounts with writes, with the family of the mounted tape."""
+    save(prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
+                                      load(spark, volume_src, "volume")), target)
+
+
+def small_file_reads_job(spark, package_reads_src, volume_src, target) -> None:
+    """Read requests of packaged files, from the table ``package_reads`` wrote."""
+    save(prepare.small_file_reads(load(spark, package_reads_src), load(spark, volume_src, "volume")),
+         target)
+
+
+def small_file_stores_job(spark, storage_src, packaged_src, volume_src, target) -> None:
+    """Store and restore requests of packaged files with their family, from
+    the request log and the table ``packaged_files`` wrote.  A log without
+    the columns ``updated`` and ``volume`` gets them as false and null."""
+    requests = load(spark, storage_src, "storageinfo")
+    for name, value in (("updated", F.lit(False)), ("volume", F.lit(None).cast("string"))):
+        if name not in requests.columns:
+            requests = requests.withColumn(name, value)
+    save(prepare.small_file_stores(requests, load(spark, packaged_src, "file"),
+                                   load(spark, volume_src, "volume")), target)
+
+
+def family_tables_job(spark, volume_src, target, keep_existing: bool = True) -> DataFrame:
     """Label set of every family, one partition per family.  With
     ``keep_existing`` a family that already has labels under ``target`` is
-    left as it is (create-if-absent); otherwise it is replaced."""
+    left as it is (create-if-absent); otherwise it is replaced.  A JDBC
+    target is one table, read first with ``keep_existing`` (it must exist)
+    and written anew without."""
     vol = load(spark, volume_src, "volume")
     labels = family_labels(vol)
     if keep_existing:
         have = _existing_families(spark, target)
         if have is not None:
             labels = labels.join(have, "file_family", "left_anti")
-    write_snapshot(labels, target, partition_by=["file_family"])
+    if isinstance(target, dict):
+        append_table(labels, target["table"], jdbc_url=target["url"], properties=target.get("properties"),
+                     mode="append" if keep_existing else "overwrite")
+    else:
+        write_snapshot(labels, target, partition_by=["file_family"])
     if isinstance(volume_src, dict):  # derived table: the database groups
         return read_jdbc_grouped(spark, volume_src["url"], volume_src["table"], "file_family",
                                  {"min_id": "min:id"}, properties=volume_src.get("properties")
@@ -138,7 +187,9 @@ def family_tables_job(spark, volume_src, target: str, keep_existing: bool = True
     return family_min_id(vol)
 
 
-def _existing_families(spark, target: str):
+def _existing_families(spark, target):
+    if isinstance(target, dict):
+        return load(spark, target).select("file_family").distinct()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -160,7 +211,7 @@ def read_waits_job(spark, reads_src, mounts_src, target: str, kind: str = "next"
         fn = {"next": waits.read_waits, "migrated": waits.read_waits_migrated,
               "previous": waits.previous_mount}[kind]
         out = fn(reads, mounts, window)
-    write_by_day(out, target)
+    write_by_day(out, target, since=since)
 
 
 def read_host_volume_job(spark, reads_src, mounts_src, volume_src, target: str,
@@ -176,14 +227,15 @@ def reads_job(spark, reads_src, mounts_src, volume_src, target: str,
               since=None) -> None:
     """All read stages in order: simulated host tape (from the file's
     creation), then next mount, next mount after migration and previous
-    mount.  The first stage's result is checkpointed in the shared folder."""
+    mount.  The first stage's result is stored in the shared folder until the job ends."""
     mounts = load(spark, mounts_src, "tape_mounts")
     fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
     reads = pending_requests(load(spark, reads_src, "small_file_billinginfo_reads"), since)
-    hosted = cut_lineage(waits.read_host_volume(reads, fm, volume_window))
-    out = waits.read_waits_all(hosted, relevant_mounts(mounts, since, wait_window), wait_window,
-                               previous_window=wait_window)
-    write_by_day(out, target)
+    with scratch_tables(spark) as stored:
+        hosted = stored(waits.read_host_volume(reads, fm, volume_window))
+        out = waits.read_waits_all(hosted, relevant_mounts(mounts, since, wait_window), wait_window,
+                                   previous_window=wait_window)
+        write_by_day(out, target, since=since)
 
 
 def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
@@ -191,22 +243,22 @@ def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
     mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, window)
     fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
     stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
-    write_by_day(waits.store_waits(stores, fm, window), target)
+    write_by_day(waits.store_waits(stores, fm, window), target, since=since)
 
 
 def restore_job(spark, stores_src, mounts_src, volume_src, target: str,
                 volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW,
                 since=None) -> None:
     """Host volume, then wait, of every restore; the first stage's result is
-    checkpointed in the shared checkpoint folder so the second stage starts
+    stored in the shared folder until the job ends, so the second stage starts
     from stored data instead of re-running the first."""
     mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, wait_window)
     fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
                                       load(spark, volume_src, "volume"))
     stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
-    out = waits.restore_chain(stores, fm, mounts, volume_window, wait_window,
-                              between=cut_lineage)
-    write_by_day(out, target)
+    with scratch_tables(spark) as stored:
+        out = waits.restore_chain(stores, fm, mounts, volume_window, wait_window, between=stored)
+        write_by_day(out, target, since=since)
 
 
 def storage_job(spark, stores_src, mounts_src, volume_src, target: str,
@@ -217,9 +269,10 @@ def storage_job(spark, stores_src, mounts_src, volume_src, target: str,
     all_mounts = load(spark, mounts_src, "tape_mounts")
     fm = prepare.filtered_tape_mounts(all_mounts, load(spark, volume_src, "volume"))
     stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
-    out = waits.storage_waits_all(stores, fm, relevant_mounts(all_mounts, since, wait_window),
-                                  store_window, volume_window, wait_window)
-    write_by_day(out, target)
+    with scratch_tables(spark) as stored:
+        out = waits.storage_waits_all(stores, fm, relevant_mounts(all_mounts, since, wait_window),
+                                      store_window, volume_window, wait_window, between=stored)
+        write_by_day(out, target, since=since)
 
 
 def copy_by_dates_job(spark, billing_src, target: str, dates_file: str) -> DataFrame:
@@ -234,6 +287,9 @@ JOBS = {
     "library_counts": library_counts_job,
     "packaged_files": packaged_files_job,
     "package_reads": package_reads_job,
+    "filtered_mounts": filtered_mounts_job,
+    "small_file_reads": small_file_reads_job,
+    "small_file_stores": small_file_stores_job,
     "family_tables": family_tables_job,
     "read_waits": read_waits_job,
     "read_host_volume": read_host_volume_job,

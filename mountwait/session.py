@@ -8,7 +8,10 @@ measured sizes) and a shared checkpoint folder for cutting lineage.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.master(master)
     conf = dict(CORE_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -71,6 +75,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """A function that stores a frame as a table in the shared checkpoint
+    folder and reads it again (cuts lineage; later stages read only the
+    columns they need).  The tables are deleted at the end of the block, so
+    the final result must be written inside it."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/mountwait-job-{uuid.uuid4().hex}"
+    number = itertools.count()
+
+    def store(df):
+        path = f"{root}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield store
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df, eager: bool = True):
     """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
 

@@ -15,7 +15,8 @@ DEFAULT_FETCH_SIZE = 10_000
 
 
 def _opts(url: str, properties: dict | None, fetch_size: int) -> dict:
-    o = {"url": url, "fetchsize": str(fetch_size)}
+    # Zone-less database times stay zone-less, whatever zone the JVM runs in.
+    o = {"url": url, "fetchsize": str(fetch_size), "preferTimestampNTZ": "true"}
     o.update({k: str(v) for k, v in (properties or {}).items()})
     return o
 
@@ -79,8 +80,14 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str | None =
     return r.load()
 
 
-def read_jdbc_query(spark: SparkSession, url: str, query: str, *, properties: dict | None = None,
+def read_jdbc_query(spark: SparkSession, url: str, query: str, *, column: str | None = None,
+                    num_partitions: int | None = None, lower: int | None = None,
+                    upper: int | None = None, properties: dict | None = None,
                     fetch_size: int = DEFAULT_FETCH_SIZE) -> DataFrame:
-    """Scan of a derived table (e.g. an aggregate computed by the database)."""
+    """Scan of a derived table (e.g. an aggregate computed by the database);
+    range-partitioned on its ``column`` when given, as ``read_jdbc`` is."""
+    if column and num_partitions and num_partitions > 1:
+        return read_jdbc(spark, url, f"({query}) mw_query", column=column, num_partitions=num_partitions,
+                         lower=lower, upper=upper, properties=properties, fetch_size=fetch_size)
     return (spark.read.format("jdbc").options(**_opts(url, properties, fetch_size))
             .option("query", query).load())

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 
 def append_table(df: DataFrame, target: str, *, jdbc_url: str | None = None,
-                 properties: dict | None = None) -> None:
+                 properties: dict | None = None, mode: str = "append") -> None:
     if jdbc_url:
         (df.write.format("jdbc").option("url", jdbc_url).option("dbtable", target)
          .options(**{k: str(v) for k, v in (properties or {}).items()})
-         .mode("append").save())
+         .mode(mode).save())
     else:
-        df.write.mode("append").parquet(target)
+        df.write.mode(mode).parquet(target)
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

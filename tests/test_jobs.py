@@ -149,3 +149,45 @@ def test_store_table_jobs(spark, tmp_dir):
                      volume_window=900, wait_window=86400, since=str(days[len(days) // 2]))
     again = spark.read.parquet(out("rs_inc")).select(*cols)
     assert again.count() == full.count() and again.exceptAll(full).count() == 0
+
+
+def test_raw_tables_to_waits(spark, tmp_dir):
+    """The command line from the raw tables to read and store waits."""
+    p = _stage(spark, tmp_dir)
+    out = lambda n: os.path.join(tmp_dir, "flow", n)
+    raw = os.path.join(tmp_dir, "storageinfo")
+    spark.read.parquet(p["stores"]).drop("updated", "volume", "file_family").write.parquet(raw)
+    jobs.main(["packaged_files", f"file_src={p['file']}", f"target={out('packaged')}"])
+    jobs.main(["package_reads", f"billing_src={p['billinginfo']}", f"packaged_src={out('packaged')}",
+               f"target={out('package_reads')}"])
+    jobs.main(["small_file_reads", f"package_reads_src={out('package_reads')}",
+               f"volume_src={p['volume']}", f"target={out('reads')}"])
+    jobs.main(["small_file_stores", f"storage_src={raw}", f"packaged_src={out('packaged')}",
+               f"volume_src={p['volume']}", f"target={out('stores')}"])
+    jobs.main(["filtered_mounts", f"mounts_src={p['tape_mounts']}", f"volume_src={p['volume']}",
+               f"target={out('mounts')}"])
+    assert spark.read.parquet(out("mounts")).filter("writes > 0 is not true").count() == 0
+    jobs.main(["reads", f"reads_src={out('reads')}", f"mounts_src={p['tape_mounts']}",
+               f"volume_src={p['volume']}", f"target={out('read_waits')}"])
+    n_reads = spark.read.parquet(out("reads")).count()
+    assert spark.read.parquet(out("read_waits")).count() == n_reads > 0
+    jobs.main(["storage", f"stores_src={out('stores')}", f"mounts_src={p['tape_mounts']}",
+               f"volume_src={p['volume']}", f"target={out('storage_waits')}"])
+    stores = spark.read.parquet(out("stores"))
+    got = spark.read.parquet(out("storage_waits"))
+    assert got.count() == stores.count() > 0
+    assert got.filter("file_family is not null").count() == stores.filter("file_family is not null").count()
+
+
+def test_jobs_leave_nothing_in_the_shared_folder(spark, tmp_dir):
+    from mountwait.session import checkpoint_dir, scratch_tables
+    root = checkpoint_dir(spark).removeprefix("file:")
+    left = lambda: [d for d in os.listdir(root) if d.startswith("mountwait-job-")]
+    before = left()
+    with scratch_tables(spark) as stored:
+        assert stored(spark.range(5)).count() == 5 and len(left()) == len(before) + 1
+    assert left() == before
+    p = _stage(spark, tmp_dir)
+    jobs.restore_job(spark, p["stores"], p["tape_mounts"], p["volume"],
+                     os.path.join(tmp_dir, "rs"), volume_window=900, wait_window=86400)
+    assert left() == before

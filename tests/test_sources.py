@@ -94,3 +94,49 @@ def test_jobs_over_jdbc(spark, derby_url):
     want = jobs.prepare.package_reads(td.billinginfo(spark, SF001),
                                       jobs.prepare.packaged_files(td.file(spark, SF001))).count()
     assert got == want > 0
+
+
+def test_wait_jobs_over_jdbc(spark, derby_url):
+    """Waits written to a database: flat columns, appended; zone-less times."""
+    from pyspark.sql.types import TimestampNTZType
+
+    from mountwait.plans import jobs, waits
+    from mountwait.sources import testdata as td
+    from conftest import SF001
+    mounts, reads = td.tape_mounts(spark, SF001), td.reads(spark, SF001)
+    append_table(mounts, "MW_MOUNTS", jdbc_url=derby_url, properties=DRIVER)
+    append_table(reads, "MW_SMALL", jdbc_url=derby_url, properties=DRIVER)
+    spec = lambda t, **more: {"url": derby_url, "table": t, "properties": DRIVER, **more}
+    by_id = spec("MW_SMALL", column="sfbr_id", partitions=3, lower=0, upper=500, fetch_size=100)
+    loaded = jobs.load(spark, by_id, "small_file_billinginfo_reads")
+    assert loaded.rdd.getNumPartitions() == 3
+    raw = read_jdbc(spark, derby_url, "MW_SMALL", properties=DRIVER)
+    assert isinstance(raw.schema["datestamp"].dataType, TimestampNTZType)
+    jobs.read_waits_job(spark, by_id, spec("MW_MOUNTS"), spec("MW_WAITS"), kind="all", window=86400)
+    want = jobs.flat(waits.read_waits_all(reads, mounts, 86400, 86400))
+    got = read_jdbc(spark, derby_url, "MW_WAITS", properties=DRIVER)
+    assert set(got.columns) == set(want.columns)
+    cols = [c for c in want.columns if c not in ("bfid", "file_family", "volume", "migrated_volume")]
+    got, want = got.select(*cols), want.select(*cols)
+    assert got.count() == want.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    with pytest.raises(ValueError, match="since"):
+        jobs.read_waits_job(spark, by_id, spec("MW_MOUNTS"), spec("MW_WAITS"), window=86400, since="2024-01-02")
+    part = read_jdbc_query(spark, derby_url, 'select "sfbr_id" as ID from MW_SMALL', column="ID",
+                           num_partitions=2, properties=DRIVER)
+    assert part.rdd.getNumPartitions() == 2 and part.count() == reads.count()
+
+
+def test_family_labels_over_jdbc(spark, derby_url):
+    from mountwait.plans import jobs
+    names = dict(DRIVER, createTableColumnTypes="label VARCHAR(64), file_family VARCHAR(64)")
+    schema = "id bigint, label string, file_family string"
+    append_table(spark.createDataFrame([(1, "L1", "f1"), (2, "L2", "f2")], schema), "V1",
+                 jdbc_url=derby_url, properties=names)
+    append_table(spark.createDataFrame([(3, "L3", "f1"), (4, "L4", "f3")], schema), "V2",
+                 jdbc_url=derby_url, properties=names)
+    spec = lambda t, p=DRIVER: {"url": derby_url, "table": t, "properties": p}
+    target = spec("LABELS", names)
+    jobs.family_tables_job(spark, spec("V1"), target, keep_existing=False)
+    jobs.family_tables_job(spark, spec("V2"), target)          # f1 has labels already
+    got = read_jdbc(spark, derby_url, "LABELS", properties=DRIVER).collect()
+    assert sorted((r.file_family, r.label) for r in got) == [("f1", "L1"), ("f2", "L2"), ("f3", "L4")]
