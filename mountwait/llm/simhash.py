@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mountwait.llm.common import slices, word_spans
@@ -33,6 +33,8 @@ SEED = 42
 BYTES = 8
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+HOT_ENTRY = 4096
+BROADCAST_ENTRIES = 500_000  # hot entries, about 20 MB in a hash table
 _SMALL = 24  # lists up to this length are linked as one matrix per length
 
 
@@ -128,22 +130,54 @@ def _link_long(v: np.ndarray, max_bits: int, out: list, block: int = 256) -> Non
                 frontier, left = np.append(frontier, got), left[~near]
 
 
-def links(nodes: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _bit_masks(max_bits: int) -> list[tuple[int, list[int]]]:
+    """(mask of an entry's bytes, masks of these bytes with half of the other half bytes) per entry."""
+    out = []
+    for pos in combinations(range(BYTES), BYTES - max_bits):
+        own = sum(0xFF << (8 * p) for p in pos)
+        halves = [4 * h for h in range(2 * BYTES) if h // 2 not in pos]
+        out.append((own, [own | sum(0xF << h for h in sub) for sub in combinations(halves, max_bits)]))
+    return out
+
+
+def _index(nodes: DataFrame, fp: str, max_bits: int, hot_entry: int) -> DataFrame:
+    """(fs): the fingerprints under each entry that has two or more, long entries by their sub-entries."""
+    spark = nodes.sparkSession
+    masks = _bit_masks(max_bits)
+    entries = nodes.select(F.col(fp).alias("f"), F.explode(F.array(*[
+        F.struct(F.lit(n).cast("short").alias("n"), F.col(fp).bitwiseAND(F.lit(_signed(own))).alias("m"))
+        for n, (own, _) in enumerate(masks)])).alias("e")).select("f", "e.n", "e.m")
+    hot = cut_lineage(entries.groupBy("n", "m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_entry)
+                      .select("n", "m"))
+    n_hot = hot.count()
+    if n_hot <= BROADCAST_ENTRIES:
+        hot = F.broadcast(hot)
+    plain = entries.join(hot, ["n", "m"], "left_anti").groupBy("n", "m").agg(F.collect_list("f").alias("fs"))
+    lists = plain.select("fs")
+    if n_hot:
+        subs = spark.createDataFrame([(n, [_signed(x) for x in sub]) for n, (_, sub) in enumerate(masks)],
+                                     "n short, subs array<long>")  # one row per choice of bytes, 70 at most
+        lists = lists.unionByName(
+            entries.join(hot, ["n", "m"], "left_semi").join(F.broadcast(subs), "n")
+            .select("n", "f", F.posexplode("subs").alias("k", "mask"))
+            .groupBy("n", "k", F.col("f").bitwiseAND(F.col("mask")).alias("v")).agg(F.collect_list("f").alias("fs"))
+            .select("fs"))
+    return lists.where(F.size("fs") > 1)
+
+
+def links(nodes: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS, hot_entry: int = HOT_ENTRY) -> DataFrame:
     """(a, b) verified links, spanning under each index entry.
 
     ``nodes`` holds each fingerprint once.  With max_bits = 4 of 8 bytes the
     guaranteed minimum is 4 shared positional bytes.
     """
-    shared = BYTES - max_bits
-    if not 1 <= shared <= BYTES:
+    if not 0 <= max_bits < BYTES:
         raise ValueError("max_bits must be from 0 to 7")
-    entries = []
-    for n, pos in enumerate(combinations(range(BYTES), shared)):
-        mask = sum(0xFF << (8 * p) for p in pos)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        entries.append(F.struct(F.lit(n).cast("short").alias("n"), F.col(fp).bitwiseAND(F.lit(signed)).alias("m")))
-    index = (nodes.select(F.col(fp).alias("f"), F.explode(F.array(*entries)).alias("e"))
-             .groupBy("e.n", "e.m").agg(F.collect_list("f").alias("fs")).where(F.size("fs") > 1).select("fs"))
+    index = _index(nodes, fp, max_bits, hot_entry)
 
     def run(batches):
         for b in batches:
@@ -218,13 +252,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     seen = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     best = (seen.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")).alias("b"))
-            .select(F.coalesce("b.doc_id", F.lit(0)).alias("_kid"), F.col("b.no").alias("_kno"),
-                    F.col("b.key").alias("_kkey")))
-    text = F.col(text_col).cast("string")
-    left = docs.withColumns({"_lid": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-                             "_lno": F.col(id_col).isNull(), "_lkey": row_key(text)})
-    met = left.join(best, (left["_lid"] == best["_kid"]) & (left["_lno"] == best["_kno"])
-                    & (left["_lkey"] == best["_kkey"]))
-    # Rows that repeat in id and text: one stays.  The join's partitioning serves the window.
-    w = Window.partitionBy("_lid", "_lno", "_lkey").orderBy(F.lit(0))
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*[met[c] for c in docs.columns])
+            .select(F.coalesce("b.doc_id", F.lit(0)).alias("id"), F.col("b.no").alias("no"), F.col("b.key").alias("key")))
+    # Rows that repeat in id and text: one stays, by partial aggregation before the shuffle.
+    one = (docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
+                       F.col(id_col).isNull().alias("no"), row_key(F.col(text_col).cast("string")).alias("key"))
+           .groupBy("id", "no", "key").agg(F.first("row").alias("row")))
+    return one.join(best, ["id", "no", "key"], "left_semi").select("row.*")

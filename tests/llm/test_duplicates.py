@@ -67,11 +67,24 @@ def test_links_keep_components_of_dense_groups(llm):
                 root[find(a)] = find(b)
     signed = [f - 2**64 if f >> 63 else f for f in fps]
     df = llm.createDataFrame([(s,) for s in signed], "fp long")
-    parts = {}
-    got = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
-    for f, s in zip(fps, signed):
-        parts.setdefault(got.get(s, s), set()).add(find(f))
-    assert all(len(v) == 1 for v in parts.values()) and len(parts) == len({find(f) for f in fps})
+    # The default, and with nearly every entry cut into sub-entries.
+    for hot in (simhash.HOT_ENTRY, 3):
+        parts = {}
+        got = {r.node: r.root for r in simhash.components(simhash.links(df, hot_entry=hot)).collect()}
+        for f, s in zip(fps, signed):
+            parts.setdefault(got.get(s, s), set()).add(find(f))
+        assert all(len(v) == 1 for v in parts.values()) and len(parts) == len({find(f) for f in fps})
+
+
+def test_sub_entries_meet_every_near_pair():
+    """Each pair within 4 bits agrees on one of an entry's bytes and half of the other half bytes."""
+    rng = np.random.default_rng(8)
+    masks = simhash._bit_masks(4)
+    assert len(masks) == 70 and all(len(sub) == 70 and all(m.bit_count() == 48 for m in sub) for _, sub in masks)
+    for _ in range(300):
+        diff = sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False))
+        own = [(m, sub) for m, sub in masks if not m & diff]
+        assert own and all(any(not x & diff for x in sub) for _, sub in own)
 
 
 def test_keep_one_row_of_each_component(docs, real, odd):
@@ -82,6 +95,17 @@ def test_keep_one_row_of_each_component(docs, real, odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(want)
 
 
+def test_keep_one_with_clashing_columns_and_many_repeats(docs, real):
+    rows = [(1, real[0][1])] * 40 + [(2, real[1][1]), (None, real[2][1])]
+    df = docs(rows).selectExpr("*", "doc_id AS id", "text AS row", "1 AS no", "2 AS `key`", "3 AS fp", "4 AS root",
+                               "5 AS component_id", "6 AS f", "7 AS fs")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "2", "None"]
+    assert all(r.row == r.text and (r.no, r.key, r.fp, r.root, r.component_id, r.f, r.fs) == (1, 2, 3, 4, 5, 6, 7) for r in got)
+
+
 def test_simhash_of_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.keep_one(docs([])).count() == 0
 
