@@ -137,3 +137,47 @@ def test_pipeline_stages_and_columns(llm):
     assert rows and all(r.lossless and r.n_tokens == len(r.ids) for r in rows)
     again = P.run(llm, sf).collect()
     assert {(r.doc_id, tuple(r.ids)) for r in again} == {(r.doc_id, tuple(r.ids)) for r in rows}
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(llm, docs, odd):
+    """Nulls, empty, long and repeated rows, clashing columns, no rows: each stage keeps its contract."""
+    import corpus_pipeline as P
+    sf = "/root/testdata/sf0.001"
+    clash = ["1 AS ids", "2 AS decoded", "3 AS lid", "4 AS y", "5 AS `key`", "6 AS row", "7 AS fp", "8 AS _n", "'k' AS item_id"]
+    plain = [(100 + i, f"Plain sentence number {i} about rivers, hills and the people who live beside them.") for i in range(20)]
+    mixed = docs(odd + plain + plain[:3]).selectExpr("*", *clash)
+    for df in (mixed, mixed.where("false"), docs([(1, None), (None, None), (1, "")])):
+        n = df.count()
+        for k, (name, stage) in enumerate(P.STAGES):
+            out = stage(llm, df, sf)
+            rows = out.collect()
+            assert len(rows) <= n, name
+            if k + 1 < len(P.STAGES):
+                assert out.columns == df.columns, name
+                if "ids" in df.columns:
+                    assert all((r.ids, r.decoded, r.lid, r.y, r.key, r.row, r.fp, r._n, r.item_id)
+                               == (1, 2, 3, 4, 5, 6, 7, 8, "k") for r in rows), name
+            else:
+                assert len(rows) == n and all(r.lossless for r in rows)
+
+
+def test_pipeline_drops_what_each_stage_is_for(llm, docs):
+    """One planted case a stage; the clean documents stay with their very text."""
+    import corpus_pipeline as P
+    sf = "/root/testdata/sf0.001"
+    stages = dict(P.STAGES)
+    words = "river hill stone bridge market garden window letter music winter harbour forest lantern meadow".split()
+    rng = random.Random(12)
+    clean = [(i, " ".join(rng.choice(words) for _ in range(120))) for i in range(12)]
+    copies = [(50, clean[0][1]), (51, clean[1][1].upper())]
+    left = {r.doc_id for r in stages["dedup"](llm, docs(clean + copies), sf).collect()}
+    assert left == {i for i, _ in clean}
+    item = llm.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    hurt = item[:10] + "q" + item[11:]
+    leaks = [(60, "before " + item + " after"), (61, clean[2][1] + " " + hurt.upper())]
+    left = {r.doc_id: r.text for r in stages["decontaminate"](llm, docs(clean + leaks), sf).collect()}
+    assert left == dict(clean)
+    own = [(70, "write to some.one@mail.example.org or +1 212 555 0100 from 10.1.2.3")]
+    left = {r.doc_id: r.text for r in stages["private"](llm, docs(clean + own), sf).collect()}
+    assert all(left[i] == t for i, t in clean)
+    assert left[70] == "write to [EMAIL] or [PHONE] from [IP]"
