@@ -31,8 +31,8 @@ from mountwait.llm.common import give_back, mix64, slices
 ALPHA = 1.0
 RANK_SHIFT = 2.7
 SEED = 20240
-SLICE = 1 << 19
-MAX_CHARS = 600_000
+SLICE = 1 << 18
+MAX_CHARS = 200_000
 SPACE = "▁"
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = re.compile(r" *[^ ]+| +")
