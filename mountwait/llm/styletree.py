@@ -7,9 +7,11 @@ node) and the presentations (the order of its child elements).  The entropy
 of each, over the logarithm of the number of pages, is its importance: 0 if
 all pages agree, 1 if all differ.  A node's importance is the larger of the
 two; a host with few pages leans on the tree of all hosts, and a node on few
-pages at all is taken as important.  Copies of a page count once.  Branches below
-``THRESHOLD`` are removed from each page.  Inside an article or main element
-importance counts double, as a page's own words are expected there.
+pages at all is taken as important.  Pages of one main content count once for a
+node's content (see ``main_path``).  Branches below ``THRESHOLD`` are removed
+from each page, but never the html, body, article or main element nor what is
+around a page's main content.  Inside an article or main element importance
+counts double, as a page's own words are expected there.
 
 Elements that by their tag, role or class name hold no article text (menus,
 headers, footers, forms, adverts, comments, scripts, ...) have importance
@@ -36,6 +38,7 @@ from mountwait.session import cut_lineage
 THRESHOLD = 0.6
 EVIDENCE = 20  # pages with a node at which its entropy weighs as much as the benefit of the doubt
 BROADCAST_BYTES = 16 << 20
+TEMPLATE = 0.1  # share of a node's pages below which the pages left are too few: their "main content" is the template's
 SHRINK = 200  # pages of a host at which its own tree weighs as much as that of all hosts
 
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "title", "noembed", "noframes", "xmp"}
@@ -55,6 +58,7 @@ NO_CLASS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "s
             "disqus", "social", "share", "sharing", "related", "recommended", "pagination", "pager", "toolbar", "widget",
             "search", "skip", "hidden", "form"}
 MAIN = {"article", "main"}
+NEVER_LOW = {"html", "body", *MAIN}
 # Start tags that end an open element: tag -> (elements ended, elements that bound the search).
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -211,8 +215,32 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], lis
     return blocks, elements
 
 
-def signatures(host: str, page: str) -> list[tuple[int, int, int]]:
-    """(path, kind, signature) once per node of the page.
+def main_path(blocks) -> tuple[int, ...]:
+    """Paths down to the deepest one that holds more than half of the text; empty if none does.
+
+    The text is that inside article and main elements where most of it is there.
+    """
+    own = [b for b in blocks if not b[1]]
+    total = sum(len(b[3]) for b in own)
+    inside = [b for b in own if b[2]]
+    if 2 * sum(len(b[3]) for b in inside) >= total:
+        own, total = inside, sum(len(b[3]) for b in inside)
+    held: dict[int, int] = {}
+    for paths, _, _, text in own:
+        for p in set(paths):
+            held[p] = held.get(p, 0) + len(text)
+    out: tuple[int, ...] = ()
+    for paths, _, _, _ in own:
+        k = len(paths)
+        while k > len(out) and 2 * held[paths[k - 1]] <= total:
+            k -= 1
+        if k > len(out):
+            out = paths[:k]
+    return out
+
+
+def signatures(host: str, page: str) -> tuple[int, list[tuple[int, int, int]]]:
+    """(hash of the main content, (path, kind, signature) once per node of the page).
 
     Kind 0 is content, 1 presentation; 2 and 3 are the same inside an article
     or main element.
@@ -230,19 +258,29 @@ def signatures(host: str, page: str) -> list[tuple[int, int, int]]:
             style.setdefault(n.path, []).extend(["(", *n.children])
     digest = xxhash.xxh64_intdigest
     out = []
+    main = main_path(blocks)
+    texts = content.get(main[-1], []) if main else [b[3] for b in blocks if not b[1]]
+    own = "\n".join(texts).lower()
+    if host:
+        own = own.replace(host, "@")
+    never = {n.path for n in elements if n.tag in NEVER_LOW}
     for p, texts in content.items():
+        if p in never:
+            continue
         joined = "\n".join(texts).lower()
         if host:
             joined = joined.replace(host, "@")
         kind = 2 * (p in inside)
         out.append((p, kind, _signed(digest(joined))))
         out.append((p, kind + 1, _signed(digest(" ".join(style.get(p, ()))))))
-    return out
+    return _signed(digest(own)), out
 
 
 def main_text(page: str, low: set[int]) -> str:
-    """The page's text without branches that hold a path of ``low``."""
+    """The page's text without branches that hold a path of ``low``; elements around the main content stay."""
     blocks, _ = parse(page)
+    if low:
+        low = low.difference(main_path(blocks)[:-1])
     kept = [b for b in blocks if not b[1] and not (low and any(p in low for p in b[0]))]
     if any(b[2] for b in kept):
         kept = [b for b in kept if b[2]]
@@ -250,12 +288,22 @@ def main_text(page: str, low: set[int]) -> str:
 
 
 def _importance(counts: DataFrame, *by: str) -> DataFrame:
-    """Entropy of the signatures of each node over the log of its pages."""
-    n = F.col("n").cast("double")
-    sums = counts.groupBy(*by).agg(F.sum("n").alias("pages"), F.sum(n * F.log(n)).alias("s"))
+    """Entropy of the signatures of each node over the log of its pages.
+
+    A page is a main content; where those are below ``TEMPLATE`` of the whole
+    pages, most pages would have the same one, and the whole pages count.
+    """
+    def n_log_n(c):
+        n = F.col(c).cast("double")
+        return F.sum(n * F.log(n))
+    sums = counts.groupBy(*by).agg(F.sum("n").alias("pages"), n_log_n("n").alias("s"),
+                                   F.sum("m").alias("mains"), n_log_n("m").alias("t"))
+    few = F.col("mains") < TEMPLATE * F.col("pages")
+    sums = sums.withColumn("s", F.when(few, F.col("s")).otherwise(F.col("t"))).withColumn(
+        "pages", F.when(few, F.col("pages")).otherwise(F.col("mains")))
     pages = F.col("pages").cast("double")
     return sums.withColumn("imp", F.when(F.col("pages") < 2, 1.0).otherwise(
-        (F.log(pages) - F.col("s") / pages) / F.log(pages))).drop("s")
+        (F.log(pages) - F.col("s") / pages) / F.log(pages))).drop("s", "t", "mains")
 
 
 def low_branches(pages: DataFrame, url_col: str, html_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -266,18 +314,20 @@ def low_branches(pages: DataFrame, url_col: str, html_col: str, threshold: float
             for u, h in zip(b.column(0).to_pylist(), b.column(1)):
                 host, page = host_of(u), h.as_py() or ""
                 whole = _signed(xxhash.xxh64_intdigest(page))
-                seen.update((host, p, k, s, whole) for p, k, s in signatures(host, page))
+                main, found = signatures(host, page)
+                seen.update((host, p, k, s, main, whole) for p, k, s in found)
             if seen:
-                hosts, paths, kinds, sigs, pages_ = zip(*seen)
+                hosts, paths, kinds, sigs, mains, pages_ = zip(*seen)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()),
-                     pa.array(sigs, pa.int64()), pa.array(pages_, pa.int64())],
-                    names=["host", "node", "kind", "sig", "page"])
+                     pa.array(sigs, pa.int64()), pa.array(mains, pa.int64()), pa.array(pages_, pa.int64())],
+                    names=["host", "node", "kind", "sig", "main", "page"])
     rows = (pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-            .mapInArrow(run, "host string, node long, kind int, sig long, page long"))
-    # Copies of a whole page say nothing about its template: each page counts once.
-    own = rows.distinct().groupBy("host", "node", "kind", "sig").agg(F.count(F.lit(1)).alias("n"))
-    every = own.groupBy("node", "kind", "sig").agg(F.sum("n").alias("n"))
+            .mapInArrow(run, "host string, node long, kind int, sig long, main long, page long"))
+    # Copies say nothing about the template: each page (n) and each main content (m) counts once.
+    own = (rows.distinct().groupBy("host", "node", "kind", "sig", "main").agg(F.count(F.lit(1)).alias("n"))
+           .groupBy("host", "node", "kind", "sig").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")))
+    every = own.groupBy("node", "kind", "sig").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     site = _importance(own, "host", "node", "kind")
     trust = F.col("pages") / (F.col("pages") + EVIDENCE)
     corpus = _importance(every, "node", "kind").select(

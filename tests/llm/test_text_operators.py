@@ -122,6 +122,22 @@ def test_extraction(llm):
     assert styletree.extract(df.where("false")).count() == 0
 
 
+def test_extraction_of_a_host_with_many_copies_of_one_article(llm):
+    """600 of 1,000 pages share an article under different chrome; others and copies keep their text."""
+    shared = "The same long report of the agency about the harbour and its bridges. " * 4
+    page = "<body><div class=top>Edition {i}</div><div class=m><p>{t}</p></div><div class=z>Same on all pages</div>"
+    rows = [(i, f"http://copies.example/{i}", page.format(i=i, t=shared if i < 600 else f"Report {i} " + f"word{i} " * 40))
+            for i in range(1000)]
+    plain = "<html><body><nav>Menu</nav><p>{t}</p><footer>Edition {i}</footer>"
+    rows += [(2000 + i, f"http://plain.example/{i}", plain.format(i=i, t=shared if i < 600 else f"Own words {i}"))
+             for i in range(1000)]
+    got = {r.page_id: r.text for r in styletree.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(shared.strip() in got[i] for i in range(600))
+    assert all(f"Report {i} word{i}" in got[i] for i in range(600, 1000))
+    assert not any("Same on all" in got[i] for i in range(1000))
+    assert all(got[2000 + i] == (shared.strip() if i < 600 else f"Own words {i}") for i in range(1000))
+
+
 def test_pipeline_stages_and_columns(llm):
     import corpus_pipeline as P
     sf = "/root/testdata/sf0.001"
