@@ -13,10 +13,12 @@ from each page, but never the html, body, article or main element nor what is
 around a page's main content.  Inside an article or main element importance
 counts double, as a page's own words are expected there.
 
-Elements that by their tag, role or class name hold no article text (menus,
-headers, footers, forms, adverts, comments, scripts, ...) have importance
-zero from the start.  Where a page has an article or main element with text,
-the blocks outside of it go as well.
+Elements that by their tag, role or class name should hold no article text
+(menus, headers, footers, forms, adverts, comments, ...) have importance zero
+as long as they hold little of the text: where such an element holds more than
+half of the text on most pages of the host, importance decides as for any other.
+Scripts and the like and ``hidden`` elements are never text.  Where most of the
+text left is inside article or main elements, the blocks outside go as well.
 
 Counts travel as rows (host, node, signature, page) and then as partial sums,
 so a host with a third of all pages spreads over all tasks.
@@ -83,19 +85,21 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-_seen: dict[tuple[str, str], tuple[str, bool]] = {}
+_seen: dict[tuple[str, str], tuple[str, int]] = {}
+HINT, HIDDEN = 1, 2
+HEAVY = 4  # kind of the rows that count on how many pages a hinted element holds most of the text
 
 
-def _style(tag: str, attrs: str) -> tuple[str, bool]:
-    """(name of the element in the tree, whether it holds no article text)."""
+def _style(tag: str, attrs: str) -> tuple[str, int]:
+    """(name of the element in the tree, HINT if its names speak against article text, HIDDEN if it is not shown)."""
     key = tag, attrs
     if (known := _seen.get(key)) is not None:
         return known
-    names, none = [], tag in NO_TEXT
+    names, none, hidden = [], tag in NO_TEXT, False
     for m in _CLASS.finditer(attrs) if attrs else ():
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden":
-            none = True
+            hidden = True
         elif kind == "role":
             none |= value.lower() in NO_ROLE
         else:
@@ -105,50 +109,70 @@ def _style(tag: str, attrs: str) -> tuple[str, bool]:
                 names = sorted(words)
     if len(_seen) > 50_000:
         _seen.clear()
-    out = _seen[key] = f"{tag}.{'.'.join(names)}", none
+    out = _seen[key] = f"{tag}.{'.'.join(names)}", HIDDEN if hidden else HINT * none
     return out
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "none", "main", "children")
+    __slots__ = ("tag", "name", "path", "hint", "none", "main", "children", "up", "chars")
 
-    def __init__(self, tag, name, path, none, main):
-        self.tag, self.name, self.path, self.none, self.main, self.children = tag, name, path, none, main, []
+    def __init__(self, tag, name, path, hint, main, up=None):
+        self.tag, self.name, self.path, self.hint, self.main, self.children = tag, name, path, hint, main, []
+        self.up, self.none, self.chars = up, False, 0
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], list[Node]]:
+def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], list[Node]]:
     """(blocks, elements) of a page.
 
     A block is (paths of the elements around it, no article text, in an
-    article or main element, text).
+    article or main element, text).  Hints of elements whose path is in
+    ``heavy`` do not count; without it, those of elements with more than half
+    of the page's text.
     """
-    root = Node("", "", 0, False, False)
+    root = Node("", "", 0, 0, False)
     stack = [root]
-    blocks, elements, run = [], [], []
+    elements, run = [], []
+    found: list[tuple[tuple[int, ...], Node, str, str]] = []  # with the text without and with hinted inline elements
+    hinted: list[tuple[int, str]] = []  # text of hinted inline elements and its place in the run
+
+    def clean(parts):
+        return _SPACE.sub(" ", html_lib.unescape("".join(parts))).strip()
 
     def flush():
-        if run:
-            text = _SPACE.sub(" ", html_lib.unescape("".join(run))).strip()
+        if run or hinted:
+            text = whole = clean(run)
+            if hinted:
+                parts, at = [], 0
+                for k, t in hinted:
+                    parts += [*run[at:k], t]
+                    at = k
+                whole = clean(parts + run[at:])
+                hinted.clear()
             run.clear()
-            if text:
-                top = stack[-1]
-                blocks.append((tuple(n.path for n in stack[1:]), top.none, top.main, text))
+            if whole:
+                found.append((tuple(n.path for n in stack[1:]), stack[-1], text, whole))
+
+    def outside(text):
+        if not none_inline:
+            run.append(text)
+        elif max(h for _, h in none_inline) < HIDDEN:
+            hinted.append((len(run), text))
 
     def pop_to(k: int):
         flush()
         del stack[k:]
 
     at = 0
-    none_inline: list[str] = []  # open inline elements without article text
+    none_inline: list[tuple[str, int]] = []  # open inline elements with hints against article text, and those inside
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if m.start() > at and not none_inline:
-            run.append(page[at:m.start()])
+        if m.start() > at:
+            outside(page[at:m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
@@ -157,7 +181,7 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], lis
         closing = (m[1] or m[4]) == "/"
         attrs = m[3] if m[2] else m[6]
         if closing:
-            if none_inline and tag == none_inline[-1]:
+            if none_inline and tag == none_inline[-1][0]:
                 none_inline.pop()
             elif tag in BLOCK:
                 for k in range(len(stack) - 1, 0, -1):
@@ -201,18 +225,30 @@ def parse(page: str) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], lis
             name, none = _style(tag, attrs)
             top = stack[-1]
             path = _signed(xxhash.xxh64_intdigest(name, top.path & ((1 << 64) - 1)))
-            node = Node(tag, name, path, none or top.none, tag in MAIN or top.main)
+            node = Node(tag, name, path, none, tag in MAIN or top.main, top)
             top.children.append(name)
             stack.append(node)
             elements.append(node)
         elif tag not in VOID:
             name, none = _style(tag, attrs)
             if none or none_inline:
-                none_inline.append(tag)
-    if at < len(page) and not none_inline:
-        run.append(page[at:])
+                none_inline.append((tag, none))
+    if at < len(page):
+        outside(page[at:])
     flush()
-    return blocks, elements
+    # Inline elements that hold more than half of the text are text after all.
+    total = sum(len(f[3]) for f in found)
+    which = 3 if 2 * sum(len(f[2]) for f in found) < total else 2
+    found = [f for f in found if f[which]]
+    total = sum(len(f[which]) for f in found)
+    for f in found:
+        f[1].chars += len(f[which])
+    for n in reversed(elements):
+        n.up.chars += n.chars
+    for n in elements:
+        n.none = n.up.none or n.hint == HIDDEN or n.hint == HINT and not (
+            2 * n.chars > total if heavy is None else n.path in heavy)
+    return [(f[0], f[1].none, f[1].main, f[which]) for f in found], elements
 
 
 def main_path(blocks) -> tuple[int, ...]:
@@ -243,7 +279,8 @@ def signatures(host: str, page: str) -> tuple[int, list[tuple[int, int, int]]]:
     """(hash of the main content, (path, kind, signature) once per node of the page).
 
     Kind 0 is content, 1 presentation; 2 and 3 are the same inside an article
-    or main element.
+    or main element.  Kind 4 tells of an element with a hint against article
+    text whether it holds more than half of the page's text.
     """
     blocks, elements = parse(page)
     content: dict[int, list[str]] = {}
@@ -273,22 +310,32 @@ def signatures(host: str, page: str) -> tuple[int, list[tuple[int, int, int]]]:
         kind = 2 * (p in inside)
         out.append((p, kind, _signed(digest(joined))))
         out.append((p, kind + 1, _signed(digest(" ".join(style.get(p, ()))))))
+    total = sum(len(b[3]) for b in blocks)
+    heavy: dict[int, int] = {}
+    for n in elements:
+        if n.hint == HINT and total:
+            heavy[n.path] = heavy.get(n.path, 0) or int(2 * n.chars > total)
+    out += [(p, HEAVY, h) for p, h in heavy.items()]
     return _signed(digest(own)), out
 
 
-def main_text(page: str, low: set[int]) -> str:
-    """The page's text without branches that hold a path of ``low``; elements around the main content stay."""
-    blocks, _ = parse(page)
+def main_text(page: str, low: set[int], heavy: set[int]) -> str:
+    """The page's text without branches that hold a path of ``low``; elements around the main content stay.
+
+    Hints count but for elements whose path is in ``heavy``.
+    """
+    blocks, _ = parse(page, heavy)
     if low:
         low = low.difference(main_path(blocks)[:-1])
     kept = [b for b in blocks if not b[1] and not (low and any(p in low for p in b[0]))]
-    if any(b[2] for b in kept):
-        kept = [b for b in kept if b[2]]
+    inside = [b for b in kept if b[2]]
+    if 2 * sum(len(b[3]) for b in inside) >= sum(len(b[3]) for b in kept):
+        kept = inside
     return " ".join(b[3] for b in kept)
 
 
 def _importance(counts: DataFrame, *by: str) -> DataFrame:
-    """Entropy of the signatures of each node over the log of its pages.
+    """Entropy of the signatures of each node over the log of its pages; for the kind HEAVY the share of signature 1.
 
     A page is a main content; where those are below ``TEMPLATE`` of the whole
     pages, most pages would have the same one, and the whole pages count.
@@ -297,17 +344,23 @@ def _importance(counts: DataFrame, *by: str) -> DataFrame:
         n = F.col(c).cast("double")
         return F.sum(n * F.log(n))
     sums = counts.groupBy(*by).agg(F.sum("n").alias("pages"), n_log_n("n").alias("s"),
-                                   F.sum("m").alias("mains"), n_log_n("m").alias("t"))
+                                   F.sum("m").alias("mains"), n_log_n("m").alias("t"), F.sum("n").alias("all"),
+                                   F.sum(F.when(F.col("sig") == 1, F.col("n")).otherwise(0)).alias("heavy"))
     few = F.col("mains") < TEMPLATE * F.col("pages")
     sums = sums.withColumn("s", F.when(few, F.col("s")).otherwise(F.col("t"))).withColumn(
         "pages", F.when(few, F.col("pages")).otherwise(F.col("mains")))
     pages = F.col("pages").cast("double")
-    return sums.withColumn("imp", F.when(F.col("pages") < 2, 1.0).otherwise(
-        (F.log(pages) - F.col("s") / pages) / F.log(pages))).drop("s", "t", "mains")
+    return sums.withColumn("imp", F.when(F.col("kind") == HEAVY, F.col("heavy") / F.col("all")).when(
+        F.col("pages") < 2, 1.0).otherwise((F.log(pages) - F.col("s") / pages) / F.log(pages))
+    ).drop("s", "t", "mains", "heavy", "all")
 
 
 def low_branches(pages: DataFrame, url_col: str, html_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, low): paths of little importance, one row per host that has any."""
+    """(host, low, heavy), one row per host that has any.
+
+    ``low`` are paths of little importance, ``heavy`` paths with a hint against
+    article text that hold more than half of the text on most pages.
+    """
     def run(batches):
         for b in batches:
             seen: set[tuple] = set()
@@ -331,12 +384,15 @@ def low_branches(pages: DataFrame, url_col: str, html_col: str, threshold: float
     site = _importance(own, "host", "node", "kind")
     trust = F.col("pages") / (F.col("pages") + EVIDENCE)
     corpus = _importance(every, "node", "kind").select(
-        "node", "kind", (trust * F.col("imp") + (1 - trust)).alias("imp_all"))
+        "node", "kind", F.when(F.col("kind") == HEAVY, F.col("imp")).otherwise(trust * F.col("imp") + (1 - trust)).alias("imp_all"))
     share = F.col("pages") / (F.col("pages") + SHRINK)
     both = site.join(corpus, ["node", "kind"]).withColumn(
-        "imp", (share * F.col("imp") + (1 - share) * F.col("imp_all")) * F.when(F.col("kind") > 1, 2.0).otherwise(1.0))
-    return (both.groupBy("host", "node").agg(F.max("imp").alias("imp")).where(F.col("imp") < threshold)
-            .groupBy("host").agg(F.collect_list("node").alias("low")))
+        "imp", (share * F.col("imp") + (1 - share) * F.col("imp_all")) * F.when(F.col("kind").isin(2, 3), 2.0).otherwise(1.0))
+    hint = F.col("kind") == HEAVY
+    nodes = both.groupBy("host", "node").agg(F.max(F.when(~hint, F.col("imp"))).alias("imp"), F.max(F.when(hint, F.col("imp"))).alias("share"))
+    low, heavy = F.col("imp") < threshold, F.col("share") > 0.5
+    return (nodes.where(low | heavy).groupBy("host")
+            .agg(F.collect_list(F.when(low, F.col("node"))).alias("low"), F.collect_list(F.when(heavy, F.col("node"))).alias("heavy")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -358,19 +414,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def run(batches):
         for b in batches:
             texts, sets = [], {}
-            for host, low, h in zip(b.column(2).to_pylist(), b.column(3), b.column(4)):
+            for host, low, heavy, h in zip(b.column(2).to_pylist(), b.column(3), b.column(4), b.column(5)):
                 if host not in sets:
-                    sets[host] = set(low.as_py() or ())
-                texts.append(main_text(h.as_py() or "", sets[host]))
+                    sets[host] = set(low.as_py() or ()), set(heavy.as_py() or ())
+                texts.append(main_text(h.as_py() or "", *sets[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
     # Written down and measured: a small table goes to the pages; else both sides are plain exchanges,
     # in which a hot host's pages can be split.
     low = cut_lineage(low_branches(pages, url_col, html_col, threshold))
-    size = low.agg(F.sum(F.octet_length("host") + 8 * F.size("low") + 64)).first()[0] or 0
+    size = low.agg(F.sum(F.octet_length("host") + 8 * F.size("low") + 8 * F.size("heavy") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         low = F.broadcast(low)
     left = src.mapInArrow(hosts, "page_id long, url string, html string, host string")
-    return (left.join(low, "host", "left").select("page_id", "url", "host", "low", "html")
+    return (left.join(low, "host", "left").select("page_id", "url", "host", "low", "heavy", "html")
             .mapInArrow(run, "page_id long, url string, text string")
             .withColumn("n_chars", F.char_length("text").cast("long")))

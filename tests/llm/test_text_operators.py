@@ -138,6 +138,26 @@ def test_extraction_of_a_host_with_many_copies_of_one_article(llm):
     assert all(got[2000 + i] == (shared.strip() if i < 600 else f"Own words {i}") for i in range(1000))
 
 
+def test_extraction_where_names_speak_against_the_text(llm):
+    """Wrappers with boilerplate names, a form around the page and teaser articles do not cost the text."""
+    own = ["<p>Own report {i} " + f"with words {k} " * 8 + "{i}</p>" for k in range(3)]
+    body = "".join(own)
+    pages = {"side.example": "<body><div class='site has-sidebar'><div class='elementor-widget-text-editor'>%s</div></div>"
+                             "<div class=sidebar>Latest links</div>",
+             "form.example": "<body><form id=aspnetForm><div class=nav>Menu</div><div class=c>%s</div></form>",
+             "card.example": "<body><div class=c>%s</div><article><p>Teaser one</p></article><article><p>Teaser two</p></article>",
+             "span.example": "<body><span class=widget>%s" % "Own report {i} with many words {i}</span><b class=share>Share</b>"}
+    rows = [(1000 * k + i, f"http://{host}/{i}", (page % body if "%s" in page else page).format(i=i))
+            for k, (host, page) in enumerate(pages.items()) for i in range(60)]
+    got = {r.page_id: r.text for r in styletree.extract(llm.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = re.sub(r"</?p>", " ", body)
+    for k in range(3):
+        for i in range(60):
+            assert " ".join(want.format(i=i).split()) in got[1000 * k + i], (k, got[1000 * k + i])
+    assert "Latest links" not in got[5] and "Menu" not in got[1005]
+    assert "Own report 7 with many words 7" in got[3007]
+
+
 def test_pipeline_stages_and_columns(llm):
     import corpus_pipeline as P
     sf = "/root/testdata/sf0.001"
