@@ -98,6 +98,16 @@ def test_spans_keep_the_base_and_add_to_it(docs, odd):
     assert pii.find(docs([])).count() == 0
 
 
+def test_other_forms_of_the_fixed_kinds_are_found(docs):
+    """Phone numbers without + and written-out addresses, where the patterns find their usual forms."""
+    rows = [(i, f"write to user{i}@mail{i % 7}.example.com or call +1 (212) 555-{1000 + i} today") for i in range(150)]
+    rows += [(200 + i, f"the number {1000000 + 7 * i} is plain, order {31 * i + 5000000000} too") for i in range(150)]
+    rows += [(400 + i, f"write to user{i} [at] mail{i % 7} [dot] example [dot] com or call (212) 555-{3000 + i} today") for i in range(20)]
+    got = {r.doc_id: r.text for r in pii.redacted(docs(rows)).collect()}
+    assert all(got[i] == "write to [EMAIL] or call [PHONE] today" for i in (*range(150), *range(400, 420)))
+    assert all(got[i] == t for i, t in rows if 200 <= i < 400)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a="</p>";</script></head>
 <body class=home><nav><ul><li><a href="/">Home</a><li>About</ul></nav><div class="x7">Follow us everywhere</div>
 <!-- c <p>no</p> --><article><h1>Title {i}</h1><p>Some <b>bo</b>ld &eacute;{i}<br>line<p>Second &lt;par&gt; {i}
