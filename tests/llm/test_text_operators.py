@@ -108,6 +108,19 @@ def test_other_forms_of_the_fixed_kinds_are_found(docs):
     assert all(got[i] == t for i, t in rows if 200 <= i < 400)
 
 
+def test_rare_kinds_are_not_switched_off(docs):
+    """A kind in few of very many documents, and one with too few positives to learn from."""
+    rows = [(i, f"the plain number {1000000 + i} in document {i}") for i in range(8000)]
+    rows += [(10_000 + i, f'the word token = "{hashlib.sha1(bytes([i])).hexdigest()}" in a text') for i in range(40)]
+    few = [(1, f'the word token = "{hashlib.sha1(b"x").hexdigest()}" in a text'), (2, "me [at] mail [dot] com"),
+           (3, "or (212) 555-0100 then"), (4, "the plain number 1000000 stays")]
+    got = {r.doc_id: r.text for r in pii.redacted(docs(rows)).collect()}
+    assert sum(got[10_000 + i] == 'the word token = "[SECRET]" in a text' for i in range(40)) >= 36
+    assert all(got[i] == t for i, t in rows[:8000])
+    got = {r.doc_id: r.text for r in pii.redacted(docs(few)).collect()}
+    assert got == {1: 'the word token = "[SECRET]" in a text', 2: "[EMAIL]", 3: "or [PHONE] then", 4: few[3][1]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a="</p>";</script></head>
 <body class=home><nav><ul><li><a href="/">Home</a><li>About</ul></nav><div class="x7">Follow us everywhere</div>
 <!-- c <p>no</p> --><article><h1>Title {i}</h1><p>Some <b>bo</b>ld &eacute;{i}<br>line<p>Second &lt;par&gt; {i}
