@@ -121,6 +121,23 @@ def test_rare_kinds_are_not_switched_off(docs):
     assert got == {1: 'the word token = "[SECRET]" in a text', 2: "[EMAIL]", 3: "or [PHONE] then", 4: few[3][1]}
 
 
+def test_proposals_are_whole():
+    """Five groups, long tokens and long local parts are proposed whole; long number runs stay linear."""
+    def has(text, kind, s):
+        a = text.index(s)
+        assert (kind, a, a + len(s)) in pii.proposals(text), s
+    has("call 06 12 34 56 78 now", "phone", "06 12 34 56 78")
+    has("call 0 6 1 2 3 4 5 6 7 8 now", "phone", "0 6 1 2 3 4 5 6 7 8")
+    has("call (0)6" + "." * 50 + "12345678 now", "phone", "(0)6" + "." * 50 + "12345678")
+    key = "0123456789abcdef" * 16
+    has(f'token = "{key}"', "secret", key)
+    has(f"mail {'ab.' * 40}c [at] mail [dot] com", "email", f"{'ab.' * 40}c [at] mail [dot] com")
+    assert len(pii.proposals("1 " * 20_000)) <= 13 * 20_000
+    text = f'the token = "{key}" is long'
+    trees = pii.Trees(*[pii.np.zeros((0, 1), int)] * 3, 0.0, {k: 2.0 for k in pii.KINDS})
+    assert pii.redact(text, pii.find_spans(text, trees)[1]) == 'the token = "[SECRET]" is long'
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a="</p>";</script></head>
 <body class=home><nav><ul><li><a href="/">Home</a><li>About</ul></nav><div class="x7">Follow us everywhere</div>
 <!-- c <p>no</p> --><article><h1>Title {i}</h1><p>Some <b>bo</b>ld &eacute;{i}<br>line<p>Second &lt;par&gt; {i}
