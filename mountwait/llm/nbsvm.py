@@ -157,10 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = np.log(share[1] / share[0])
     ratio[n[:, :DIM].sum(axis=0) == 0] = 0.0
 
-    # The bounded sample: `sample` ids of each class, in hash order.
-    order = F.xxhash64("lid"), F.col("lid")
-    ids = (lab.where("y = 0").orderBy(*order).limit(sample)
-           .unionByName(lab.where("y = 1").orderBy(*order).limit(sample)))
+    # The bounded sample: `sample` distinct rows (id and text) of each class, in hash order of the id.
+    # An id of very many rows does not go to the driver as a whole.
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    have_rows = cut_lineage(src.join(side, src["doc_id"] == side["lid"]).select("lid", "y", text.alias("h")).distinct())
+    order = F.xxhash64("lid"), F.col("lid"), F.col("h")
+    ids = (have_rows.where("y = 0").orderBy(*order).limit(sample)
+           .unionByName(have_rows.where("y = 1").orderBy(*order).limit(sample)))
 
     def collect(batches):
         for rows, data, off in slices(batches, "text"):
@@ -170,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 [rows.column(0), rows.column(rows.schema.get_field_index("y")),
                  pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(bucket.astype(np.int32)))],
                 names=["doc_id", "y", "bs"])
-    got = (src.join(F.broadcast(ids), src["doc_id"] == ids["lid"]).select("doc_id", "y", "text")
+    got = (src.join(F.broadcast(ids), (src["doc_id"] == ids["lid"]) & (text == ids["h"]))
+           .select("doc_id", "y", "h", "text").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
+           .select("doc_id", "y", "text")
            .mapInArrow(collect, "doc_id long, y int, bs array<int>")).toArrow().sort_by("doc_id")
     rows = [np.asarray(x, np.int64) for x in (got["bs"].combine_chunks()).to_pylist()]
     y01 = got["y"].to_numpy()

@@ -111,3 +111,16 @@ def test_classifier_on_odd_rows_and_without_labels(llm, docs, odd):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert nbsvm.score_documents(docs([]), lab).count() == 0
+
+
+def test_the_sample_is_bounded_by_rows(llm, docs, monkeypatch):
+    """An id on a third of the rows, with many texts or with one, does not go to the driver as a whole."""
+    rows = [(i, f"good text {i} of words") for i in range(1, 40)] + [(100 + i, f"bad text {i} of junk") for i in range(1, 40)]
+    rows += [(1, f"good row {i} again") for i in range(300)] + [(101, "bad row")] * 300
+    lab = llm.createDataFrame([(i, int(i < 100)) for i, _ in rows[:78]], "doc_id long, quality int")
+    sizes, real = [], nbsvm.dual_descent
+    monkeypatch.setattr(nbsvm, "dual_descent", lambda r, v, y, *a, **k: sizes.append(len(y)) or real(r, v, y, *a, **k))
+    for sample in (10, 60):
+        nbsvm.fit(docs(rows), lab, sample=sample)
+        assert 0 < max(sizes) <= 2 * sample
+        sizes.clear()
