@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mountwait.session import checkpoint_dir
 
@@ -58,14 +59,38 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """df as a compressed table in the shared checkpoint folder: cuts lineage, read by several jobs."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/mountwait-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_PARTS = 2_000
+
+
+def hot_cold_join(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int,
+                  skip: Column | None = None) -> DataFrame:
+    """Left join of rows to groups (one row a key) that no key can skew.
+
+    ``weight`` counts the rows of each group, ``total`` all of them.  Groups
+    above total / HOT_PARTS are fewer than HOT_PARTS and are broadcast; the
+    rest are joined by shuffle.  Rows under ``skip`` have no group (their
+    group columns are null) and take no part in the shuffle.
+    """
+    bound = max(1, total // HOT_PARTS)
+    extra = [c for c in groups.columns if c != key]
+    skip = F.lit(False) if skip is None else skip
+    hot = groups.where(F.col(weight) > bound).select(key, F.struct(*extra).alias("_hot"))
+    seen = rows.withColumn("_skip", skip).join(F.broadcast(hot), key, "left")
+    done = F.col("_skip") | F.col("_hot").isNotNull()
+    cold = groups.where(F.col(weight) <= bound)
+    near = seen.where(done).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in extra])
+    far = seen.where(~done).select(*rows.columns).join(cold, key, "left").select(*rows.columns, *extra)
+    return near.unionByName(far)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

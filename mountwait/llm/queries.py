@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mountwait.llm import decontam, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, suffixes, transducer
+from mountwait.llm import decontam, exact, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, suffixes, transducer
 from mountwait.llm.common import table
 
 
@@ -66,12 +66,23 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents by two-pass Bloom filtering."""
+    return exact.mark(table(spark, sf_dir, "documents")).withColumn("text_sha256", F.lower(F.hex("text_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_token_counts, op3_sentencepiece, op4_decontamination,
         op5_quality_rules, op6_substring_dedup, op7_pii, op8_quality_classifier, op9_simhash,
-        op10_sharding)
+        op10_sharding, op12_exact_dedup)
 }
 
 # DuckDB SQL per query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_exact_dedup": r"""
+with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
+g as (select norm, min(doc_id) as keep_id, count(*)::BIGINT as group_size from t group by 1)
+select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256
+from t join g using (norm)""",
+}
