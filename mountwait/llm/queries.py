@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mountwait.llm import decontam, exact, lattice, nbsvm, pii, repetition, sharding, simhash, styletree, suffixes, transducer
+from mountwait.llm import (
+    decontam, exact, lattice, nbsvm, pii, repetition, sharding, simhash, simplex, styletree, suffixes, transducer, trie)
 from mountwait.llm.common import table
 
 
@@ -66,16 +67,26 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all rebuilt conversations by truncation peeling."""
+    return trie.nodes(table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of all documents by two-pass Bloom filtering."""
     return exact.mark(table(spark, sf_dir, "documents")).withColumn("text_sha256", F.lower(F.hex("text_sha256")))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all 64-component vectors in exact integers, filtered by simplex projection."""
+    return simplex.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_token_counts, op3_sentencepiece, op4_decontamination,
         op5_quality_rules, op6_substring_dedup, op7_pii, op8_quality_classifier, op9_simhash,
-        op10_sharding, op12_exact_dedup)
+        op10_sharding, op11_prefix_trie, op12_exact_dedup, op13_centroids)
 }
 
 # DuckDB SQL per query, where SQL can express it.
