@@ -261,6 +261,23 @@ select l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
        case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderkey end as next_orderkey,
        case when o.o_orderdate < l.l_shipdate + interval 100 day then o.o_orderdate end as next_orderdate
 from l asof left join o on l.nation = o.o_nation and l.l_shipdate < o.o_orderdate""",
+    "asof_next_burst": """
+with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                  case when l_orderkey % 2 = 0 then -1 else l_suppkey end as k,
+                  case when l_orderkey % 2 = 0 then timestamp '2024-01-01' + to_microseconds(cast(
+                    case when l_orderkey % 10 = 0 then 15000000
+                         else (l_orderkey::BIGINT * 7919 + l_linenumber::BIGINT * 104729) % 30000000 end as bigint))
+                  else l_shipdate::TIMESTAMP end as t from lineitem),
+o as (select mk, mt, min(o_orderkey) as o_orderkey from (
+        select o_orderkey, case when o_orderkey % 2 = 0 then -1 else o_custkey end as mk,
+               case when o_orderkey % 2 = 0 then timestamp '2024-01-01' + to_microseconds(cast(
+                 case when o_orderkey % 10 = 0 then 15000000
+                      else (o_orderkey::BIGINT * 15485863) % 30000000 end as bigint))
+               else o_orderdate::TIMESTAMP end as mt from orders) group by all)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       case when mt < t + interval 100 day then o_orderkey end as next_orderkey,
+       case when mt < t + interval 100 day then mt end as next_time
+from l asof left join o on l.k = o.mk and l.t < o.mt""",
     "read_waits": _read_wait_sql("volume", "next_mount_id"),
     "read_waits_migrated": _read_wait_sql("migrated_volume", "migration_next_mount_id"),
     "previous_mount": _with("tm", "rd", extra=_first_mount_by_volume() + """,

@@ -33,20 +33,25 @@ def enrich(base: DataFrame, updates: DataFrame, key: str | list[str],
            columns: list[str] | None = None, check_unique: bool = True) -> DataFrame:
     """``UPDATE base SET c = u.c ... FROM updates u WHERE base.key = u.key``.
 
-    ``updates`` must hold at most one row per key; this is verified first (one
-    aggregation of the update keys) and a repeated key raises, unless
-    ``check_unique`` is false.  Base rows without an update keep their values; columns new
-    to ``base`` are null there.
+    ``updates`` must hold at most one row per key: a repeated key raises while the
+    result is computed, unless ``check_unique`` is false.  The check is an aggregate
+    by the key inside the plan, whose exchange the join needs anyway, so the updates
+    are computed once.  Base rows without an update keep their values; columns new to
+    ``base`` are null there.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    if check_unique:
-        dup = (updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-               .filter(F.col("_n") > 1).limit(5).collect())
-        if dup:
-            raise ValueError(f"update keys repeat: {[tuple(r)[:-1] for r in dup]}")
     cols = columns or [c for c in updates.columns if c not in keys]
     hit = "_en_hit"
-    u = updates.select(*keys, *[F.col(c).alias(f"_en_{c}") for c in cols], F.lit(True).alias(hit))
+    if check_unique:
+        row = F.struct(*[F.col(c).alias(f"_en_{c}") for c in cols])
+        many = F.raise_error(F.concat(F.lit("update keys repeat: "), F.to_json(F.struct(*keys))))
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()  # a null key matches no row
+        u = (updates.filter(known).groupBy(*keys).agg(F.first(row).alias("_en"), F.count(F.lit(1)).alias("_en_n"))
+             .select(*keys, "_en.*", F.when(F.col("_en_n") > 1, many.cast("boolean")).otherwise(F.lit(True)).alias(hit)))
+    else:
+        u = updates.select(*keys, *[F.col(c).alias(f"_en_{c}") for c in cols], F.lit(True).alias(hit))
     j = base.join(u, keys, "left")
     assignments = {c: F.col(f"_en_{c}") for c in cols}
     out = set_where(j, F.col(hit), assignments)

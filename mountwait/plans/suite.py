@@ -36,6 +36,8 @@ EVENT_WINDOW = _dt.timedelta(days=3)
 TIES_WINDOW = _dt.timedelta(days=100)
 N_SHARDS = 10
 HOT_KEY = 99
+BURST_START = "2024-01-01 00:00:00"
+BURST_TARGET = 1_000
 
 
 def _flat_wait(df: DataFrame, col: str) -> DataFrame:
@@ -229,8 +231,7 @@ def asof_next_ties(spark: SparkSession, sf: str) -> DataFrame:
 
 def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
     """As ``asof_next_ties`` with a third of both sides (order keys divisible
-    by 3) moved onto one hot key, to exercise the skew handling; cells are
-    sized per key (cells are sized per key)."""
+    by 3) moved onto one hot key, to exercise the skew handling."""
     li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
                                                 "l_suppkey", "l_shipdate")
     sup = td.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"),
@@ -250,6 +251,27 @@ def asof_next_hot_key(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("match.time").alias("next_orderdate"))
 
 
+def asof_next_burst(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of all line items and orders (even order keys) fall on one key within 30 seconds, and a
+    tenth on one instant of it; a target of 1,000 rows cuts the burst into many cells."""
+    def burst(key, micros):
+        start = F.lit(BURST_START).cast("timestamp_ntz")
+        at = F.when(F.col(key) % 10 == 0, F.lit(15_000_000)).otherwise(micros % 30_000_000)
+        return F.col(key) % 2 == 0, start + F.make_dt_interval(secs=at / 1_000_000)
+    li = td.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    orders = td.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    hot, at = burst("l_orderkey", F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729)
+    left = (li.withColumn("k", F.when(hot, F.lit(-1)).otherwise(F.col("l_suppkey")))
+            .withColumn("t", F.when(hot, at).otherwise(F.col("l_shipdate").cast("timestamp_ntz"))))
+    hot, at = burst("o_orderkey", F.col("o_orderkey") * 15485863)
+    right = orders.select("o_orderkey", F.when(hot, F.lit(-1)).otherwise(F.col("o_custkey")).alias("mk"),
+                          F.when(hot, at).otherwise(F.col("o_orderdate").cast("timestamp_ntz")).alias("mt"))
+    out = next_within(left, right, left_by="k", right_by="mk", left_time="t", right_time="mt", window=TIES_WINDOW,
+                      tie="o_orderkey", target_cell_rows=BURST_TARGET)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                      F.col("match.o_orderkey").alias("next_orderkey"), F.col("match.time").alias("next_time"))
+
+
 # ------------------------------------------------------------------ wait jobs
 
 def _family_mounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,6 +398,7 @@ SUITE = {
     "asof_prev": asof_prev,
     "asof_next_ties": asof_next_ties,
     "asof_next_hot_key": asof_next_hot_key,
+    "asof_next_burst": asof_next_burst,
     "read_waits": read_waits,
     "read_waits_migrated": read_waits_migrated,
     "previous_mount": previous_mount,

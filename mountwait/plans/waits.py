@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_site_ok, bfid_time, require_good_bfids
+from mountwait.functions.timecols import epoch_micros
 from mountwait.operators.asof import asof_lookups, next_within, prev_within
 from mountwait.operators.enrich import set_where
 from mountwait.session import cut_lineage
@@ -99,14 +100,14 @@ def _mount_cols(mounts: DataFrame, *extra: str) -> DataFrame:
     return mounts.select(*dict.fromkeys(cols))
 
 
-def read_waits(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, bucket=None,
+def read_waits(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
                volume_col: str = "volume", id_out: str = "next_mount_id",
                wait_out: str = "mount_wait") -> DataFrame:
     """Wait of each read for the next mount of its tape (``volume_col``)."""
     m = _mount_cols(mounts).withColumnRenamed("volume", "_m_volume")
     out = next_within(reads, m, left_by=volume_col, right_by="_m_volume",
                       left_time="datestamp", right_time="start", window=window,
-                      tie="tapemount_id", eligible=eligible_read(volume_col), bucket=bucket)
+                      tie="tapemount_id", eligible=eligible_read(volume_col), spread="sfbr_id")
     out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
     return drop_wait(set_where(out, F.col("match").isNotNull(), {
         id_out: F.col("match.tapemount_id"),
@@ -114,15 +115,14 @@ def read_waits(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, bucke
     })).drop("match")
 
 
-def read_waits_migrated(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
-                        bucket=None) -> DataFrame:
+def read_waits_migrated(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW) -> DataFrame:
     """Wait of each read for the next mount of the tape its file moved to."""
-    return read_waits(reads, mounts, window, bucket, volume_col="migrated_volume",
+    return read_waits(reads, mounts, window, volume_col="migrated_volume",
                       id_out="migration_next_mount_id", wait_out="migration_mount_wait")
 
 
 def previous_mount(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
-                   bucket=None, volume_col: str = "migrated_volume") -> DataFrame:
+                   volume_col: str = "migrated_volume") -> DataFrame:
     """Last mount of the read's tape before the read, within the window.
 
     The latest earlier mount is chosen first and only then is its ``finish``
@@ -135,7 +135,7 @@ def previous_mount(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
     out = prev_within(reads, m, left_by=volume_col, right_by="_m_volume",
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", carry=["finish"],
-                      eligible=eligible_read(volume_col), bucket=bucket)
+                      eligible=eligible_read(volume_col), spread="sfbr_id")
     hit = F.col("match").isNotNull() & F.col("match.finish").isNotNull()
     out, wait = with_wait(out, F.col("match.finish"), F.col("datestamp"))
     return drop_wait(set_where(out, hit, {
@@ -145,7 +145,7 @@ def previous_mount(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
 
 
 def read_host_volume(reads: DataFrame, family_mounts: DataFrame, window=HOST_VOLUME_WINDOW,
-                     bucket=None, strict: bool = False) -> DataFrame:
+                     strict: bool = False) -> DataFrame:
     """Simulated host tape of each read: the first mount with writes of the
     file's family after the file was created (time from the BFID).  A site
     BFID without a readable time gets no match; ``strict`` raises instead."""
@@ -157,13 +157,13 @@ def read_host_volume(reads: DataFrame, family_mounts: DataFrame, window=HOST_VOL
     r = reads.withColumn(_BFID_T, bfid_time("bfid"))
     out = next_within(r, m, left_by="file_family", right_by="_m_family", left_time=_BFID_T,
                       right_time="start", window=window, tie="tapemount_id",
-                      carry=["_m_volume"], eligible=eligible_read_volume(), bucket=bucket)
+                      carry=["_m_volume"], eligible=eligible_read_volume(), spread="sfbr_id")
     return set_where(out, F.col("match").isNotNull(),
                      {"volume": F.col("match._m_volume")}).drop("match", _BFID_T)
 
 
 def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WINDOW,
-                bucket=None, done: str = "updated") -> DataFrame:
+                done: str = "updated") -> DataFrame:
     """Wait of each store for the next writing mount of a tape of its family;
     sets the tape, the mount, its time and the wait, and marks ``done``."""
     m = _mount_cols(family_mounts, "file_family").select(
@@ -172,7 +172,7 @@ def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WIND
     out = next_within(stores, m, left_by="file_family", right_by="_m_family",
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", carry=["_m_volume"],
-                      eligible=eligible_store(stores, done), bucket=bucket)
+                      eligible=eligible_store(stores, done), spread="storageinfo_id")
     out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
     return drop_wait(set_where(out, F.col("match").isNotNull(), {
         "volume": F.col("match._m_volume"),
@@ -184,7 +184,7 @@ def store_waits(stores: DataFrame, family_mounts: DataFrame, window=DEFAULT_WIND
 
 
 def restore_host_volume(stores: DataFrame, family_mounts: DataFrame,
-                        window=HOST_VOLUME_WINDOW, bucket=None,
+                        window=HOST_VOLUME_WINDOW,
                         done: str = "updated", mark: str | None = None,
                         strict: bool = False, skip_done: str | None = None) -> DataFrame:
     """Simulated host tape of each successful restore (from the BFID time);
@@ -202,14 +202,14 @@ def restore_host_volume(stores: DataFrame, family_mounts: DataFrame,
     r = stores.withColumn(_BFID_T, bfid_time("bfid"))
     out = next_within(r, m, left_by="file_family", right_by="_m_family", left_time=_BFID_T,
                       right_time="start", window=window, tie="tapemount_id",
-                      carry=["_m_volume"], eligible=ok, bucket=bucket)
+                      carry=["_m_volume"], eligible=ok, spread="storageinfo_id")
     sets = {done: F.lit(True), "volume": F.col("match._m_volume")}
     if mark:
         sets[mark] = F.lit(True)
     return set_where(out, F.col("match").isNotNull(), sets).drop("match", _BFID_T)
 
 
-def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, bucket=None,
+def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
                   done: str = "updated") -> DataFrame:
     """Wait of each successful restore for the next mount of its tape; sets
     the mount time and the wait (no mount id) and marks ``done``."""
@@ -217,7 +217,7 @@ def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, b
     out = next_within(stores, m, left_by="volume", right_by="_m_volume",
                       left_time="datestamp", right_time="start", window=window,
                       tie="tapemount_id", eligible=eligible_restore_wait(stores, done),
-                      bucket=bucket)
+                      spread="storageinfo_id")
     out, wait = with_wait(out, F.col("match.time"), F.col("datestamp"))
     return drop_wait(set_where(out, F.col("match").isNotNull(), {
         done: F.lit(True),
@@ -228,87 +228,65 @@ def restore_waits(stores: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW, b
 
 def restore_chain(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                   volume_window=HOST_VOLUME_WINDOW, wait_window=DEFAULT_WINDOW,
-                  bucket=None, between=cut_lineage) -> DataFrame:
+                  between=cut_lineage) -> DataFrame:
     """Host volume, then wait, of every restore, each stage with its own
     done-column (``volume_done``, ``wait_done``) so that a restore that just
     received a tape still gets its wait.
 
     ``between`` is applied to the first stage's result; by default it is
     stored as a reliable checkpoint in the shared checkpoint folder, because
-    the second stage reads its input several times (eligible rows, the
-    others, the request pairs) and would otherwise recompute the first
-    stage for each.  Pass ``None`` to keep one lazy plan."""
+    the second stage reads its input twice (to size its cells, and whole) and
+    would otherwise recompute the first stage.  Pass ``None`` to keep one lazy plan."""
     s = stores
     if "volume_done" not in s.columns:
         s = s.withColumn("volume_done", F.lit(False))
     if "wait_done" not in s.columns:
         s = s.withColumn("wait_done", F.lit(False))
-    s = restore_host_volume(s, family_mounts, volume_window, bucket, done="volume_done", skip_done="updated")
+    s = restore_host_volume(s, family_mounts, volume_window, done="volume_done", skip_done="updated")
     if between is not None:
         s = between(s)
-    return restore_waits(s, mounts, wait_window, bucket, done="wait_done")
+    return restore_waits(s, mounts, wait_window, done="wait_done")
 
 
-def _lookup_result(id_col: str, match: str, field: str, hit: Column, id_out: str | None,
-                   tag: str):
-    """``finish`` step of one lookup: the hit flag, the mount id and the wait,
-    computed on the lookup's narrow result before it is joined to the rows."""
-    def finish(res: DataFrame) -> DataFrame:
-        res, wait = with_wait(res, F.col(f"{match}.{field}"), F.col("datestamp"))
-        cols = [F.col(id_col), F.coalesce(hit, F.lit(False)).alias(f"_{tag}_hit"),
-                wait.alias(f"_{tag}_wait")]
-        if id_out:
-            cols.append(F.col(f"{match}.tapemount_id").alias(f"_{tag}_id"))
-        return res.select(*cols)
-    return finish
+def _set_wait(out: DataFrame, match: str, field: str, id_out: str, wait_out: str) -> DataFrame:
+    """The mount id and the wait until ``field`` of the match, on rows that have it."""
+    hit = F.col(match).isNotNull() & F.col(f"{match}.{field}").isNotNull()
+    out, wait = with_wait(out, F.col(f"{match}.{field}"), F.col("datestamp"))
+    return drop_wait(set_where(out, hit, {id_out: F.col(f"{match}.tapemount_id"), wait_out: wait})).drop(match)
 
 
 def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
-                   previous_window=DEFAULT_WINDOW, bucket=None) -> DataFrame:
+                   previous_window=DEFAULT_WINDOW) -> DataFrame:
     """The three read lookups in one job: next mount of the read's tape, next
     mount of the tape after migration, and last mount before the read on
-    that tape (with the ``finish`` test).  The reads are shuffled once, and
-    ``sfbr_id`` may repeat; each lookup and its wait are computed on
-    narrow rows.  Results equal ``read_waits``, ``read_waits_migrated`` and
+    that tape (with the ``finish`` test).  The last two share one pass over the
+    rows, in both directions of time; nothing is joined back, so ``sfbr_id`` may
+    repeat.  Results equal ``read_waits``, ``read_waits_migrated`` and
     ``previous_mount`` applied in turn."""
     m = _mount_cols(mounts, "finish").withColumnRenamed("volume", "_m_volume")
-    steps = [  # tag, key column, window, direction, time field, hit, id column, wait column
-        ("nx", "volume", window, "forward", "time", None, "next_mount_id", "mount_wait"),
-        ("mg", "migrated_volume", window, "forward", "time", None, "migration_next_mount_id",
-         "migration_mount_wait"),
-        ("pv", "migrated_volume", previous_window, "backward", "finish", "finish",
-         "previous_mount_100d_id", "previous_mount_100d_wait"),
+    steps = [  # match, key column, window, direction, time field, id column, wait column
+        ("_lk_nx", "volume", window, "forward", "time", "next_mount_id", "mount_wait"),
+        ("_lk_mg", "migrated_volume", window, "forward", "time", "migration_next_mount_id", "migration_mount_wait"),
+        ("_lk_pv", "migrated_volume", previous_window, "backward", "finish", "previous_mount_100d_id",
+         "previous_mount_100d_wait"),
     ]
-    lookups = []
-    for tag, key, win, direction, field, need, id_out, wait_out in steps:
-        match = f"_lk_{tag}"
-        hit = F.col(match).isNotNull()
-        if need:
-            hit = hit & F.col(f"{match}.{need}").isNotNull()
-        lookups.append(dict(left_by=key, left_time="datestamp", window=win, direction=direction,
-                            match=match, eligible=eligible_read(key),
-                            finish=_lookup_result("sfbr_id", match, field, hit, id_out, tag)))
-    out = asof_lookups(reads, m, id_col="sfbr_id", right_by="_m_volume", right_time="start",
-                       tie="tapemount_id", carry=["finish"], bucket=bucket, lookups=lookups)
-    sets = {}
-    for tag, _, _, _, _, _, id_out, wait_out in steps:
-        hit = F.coalesce(F.col(f"_{tag}_hit"), F.lit(False))
-        old_id = F.col(id_out) if id_out in reads.columns else F.lit(None).cast("long")
-        old_wait = F.col(wait_out) if wait_out in reads.columns else F.lit(None)
-        sets[id_out] = F.when(hit, F.col(f"_{tag}_id")).otherwise(old_id)
-        sets[wait_out] = F.when(hit, F.col(f"_{tag}_wait")).otherwise(
-            old_wait.cast(out.schema[f"_{tag}_wait"].dataType))
-    keep = [F.col(c) for c in reads.columns if c not in sets]
-    return out.select(*keep, *[e.alias(n) for n, e in sets.items()])
+    out = asof_lookups(reads, m, right_by="_m_volume", right_time="start", tie="tapemount_id", carry=["finish"],
+                       spread="sfbr_id", lookups=[
+                           dict(left_by=key, left_time="datestamp", window=win, direction=direction, match=match,
+                                eligible=eligible_read(key)) for match, key, win, direction, *_ in steps])
+    for match, _, _, _, field, id_out, wait_out in steps:
+        out = _set_wait(out, match, field, id_out, wait_out)
+    return out
 
 
 def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                       store_window=DEFAULT_WINDOW, volume_window=HOST_VOLUME_WINDOW,
-                      wait_window=DEFAULT_WINDOW, bucket=None, between=cut_lineage) -> DataFrame:
+                      wait_window=DEFAULT_WINDOW, between=cut_lineage) -> DataFrame:
     """All store-table stages in one job: wait of every store (``updated``
     as done flag), host tape of every restore (``volume_done``), then wait
-    of every restore on that tape (``wait_done``).  The first two lookups
-    share one shuffle of the full rows;
+    of every restore on that tape (``wait_done``).  A row is a store or a
+    restore, so the first two lookups are one pass over the rows, by the time
+    that counts for each;
     the restore wait needs the new tape, so it follows as a second stage,
     after ``between`` (a reliable checkpoint by default, see
     ``restore_chain``).  Equal to ``store_waits`` followed by
@@ -320,15 +298,16 @@ def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataF
     m = _mount_cols(family_mounts, "file_family").select(
         "tapemount_id", "start", F.col("volume").alias("_m_volume"),
         F.col("file_family").alias("_m_family"))
-    r = s.withColumn(_BFID_T, bfid_time("bfid"))
-    out = asof_lookups(r, m, id_col="storageinfo_id", right_by="_m_family", right_time="start",
-                       tie="tapemount_id", carry=["_m_volume"], bucket=bucket, lookups=[
-                           dict(left_by="file_family", left_time="datestamp", window=store_window,
-                                match="_lk_store", eligible=eligible_store(s)),
-                           dict(left_by="file_family", left_time=_BFID_T, window=volume_window,
-                                match="_lk_vol", eligible=eligible_restore_volume(s, "volume_done")
-                                & _not_done(s, "updated")),
-                       ])
+    is_store = eligible_store(s)
+    is_restore = eligible_restore_volume(s, "volume_done") & _not_done(s, "updated")
+    r = s.withColumn("_lk_time", F.when(is_store, epoch_micros("datestamp")).when(is_restore, epoch_micros(bfid_time("bfid"))))
+    r = r.withColumn("_lk_time", F.timestamp_micros("_lk_time"))
+    out = asof_lookups(r, m, right_by="_m_family", right_time="start", tie="tapemount_id", carry=["_m_volume"],
+                       spread="storageinfo_id", lookups=[
+                           dict(left_by="file_family", left_time="_lk_time", window=store_window,
+                                match="_lk_store", eligible=is_store),
+                           dict(left_by="file_family", left_time="_lk_time", window=volume_window,
+                                match="_lk_vol", eligible=is_restore)])
     out, wait = with_wait(out, F.col("_lk_store.time"), F.col("datestamp"))
     out = drop_wait(set_where(out, F.col("_lk_store").isNotNull(), {
         "volume": F.col("_lk_store._m_volume"),
@@ -339,7 +318,7 @@ def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataF
     }))
     out = set_where(out, F.col("_lk_vol").isNotNull(), {
         "volume_done": F.lit(True), "volume": F.col("_lk_vol._m_volume"),
-    }).drop("_lk_store", "_lk_vol", _BFID_T)
+    }).drop("_lk_store", "_lk_vol", "_lk_time")
     if between is not None:
         out = between(out)
-    return restore_waits(out, mounts, wait_window, bucket, done="wait_done")
+    return restore_waits(out, mounts, wait_window, done="wait_done")

@@ -19,12 +19,12 @@ M_SCHEMA = T.StructType([T.StructField("mid", T.LongType()), T.StructField("mk",
                          T.StructField("finish", T.TimestampNTZType())])
 
 
-def run(spark, reqs, mounts, window=DAY, direction="forward", bucket=None):
+def run(spark, reqs, mounts, window=DAY, direction="forward", target=None):
     r = spark.createDataFrame(reqs, R_SCHEMA)
     m = spark.createDataFrame(mounts, M_SCHEMA)
     fn = next_within if direction == "forward" else prev_within
     out = fn(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=window,
-             tie="mid", carry=["finish"], bucket=bucket)
+             tie="mid", carry=["finish"], target_cell_rows=target)
     return {row.rid: (row.match.mid if row.match else None)
             for row in out.select("rid", "match").collect()}
 
@@ -52,14 +52,12 @@ def test_null_keys_never_match(spark):
     assert out == {1: None, 2: None}
 
 
-def test_match_in_later_bucket(spark):
-    # bucket of one minute: the mount is many cells away but inside the window
-    out = run(spark, [(1, "a", T0)], [(10, "a", T0 + dt.timedelta(hours=20), None)],
-              bucket=dt.timedelta(minutes=1))
-    assert out == {1: 10}
-    out = run(spark, [(1, "a", T0)], [(10, "a", T0 - dt.timedelta(hours=20), None)],
-              bucket=dt.timedelta(minutes=1), direction="backward")
-    assert out == {1: 10}
+def test_match_in_a_far_cell(spark):
+    # one row a cell: the mount is many cells away but inside the window
+    for way, sign in (("forward", 1), ("backward", -1)):
+        reqs = [(i, "a", T0 + sign * dt.timedelta(minutes=i)) for i in range(60)]
+        out = run(spark, reqs, [(10, "a", T0 + sign * dt.timedelta(hours=20), None)], target=1, direction=way)
+        assert out == {i: 10 for i in range(60)}
 
 
 def test_every_left_row_kept_once(spark):
@@ -106,8 +104,8 @@ def test_matches_brute_force(spark, seed, direction):
     reqs = [(i, rnd.choice(keys), ts()) for i in range(150)]
     mounts = [(1000 + i, rnd.choice(keys), ts(), None) for i in range(80)]
     window = dt.timedelta(hours=rnd.choice([3, 12, 30]))
-    bucket = rnd.choice([None, dt.timedelta(minutes=45), dt.timedelta(hours=7)])
-    assert run(spark, reqs, mounts, window, direction, bucket) == \
+    target = rnd.choice([None, 1, 7, 40])
+    assert run(spark, reqs, mounts, window, direction, target) == \
         brute(reqs, mounts, window, direction)
 
 
@@ -127,7 +125,7 @@ def test_hot_key_and_hot_instant(spark, direction):
     mounts += [(9000, "hot", hot_t, None), (9001, "hot", hot_t, None)]   # equal to the hot instant
     window = dt.timedelta(hours=10)
     got = run(spark, reqs, mounts, window, direction,
-              bucket=dt.timedelta(minutes=20))
+              target=20)
     assert len(got) == len(reqs)
     assert got == brute(reqs, mounts, window, direction)
 
@@ -144,7 +142,7 @@ def test_result_independent_of_shuffle_partitions(spark):
         for n in ("1", "13"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
             results.append(run(spark, reqs, mounts, dt.timedelta(hours=8), "forward",
-                               dt.timedelta(minutes=30)))
+                               30))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == brute(reqs, mounts, dt.timedelta(hours=8), "forward")
@@ -159,7 +157,7 @@ def test_asof_lookups_with_repeated_ids(spark):
                               M_SCHEMA)
     look = [dict(left_by="k", left_time="t", window=DAY, match="m1"),
             dict(left_by="k", left_time="t", window=DAY, match="m2", eligible=F.col("rid").isNotNull())]
-    out = asof_lookups(r, m, id_col="rid", right_by="mk", right_time="mt", lookups=look, tie="mid").collect()
+    out = asof_lookups(r, m, right_by="mk", right_time="mt", lookups=look, tie="mid").collect()
     got = sorted(str((x.rid, x.k, x.t, x.m1 and x.m1.mid, x.m2 and x.m2.mid)) for x in out)
     assert got == sorted(map(str, [(1, "a", T0, 10, 10)] * 2 + [(1, "a", T0 + DAY, None, None), (1, "b", T0, 11, 11),
                                    (1, None, T0, None, None), (None, "a", T0, 10, None)]))
@@ -174,9 +172,8 @@ def test_missing_column_is_reported(spark):
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
 @pytest.mark.parametrize("target", [2, 50, 1_000_000])
-def test_auto_buckets_match_brute_force(spark, direction, target):
-    """Per-key cell widths (the default): tiny targets force very fine
-    cells for the hot key; the answer must not change."""
+def test_cells_of_any_size_match_brute_force(spark, direction, target):
+    """Tiny targets cut the hot key into many cells; the answer must not change."""
     rnd = random.Random(23)
     hot_t = T0 + dt.timedelta(hours=30)
     reqs = [(i, "hot", hot_t) for i in range(50)]
@@ -204,7 +201,7 @@ def test_equal_times_without_tie_are_deterministic(spark):
     m = spark.createDataFrame([(12, "a", T0 + dt.timedelta(minutes=5), None),
                                (11, "a", T0 + dt.timedelta(minutes=5), None)], M_SCHEMA)
     out = next_within(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt",
-                      window=DAY, carry=["mid"], bucket=dt.timedelta(hours=1))
+                      window=DAY, carry=["mid"], target_cell_rows=1)
     got = {row.rid: row.match.mid for row in out.collect()}
     assert got == {1: 11, 2: 11}
 

@@ -16,12 +16,11 @@ minutes = st.integers(min_value=0, max_value=3 * 24 * 60)
     reqs=st.lists(st.tuples(keys, minutes), min_size=1, max_size=25),
     mounts=st.lists(st.tuples(keys, minutes), min_size=0, max_size=25),
     window_min=st.integers(min_value=1, max_value=36 * 60),
-    bucket_min=st.sampled_from([None, 7, 60, 24 * 60]),
+    target=st.sampled_from([None, 1, 3, 10]),
     direction=st.sampled_from(["forward", "backward"]),
 )
-def test_asof_equals_brute_force(spark, reqs, mounts, window_min, bucket_min, direction):
+def test_asof_equals_brute_force(spark, reqs, mounts, window_min, target, direction):
     r = [(i, k, T0 + dt.timedelta(minutes=m)) for i, (k, m) in enumerate(reqs)]
     m = [(100 + i, k, T0 + dt.timedelta(minutes=x), None) for i, (k, x) in enumerate(mounts)]
     window = dt.timedelta(minutes=window_min)
-    bucket = dt.timedelta(minutes=bucket_min) if bucket_min else None
-    assert run(spark, r, m, window, direction, bucket) == brute(r, m, window, direction)
+    assert run(spark, r, m, window, direction, target) == brute(r, m, window, direction)

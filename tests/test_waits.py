@@ -80,8 +80,22 @@ def test_enrich_check_unique_raises(spark):
     import pytest
     base = spark.createDataFrame([(1, "x")], "id bigint, v string")
     upd = spark.createDataFrame([(1, "a"), (1, "b")], "id bigint, v string")
-    with pytest.raises(ValueError):
-        enrich(base, upd, "id", check_unique=True)
+    with pytest.raises(Exception, match="update keys repeat.*1"):
+        enrich(base, upd, "id", check_unique=True).collect()
+    # also when no base row has the key; a null key matches nothing and may repeat
+    with pytest.raises(Exception, match="update keys repeat"):
+        enrich(base.selectExpr("id + 1 as id", "v"), upd, "id").collect()
+    nulls = spark.createDataFrame([(None, "a"), (None, "b"), (1, "c")], "id bigint, v string")
+    assert [tuple(r) for r in enrich(base, nulls, "id").collect()] == [(1, "c")]
+
+
+def test_enrich_computes_the_updates_once(spark):
+    base = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, v string")
+    runs = spark.sparkContext.accumulator(0)
+    upd = spark.createDataFrame([(1, "a")], "id bigint, v string").rdd.map(lambda r: (runs.add(1), r)[1]).toDF()
+    runs.value = 0
+    assert sorted(tuple(r) for r in enrich(base, upd, "id").collect()) == [(1, "a"), (2, "y")]
+    assert runs.value == 1
 
 
 def test_bad_bfid_strict(spark):
@@ -129,6 +143,10 @@ def test_read_waits_all_same_for_any_cell_width(spark):
     cols = ["sfbr_id", "next_mount_id", "mount_wait", "migration_next_mount_id",
             "migration_mount_wait", "previous_mount_100d_id", "previous_mount_100d_wait"]
     a = waits.read_waits_all(reads, mounts, 86400, 86400).select(*cols)
-    b = waits.read_waits_all(reads, mounts, 86400, 86400, bucket=1800).select(*cols)
+    spark.conf.set("mountwait.asof.targetCellRows", "3")
+    try:
+        b = waits.read_waits_all(reads, mounts, 86400, 86400).select(*cols)
+    finally:
+        spark.conf.unset("mountwait.asof.targetCellRows")
     assert a.count() == b.count() == reads.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
