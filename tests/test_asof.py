@@ -218,3 +218,62 @@ def test_auto_target_from_session_conf(spark):
     finally:
         spark.conf.unset("mountwait.asof.targetCellRows")
     assert got == brute(reqs, mounts, window, "forward")
+
+
+def test_cuts_follow_density(spark):
+    """A key with a burst of 20,000 rows in 30 seconds and 1,000 rows over a year is cut inside the burst; an
+    instant of 5,000 rows takes several cells; small keys have no cuts."""
+    from mountwait.operators import asof
+    rows = [("hot", i * 1500, 1) for i in range(20_000)] + [("hot", i * 31_536_000_000, 1) for i in range(1_000)]
+    rows += [("hot", 15_000_000, 1)] * 5_000 + [("cold", i, 1) for i in range(500)]
+    points = spark.createDataFrame(rows, f"{asof._K} string, {asof._S} long, {asof._N} int")
+    cuts = {r[0]: r[1] for r in asof.hot_cuts(points, 500).collect()}
+    assert set(cuts) == {"hot"}
+    at = sorted(cuts["hot"])
+    assert at == list(cuts["hot"]) and 40 <= len(at) <= 55
+    assert sum(c <= 30_000_000 for c in at) >= 45
+    assert at.count(15_000_000) >= 8
+    cells = [0] * (len(at) + 1)
+    for k, t, _ in rows:
+        if k == "hot" and t != 15_000_000:
+            cells[sum(c < t for c in at)] += 1
+    assert max(cells) <= 2 * 500
+
+
+@pytest.mark.parametrize("direction", ["forward", "backward"])
+def test_hot_instant_over_many_cells(spark, direction):
+    """Requests and mounts at one instant that spans many cells: strict ends and ties as ever."""
+    hot_t = T0 + dt.timedelta(hours=5)
+    reqs = [(i, "a", hot_t) for i in range(300)] + [(400 + i, "a", T0 + dt.timedelta(minutes=7 * i)) for i in range(100)]
+    mounts = [(5000 - i, "a", hot_t, None) for i in range(300)]
+    mounts += [(6000 + i, "a", T0 + dt.timedelta(minutes=20 * i + 1), None) for i in range(40)]
+    window = dt.timedelta(hours=9)
+    for target in (1, 10, 100):
+        assert run(spark, reqs, mounts, window, direction, target) == brute(reqs, mounts, window, direction)
+
+
+def test_both_directions_in_one_pass(spark):
+    from mountwait.operators.asof import asof_lookups
+    rnd = random.Random(7)
+    ts = lambda: T0 + dt.timedelta(minutes=rnd.randrange(0, 600, 5))
+    reqs = [(i, rnd.choice(["a", "a", "a", "b", None]), ts()) for i in range(200)]
+    mounts = [(1000 + i, rnd.choice("aab"), ts(), None) for i in range(100)]
+    r, m = spark.createDataFrame(reqs, R_SCHEMA), spark.createDataFrame(mounts, M_SCHEMA)
+    h = dt.timedelta(hours=1)
+    out = asof_lookups(r, m, right_by="mk", right_time="mt", tie="mid", target_cell_rows=7, lookups=[
+        dict(left_by="k", left_time="t", window=3 * h, match="n"), dict(left_by="k", left_time="t", window=h, match="n1"),
+        dict(left_by="k", left_time="t", window=2 * h, direction="backward", match="p")]).collect()
+    got = [{x.rid: x[c].mid if x[c] else None for x in out} for c in ("n", "n1", "p")]
+    assert got == [brute(reqs, mounts, 3 * h, "forward"), brute(reqs, mounts, h, "forward"),
+                   brute(reqs, mounts, 2 * h, "backward")]
+
+
+def test_right_rows_of_one_instant_are_one_row_in_the_window(spark):
+    r = spark.createDataFrame([(1, "a", T0)], R_SCHEMA)
+    m = spark.range(20_000).selectExpr("id as mid", "'a' as mk", "timestamp_ntz'2024-01-10 13:00:00' as mt",
+                                       "cast(null as timestamp_ntz) as finish")
+    from mountwait.operators import asof
+    rows = asof._right_rows(m, "mk", "mt", "mid", ["finish"], r.schema["k"].dataType)
+    assert [(x[0], x[2].mid) for x in rows.collect()] == [("a", 0)]
+    out = next_within(r, m, left_by="k", right_by="mk", left_time="t", right_time="mt", window=DAY, tie="mid")
+    assert out.first().match.mid == 0

@@ -1,8 +1,13 @@
 """Physical plan properties that matter at scale."""
 
+import os
+import re
+
 from mountwait.plans import suite
 
-from conftest import SF001
+from conftest import SF001, SF01
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def _plan(df) -> str:
@@ -31,7 +36,7 @@ def test_no_python_in_any_registered_query(spark):
 
 
 def test_asof_plan_has_one_shape_and_starts_no_job(spark):
-    """One window per cell, one over cell rows, whatever the sizes; no job while planning."""
+    """One window over the rows, whatever the sizes; no job while planning, no join back."""
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("asof-plan", "planning")
     plans = [_plan(fn(spark, SF001)) for fn in (suite.asof_next_split, suite.asof_next, suite.read_waits)]
@@ -39,20 +44,51 @@ def test_asof_plan_has_one_shape_and_starts_no_job(spark):
     spark.sparkContext.setJobGroup("other", "other")
     assert not jobs
     for plan in plans:
-        assert plan.count("Window [") == 2
+        assert len(re.findall(r"Window \[last\(forward", plan)) == 1
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
             assert bad not in plan, bad
 
 
-def test_hot_key_really_splits(spark):
-    """The registered query's target cuts the hot key's times into many cells."""
-    from pyspark.sql import functions as F
-    req, mnt = suite._event_sides(spark, SF001)
-    hot = (req.where("event_id % 3 = 0").select("ts").union(mnt.where("m_event_id % 3 = 0").select("m_ts"))
-           .groupBy(F.to_date("ts")).count().agg(F.max("count")).first()[0])
-    assert hot > 0
-    plan = _plan(suite.asof_next_split(spark, SF001))
-    assert "LOG2" in plan.upper()
+def _scans_and_task_rows(spark, query):
+    """(Rows read from files, rows of each reduce task of the widest stage) of one run, by Spark's event log."""
+    import glob
+    import json
+    import subprocess
+    import sys
+    import tempfile
+    log = tempfile.mkdtemp(prefix="mountwait-log-")
+    code = (f"import sys; sys.path.insert(0, {ROOT!r})\n"
+            "from mountwait.session import build_session\nfrom mountwait.plans import suite\n"
+            "s = build_session('local[4]', 8, extra={'spark.eventLog.enabled': 'true', 'spark.eventLog.compress': 'false',"
+            f"'spark.eventLog.dir': 'file://{log}', 'spark.local.dir': {log!r}, 'spark.checkpoint.dir': '{log}/ckpt'"
+            "})\ns.conf.set('spark.sql.adaptive.coalescePartitions.enabled', 'false')\n"
+            f"suite.{query}(s, {SF01!r}).write.format('noop').mode('overwrite').save()\ns.stop()\n")
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    scanned, stages = 0, {}
+    for path in glob.glob(f"{log}/**/events*", recursive=True):
+        for line in open(path):
+            e = json.loads(line)
+            if e["Event"] == "SparkListenerTaskEnd" and e.get("Task Metrics"):
+                m = e["Task Metrics"]
+                scanned += m["Input Metrics"]["Records Read"]
+                stages.setdefault(e["Stage ID"], []).append(m["Shuffle Read Metrics"]["Total Records Read"])
+    return scanned, max(stages.values(), key=sum)
+
+
+def test_a_burst_is_split(spark):
+    """Half of both tables on one key within 30 seconds, a tenth on one instant: no task of the window gets
+    more than a fair share and some."""
+    _, rows = _scans_and_task_rows(spark, "asof_next_burst")
+    assert sum(rows) >= 60_000 and len(rows) == 8
+    assert max(rows) < 2 * sum(rows) / len(rows)
+
+
+def test_lookups_scan_little(spark):
+    """events holds 10,000 rows: reads twice (keys and times alone, then whole) and mounts once per key column."""
+    assert _scans_and_task_rows(spark, "read_waits")[0] <= 3 * 10_000
+    assert _scans_and_task_rows(spark, "read_waits_all")[0] <= 5 * 10_000
+    assert _scans_and_task_rows(spark, "enrich_update")[0] <= 6 * 10_000
 
 
 def test_date_copy_prunes_the_scan(spark, tmp_dir):
@@ -74,14 +110,9 @@ def test_date_copy_prunes_the_scan(spark, tmp_dir):
     assert "GreaterThanOrEqual(ts" in seen[0] and "LessThan(ts" in seen[0]
 
 
-def test_combined_lookups_shuffle_the_rows_once(spark):
-    """read_waits_all: one exchange of the reads by id plus one per lookup
-    result (size-based broadcasts off, as for large inputs)."""
-    import re
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        plan = _plan(suite.read_waits_all(spark, SF001))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert len(re.findall(r"Exchange hashpartitioning\(_lk_row", plan)) == 4
+def test_combined_lookups_shuffle_the_rows_once_per_key(spark):
+    """read_waits_all: next and previous mount of the migrated tape share one exchange and are not joined back."""
+    plan = _plan(suite.read_waits_all(spark, SF001))
+    rows = re.findall(r"Exchange hashpartitioning\(_aj_k#\d+, _aj_c#\d+, \d+\)", plan)
+    assert len(rows) == 2
+    assert "SortMergeJoin" not in plan
