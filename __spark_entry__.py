@@ -161,6 +161,9 @@ select count(*)::BIGINT as row_count, count(pnfsid)::BIGINT as n_pnfsid,
     "id_range_shards": _with("fl", extra="mx as (select max(id) as m from fl)") + """
 select cast(floor(id / ceil((m + 1) / 10.0)) as INTEGER) as shard, count(*)::BIGINT as n_rows,
        min(id) as min_id, max(id) as max_id from fl, mx group by 1""",
+    "depth_shards": f"""
+select s::INTEGER as shard, true as even, true as ascending, (select count(*) from orders)::BIGINT as n_total
+from range(10) t(s)""",
     "packaged_files": _with("pk") + "select * from pk",
     "package_reads": _with("pk", "bi") + "select * from bi join pk using (pnfsid)",
     "small_file_reads": _with("pk", "bi", "fam") + """
@@ -383,6 +386,39 @@ _ORACLE["enrich_update"] = _ORACLE["restore_host_volume"].replace(
     "select st.storageinfo_id, case when", "select st.storageinfo_id, st.action, case when")
 
 
+_ORACLE["package_reads_bucketed"] = _ORACLE["package_reads"]
+_ORACLE["read_waits_late"] = _ORACLE["read_waits_all"]
+_ORACLE["enrich_in_place"] = _ORACLE["enrich_update"]
+_ORACLE["date_copy"] = _with("bi") + """
+select cast(datestamp as date) as day, count(*)::BIGINT as n_rows, count(distinct billinginfo_id)::BIGINT as n_ids
+from bi where datestamp >= date '1995-12-01' and datestamp < date '1997-01-01' group by 1"""
+_MOVED = "make_timestamp(788918400000000 + (epoch_us(start) - 1704067200000000) * 80)"
+_ORACLE["read_waits_chain"] = f"""
+with {_CTE["vol"]}, {_CTE["fam"]}, {_CTE["fl"]}, {_CTE["pk"]}, {_CTE["bi"]},
+{_CTE["tm"].replace("tm as (", "tm0 as (", 1)},
+tm as (select tapemount_id, volume, {_MOVED} as start, {_MOVED} + (finish - start) as finish, writes from tm0),
+{_CTE["fm"]}, {_first_mount_by_volume()}, {_first_mount_by_family()},
+r as (select row_number() over () as rn, p.billinginfo_id as sfbr_id, p.pnfsid, p.datestamp::TIMESTAMP as datestamp,
+             {_BFID_T} as bt, f.file_family, p.volume as migrated
+      from (select * from bi join pk using (pnfsid)) p left join fam f on f.label = p.volume),
+h as (select r.*, case when m.start < r.bt + interval 8640000 second then m.tapemount_id end as hid
+      from r asof left join mf m on r.file_family = m.file_family and r.bt < m.start),
+v as (select h.*, t.volume from h left join tm t on t.tapemount_id = h.hid),
+a as (select v.*, case when m.start < v.datestamp + interval 100 day then m.tapemount_id end as nid,
+             case when m.start < v.datestamp + interval 100 day then m.start end as nst
+      from v asof left join mv m on v.volume = m.volume and v.datestamp < m.start),
+b as (select a.*, case when m.start < a.datestamp + interval 100 day then m.tapemount_id end as gid,
+             case when m.start < a.datestamp + interval 100 day then m.start end as gst
+      from a asof left join mv m on a.migrated = m.volume and a.datestamp < m.start),
+c as (select b.*, case when m.start > b.datestamp - interval 100 day then m.tapemount_id end as qid
+      from b asof left join mv m on b.migrated = m.volume and b.datestamp > m.start)
+select c.sfbr_id, c.pnfsid, c.volume, c.nid as next_mount_id, c.gid as migration_next_mount_id,
+       case when t.finish is not null then c.qid end as previous_mount_100d_id,
+       epoch_us(c.nst) - epoch_us(c.datestamp) as next_wait_us, epoch_us(c.gst) - epoch_us(c.datestamp) as mig_wait_us,
+       epoch_us(t.finish) - epoch_us(c.datestamp) as prev_wait_us
+from c left join tm t on t.tapemount_id = c.qid"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for each registered query (same column names and values)."""
     names = set(queries())

@@ -7,7 +7,7 @@ below are small-file candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # Fixed values (must equal the source data's conventions).
@@ -42,23 +42,22 @@ def bfid_time(bfid) -> Column:
     return F.timestamp_seconds(bfid_epoch(bfid)).cast("timestamp_ntz")
 
 
-def parse_bfid(bfid) -> Column:
-    """``struct<site_ok boolean, epoch bigint, time timestamp_ntz, valid boolean>``."""
-    site_ok = F.coalesce(bfid_site_ok(bfid), F.lit(False))
-    epoch = bfid_epoch(bfid)
-    return F.struct(
-        site_ok.alias("site_ok"),
-        epoch.alias("epoch"),
-        bfid_time(bfid).alias("time"),
-        (site_ok & epoch.isNotNull()).alias("valid"),
-    )
+def _bad(bfid) -> Column:
+    return F.coalesce(bfid_site_ok(bfid), F.lit(False)) & bfid_epoch(bfid).isNull()
 
 
 def bad_bfids(df, bfid: str = "bfid"):
     """Rows whose BFID carries the site code but no readable creation time
     (short, or not ten digits).  Such rows get no time and so no match; this
     frame lets a job count or keep them instead of failing."""
-    return df.filter(F.coalesce(bfid_site_ok(bfid), F.lit(False)) & bfid_epoch(bfid).isNull())
+    return df.filter(_bad(bfid))
+
+
+def count_bad_bfids(df: DataFrame, bfid: str = "bfid") -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and an observation whose ``get`` gives ``rows`` and ``bad_bfids`` once
+    an action has run ``df``: counted by the tasks that compute the rows, no second pass."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(_bad(bfid)).alias("bad_bfids")), seen
 
 
 def require_good_bfids(df, bfid: str = "bfid") -> None:

@@ -44,6 +44,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mountwait.functions.search import cuts_below
 from mountwait.functions.timecols import as_duration_us, epoch_micros
 
 # A key with more rows than this is cut (session setting mountwait.asof.targetCellRows).
@@ -53,7 +54,6 @@ HOT_KEYS = 100_000
 MAX_CELLS = 1024
 # percentile_approx: rank error 1 / accuracy of the key's rows, far below one cell
 _ACCURACY = 20 * MAX_CELLS
-_STEPS = ", ".join(str(MAX_CELLS >> i) for i in range(1, MAX_CELLS.bit_length()))
 _RANKS = ", ".join(f"{i / MAX_CELLS!r}D" for i in range(1, MAX_CELLS))
 
 _K, _S, _C, _R, _M, _N = "_aj_k", "_aj_s", "_aj_c", "_aj_r", "_aj_m", "_aj_n"
@@ -119,10 +119,8 @@ def hot_cuts(points: DataFrame, target: int) -> DataFrame:
 
 
 def _below(strict: bool) -> str:
-    """Number of the row's cuts below its time (or up to it, unless ``strict``): binary search, 0 without cuts."""
-    cmp = "<" if strict else "<="
-    return (f"if({_CUTS} is null, 0, aggregate(array({_STEPS}), 0, "
-            f"(p, d) -> if(get({_CUTS}, p + d - 1) {cmp} {_S}, p + d, p)))")
+    """Number of the row's cuts below its time (or up to it, unless ``strict``)."""
+    return cuts_below(_CUTS, _S, MAX_CELLS, strict)
 
 
 # ------------------------------------------------------------------ one pass

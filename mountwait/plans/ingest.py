@@ -2,26 +2,26 @@
 
 Given boundary dates ``d0 < d1 < ... < dn`` slice ``i`` holds the rows with
 ``d(i-1) <= ts < d(i)``; rows before ``d0`` or from ``dn`` on are not copied.
-A slice is assigned by an equi-join on the calendar day against a day ->
-slice table (one row per day between ``d0`` and ``dn``, so its size is
-bounded by the boundary list, not by the data).
-
-Resume: completed slices are recorded in a manifest *after* their data has
-been written.  A run copies only slices not in the manifest and writes them
-with dynamic partition overwrite, so a slice whose copy failed half-way is
-rewritten whole by the next run, and a finished slice is never copied twice.
+
+Resume: finished intervals are recorded in a manifest *after* their data has
+been written.  A run copies what is wanted minus what is finished, as an interval
+difference by calendar day, and stores the rows by day.  So lists may grow,
+shrink, split, merge or overlap between runs: every day is copied once.  A run that
+fails half-way leaves its days out of the manifest, and the next run replaces
+their partitions whole (dynamic partition overwrite).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mountwait.operators.joins import join_dimension
+from mountwait.sources.sinks import write_snapshot
 
 # Fixed value: first slice start of the reference's copy.
 DEFAULT_FIRST_DATE = _dt.date(2022, 9, 9)
@@ -53,24 +53,30 @@ def day_slices(slices: DataFrame) -> DataFrame:
         "slice_start", "slice_end")
 
 
-def assign_slices(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
-    """Rows of ``df`` inside some slice, with ``slice_start``/``slice_end``.
-
-    ``slices`` holds whole dates, so the day of ``ts`` decides the slice: an
-    equi-join on the day against one row per covered day (it grows with the
-    date span, not with the rows, and adaptive execution broadcasts it where
-    it measures few bytes)."""
-    days = day_slices(slices).withColumnRenamed("day", "_day")
-    keyed = df.withColumn("_day", F.to_date(ts_col))
-    return join_dimension(keyed, days, "_day").drop("_day")
-
-
-def daily_slices(df: DataFrame, ts_col: str) -> DataFrame:
-    """Slices of one day each, from the first to the last day present in the
-    data (computed by Spark as one aggregate row, then a sequence)."""
-    span = df.agg(F.min(F.to_date(ts_col)).alias("lo"), F.max(F.to_date(ts_col)).alias("hi"))
-    return span.select(F.explode(F.sequence("lo", "hi")).alias("slice_start")).select(
-        "slice_start", F.date_add("slice_start", 1).alias("slice_end"))
+def pending_slices(wanted: DataFrame, done: DataFrame) -> DataFrame:
+    """``wanted`` minus ``done``: the runs of days of each wanted slice that no
+    finished interval covers, as ``(slice_start, slice_end)``.  Works on one row per
+    day of the two lists, whatever the data."""
+    finished = day_slices(done).select("day").distinct()
+    run = F.expr("date_sub(day, cast(row_number() over (partition by slice_start order by day) as int))")
+    return (day_slices(wanted).join(finished, "day", "left_anti").withColumn("run", run)
+            .groupBy("slice_start", "run").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+            .select(F.col("lo").alias("slice_start"), F.date_add("hi", 1).alias("slice_end")))
+
+
+def in_slices(df: DataFrame, ts_col: str, slices: Sequence) -> DataFrame:
+    """Rows inside the slices; adjacent ones are merged first, so the scan gets one pair
+    of literal bounds per gap between them."""
+    runs: list[list] = []
+    for lo, hi in sorted((r[0], r[1]) for r in slices):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(hi, runs[-1][1])
+        else:
+            runs.append([lo, hi])
+    kind = df.schema[ts_col].dataType
+    at = lambda d: F.lit(str(d)).cast(kind)
+    inside = [(F.col(ts_col) >= at(lo)) & (F.col(ts_col) < at(hi)) for lo, hi in runs]
+    return df.where(functools.reduce(Column.__or__, inside, F.lit(False)))
 
 
 def daily_counts(df: DataFrame, ts_col: str) -> DataFrame:
@@ -80,12 +86,6 @@ def daily_counts(df: DataFrame, ts_col: str) -> DataFrame:
             .select("slice_start", F.date_add("slice_start", 1).alias("slice_end"), "n_rows"))
 
 
-def slice_counts(df: DataFrame, ts_col: str, slices: DataFrame) -> DataFrame:
-    """Rows per slice (slices without rows are not listed)."""
-    return (assign_slices(df.select(ts_col), ts_col, slices)
-            .groupBy("slice_start", "slice_end").agg(F.count(F.lit(1)).alias("n_rows")))
-
-
 def completed_slices(spark: SparkSession, target: str) -> DataFrame:
     """Slices recorded as completed under ``target`` (empty when none)."""
     schema = T.StructType([T.StructField("slice_start", T.DateType()),
@@ -101,31 +101,17 @@ def completed_slices(spark: SparkSession, target: str) -> DataFrame:
 
 def copy_by_slices(spark: SparkSession, source: DataFrame, ts_col: str, target: str,
                    boundaries: Sequence) -> DataFrame:
-    """Copy ``source`` into ``target`` (Parquet, partitioned by slice start),
-    skipping slices already completed.  Returns the slices copied now.
-
-    Boundaries are expected to grow at the end between runs (new dates
-    appended), as with a date list.  Splitting a copied slice is safe (each
-    new slice replaces its own partition); a slice that holds a smaller copied
-    one raises, as it would rewrite its first partition only.  The bounds of
-    the pending slices go to the scan as literals."""
-    wanted = slice_table(spark, boundaries)
-    done = completed_slices(spark, target)
-    pending = wanted.join(done, ["slice_start", "slice_end"], "left_anti")
-    pending_rows = pending.collect()  # at most len(boundaries) rows
-    if not pending_rows:
-        return pending
-    held = pending.alias("p").join(done.alias("d"), F.expr(
-        "d.slice_start >= p.slice_start and d.slice_end <= p.slice_end")).select("d.*").limit(5).collect()
-    if held:
-        raise ValueError(f"slices copied already lie inside new ones: {[tuple(map(str, r)) for r in held]}")
-    kind = source.schema[ts_col].dataType
-    source = source.where((F.col(ts_col) >= F.lit(f"{min(r.slice_start for r in pending_rows)}").cast(kind))
-                          & (F.col(ts_col) < F.lit(f"{max(r.slice_end for r in pending_rows)}").cast(kind)))
-    todo = spark.createDataFrame(pending_rows, pending.schema)
-    rows = assign_slices(source, ts_col, todo).withColumn(
-        SLICE_COL, F.date_format("slice_start", "yyyy-MM-dd")).drop("slice_start", "slice_end")
-    (rows.hint("rebalance", SLICE_COL).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(SLICE_COL).parquet(target))
+    """Copy the days of ``source`` that ``boundaries`` cover and no earlier run has finished into
+    ``target`` (Parquet, partitioned by day).  Returns the intervals copied now; a wanted
+    slice that is partly finished comes back as its missing pieces.
+
+    A finished day is not copied again, also if its source has grown since."""
+    todo = pending_slices(slice_table(spark, boundaries), completed_slices(spark, target))
+    pending = todo.collect()  # at most the slices of the list and the gaps between finished intervals
+    if not pending:
+        return todo
+    todo = spark.createDataFrame(pending, todo.schema)
+    rows = in_slices(source, ts_col, pending).withColumn(SLICE_COL, F.date_format(ts_col, "yyyy-MM-dd"))
+    write_snapshot(rows, target, partition_by=[SLICE_COL])
     todo.write.mode("append").parquet(f"{target.rstrip('/')}/{MANIFEST}")
     return todo

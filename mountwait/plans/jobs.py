@@ -2,7 +2,8 @@
 
 A table is named by a Parquet path, or by a dict for JDBC
 (``{"url": ..., "table": ..., "column": ..., "partitions": ..., "lower": ..., "upper": ...,
-"fetch_size": ..., "properties": {...}}``).
+"equal_depth": ..., "fetch_size": ..., "properties": {...}}``) or for a bucketed Parquet table
+(``{"path": ..., "by": ..., "buckets": ...}``).
 Parquet outputs are written as new snapshots (overwrite of the target path,
 or of the partitions present), so re-running a job after a failure rewrites
 the same snapshot; the target must differ from the inputs.  A JDBC target is
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mountwait.contracts import CONTRACTS, conform
+from mountwait.functions.bfid import count_bad_bfids
 from mountwait.operators.aggregates import family_min_id, library_counts
 from mountwait.plans import ingest, prepare, waits
 from mountwait.session import build_session, scratch_tables
+from mountwait.sources.buckets import open_bucketed, write_bucketed
 from mountwait.sources.jdbc import DEFAULT_FETCH_SIZE, read_jdbc, read_jdbc_grouped
 from mountwait.sources.shards import with_shards
 from mountwait.sources.sinks import append_table, family_labels, write_snapshot
@@ -35,11 +38,15 @@ from mountwait.sources.tables import read_table
 
 
 def load(spark: SparkSession, src, contract: str | None = None) -> DataFrame:
+    if isinstance(src, dict) and "buckets" in src:
+        df = open_bucketed(spark, src["path"], src["by"], src["buckets"])
+        return conform(df, CONTRACTS[contract]) if contract else df
     if isinstance(src, dict):
         df = read_jdbc(spark, src["url"], src["table"], column=src.get("column"),
                        num_partitions=src.get("partitions"), lower=src.get("lower"),
                        upper=src.get("upper"), properties=src.get("properties"),
-                       fetch_size=src.get("fetch_size", DEFAULT_FETCH_SIZE))
+                       fetch_size=src.get("fetch_size", DEFAULT_FETCH_SIZE),
+                       equal_depth=src.get("equal_depth", False))
         return conform(df, CONTRACTS[contract]) if contract else df
     return read_table(spark, src, contract)
 
@@ -124,11 +131,15 @@ def library_counts_job(spark, file_src) -> DataFrame:
     return library_counts(load(spark, file_src, "file"))
 
 
-def packaged_files_job(spark, file_src, target: str, shards: int | None = None) -> None:
+def packaged_files_job(spark, file_src, target, shards: int | None = None) -> None:
     """Packaged files; with ``shards`` written partitioned by id range
-    (``shard``), so a later id-range read prunes to its partitions."""
+    (``shard``), so a later id-range read prunes to its partitions.  A bucketed
+    target (by ``pnfsid``) spares ``package_reads`` and ``small_file_stores`` the
+    exchange of the files."""
     files = prepare.packaged_files(load(spark, file_src, "file"))
-    if shards and not isinstance(target, dict):
+    if isinstance(target, dict) and "buckets" in target:
+        write_bucketed(files, target["path"], target["by"], int(target["buckets"]))
+    elif shards and not isinstance(target, dict):
         write_snapshot(with_shards(files, "id", int(shards)), target, partition_by=["shard"])
     else:
         save(files, target)
@@ -214,28 +225,65 @@ def read_waits_job(spark, reads_src, mounts_src, target: str, kind: str = "next"
     write_by_day(out, target, since=since)
 
 
+def late_mounts_job(spark, changed_src, mounts_src, target: str, window=waits.DEFAULT_WINDOW) -> list:
+    """Bring a table written by ``read_waits`` (kind ``all``, same window) up to date with mounts that
+    came late or were given a finish: ``changed_src`` holds them, ``mounts_src`` all mounts.
+
+    Only reads with a changed mount inside one of their lookups are computed again, and
+    only the day partitions that hold such reads are written.  The table's days are
+    first narrowed to those within the window of a changed mount.  Returns the days written.
+    """
+    w = window if isinstance(window, _dt.timedelta) else _dt.timedelta(seconds=float(window))
+    changed = load(spark, changed_src, "tape_mounts")
+    span = changed.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).first()
+    if span.lo is None:
+        return []
+    near = spark.read.parquet(target).where(F.col(DAY_COL).between((span.lo - w).date(), (span.hi + w).date()))
+    with scratch_tables(spark) as stored:
+        flagged = stored(waits.touched_reads(near, changed, window, window).withColumn(
+            DAY_COL, F.to_date(DAY_COL)))
+        days = [r[0] for r in flagged.where("touched").select(DAY_COL).distinct().collect()]  # at most the table's days
+        if not days:
+            return []
+        part = flagged.where(F.col(DAY_COL).isin(days))
+        again = part.where("touched").drop("touched", *waits.READ_RESULTS)
+        mounts = load(spark, mounts_src, "tape_mounts").filter(
+            (F.col("start") > _ts(span.lo - 2 * w)) & (F.col("start") < _ts(span.hi + 2 * w)))
+        again = waits.read_waits_all(again, mounts, window, previous_window=window)
+        rows = stored(part.where("not touched").drop("touched").unionByName(again))
+        write_snapshot(rows, target, partition_by=[DAY_COL])
+    return days
+
+
 def read_host_volume_job(spark, reads_src, mounts_src, volume_src, target: str,
-                         window=waits.HOST_VOLUME_WINDOW) -> None:
+                         window=waits.HOST_VOLUME_WINDOW) -> dict:
+    """Simulated host tape of each read.  Returns ``rows`` and ``bad_bfids`` (site BFIDs without a
+    readable time), counted while the rows are written."""
     fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
                                       load(spark, volume_src, "volume"))
     reads = load(spark, reads_src, "small_file_billinginfo_reads")
-    write_by_day(waits.read_host_volume(reads, fm, window), target)
+    out, seen = count_bad_bfids(waits.read_host_volume(reads, fm, window))
+    write_by_day(out, target)
+    return seen.get
 
 
 def reads_job(spark, reads_src, mounts_src, volume_src, target: str,
               volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW,
-              since=None) -> None:
+              since=None) -> dict:
     """All read stages in order: simulated host tape (from the file's
     creation), then next mount, next mount after migration and previous
-    mount.  The first stage's result is stored in the shared folder until the job ends."""
+    mount.  The first stage's result is stored in the shared folder until the job ends.
+    Returns ``rows`` and ``bad_bfids`` of the reads."""
     mounts = load(spark, mounts_src, "tape_mounts")
     fm = prepare.filtered_tape_mounts(mounts, load(spark, volume_src, "volume"))
     reads = pending_requests(load(spark, reads_src, "small_file_billinginfo_reads"), since)
     with scratch_tables(spark) as stored:
-        hosted = stored(waits.read_host_volume(reads, fm, volume_window))
+        hosted, seen = count_bad_bfids(waits.read_host_volume(reads, fm, volume_window))
+        hosted = stored(hosted)
         out = waits.read_waits_all(hosted, relevant_mounts(mounts, since, wait_window), wait_window,
                                    previous_window=wait_window)
         write_by_day(out, target, since=since)
+    return seen.get
 
 
 def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
@@ -248,31 +296,37 @@ def store_waits_job(spark, stores_src, mounts_src, volume_src, target: str,
 
 def restore_job(spark, stores_src, mounts_src, volume_src, target: str,
                 volume_window=waits.HOST_VOLUME_WINDOW, wait_window=waits.DEFAULT_WINDOW,
-                since=None) -> None:
+                since=None) -> dict:
     """Host volume, then wait, of every restore; the first stage's result is
     stored in the shared folder until the job ends, so the second stage starts
-    from stored data instead of re-running the first."""
+    from stored data instead of re-running the first.  Returns ``rows`` and
+    ``bad_bfids`` of the requests."""
     mounts = relevant_mounts(load(spark, mounts_src, "tape_mounts"), since, wait_window)
     fm = prepare.filtered_tape_mounts(load(spark, mounts_src, "tape_mounts"),
                                       load(spark, volume_src, "volume"))
     stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
     with scratch_tables(spark) as stored:
         out = waits.restore_chain(stores, fm, mounts, volume_window, wait_window, between=stored)
+        out, seen = count_bad_bfids(out)
         write_by_day(out, target, since=since)
+    return seen.get
 
 
 def storage_job(spark, stores_src, mounts_src, volume_src, target: str,
                 store_window=waits.DEFAULT_WINDOW, volume_window=waits.HOST_VOLUME_WINDOW,
-                wait_window=waits.DEFAULT_WINDOW, since=None) -> None:
+                wait_window=waits.DEFAULT_WINDOW, since=None) -> dict:
     """Store waits, restore host tapes and restore waits in one job (two
-    shuffles of the store table instead of three)."""
+    shuffles of the store table instead of three).  Returns ``rows`` and
+    ``bad_bfids`` of the requests."""
     all_mounts = load(spark, mounts_src, "tape_mounts")
     fm = prepare.filtered_tape_mounts(all_mounts, load(spark, volume_src, "volume"))
     stores = pending_requests(load(spark, stores_src, "storageinfo_sfa"), since)
     with scratch_tables(spark) as stored:
         out = waits.storage_waits_all(stores, fm, relevant_mounts(all_mounts, since, wait_window),
                                       store_window, volume_window, wait_window, between=stored)
+        out, seen = count_bad_bfids(out)
         write_by_day(out, target, since=since)
+    return seen.get
 
 
 def copy_by_dates_job(spark, billing_src, target: str, dates_file: str) -> DataFrame:
@@ -292,6 +346,7 @@ JOBS = {
     "small_file_stores": small_file_stores_job,
     "family_tables": family_tables_job,
     "read_waits": read_waits_job,
+    "late_mounts": late_mounts_job,
     "read_host_volume": read_host_volume_job,
     "reads": reads_job,
     "store_waits": store_waits_job,
@@ -317,6 +372,8 @@ def main(argv: list[str]) -> None:
     out = JOBS[argv[0]](spark, **kwargs)
     if isinstance(out, DataFrame):
         out.show(truncate=False)
+    elif out is not None:
+        print(out)
 
 
 if __name__ == "__main__":

@@ -14,6 +14,7 @@ fixture description).
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,12 +23,16 @@ from mountwait.functions.age import with_age
 from mountwait.functions.bfid import bfid_epoch, bfid_site_ok, bfid_time
 from mountwait.operators import aggregates as agg
 from mountwait.operators.asof import next_within, prev_within
-from mountwait.operators.enrich import enrich
+from mountwait.operators.enrich import enrich, update_partitions
 from mountwait.operators.joins import join_dimension
-from mountwait.plans import ingest, prepare, waits
+from mountwait.functions.timecols import epoch_micros
+from mountwait.plans import ingest, jobs, prepare, waits
+from mountwait.session import checkpoint_dir, cut_lineage
 from mountwait.sources import testdata as td
-from mountwait.sources.shards import with_shards
+from mountwait.sources.buckets import open_bucketed, write_bucketed
+from mountwait.sources.shards import with_depth_shards, with_shards
 from mountwait.sources.sinks import family_labels as _family_labels
+from mountwait.sources.sinks import write_snapshot
 
 # Windows of the checks (see FIXTURES.md section 4).
 READ_WINDOW = _dt.timedelta(days=1)
@@ -38,6 +43,14 @@ N_SHARDS = 10
 HOT_KEY = 99
 BURST_START = "2024-01-01 00:00:00"
 BURST_TARGET = 1_000
+CHAIN_START_US = 1_704_067_200_000_000  # 2024-01-01, where the events begin
+COPY_LISTS = [["1996-01-01", "1996-04-01", "1996-07-01"], ["1996-02-15", "1996-08-01"], ["1996-10-01", "1996-10-08"],
+              ["1995-12-01", "1996-02-01", "1996-11-01", "1997-01-01"]]
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table that a check writes and reads back."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/mountwait-check-{name}-{uuid.uuid4().hex}"
 
 
 def _flat_wait(df: DataFrame, col: str) -> DataFrame:
@@ -65,6 +78,20 @@ def id_range_shards(spark: SparkSession, sf: str) -> DataFrame:
                                   F.min("id").alias("min_id"), F.max("id").alias("max_id"))
 
 
+def depth_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal-depth shards of a skewed id (nine tenths of the orders in a thousandth of its range): per shard,
+    whether it is within 10 % of an even share and lies above the shard before it, and the rows of all."""
+    f = td.table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 10 < 9, F.col("o_orderkey")).otherwise(F.col("o_orderkey") * 1000).alias("id"))
+    per = with_depth_shards(f, "id", N_SHARDS).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    total = f.agg(F.count(F.lit(1))).scalar()
+    before = per.select((F.col("shard") + 1).alias("shard"), F.col("hi").alias("hi_before"))
+    return per.join(before, "shard", "left").select(
+        "shard", (F.abs(F.col("n") * N_SHARDS - total) * 10 <= total).alias("even"),
+        F.coalesce(F.col("lo") > F.col("hi_before"), F.lit(True)).alias("ascending"), total.alias("n_total"))
+
+
 # ------------------------------------------------------------------ prepared tables
 
 def packaged_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +103,13 @@ def package_reads(spark: SparkSession, sf: str) -> DataFrame:
                                  prepare.packaged_files(td.file(spark, sf)))
 
 
+def package_reads_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``package_reads``, on packaged files stored in buckets of ``pnfsid``."""
+    path, n = _scratch(spark, "bucketed"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    write_bucketed(prepare.packaged_files(td.file(spark, sf)), path, "pnfsid", n)
+    return prepare.package_reads(td.billinginfo(spark, sf), open_bucketed(spark, path, "pnfsid", n))
+
+
 def small_file_reads(spark: SparkSession, sf: str) -> DataFrame:
     pr = prepare.package_reads(td.billinginfo(spark, sf),
                                prepare.packaged_files(td.file(spark, sf)))
@@ -295,10 +329,7 @@ def previous_mount(spark: SparkSession, sf: str) -> DataFrame:
                       "previous_mount_100d_wait")
 
 
-def read_waits_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The three read lookups in one job (one shuffle of the reads)."""
-    out = waits.read_waits_all(td.reads(spark, sf), td.tape_mounts(spark, sf), READ_WINDOW,
-                               READ_WINDOW)
+def _flat_read_waits(out: DataFrame) -> DataFrame:
     out = out.select("sfbr_id", "next_mount_id", "migration_next_mount_id",
                      "previous_mount_100d_id", "mount_wait", "migration_mount_wait",
                      "previous_mount_100d_wait")
@@ -312,6 +343,44 @@ def read_waits_all(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def read_waits_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The three read lookups in one job (one shuffle of the reads per key)."""
+    out = waits.read_waits_all(td.reads(spark, sf), td.tape_mounts(spark, sf), READ_WINDOW,
+                               READ_WINDOW)
+    return _flat_read_waits(out)
+
+
+def read_waits_late(spark: SparkSession, sf: str) -> DataFrame:
+    """``read_waits_all`` of a table written before a tenth of the mounts had arrived, then brought up to
+    date for the reads that those mounts touch."""
+    root = _scratch(spark, "late")
+    mounts = td.tape_mounts(spark, sf)
+    late = F.col("tapemount_id") % 10 == 3
+    td.reads(spark, sf).write.parquet(f"{root}/reads")
+    for name, rows in (("all", mounts), ("early", mounts.filter(~late)), ("late", mounts.filter(late))):
+        rows.write.parquet(f"{root}/{name}")
+    jobs.read_waits_job(spark, f"{root}/reads", f"{root}/early", f"{root}/waits", kind="all", window=READ_WINDOW)
+    jobs.late_mounts_job(spark, f"{root}/late", f"{root}/all", f"{root}/waits", window=READ_WINDOW)
+    return _flat_read_waits(spark.read.parquet(f"{root}/waits"))
+
+
+def read_waits_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Billing records to waits: reads of packaged files, their simulated host tape, then the three lookups, with
+    the production windows; ids may repeat.  The mounts are spread over the years of the billing records."""
+    first, spread = 788_918_400_000_000, 80
+    moved = F.timestamp_micros(first + (epoch_micros("start") - CHAIN_START_US) * spread).cast("timestamp_ntz")
+    mounts = td.tape_mounts(spark, sf).withColumn("finish", moved + (F.col("finish") - F.col("start"))).withColumn("start", moved)
+    packaged = prepare.packaged_files(td.file(spark, sf))
+    volume = td.volume(spark, sf)
+    r = prepare.small_file_reads(prepare.package_reads(td.billinginfo(spark, sf), packaged), volume)
+    r = cut_lineage(waits.read_host_volume(r, prepare.filtered_tape_mounts(mounts, volume)))
+    out = waits.read_waits_all(r, mounts)
+    return out.select("sfbr_id", "pnfsid", "volume", "next_mount_id", "migration_next_mount_id", "previous_mount_100d_id",
+                      F.col("mount_wait.total_us").alias("next_wait_us"),
+                      F.col("migration_mount_wait.total_us").alias("mig_wait_us"),
+                      F.col("previous_mount_100d_wait.total_us").alias("prev_wait_us"))
+
+
 def read_host_volume(spark: SparkSession, sf: str) -> DataFrame:
     out = waits.read_host_volume(td.reads(spark, sf), _family_mounts(spark, sf), FAMILY_WINDOW)
     return out.select("sfbr_id", "volume")
@@ -366,6 +435,17 @@ def enrich_update(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("storageinfo_id", "action", "updated", "volume")
 
 
+def enrich_in_place(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``enrich_update``, on a table stored by day, of which only days with a changed row are rewritten."""
+    path = _scratch(spark, "stores")
+    stores = td.stores(spark, sf)
+    write_snapshot(stores.withColumn("ds", F.to_date("datestamp")), path, partition_by=["ds"])
+    found = waits.restore_host_volume(stores, _family_mounts(spark, sf), FAMILY_WINDOW, mark="_changed")
+    updates = found.filter("_changed").select("storageinfo_id", "volume", F.lit(True).alias("updated"))
+    update_partitions(spark, path, updates, "storageinfo_id", "ds")
+    return spark.read.parquet(path).select("storageinfo_id", "action", "updated", "volume")
+
+
 # ------------------------------------------------------------------ incremental load
 
 def date_slices(spark: SparkSession, sf: str) -> DataFrame:
@@ -373,11 +453,23 @@ def date_slices(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.daily_counts(b, "datestamp")
 
 
+def date_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """The copy itself: four date lists that overlap, nest and merge, one after another; rows and distinct ids per
+    copied day."""
+    b, target = td.billinginfo(spark, sf), _scratch(spark, "copy")
+    for dates in COPY_LISTS:
+        ingest.copy_by_slices(spark, b, "datestamp", target, dates)
+    return spark.read.parquet(target).groupBy(F.to_date("ds").alias("day")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("billinginfo_id").alias("n_ids"))
+
+
 SUITE = {
     "scan_table": scan_table,
     "id_range_shards": id_range_shards,
+    "depth_shards": depth_shards,
     "packaged_files": packaged_files,
     "package_reads": package_reads,
+    "package_reads_bucketed": package_reads_bucketed,
     "small_file_reads": small_file_reads,
     "small_file_stores": small_file_stores,
     "filtered_mounts": filtered_mounts,
@@ -403,6 +495,8 @@ SUITE = {
     "read_waits_migrated": read_waits_migrated,
     "previous_mount": previous_mount,
     "read_waits_all": read_waits_all,
+    "read_waits_chain": read_waits_chain,
+    "read_waits_late": read_waits_late,
     "read_host_volume": read_host_volume,
     "store_waits": store_waits,
     "restore_host_volume": restore_host_volume,
@@ -410,5 +504,7 @@ SUITE = {
     "restore_chain": restore_chain,
     "storage_waits_all": storage_waits_all,
     "enrich_update": enrich_update,
+    "enrich_in_place": enrich_in_place,
     "date_slices": date_slices,
+    "date_copy": date_copy,
 }

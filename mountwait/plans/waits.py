@@ -279,6 +279,26 @@ def read_waits_all(reads: DataFrame, mounts: DataFrame, window=DEFAULT_WINDOW,
     return out
 
 
+READ_RESULTS = ("next_mount_id", "mount_wait", "migration_next_mount_id", "migration_mount_wait",
+                "previous_mount_100d_id", "previous_mount_100d_wait")
+
+
+def touched_reads(reads: DataFrame, changed: DataFrame, window=DEFAULT_WINDOW, previous_window=DEFAULT_WINDOW,
+                  name: str = "touched") -> DataFrame:
+    """``reads`` with a flag: some mount in ``changed`` (newly arrived, or given a new finish)
+    lies where one of the read's three lookups looks.  Only such reads can have
+    another result than before; whether a mount lies there is itself an as-of
+    lookup, against the few changed mounts."""
+    m = changed.select(F.col("volume").alias("_m_volume"), "start")
+    look = [dict(left_by="volume", left_time="datestamp", window=window, match="_ch_nx", eligible=eligible_read("volume"))]
+    look += [dict(left_by="migrated_volume", left_time="datestamp", window=win, direction=way, match=match,
+                  eligible=eligible_read("migrated_volume"))
+             for win, way, match in ((window, "forward", "_ch_mg"), (previous_window, "backward", "_ch_pv"))]
+    out = asof_lookups(reads, m, right_by="_m_volume", right_time="start", spread="sfbr_id", lookups=look)
+    return out.withColumn(name, F.expr("_ch_nx is not null or _ch_mg is not null or _ch_pv is not null")).drop(
+        "_ch_nx", "_ch_mg", "_ch_pv")
+
+
 def storage_waits_all(stores: DataFrame, family_mounts: DataFrame, mounts: DataFrame,
                       store_window=DEFAULT_WINDOW, volume_window=HOST_VOLUME_WINDOW,
                       wait_window=DEFAULT_WINDOW, between=cut_lineage) -> DataFrame:

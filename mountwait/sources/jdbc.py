@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mountwait.sources.shards import depth_predicates
+
 DEFAULT_FETCH_SIZE = 10_000
 
 
@@ -63,13 +65,23 @@ def jdbc_bounds(spark: SparkSession, url: str, table: str, column: str,
 def read_jdbc(spark: SparkSession, url: str, table: str, *, column: str | None = None,
               num_partitions: int | None = None, lower: int | None = None,
               upper: int | None = None, properties: dict | None = None,
-              fetch_size: int = DEFAULT_FETCH_SIZE) -> DataFrame:
+              fetch_size: int = DEFAULT_FETCH_SIZE, equal_depth: bool = False) -> DataFrame:
     """Whole-table scan; range-partitioned on ``column`` when it is given.
 
+    ``equal_depth`` cuts the ranges at the column's quantiles instead of equal strides: the
+    column alone is read first (by strides), sketched, and the ranges go to the database as
+    one condition per partition.
+
     Filters and projections applied to the result are pushed to the
     database by Spark's JDBC source.
     """
     r = spark.read.format("jdbc").options(**_opts(url, properties, fetch_size)).option("dbtable", table)
+    if equal_depth and column and num_partitions and num_partitions > 1:
+        ids = read_jdbc(spark, url, table, column=column, num_partitions=num_partitions, properties=properties,
+                        fetch_size=fetch_size).select(column)
+        o = _opts(url, properties, fetch_size)
+        return spark.read.jdbc(o.pop("url"), table, properties=o,
+                               predicates=depth_predicates(ids, column, num_partitions, quote(spark, url, column)))
     if column and num_partitions and num_partitions > 1:
         if lower is None or upper is None:
             lo, hi = jdbc_bounds(spark, url, table, column, properties)

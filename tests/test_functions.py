@@ -7,8 +7,8 @@ import duckdb
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mountwait.functions.age import age_parts, with_age
-from mountwait.functions.bfid import parse_bfid
+from mountwait.functions.age import with_age
+from mountwait.functions.bfid import bfid_epoch, bfid_site_ok, bfid_time
 from mountwait.functions.family import family_key
 
 
@@ -41,30 +41,37 @@ def test_age_matches_duckdb_both_signs(spark):
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("a", T.TimestampNTZType()),
                            T.StructField("b", T.TimestampNTZType())])
     df = spark.createDataFrame(pairs, schema)
-    m, d, u = age_parts("a", "b")
-    got_expr = {r[0]: tuple(r[1:]) for r in df.select("i", m, d, u).collect()}
     got_step = {r[0]: tuple(r[1:]) for r in
                 with_age(df, "a", "b", "x_").select("i", "x_months", "x_days", "x_us").collect()}
     want = _duck_age(pairs)
-    assert got_expr == want
     assert got_step == want
 
 
 def test_age_of_null_is_null(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1), None)], "a timestamp_ntz, b timestamp_ntz")
-    m, d, u = age_parts("a", "b")
-    assert df.select(m, d, u).first() == (None, None, None)
+    assert tuple(with_age(df, "a", "b").first())[2:] == (None, None, None)
 
 
 def test_bfid_parse(spark):
     df = spark.createDataFrame([("CDMS1700000000123456",), ("XXXX1700000000123456",), ("CDMS123",),
                                 ("CDMS17000x0000123",), ("CDMS-700000000123",), (None,)], "bfid string")
-    got = [tuple(r.p) if r.p else None for r in df.select(parse_bfid("bfid").alias("p")).collect()]
-    assert got[0] == (True, 1700000000, dt.datetime(2023, 11, 14, 22, 13, 20), True)
-    assert got[1][0] is False and got[1][1] == 1700000000 and got[1][3] is False
-    assert got[2][1] is None and got[2][3] is False       # short: no partial parse
+    got = [tuple(r) for r in df.select(bfid_site_ok("bfid"), bfid_epoch("bfid"), bfid_time("bfid")).collect()]
+    assert got[0] == (True, 1700000000, dt.datetime(2023, 11, 14, 22, 13, 20))
+    assert got[1][0] is False and got[1][1] == 1700000000
+    assert got[2][1] is None                               # short: no partial parse
     assert got[3][1] is None and got[4][1] is None         # not all digits
-    assert got[5][0] is False and got[5][3] is False
+    assert got[5] == (None, None, None)
+
+
+def test_bad_bfids_are_counted_without_a_second_pass(spark):
+    from mountwait.functions.bfid import bad_bfids, count_bad_bfids
+    runs = spark.sparkContext.accumulator(0)
+    rows = [("CDMS1700000000123456",), ("XXXX17x",), ("CDMS123",), ("CDMS17000x0000123",), (None,)]
+    df = spark.sparkContext.parallelize(rows, 2).map(lambda r: (runs.add(1), r)[1]).toDF("bfid string")
+    out, seen = count_bad_bfids(df)
+    assert out.write.format("noop").mode("overwrite").save() is None
+    assert seen.get == {"rows": 5, "bad_bfids": 2} and runs.value == 5
+    assert bad_bfids(df).count() == 2
 
 
 def test_family_key_and_collisions(spark):

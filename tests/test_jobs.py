@@ -191,3 +191,107 @@ def test_jobs_leave_nothing_in_the_shared_folder(spark, tmp_dir):
     jobs.restore_job(spark, p["stores"], p["tape_mounts"], p["volume"],
                      os.path.join(tmp_dir, "rs"), volume_window=900, wait_window=86400)
     assert left() == before
+
+
+def _files(root):
+    return {d: sorted(f for f in os.listdir(os.path.join(root, d)) if not f.startswith(("_", ".")))
+            for d in os.listdir(root) if d.startswith("ds=")}
+
+
+def test_late_mounts_equal_a_full_run(spark, tmp_dir):
+    """Mounts that arrive late, one of them twice and one only now given a finish: the table equals a full run, and
+    days without a touched read keep their files."""
+    p = _stage(spark, tmp_dir)
+    out = lambda n: os.path.join(tmp_dir, "late", n)
+    mounts = spark.read.parquet(p["tape_mounts"])
+    hour = F.expr("interval 1 hour")
+    last = mounts.agg(F.max("start")).first()[0]
+    late = mounts.filter(F.col("start") > F.lit(str(last)).cast("timestamp_ntz") - F.expr("interval 3 days"))
+    late = late.filter("tapemount_id % 3 = 0")
+    reopened = mounts.filter("finish is null").orderBy(F.desc("start")).limit(20)
+    early = mounts.join(late, "tapemount_id", "left_anti").select(mounts.columns)
+    finished = reopened.withColumn("finish", F.col("start") + hour)
+    complete = (early.unionByName(late).join(reopened.select("tapemount_id"), "tapemount_id", "left_anti")
+                .select(mounts.columns).unionByName(finished))
+    for name, df in (("early", early), ("complete", complete), ("changed", late.unionByName(finished))):
+        df.write.parquet(out(name))
+    w = 6 * 3600
+    jobs.read_waits_job(spark, p["reads"], out("early"), out("inc"), kind="all", window=w)
+    before = _files(out("inc"))
+    days = {f"ds={d}" for d in jobs.late_mounts_job(spark, out("changed"), out("complete"), out("inc"), window=w)}
+    after = _files(out("inc"))
+    assert days and {d for d in before if before[d] != after[d]} == days < set(before)
+    jobs.read_waits_job(spark, p["reads"], out("complete"), out("full"), kind="all", window=w)
+    cols = [c for c in spark.read.parquet(out("full")).columns]
+    a, b = (spark.read.parquet(out(n)).select(*cols) for n in ("full", "inc"))
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    # nothing changed: nothing written
+    spark.read.parquet(out("changed")).limit(0).write.parquet(out("none"))
+    assert jobs.late_mounts_job(spark, out("none"), out("complete"), out("inc"), window=w) == []
+    assert _files(out("inc")) == after
+
+
+def test_update_partitions_rewrites_only_touched_days(spark, tmp_dir):
+    import pytest
+    from mountwait.operators.enrich import enrich, update_partitions
+    path = os.path.join(tmp_dir, "table")
+    base = spark.range(400).selectExpr("id", "'old' as v", "date_add(date'2024-01-01', cast(id % 8 as int)) as ds")
+    jobs.write_snapshot(base, path, partition_by=["ds"])
+    before = _files(path)
+    new = spark.createDataFrame([(3, "n3"), (11, "n11"), (4, None), (9999, "no such row")], "id bigint, v string")
+    done = update_partitions(spark, path, new, "id", "ds")
+    assert sorted(map(str, done)) == ["2024-01-04", "2024-01-05"]
+    after = _files(path)
+    assert {d for d in before if before[d] != after[d]} == {"ds=2024-01-04", "ds=2024-01-05"}
+    got = spark.read.parquet(path).select("id", "v", "ds")
+    want = enrich(base, new, "id").select("id", "v", "ds")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() == 400
+    assert update_partitions(spark, path, new.where("id > 5000"), "id", "ds") == [] and _files(path) == after
+    with pytest.raises(ValueError):
+        update_partitions(spark, path, new.withColumn("unknown", F.lit(1)), "id", "ds")
+    with pytest.raises(Exception, match="repeat"):
+        update_partitions(spark, path, new.unionByName(new), "id", "ds")
+
+
+def test_host_volume_jobs_count_bad_bfids(spark, tmp_dir):
+    p = _stage(spark, tmp_dir)
+    bad = os.path.join(tmp_dir, "bad_reads")
+    reads = spark.read.parquet(p["reads"])
+    reads.withColumn("bfid", F.expr("if(sfbr_id % 5 = 0, 'CDMS17', bfid)")).write.parquet(bad)
+    want = spark.read.parquet(bad).where("bfid = 'CDMS17'").count()
+    got = jobs.read_host_volume_job(spark, bad, p["tape_mounts"], p["volume"], os.path.join(tmp_dir, "hv"), window=900)
+    assert got == {"rows": reads.count(), "bad_bfids": want} and want > 0
+    assert jobs.reads_job(spark, bad, p["tape_mounts"], p["volume"], os.path.join(tmp_dir, "rd"), volume_window=900,
+                          wait_window=86400) == got
+    assert jobs.restore_job(spark, p["stores"], p["tape_mounts"], p["volume"], os.path.join(tmp_dir, "rs"),
+                            volume_window=900, wait_window=86400)["bad_bfids"] == 0
+
+
+def test_bucketed_files_spare_the_exchange(spark, tmp_dir):
+    """Both joins on pnfsid read the stored files without an exchange of their side; rows as without buckets."""
+    import re
+    p = _stage(spark, tmp_dir)
+    target = {"path": os.path.join(tmp_dir, "bucketed"), "by": "pnfsid", "buckets": 8}
+    jobs.packaged_files_job(spark, p["file"], target)
+    jobs.packaged_files_job(spark, p["file"], os.path.join(tmp_dir, "plain"))
+    assert len([f for f in os.listdir(target["path"]) if f.endswith(".parquet")]) == 8
+    packaged, plain = jobs.load(spark, target, "file"), jobs.load(spark, os.path.join(tmp_dir, "plain"), "file")
+    assert packaged.exceptAll(plain).count() == plain.exceptAll(packaged).count() == 0
+    billing, stores = spark.read.parquet(p["billinginfo"]), spark.read.parquet(p["stores"])
+    volume = spark.read.parquet(p["volume"])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fn in (lambda f: jobs.prepare.package_reads(billing, f),
+                   lambda f: jobs.prepare.small_file_stores(stores, f, volume.where("1 = 1"))):
+            with_buckets, without = fn(packaged), fn(plain)
+            count = lambda d: len(re.findall(r"Exchange hashpartitioning\(pnfsid",
+                                             d._jdf.queryExecution().executedPlan().toString()))
+            assert count(with_buckets) < count(without)
+            assert with_buckets.exceptAll(without).count() == without.exceptAll(with_buckets).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the job entry takes the same spec, and a second write replaces the first
+    jobs.packaged_files_job(spark, p["file"], target)
+    jobs.package_reads_job(spark, p["billinginfo"], target, os.path.join(tmp_dir, "pr"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "pr")).count() == jobs.prepare.package_reads(billing, plain).count()

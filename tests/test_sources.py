@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mountwait.contracts import ContractError, conform, VOLUME
 from mountwait.sources.jdbc import read_jdbc, read_jdbc_query
-from mountwait.sources.shards import id_shard, shard_bounds, with_shards
+from mountwait.sources.shards import id_shard, with_depth_shards, with_shards
 from mountwait.sources.sinks import append_table
 
 DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -45,7 +45,6 @@ def test_jdbc_append_and_scans(spark, derby_url):
 
 
 def test_shards_cover_every_id(spark):
-    assert shard_bounds(1402571980, 32)[-1][1] >= 1402571981
     df = spark.range(0, 1001).withColumnRenamed("id", "k")
     s = with_shards(df, "k", 10)
     counts = {r.shard: r.n for r in s.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -53,6 +52,33 @@ def test_shards_cover_every_id(spark):
     assert df.select(id_shard("k", 3, 1000).alias("s")).agg(F.max("s")).first()[0] == 2
 
 
+def test_depth_shards_of_skewed_ids(spark):
+    """Nine tenths of the ids in a thousandth of the range: equal strides put them in one shard, equal depth does not."""
+    df = spark.range(0, 20_000).selectExpr("if(id % 10 < 9, id, id * 1000) as k").repartition(5)
+    sizes = lambda s: {r.shard: r["count"] for r in s.groupBy("shard").count().collect()}
+    assert max(sizes(with_shards(df, "k", 10)).values()) > 15_000
+    got = with_depth_shards(df, "k", 10)
+    assert sizes(got).keys() == set(range(10)) and all(abs(n - 2_000) <= 200 for n in sizes(got).values())
+    ends = sorted((r.shard, r.lo, r.hi) for r in got.groupBy("shard").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
+    assert all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+    # one id with most rows stays in one shard; null ids, few ids, one shard and no rows
+    same = spark.createDataFrame([(5,)] * 90 + [(None,)] + [(i,) for i in range(9)], "k long")
+    assert sum(sizes(with_depth_shards(same, "k", 4)).values()) == 100
+    assert with_depth_shards(same, "k", 4).where("k = 5").select("shard").distinct().count() == 1
+    assert sizes(with_depth_shards(same, "k", 1)) == {0: 100}
+    assert sizes(with_depth_shards(same.where("k > 99"), "k", 3)) == {}
+
+
+def test_jdbc_equal_depth_partitions(spark, derby_url):
+    skewed = spark.range(0, 4000).selectExpr("if(id % 10 < 9, id, id * 1000) as ID", "cast(id % 7 as int) as FAM")
+    append_table(skewed, "SK", jdbc_url=derby_url, properties=DRIVER)
+    sizes = lambda **k: read_jdbc(spark, derby_url, "SK", column="ID", num_partitions=8, properties=DRIVER,
+                                  **k).rdd.glom().map(len).collect()
+    assert max(sizes()) > 3_000
+    got = sizes(equal_depth=True)
+    assert len(got) == 8 and sum(got) == 4000 and all(abs(n - 500) <= 50 for n in got)
+
+
 def test_contract(spark):
     ok = spark.createDataFrame([(1, "L", "f", 5)], "id int, label string, file_family string, x int")
     out = conform(ok, VOLUME)
