@@ -8,7 +8,7 @@ of each, over the logarithm of the number of pages, is its importance: 0 if
 all pages agree, 1 if all differ.  A node's importance is the larger of the
 two; a host with few pages leans on the tree of all hosts, and a node on few
 pages at all is taken as important.  Pages of one main content count once for a
-node's content (see ``main_path``).  Branches below ``THRESHOLD`` are removed
+node's content (see ``main_node``).  Branches below ``THRESHOLD`` are removed
 from each page, but never the html, body, article or main element nor what is
 around a page's main content.  Inside an article or main element importance
 counts double, as a page's own words are expected there.
@@ -27,6 +27,7 @@ so a host with a third of all pages spreads over all tasks.
 from __future__ import annotations
 
 import html as html_lib
+import itertools
 import re
 from urllib.parse import urlsplit
 
@@ -59,6 +60,12 @@ NO_CLASS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "s
             "overlay", "newsletter", "subscribe", "signup", "login", "comment", "comments", "reply", "replies", "respond",
             "disqus", "social", "share", "sharing", "related", "recommended", "pagination", "pager", "toolbar", "widget",
             "search", "skip", "hidden", "form"}
+# Words that may stand beside a listed one in a name that speaks against article text (comment-list, but not share-price).
+LAYOUT = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "col", "column", "container",
+          "content", "count", "entry", "fixed", "global", "grid", "group", "holder", "icon", "icons", "inner", "item", "items",
+          "js", "left", "link", "links", "list", "local", "main", "module", "outer", "page", "panel", "policy", "post", "posts",
+          "primary", "region", "right", "row", "section", "secondary", "site", "slot", "story", "stories", "strip", "sticky",
+          "thread", "title", "top", "unit", "user", "wrap", "wrapper", "zone"}
 MAIN = {"article", "main"}
 NEVER_LOW = {"html", "body", *MAIN}
 # Start tags that end an open element: tag -> (elements ended, elements that bound the search).
@@ -72,7 +79,7 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)|<[A-Za-z][^>]*+\Z", re.S)
-_CLASS = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
@@ -87,6 +94,7 @@ def host_of(url: str | None) -> str:
 
 _seen: dict[tuple[str, str], tuple[str, int]] = {}
 HINT, HIDDEN = 1, 2
+_PRIME, _BASE = (1 << 61) - 1, 0x1D8AF066F1A2B3C5 % ((1 << 61) - 1)
 HEAVY = 4  # kind of the rows that count on how many pages a hinted element holds most of the text
 
 
@@ -95,18 +103,21 @@ def _style(tag: str, attrs: str) -> tuple[str, int]:
     key = tag, attrs
     if (known := _seen.get(key)) is not None:
         return known
-    names, none, hidden = [], tag in NO_TEXT, False
-    for m in _CLASS.finditer(attrs) if attrs else ():
+    names, none, hidden, had = [], tag in NO_TEXT, False, set()
+    for m in _ATTR.finditer(attrs) if attrs else ():
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind not in ("class", "id", "role", "hidden") or kind in had:
+            continue
+        had.add(kind)
         if kind == "hidden":
             hidden = True
         elif kind == "role":
             none |= value.lower() in NO_ROLE
         else:
-            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-            none |= bool(words & NO_CLASS) and tag not in ("html", "body")
+            tokens = [set(_WORDS.findall(_CAMEL.sub(" ", t).lower())) for t in value.split()]
+            none |= tag not in ("html", "body") and any(t & NO_CLASS and t <= NO_CLASS | LAYOUT for t in tokens)
             if kind == "class":
-                names = sorted(words)
+                names = sorted(set().union(*tokens))
     if len(_seen) > 50_000:
         _seen.clear()
     out = _seen[key] = f"{tag}.{'.'.join(names)}", HIDDEN if hidden else HINT * none
@@ -114,29 +125,31 @@ def _style(tag: str, attrs: str) -> tuple[str, int]:
 
 
 class Node:
-    __slots__ = ("tag", "name", "path", "hint", "none", "main", "children", "up", "chars")
+    """An element; its blocks are those from ``first`` to before ``last`` in the page's order."""
+    __slots__ = ("tag", "name", "path", "hint", "none", "main", "children", "up", "chars", "first", "last", "depth", "low")
 
-    def __init__(self, tag, name, path, hint, main, up=None):
+    def __init__(self, tag, name, path, hint, main, up=None, first=0):
         self.tag, self.name, self.path, self.hint, self.main, self.children = tag, name, path, hint, main, []
-        self.up, self.none, self.chars = up, False, 0
+        self.up, self.none, self.chars, self.first, self.last, self.low = up, False, 0, first, first, False
+        self.depth = up.depth + 1 if up else 0
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[int, ...], bool, bool, str]], list[Node]]:
-    """(blocks, elements) of a page.
+def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(blocks, elements) of a page, both in page order; a block is (element, text, possibly empty).
 
-    A block is (paths of the elements around it, no article text, in an
-    article or main element, text).  Hints of elements whose path is in
-    ``heavy`` do not count; without it, those of elements with more than half
-    of the page's text.
+    ``none`` of an element tells that it holds no article text.  Hints of elements
+    whose path is in ``heavy`` do not count; without it, those of elements with more
+    than half of the page's text.  Time and memory grow with the page, however deep it nests.
     """
     root = Node("", "", 0, 0, False)
     stack = [root]
     elements, run = [], []
-    found: list[tuple[tuple[int, ...], Node, str, str]] = []  # with the text without and with hinted inline elements
+    open_tags: dict[str, int] = {}
+    found: list[tuple[Node, str, str]] = []  # with the text without and with hinted inline elements
     hinted: list[tuple[int, str]] = []  # text of hinted inline elements and its place in the run
 
     def clean(parts):
@@ -154,7 +167,7 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
                 hinted.clear()
             run.clear()
             if whole:
-                found.append((tuple(n.path for n in stack[1:]), stack[-1], text, whole))
+                found.append((stack[-1], text, whole))
 
     def outside(text):
         if not none_inline:
@@ -164,8 +177,14 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
 
     def pop_to(k: int):
         flush()
+        for n in stack[k:]:
+            n.last = len(found)
+            open_tags[n.tag] -= 1
         del stack[k:]
 
+    def some_open(tags) -> bool:
+        return any(open_tags.get(t) for t in tags)
+
     at = 0
     none_inline: list[tuple[str, int]] = []  # open inline elements with hints against article text, and those inside
     for m in _TOKEN.finditer(page):
@@ -183,7 +202,7 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
         if closing:
             if none_inline and tag == none_inline[-1][0]:
                 none_inline.pop()
-            elif tag in BLOCK:
+            elif tag in BLOCK and open_tags.get(tag):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
                         none_inline.clear()
@@ -191,6 +210,8 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
                         break
             continue
         if tag in RAW:
+            if tag in ("svg", "math") and attrs.rstrip().endswith("/"):
+                continue
             end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
@@ -203,20 +224,20 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
             flush()
             if tag in ENDS:
                 ends, bound = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if some_open(ends) else ():
                     if stack[k].tag in ends:
                         pop_to(k)
                         break
                     if stack[k].tag in bound:
                         break
             elif tag != "hr":
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if some_open(("p",)) else ():
                     if stack[k].tag == "p":
                         pop_to(k)
                         break
                     if stack[k].tag in P_BOUND:
                         break
-                if tag == "body":
+                if tag == "body" and some_open(("head",)):
                     for k in range(len(stack) - 1, 0, -1):
                         if stack[k].tag == "head":
                             pop_to(k)
@@ -225,7 +246,8 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
             name, none = _style(tag, attrs)
             top = stack[-1]
             path = _signed(xxhash.xxh64_intdigest(name, top.path & ((1 << 64) - 1)))
-            node = Node(tag, name, path, none, tag in MAIN or top.main, top)
+            node = Node(tag, name, path, none, tag in MAIN or top.main, top, len(found))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
             top.children.append(name)
             stack.append(node)
             elements.append(node)
@@ -235,44 +257,39 @@ def parse(page: str, heavy: set[int] | None = None) -> tuple[list[tuple[tuple[in
                 none_inline.append((tag, none))
     if at < len(page):
         outside(page[at:])
-    flush()
+    pop_to(1)
     # Inline elements that hold more than half of the text are text after all.
-    total = sum(len(f[3]) for f in found)
-    which = 3 if 2 * sum(len(f[2]) for f in found) < total else 2
-    found = [f for f in found if f[which]]
-    total = sum(len(f[which]) for f in found)
-    for f in found:
-        f[1].chars += len(f[which])
+    which = 2 if 2 * sum(len(f[1]) for f in found) < sum(len(f[2]) for f in found) else 1
+    blocks = [(f[0], f[which]) for f in found]
+    total = sum(len(t) for _, t in blocks)
+    for n, t in blocks:
+        n.chars += len(t)
     for n in reversed(elements):
         n.up.chars += n.chars
     for n in elements:
         n.none = n.up.none or n.hint == HIDDEN or n.hint == HINT and not (
             2 * n.chars > total if heavy is None else n.path in heavy)
-    return [(f[0], f[1].none, f[1].main, f[which]) for f in found], elements
+    return blocks, elements
 
 
-def main_path(blocks) -> tuple[int, ...]:
-    """Paths down to the deepest one that holds more than half of the text; empty if none does.
+def main_node(blocks: list[tuple[Node, str]], elements: list[Node]) -> Node | None:
+    """An element of the deepest path that holds more than half of the text; None if none does.
 
     The text is that inside article and main elements where most of it is there.
     """
-    own = [b for b in blocks if not b[1]]
-    total = sum(len(b[3]) for b in own)
-    inside = [b for b in own if b[2]]
-    if 2 * sum(len(b[3]) for b in inside) >= total:
-        own, total = inside, sum(len(b[3]) for b in inside)
+    own = [0 if n.none else len(t) for n, t in blocks]
+    inside = [w if n.main else 0 for (n, _), w in zip(blocks, own)]
+    if 2 * sum(inside) >= sum(own):
+        own = inside
+    upto = list(itertools.accumulate(own, initial=0))
     held: dict[int, int] = {}
-    for paths, _, _, text in own:
-        for p in set(paths):
-            held[p] = held.get(p, 0) + len(text)
-    out: tuple[int, ...] = ()
-    for paths, _, _, _ in own:
-        k = len(paths)
-        while k > len(out) and 2 * held[paths[k - 1]] <= total:
-            k -= 1
-        if k > len(out):
-            out = paths[:k]
-    return out
+    for n in elements:
+        held[n.path] = held.get(n.path, 0) + upto[n.last] - upto[n.first]
+    best = None
+    for n in elements:
+        if 2 * held[n.path] > upto[-1] and upto[n.last] > upto[n.first] and (best is None or n.depth > best.depth):
+            best = n
+    return best
 
 
 def signatures(host: str, page: str) -> tuple[int, list[tuple[int, int, int]]]:
@@ -283,40 +300,47 @@ def signatures(host: str, page: str) -> tuple[int, list[tuple[int, int, int]]]:
     text whether it holds more than half of the page's text.
     """
     blocks, elements = parse(page)
-    content: dict[int, list[str]] = {}
-    for paths, none, _, text in blocks:
-        if not none:
-            for p in set(paths):
-                content.setdefault(p, []).append(text)
+    digest = xxhash.xxh64_intdigest
+    # A run of blocks hashes as a polynomial of its blocks' hashes, so an element's is a difference of prefixes.
+    prefix, count, power = [0], [0], [1]
+    for n, t in blocks:
+        if n.none or not t:
+            prefix.append(prefix[-1])
+            count.append(count[-1])
+            continue
+        t = t.lower().replace(host, "@") if host else t.lower()
+        prefix.append((prefix[-1] * _BASE + digest(t)) % _PRIME)
+        count.append(count[-1] + 1)
+        power.append(power[-1] * _BASE % _PRIME)
+    content: dict[int, tuple[int, int]] = {}
     style: dict[int, list[str]] = {}
-    inside = {n.path for n in elements if n.main}
+    inside, never = set(), set()
     for n in elements:
+        if k := count[n.last] - count[n.first]:
+            h, c = content.get(n.path, (0, 0))
+            content[n.path] = (h * power[k] + prefix[n.last] - prefix[n.first] * power[k]) % _PRIME, c + k
         if not n.none:
             style.setdefault(n.path, []).extend(["(", *n.children])
-    digest = xxhash.xxh64_intdigest
+        if n.main:
+            inside.add(n.path)
+        if n.tag in NEVER_LOW:
+            never.add(n.path)
     out = []
-    main = main_path(blocks)
-    texts = content.get(main[-1], []) if main else [b[3] for b in blocks if not b[1]]
-    own = "\n".join(texts).lower()
-    if host:
-        own = own.replace(host, "@")
-    never = {n.path for n in elements if n.tag in NEVER_LOW}
-    for p, texts in content.items():
+    main = main_node(blocks, elements)
+    own = content[main.path] if main else (prefix[-1], count[-1])
+    for p, run in content.items():
         if p in never:
             continue
-        joined = "\n".join(texts).lower()
-        if host:
-            joined = joined.replace(host, "@")
         kind = 2 * (p in inside)
-        out.append((p, kind, _signed(digest(joined))))
+        out.append((p, kind, _signed(digest("%x.%d" % run))))
         out.append((p, kind + 1, _signed(digest(" ".join(style.get(p, ()))))))
-    total = sum(len(b[3]) for b in blocks)
+    total = sum(len(t) for _, t in blocks)
     heavy: dict[int, int] = {}
     for n in elements:
         if n.hint == HINT and total:
             heavy[n.path] = heavy.get(n.path, 0) or int(2 * n.chars > total)
     out += [(p, HEAVY, h) for p, h in heavy.items()]
-    return _signed(digest(own)), out
+    return _signed(digest("%x.%d" % own)), out
 
 
 def main_text(page: str, low: set[int], heavy: set[int]) -> str:
@@ -324,14 +348,18 @@ def main_text(page: str, low: set[int], heavy: set[int]) -> str:
 
     Hints count but for elements whose path is in ``heavy``.
     """
-    blocks, _ = parse(page, heavy)
-    if low:
-        low = low.difference(main_path(blocks)[:-1])
-    kept = [b for b in blocks if not b[1] and not (low and any(p in low for p in b[0]))]
-    inside = [b for b in kept if b[2]]
-    if 2 * sum(len(b[3]) for b in inside) >= sum(len(b[3]) for b in kept):
+    blocks, elements = parse(page, heavy)
+    around = set()
+    if low and (n := main_node(blocks, elements)):
+        while n := n.up:
+            around.add(n.path)
+    for n in elements:
+        n.low = n.up.low or n.path in low and n.path not in around
+    kept = [(n, t) for n, t in blocks if t and not n.none and not n.low]
+    inside = [(n, t) for n, t in kept if n.main]
+    if 2 * sum(len(t) for _, t in inside) >= sum(len(t) for _, t in kept):
         kept = inside
-    return " ".join(b[3] for b in kept)
+    return " ".join(t for _, t in kept)
 
 
 def _importance(counts: DataFrame, *by: str) -> DataFrame:
