@@ -5,8 +5,16 @@ It is split into k + 1 pieces: whatever the k edits are, one piece stands in
 the text unharmed.  An Aho-Corasick automaton finds every exact piece hit in
 one pass over a text.  A hit is then verified bottom-up in a binary tree over
 the pieces - a node of m pieces may have m - 1 edits, so most chance hits end
-at a node of two pieces - and at the root by Myers' bit-parallel distance,
-which gives the edits of the whole item.
+at a node of two pieces - by Myers' bit-parallel distance, which at the root
+gives the edits of the whole item.
+
+Pieces have the same width from an item's start on (the last takes what is left) and
+the trees are aligned, so items that share a head share pieces and nodes.  A node
+is one for all items that hold its text, and is verified once per place, and once per
+text window, whichever pieces led there: hits of one diagonal merge.  Before that, the
+part of the node that the hit does not cover must have enough of its 4-grams in the
+window: each edit can spoil four of them.  So an item that only shares a head costs
+a set operation.
 
 Items and texts are compared in lower case with runs of white space as one
 space.  Items go to the tasks in blocks of at most BLOCK_CHARS characters,
@@ -27,6 +35,8 @@ from mountwait.llm.common import give_back
 
 ERROR_RATE = 0.1
 BLOCK_CHARS = 2 << 20
+GRAM = 4
+KEPT_GRAMS = 50_000  # sets kept, a few MB for usual items
 
 
 def normal(text: str | None) -> str:
@@ -70,66 +80,101 @@ def masks(pattern: str) -> dict[str, int]:
     return dict(out)
 
 
-class Item:
-    """An item's pieces and, for each piece, the tree nodes above it."""
-
-    def __init__(self, key, text: str, rate: float = ERROR_RATE):
-        self.key, self.text = key, text
-        self.edits = min(int(len(text) * rate), max(len(text) - 1, 0))
-        m = self.edits + 1
-        self.cuts = [len(text) * j // m for j in range(m + 1)]
-        self.nodes: list[list[tuple[int, int, int]]] = [[] for _ in range(m)]
-        self.peq: dict[tuple[int, int], dict[str, int]] = {}
-        self._grow(0, m)
-
-    def _grow(self, a: int, b: int) -> None:
-        if b - a > 1:
-            mid = (a + b) // 2
-            self._grow(a, mid)
-            self._grow(mid, b)
-            for j in range(a, b):
-                self.nodes[j].append((self.cuts[a], self.cuts[b], b - a - 1))
-
-    def distance(self, piece: int, text: str, at: int) -> int:
-        """Edits of the item around a hit of ``piece`` at ``at``; edits + 1 if too many."""
-        begin = self.cuts[piece]
-        best = 0
-        for a, b, k in self.nodes[piece]:
-            if (peq := self.peq.get((a, b))) is None:
-                peq = self.peq[a, b] = masks(self.text[a:b])
-            part = text[max(0, at - (begin - a) - k):at + (b - begin) + k]
-            best, _ = myers(self.text[a:b], part, k, peq)
-            if best > k:
-                return self.edits + 1
-        return best
+def grams_of(text: str) -> set[str]:
+    return {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
+class Node:
+    """A run of pieces, the same for all items that hold it."""
+    __slots__ = ("text", "edits", "peq", "above", "items")
+
+    def __init__(self, text: str, edits: int):
+        self.text, self.edits, self.peq = text, edits, None
+        self.above: dict[tuple[Node, int], None] = {}  # (node of more pieces, where this one starts in it)
+        self.items: list[int] = []  # items that are this node
+
+    def distance(self, window: str) -> int:
+        if self.peq is None:
+            self.peq = masks(self.text)
+        return myers(self.text, window, self.edits, self.peq)[0]
 
 
 class Matcher:
     def __init__(self, items: list[tuple[object, str]], rate: float = ERROR_RATE):
-        self.items = [Item(k, t, rate) for k, t in items]
-        pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for n, it in enumerate(self.items):
-            for j in range(it.edits + 1):
-                pieces[it.text[it.cuts[j]:it.cuts[j + 1]]].append((n, j))
+        self.keys = [k for k, _ in items]
+        self._nodes: dict[tuple[str, int], Node] = {}
+        self._grams: dict[tuple[Node, Node, int], set[str]] = {}
+        leaves: dict[str, Node] = {}
+        for number, (_, text) in enumerate(items):
+            root, pieces = self._tree(text, min(int(len(text) * rate), max(len(text) - 1, 0)) + 1)
+            root.items.append(number)
+            leaves.update((n.text, n) for n in pieces)
         self.auto = ahocorasick.Automaton()
-        for w, places in pieces.items():
-            self.auto.add_word(w, (len(w), places))
+        for w, node in leaves.items():
+            self.auto.add_word(w, (len(w), node))
         self.auto.make_automaton()
 
+    def _node(self, text: str, edits: int) -> Node:
+        if (n := self._nodes.get((text, edits))) is None:
+            n = self._nodes[text, edits] = Node(text, edits)
+        return n
+
+    def _tree(self, text: str, m: int) -> tuple[Node, list[Node]]:
+        """(root, pieces) of an item in m pieces."""
+        width = len(text) // m
+        cuts = [width * j for j in range(m)] + [len(text)]
+        level = [(j, j + 1, self._node(text[cuts[j]:cuts[j + 1]], 0)) for j in range(m)]
+        pieces = [n for _, _, n in level]
+        while len(level) > 1:
+            up = []
+            for i in range(0, len(level) - 1, 2):
+                (a, mid, left), (_, b, right) = level[i], level[i + 1]
+                node = self._node(text[cuts[a]:cuts[b]], b - a - 1)
+                left.above[node, 0] = right.above[node, cuts[mid] - cuts[a]] = None
+                up.append((a, b, node))
+            level = up + level[2 * len(up):]
+        return level[0][2], pieces
+
+    def _rest(self, node: Node, up: Node, begin: int) -> set[str]:
+        """4-grams of ``up`` beside its part ``node``; kept for the nodes in use."""
+        key = node, up, begin
+        if (out := self._grams.get(key)) is None:
+            if len(self._grams) > KEPT_GRAMS:
+                self._grams.clear()
+            out = self._grams[key] = grams_of(up.text[:begin] if begin else up.text[len(node.text):])
+        return out
+
     def find(self, text: str, first: bool = False) -> dict[int, int]:
         """item number -> least edits found; with ``first``, any one item."""
         out: dict[int, int] = {}
-        for end, (width, places) in self.auto.iter(text):
-            at = end + 1 - width
-            for n, j in places:
-                if out.get(n) == 0:
-                    continue
-                it = self.items[n]
-                d = it.distance(j, text, at)
-                if d <= it.edits and d < out.get(n, d + 1):
-                    out[n] = d
-                    if first:
-                        return out
+        seen: set[tuple[Node, int]] = set()
+        known: dict[tuple[Node, str], int] = {}
+        grams: dict[tuple[int, int], set[str]] = {}
+        for end, (width, leaf) in self.auto.iter(text):
+            work = [(leaf, end + 1 - width, 0)]
+            while work:
+                node, start, edits = work.pop()
+                for n in node.items:
+                    if edits < out.get(n, edits + 1):
+                        out[n] = edits
+                        if first:
+                            return out
+                for place in node.above:
+                    up, begin = place[0], start - place[1]
+                    if (up, begin) in seen:
+                        continue
+                    seen.add((up, begin))
+                    lo, hi = max(0, begin - up.edits), max(0, begin + len(up.text) + up.edits)
+                    if (here := grams.get((lo, hi))) is None:
+                        here = grams[lo, hi] = grams_of(text[lo:hi])
+                    rest = self._rest(node, *place)
+                    if len(rest) - len(rest & here) > GRAM * up.edits:
+                        continue
+                    window = text[lo:hi]
+                    if (d := known.get((up, window))) is None:
+                        d = known[up, window] = up.distance(window)
+                    if d <= up.edits:
+                        work.append((up, begin, d))
         return out
 
 
@@ -181,7 +226,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                     for n, d in m.find(normal(t.as_py())).items():
                         ids.append(i)
-                        keys.append(m.items[n].key)
+                        keys.append(m.keys[n])
                         dist.append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
                                                   pa.array(dist, pa.int32())], names=["doc_id", "item_id", "distance"])

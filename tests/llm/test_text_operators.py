@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from mountwait.llm import decontam, pii, styletree
 
@@ -20,7 +21,7 @@ def test_matches_equal_full_edit_distance():
     rng = random.Random(4)
     item = "the quick brown fox jumps over the lazy dog and runs away"
     m = decontam.Matcher([(1, item)])
-    k = m.items[0].edits
+    k = int(len(item) * decontam.ERROR_RATE)
     hits = 0
     for _ in range(300):
         x = list(item)
@@ -37,6 +38,46 @@ def test_matches_equal_full_edit_distance():
     assert 50 < hits < 300
 
 
+def test_items_that_share_text_equal_full_edit_distance():
+    """Shared heads, tails and whole items, of many lengths: every item as if it were alone."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 7)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    head, tail = say(9), say(7)
+    items = [head + " " + say(rng.randint(0, 12)) for _ in range(6)] + [say(rng.randint(1, 9)) + " " + tail for _ in range(4)]
+    items += [head, tail, items[0], "abc", head[:40]]
+    items = [i.strip() for i in items]
+    m = decontam.Matcher(list(enumerate(items)))
+    for _ in range(40):
+        x = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(x) // 8)):
+            at = rng.randrange(len(x))
+            x[at:at + 1] = rng.choice([[], [rng.choice("abc ")], [x[at], rng.choice("xyz")]])
+        text = " ".join([say(3), "".join(x), head, say(4), rng.choice([tail, ""])])
+        got = m.find(text)
+        for n, item in enumerate(items):
+            d = levenshtein_inside(item, text)
+            assert got.get(n) == (d if d <= min(int(len(item) * decontam.ERROR_RATE), len(item) - 1) else None), (item, text)
+        assert bool(m.find(text, first=True)) == bool(got)
+
+
+def test_cost_of_shared_heads():
+    """A text full of the head that all items share: verified once a place, not once an item and piece."""
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    head = say(15)[:88]
+    text = " ".join(head + " " + say(1) for _ in range(120))
+    took = {}
+    for count in (100, 1000):
+        m = decontam.Matcher([(i, head + say(10)) for i in range(count)])
+        t0 = time.perf_counter()
+        assert m.find(text) == {}
+        took[count] = time.perf_counter() - t0
+    assert took[100] < 3
+    m = decontam.Matcher([(i, head + say(10)) for i in range(1000)] + [(-1, head + " and the end")])
+    assert {m.keys[n] for n in m.find(text + " " + head + " and the end")} == {-1}
+
+
 def test_contaminated_documents(llm, docs, odd):
     items = llm.createDataFrame([(1, "What is the\n capital of  France today?"), (2, None), (3, "  "), (4, "tiny")],
                                 "item_id long, text string")
