@@ -26,11 +26,13 @@ from mountwait.plans import suite  # noqa: E402
 from mountwait.session import apply_core_conf  # noqa: E402
 
 # The operators for training-data pipelines are optional: without their
-# subpackage the other queries stay as they are.
+# subpackage the other queries stay as they are.  Any other failed import is an error.
 try:
     from mountwait.llm import queries as llm_queries  # noqa: E402
     import corpus_pipeline  # noqa: E402
-except ImportError:
+except ImportError as missing:
+    if missing.name not in ("mountwait.llm", "mountwait.llm.queries", "corpus_pipeline"):
+        raise
     llm_queries = corpus_pipeline = None
 
 ENTRY_SF_DIR = "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@
 * ``write_snapshot``: overwrite a Parquet folder (or only the partitions
   present in the frame, with dynamic partition overwrite).  Re-running a
   failed job rewrites the same output, so retries are idempotent.
-* ``write_family_labels``: one label set per file family as one table
+* ``family_labels``: the label set of every file family, for one table
   partitioned by family.
 """
 
