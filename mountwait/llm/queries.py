@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mountwait.llm import (
     decontam, exact, lattice, nbsvm, pii, repetition, sharding, simhash, simplex, styletree, suffixes, transducer, trie)
 from mountwait.llm.common import table
+from mountwait.llm.oracles import ORACLES  # noqa: F401  (DuckDB SQL per query, where SQL can express it)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +89,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_quality_rules, op6_substring_dedup, op7_pii, op8_quality_classifier, op9_simhash,
         op10_sharding, op11_prefix_trie, op12_exact_dedup, op13_centroids)
 }
-
-# DuckDB SQL per query, where SQL can express it.
-ORACLES: dict[str, str] = {
-    "op12_exact_dedup": r"""
-with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents),
-g as (select norm, min(doc_id) as keep_id, count(*)::BIGINT as group_size from t group by 1)
-select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256
-from t join g using (norm)""",
-}

@@ -17,7 +17,9 @@ So the state map of a chunk of text needs little: the characters before its
 first such place (whose effect depends on the state that comes in), the
 tokens between, and the state after its last.  Maps compose associatively;
 the maps of a text's chunks are joined by a parallel prefix scan, and a
-whole text's count is the last prefix applied to the start state.
+whole text's count is the last prefix applied to the start state.  The scan's
+upward sweep gives that prefix; heads are kept as lists of parts of the text, so
+memory grows with the text, also where it has no space at all.
 """
 
 from __future__ import annotations
@@ -178,22 +180,30 @@ class ChunkMap:
     leaves in state ``tail`` whatever came in.
     """
 
-    head: str
+    head: tuple[str, ...]
     count: int
     tail: int | None
 
     def apply(self, t: Transducer, state: int) -> tuple[int, int]:
-        out, n = t.run(state, self.head)
+        out, n = _run(t, state, self.head)
         return (out, n) if self.tail is None else (self.tail, n + self.count)
 
 
+def _run(t: Transducer, state: int, parts: tuple[str, ...]) -> tuple[int, int]:
+    total = 0
+    for p in parts:
+        state, n = t.run(state, p)
+        total += n
+    return state, total
+
+
 def chunk_map(t: Transducer, chunk: str) -> ChunkMap:
     first = chunk.find(SPACE)
     # A space at the very start may follow another space, so it belongs to the head.
     while first == 0 or first > 0 and chunk[first - 1] == SPACE:
         first = chunk.find(SPACE, first + 1)
     if first < 0:
-        return ChunkMap(chunk, 0, None)
+        return ChunkMap((chunk,), 0, None)
     segments = _SEGMENT.findall(chunk, first)
     last = segments.pop()
     word, known = t.word, t.words
@@ -202,24 +212,33 @@ def chunk_map(t: Transducer, chunk: str) -> ChunkMap:
         n = known.get(s)
         count += word(s) if n is None else n
     tail, n = t.run(t.start, last)
-    return ChunkMap(chunk[:first], count + n, tail)
+    return ChunkMap((chunk[:first],) if first else (), count + n, tail)
 
 
 def compose(t: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     if a.tail is None:
         return ChunkMap(a.head + b.head, b.count, b.tail)
-    state, n = t.run(a.tail, b.head)
+    state, n = _run(t, a.tail, b.head)
     if b.tail is None:
         return ChunkMap(a.head, a.count + n, state)
     return ChunkMap(a.head, a.count + n + b.count, b.tail)
 
 
+def up_sweep(t: Transducer, maps: list[ChunkMap]) -> list[list[ChunkMap]]:
+    """The levels of the scan's tree: neighbours composed in pairs, up to the map of all chunks."""
+    levels = [list(maps)]
+    while len(levels[-1]) > 1:
+        row = levels[-1]
+        levels.append([compose(t, row[i], row[i + 1]) if i + 1 < len(row) else row[i] for i in range(0, len(row), 2)])
+    return levels
+
+
 def prefix_scan(t: Transducer, maps: list[ChunkMap]) -> list[ChunkMap]:
-    """All prefixes, in log2(n) rounds of independent compositions."""
-    out, gap = list(maps), 1
-    while gap < len(out):
-        out = out[:gap] + [compose(t, out[i - gap], out[i]) for i in range(gap, len(out))]
-        gap *= 2
+    """All prefixes: up the tree, then down, with independent compositions on each level."""
+    levels = up_sweep(t, maps)
+    out = levels[-1]
+    for row in reversed(levels[:-1]):
+        out = [out[i // 2] if i % 2 else compose(t, out[i // 2 - 1], m) if i else m for i, m in enumerate(row)]
     return out
 
 
@@ -228,7 +247,7 @@ def count_tokens(t: Transducer, text: str, chunk: int = CHUNK) -> int:
         return 0
     text = SPACE + text.replace(" ", SPACE)
     maps = [chunk_map(t, text[k:k + chunk]) for k in range(0, len(text), chunk)]
-    return prefix_scan(t, maps)[-1].apply(t, t.start)[1]
+    return up_sweep(t, maps)[-1][0].apply(t, t.start)[1]
 
 
 _loaded: dict[str, Transducer] = {}

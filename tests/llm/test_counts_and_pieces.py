@@ -30,6 +30,10 @@ def test_chunk_maps_compose_at_any_cut():
         assert transducer.count_tokens(t, x, rng.choice([1, 2, 3, 7, 100])) == len(sp.encode(x)), x
     maps = [transducer.chunk_map(t, "▁the▁end"[k:k + 2]) for k in range(0, 8, 2)]
     assert transducer.prefix_scan(t, maps)[-1].apply(t, t.start)[1] == len(sp.encode("the end"))
+    for n in (1, 2, 5, 8, 13):  # every prefix is that of the text up to its chunk
+        parts = ["▁ab▁▁c", "def", "▁", "gh▁i", "j"] * 3
+        for k, m in enumerate(transducer.prefix_scan(t, [transducer.chunk_map(t, p) for p in parts[:n]])):
+            assert m.apply(t, t.start) == t.run(t.start, "".join(parts[:k + 1]))
 
 
 def test_count_of_empty_table(docs):
@@ -73,3 +77,19 @@ def test_sampling_follows_the_lattice_chances():
     for k, w in ways.items():
         p = w / total
         assert abs(seen.get(k, 0) / n - p) < 5 * np.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_memory_of_unbroken_text_grows_with_the_text():
+    """16 MiB without a space: well under what quadratic heads took; a shorter one equals the library."""
+    import tracemalloc
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    t = transducer.load(PATH)
+    x = "abcabdabe" * 30_000
+    assert transducer.count_tokens(t, x, 1000) == len(sp.encode(x))
+    t._reset()
+    x = "abcabdab" * (1 << 21)
+    tracemalloc.start()
+    n = transducer.count_tokens(t, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 200 << 20, peak
