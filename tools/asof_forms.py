@@ -1,6 +1,6 @@
 """Compare three plans for the bounded forward as-of join on the same data.
 
-* ``library`` - the library's plan (pairs, time cells sized per key, cell edges)
+* ``library`` - the library's plan (one exchange by key and equal-depth time cell)
 * ``by_key``  - one window per key over requests and mounts (a hot key is
                 one task)
 * ``copies``  - cells as wide as the window, each mount copied into its own
