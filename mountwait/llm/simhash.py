@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mountwait.llm.common import slices, word_spans
+from mountwait.llm.common import hot_cold_join, slices, word_spans
 from mountwait.session import cut_lineage
 
 SHINGLE = 4
@@ -200,15 +200,21 @@ def links(nodes: DataFrame, fp: str = "fp", max_bits: int = MAX_BITS, hot_entry:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): root is one member of the component, itself included."""
+    """(node, root): root is one member of the component, itself included.
+
+    A node of very many links (the root of a large component) is joined by
+    broadcast, so that no task gets all its links.  The smaller ends of one
+    node's links stay few: one for each index entry that the node is in.
+    """
     e = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                     .where("u <> v").distinct())
-    seen = None
+    state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     for _ in range(max_rounds):
+        seen = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        large = hot_cold_join(both.where("v > u"), low, "u", "degree", 2 * seen[0])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
@@ -216,20 +222,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
     raise RuntimeError(f"components: no fixed point after {max_rounds} rounds")
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """prints with component_id, the smallest doc_id of the component."""
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    """prints with component_id, the smallest doc_id of the component.
+
+    Large components and fingerprints of very many copies are joined by broadcast (``hot_cold_join``).
+    """
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    n_rows, n_nodes = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count(F.lit(1))).first()
     # Nodes are narrow and grow by the index entry: deal them out by number, not by bytes.
     spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     roots = components(links(spread, "fp", max_bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id", "root"), "fp")
+    rooted = cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "rep", "copies", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    known = cut_lineage(hot_cold_join(rooted, least, "root", "members", n_nodes)
+                        .select("fp", "copies", "root", "component_id"))
+    return hot_cold_join(prints, known, "fp", "copies", n_rows).drop("copies")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
