@@ -18,7 +18,8 @@ Spark's external sort and shuffle are the disk-backed queues:
    may share some windows only.  Just for these, the text of the extent goes
    with its suffix tuple to the K-gram's task, with one representative of
    each repeated extent there; the tuples are sorted, and all windows of a
-   K-gram compared by place and content.
+   K-gram compared by place and content.  Under a K-gram with very many open
+   extents each window is a row of its own, counted by its digest in Spark.
 4. Induce.  The windows found at anchors cover the bytes to remove.
 
 Rows travel by K-gram, extent or text key, with partial counts before each
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mountwait.llm.common import mix64, prefix_hash, slices, span_hash, written
+from mountwait.llm.common import hot_cold_join, mix64, prefix_hash, slices, span_hash, written
 from mountwait.session import cut_lineage
 
 LENGTH = 400
@@ -109,7 +110,8 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 # An item of a text: first << 24 | more << 15 | back << 6 | parts << 2 | kind.
 _SAME, _OPEN = 1, 2
-_MAX_PARTS = 8  # log2; a K-gram's open extents are split by window place into up to so many tasks
+_MAX_PARTS = 4  # log2; a K-gram's open extents are split by window place into up to so many tasks
+_BY_WINDOW = 15  # in place of parts: more extents than that, each window is a row of its own
 
 
 def _pack(kind):
@@ -147,6 +149,33 @@ def _open_contexts(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
             .mapInArrow(run, "task binary, rid binary, tkey binary, first long, place int, context binary"))
 
 
+def _open_windows(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
+    """(tkey, first, more): repeated windows of open extents under K-grams with very many of them.
+
+    A window is a row of its 128-bit digest; rows meet by partial counts, so
+    no task holds the extents of one K-gram.  A digest of very many rows is
+    joined by broadcast.
+    """
+    def run(batches):
+        for b in batches:
+            for tkey, text, own in zip(b.column(0), b.column(1), b.column(2)):
+                raw = text.as_buffer().to_pybytes()
+                spans = [(x >> 24, x >> 15 & 511) for x in own.as_py()]
+                for i in range(0, len(spans), 256):
+                    at = np.unique(np.concatenate([np.arange(f, f + more + 1) for f, more in spans[i:i + 256]]))
+                    digests = [hashlib.blake2b(raw[a:a + length], digest_size=16).digest() for a in at.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(digests, pa.binary()), pa.array([tkey.as_py()] * len(at), pa.binary()), pa.array(at)],
+                        names=["window", "tkey", "first"])
+    rows = written(docs.select("tkey", "text").join(items, "tkey").select("tkey", "text", "items")
+                   .mapInArrow(run, "window binary, tkey binary, first long"), "windows")
+    # Copies of a text give the same (tkey, first): a window is repeated where two places differ.
+    place = F.struct("tkey", "first")
+    met = rows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), (F.min(place) != F.max(place)).alias("twice"))
+    return (hot_cold_join(rows, met, "window", "n", rows.count()).where("twice")
+            .select("tkey", "first", F.lit(0).cast("short").alias("more")).distinct())
+
+
 def compare(tasks: np.ndarray, places: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first window, last window) of the windows met twice or more.
 
@@ -217,14 +246,16 @@ def duplicate_runs(docs: DataFrame, length: int = LENGTH, hot: int = 4000) -> Da
     """(tkey, runs): for each text with any, packed runs (first << 16 | more) of repeated windows.
 
     ``docs`` has tkey (the digest of the text) and text.  ``hot`` open
-    extents of one K-gram go to one task; more are split by place.
+    extents of one K-gram go to one task; more are split by place, and far
+    more are counted window by window.
     """
     if not K <= length < K + 512:
         raise ValueError(f"length must be from {K} to {K + 511}")
     rows = written(_anchor_rows(docs, length), "anchors")
     names = rows.groupBy("kgram", "extent").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("rep"))
     grams = names.groupBy("kgram").agg(F.sum("m").alias("n"), F.sum((F.col("m") == 1).cast("long")).alias("open"))
-    parts = F.least(F.lit(_MAX_PARTS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("open") / F.lit(float(hot))))))
+    parts = F.greatest(F.lit(0), F.ceil(F.log2(F.col("open") / F.lit(float(hot)))))
+    parts = F.when(parts > _MAX_PARTS, _BY_WINDOW).otherwise(parts)
     known = names.join(grams.where("n > 1"), "kgram").select(
         "kgram", "extent", "m", "rep", (F.col("open") > 0).alias("sought"),
         F.coalesce(parts, F.lit(0)).cast("int").alias("parts"))
@@ -232,8 +263,12 @@ def duplicate_runs(docs: DataFrame, length: int = LENGTH, hot: int = 4000) -> Da
         "tkey", _pack(F.when(F.col("m") > 1, _SAME).otherwise(0)
                       + F.when((F.col("m") == 1) | (F.col("sought") & (F.col("rid") == F.col("rep"))), _OPEN).otherwise(0))
         .alias("item")).where("item & 3 <> 0"), "met")
-    opened = met.where(F.col("item").bitwiseAND(_OPEN) != 0).groupBy("tkey").agg(F.collect_set("item").alias("items"))
-    found = _resolve(_open_contexts(docs, opened, length), length)
+    opened = met.where(F.col("item").bitwiseAND(_OPEN) != 0)
+    by_window = F.shiftright("item", 2).bitwiseAND(15) == _BY_WINDOW
+    few, many = (opened.where(c).groupBy("tkey").agg(F.collect_set("item").alias("items")) for c in (~by_window, by_window))
+    found = _resolve(_open_contexts(docs, few, length), length)
+    if not opened.where(by_window).isEmpty():
+        found = found.unionByName(_open_windows(docs, many, length))
     runs = (met.where(F.col("item").bitwiseAND(_SAME) != 0)
             .select("tkey", (F.shiftleft(F.shiftright("item", 24), 16) + F.shiftright("item", 15).bitwiseAND(511)).alias("run"))
             .unionByName(found.select("tkey", (F.shiftleft("first", 16) + F.col("more")).alias("run"))))

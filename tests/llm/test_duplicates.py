@@ -87,6 +87,18 @@ def test_sub_entries_meet_every_near_pair():
         assert own and all(any(not x & diff for x in sub) for _, sub in own)
 
 
+def test_large_component_and_many_copies(llm):
+    """One component with a third of the nodes, one fingerprint with a third of the rows: joined by broadcast."""
+    star = [1 << b | 1 << c for b in range(62) for c in range(b)]  # two bits each, so all linked
+    far = [int(x) for x in np.random.default_rng(4).integers(1 << 40, 1 << 62, 3800)]
+    rows = [(10 + i, f) for i, f in enumerate(star)] + [(5000 + i, f) for i, f in enumerate(far)] + [(9000 + i, star[7]) for i in range(3000)]
+    df = llm.createDataFrame([(d, d, f) for d, f in rows], "doc_id long, key long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.classes(df).collect()}
+    assert len(got) == len(rows) and all(got[d] == 10 for d, f in rows if f in set(star))
+    lone = [d for d, f in rows if 5000 <= d < 9000 and got[d] == d]
+    assert len(lone) > 3700 and all(got[d] != 10 for d in lone)
+
+
 def test_keep_one_row_of_each_component(docs, real, odd):
     rows = real[:50] + [(i and i + 1000, t) for i, t in odd] + [(500, real[0][1]), (real[0][0], real[0][1])]
     kept = simhash.keep_one(docs(rows))
@@ -160,7 +172,12 @@ def test_hot_open_extents_are_split(docs, real, monkeypatch):
     rows = real[:30] + [(800 + i, f"{i} " * 3 + real[5][1][:300] + f" {i}" * 9) for i in range(20)]
     found = suffixes.duplicate_runs
     monkeypatch.setattr(suffixes, "duplicate_runs", lambda d, n: found(d, n, hot=1))
-    assert removal(docs(rows), 200) == brute_removal(rows, 200)
+    want = brute_removal(rows, 200)
+    assert removal(docs(rows), 200) == want
+    # The same with every window of the open extents as a row, copies of a text included.
+    monkeypatch.setattr(suffixes, "_MAX_PARTS", -1)
+    rows += [(900, rows[-1][1]), (901, rows[-1][1])]
+    assert removal(docs(rows), 200) == brute_removal(rows, 200) != want
 
 
 def test_removal_of_empty_table(docs):
