@@ -15,20 +15,23 @@ com``, no ``+`` or country), and tokens assigned to a key word such as ``token
 =``, are positive.  Number runs and tokens elsewhere are negative; parts of
 accepted spans, written-out addresses and number runs that look like a
 rewritten phone number carry no label.  The features leave out what decides
-those labels (the checksum, the key word).  All documents are labelled; of each
-kind and label the trees see the first ``SAMPLE`` distinct spans in hash order,
-so a rare kind is not lost.  A threshold per kind, calibrated on rows the trees
-have not seen and weighted by all spans of a label, selects the spans that are
-added.  A kind without a threshold (too few positives, or none precise enough)
-goes by ``rule``.
+those labels (the checksum, the key word).  All labelled spans of all documents
+take part: equal spans are counted in Spark, the bins of the features are exact
+quantiles, and each level of the trees is one pass over the counted spans whose
+histograms are added up.  The spans of a kind and label weigh ``CLASS`` together
+at most, so a rare kind is not lost.  Each of ``FOLDS`` further models leaves out
+a fold of the spans and scores it; a threshold per kind, calibrated on these
+scores of all spans and all their occurrences, selects the spans that are added.
+A kind without a threshold (too few positives, or none precise enough) goes by
+``rule``.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-import heapq
 import ipaddress
+import math
 import re
 from dataclasses import dataclass
 
@@ -44,11 +47,16 @@ from mountwait.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
-SAMPLE = 2000  # spans of a kind and label that training looks at
+CLASS = 2000  # weight of all spans of a kind and label together, at most
+FOLDS = 3
 SCORED = 10_000  # spans scored at a time
 LEAST = 10  # positives of a kind below which its rule holds
 PRECISION = 0.95
 ROUNDS, DEPTH, RATE, BINS = 40, 3, 0.3, 32
+NODES = 2 ** (DEPTH + 1) - 1
+GROUPS = 1 << 16  # groups of equal spans in one block
+UNIT = 2.0 ** 30  # gradients are summed in whole units, so that their order does not matter
+GRID, TOP = 256, 16  # thresholds lie on margins in steps of 1 / GRID, up to TOP
 
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -258,12 +266,18 @@ def shape(s: str) -> str:
     return re.sub("[0-9]", "0", s) if re.search("[^0-9]", s) else ""
 
 
-def training_spans(text: str) -> list[tuple[str, tuple[str, int, int], int]]:
-    """(text, span, label) of all spans of a document that carry a label."""
+def span_key(text: str, span: tuple[str, int, int]) -> int:
+    """Hash of a span with its kind and the characters around it."""
+    kind, a, b = span
+    return xxhash.xxh64_intdigest("\0".join((kind, text[max(0, a - 24):a], text[a:b], text[b:b + 24]))) >> 1
+
+
+def training_spans(text: str) -> list[tuple[str, tuple[str, int, int], int, tuple[str, int, int]]]:
+    """(text, span, label, span of the document that it comes from) of all spans that carry a label."""
     base = base_spans(text)
-    out = [(text, s, 1) for s in base]
+    out = [(text, s, 1, s) for s in base]
     for s in base:
-        out += [(*f, 1) for f in rewritten(text, s)]
+        out += [(*f, 1, s) for f in rewritten(text, s)]
     taken = sorted((a, b) for _, a, b in base)
     outer = -1  # end of the last secret span that no other one holds
     for s in sorted(proposals(text), key=lambda s: (s[1], -s[2])):
@@ -277,7 +291,7 @@ def training_spans(text: str) -> list[tuple[str, tuple[str, int, int], int]]:
         k = bisect.bisect_left(taken, (s[1], s[1]))
         # Base spans of up to four kinds may overlap, so look back past equal ends.
         if s[0] != "email" and not any(y > s[1] and x < s[2] for x, y in taken[max(0, k - 4):k + 1]):
-            out.append((text, s, weak_label(text, s)))
+            out.append((text, s, weak_label(text, s), s))
     return out
 
 
@@ -303,142 +317,254 @@ def rule(text: str, span: tuple[str, int, int]) -> bool:
     return kind == "email"
 
 
+def leaves(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int = DEPTH) -> np.ndarray:
+    """(trees, rows): the node each row of x (features, rows) reaches in each tree."""
+    node = np.zeros((len(feature), x.shape[1]), np.int64)
+    tree, row = np.arange(len(feature))[:, None], np.arange(x.shape[1])
+    for _ in range(levels):
+        node = 2 * node + 1 + (x[feature[tree, node], row] > cut[tree, node])
+    return node
+
+
+def margins(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(x.shape[1], bias)
+    for v, node in zip(value, leaves(x, feature, cut)):
+        out += v[node]
+    return out
+
+
 @dataclass
 class Trees:
-    """Boosted regression trees over binned features, as arrays."""
+    """Boosted regression trees over the features (or their bins), as arrays (trees, nodes)."""
 
-    feature: np.ndarray  # (trees, nodes)
+    feature: np.ndarray
     cut: np.ndarray
     value: np.ndarray
     bias: float
     thresholds: dict[str, float]
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias)
-        rows = np.arange(len(x))
-        for f, c, v in zip(self.feature, self.cut, self.value):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                node = 2 * node + 1 + (x[rows, f[node]] > c[node])
-            out += v[node]
-        return out
+        return margins(x.T, self.feature, self.cut, self.value, self.bias)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic gradient boosting with histograms over BINS quantiles."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], axis=1)
-    p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-    bias = float(np.log(p / (1 - p)))
-    margin = np.full(len(y), bias)
-    n_nodes = 2 ** (DEPTH + 1) - 1
-    fs, cs, vs = [], [], []
-    for _ in range(rounds):
-        prob = 1 / (1 + np.exp(-margin))
-        g, h = y - prob, prob * (1 - prob)
-        f, c, v = np.zeros(n_nodes, np.int64), np.full(n_nodes, np.inf), np.zeros(n_nodes)
-        node = np.zeros(len(y), np.int64)
-        for level in range(DEPTH):
-            for k in range(2 ** level - 1, 2 ** (level + 1) - 1):
-                at = np.flatnonzero(node == k)
-                best = 1e-6
-                if len(at) > 8:
-                    gs, hs = g[at].sum(), h[at].sum()
-                    for j in range(x.shape[1]):
-                        gl = np.cumsum(np.bincount(binned[at, j], weights=g[at], minlength=BINS))[:len(edges[j])]
-                        hl = np.cumsum(np.bincount(binned[at, j], weights=h[at], minlength=BINS))[:len(edges[j])]
-                        gain = gl ** 2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs ** 2 / (hs + 1)
-                        if len(gain) and gain.max() > best:
-                            best, f[k], c[k] = gain.max(), j, edges[j][int(gain.argmax())]
-                node[at] = 2 * k + 1 + (x[at, f[k]] > c[k])
-        for k in range(2 ** DEPTH - 1, n_nodes):
-            at = node == k
-            if at.any():
-                v[k] = RATE * g[at].sum() / (h[at].sum() + 1)
-        margin += v[node]
-        fs.append(f), cs.append(c), vs.append(v)
-    return np.array(fs), np.array(cs), np.array(vs), bias
-
-
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Trees:
-    """Trees from a bounded number of spans of each kind and label, out of all documents."""
+def labelled(docs: DataFrame, text_col: str) -> DataFrame:
+    """(kind, y, key, n, fold, x, shape): every distinct labelled span of all documents, and how often it occurs."""
     def run(batches):
-        # Each task keeps the first spans in hash order of each class, once however often they occur.
-        best: dict[tuple[int, int], dict[int, tuple]] = {}
-        order: dict[tuple[int, int], list[int]] = {}
-        seen: dict[tuple[int, int], int] = {}
+        def rows():
+            kinds, ys, keys, ns, folds, xs, shapes = zip(*((*k, *v) for k, v in held.items()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(kinds, pa.int32()), pa.array(ys, pa.int32()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()),
+                 pa.array(folds, pa.int32()), pa.array(xs, pa.list_(pa.int32())), pa.array(shapes, pa.string())],
+                names=["kind", "y", "key", "n", "fold", "x", "shape"])
+        held: dict[tuple[int, int, int], list] = {}
         for b in batches:
             for t in b.column(0):
                 t = t.as_py() or ""
-                aside = None
-                for around, s, y in training_spans(t):
-                    k, a, e = (KINDS.index(s[0]), y), s[1], s[2]
-                    seen[k] = seen.get(k, 0) + 1
-                    rows, heap = best.setdefault(k, {}), order.setdefault(k, [])
-                    key = xxhash.xxh64_intdigest("\0".join((s[0], around[max(0, a - 24):a], around[a:e], around[e:e + 24]))) >> 1
-                    if key in rows or len(heap) >= sample and key > -heap[0]:
+                for around, s, y, own in training_spans(t):
+                    key = KINDS.index(s[0]), y, span_key(around, s)
+                    if key in held:
+                        held[key][0] += 1
                         continue
-                    if aside is None:
-                        aside = xxhash.xxh64_intdigest(t) % 3 == 0
-                    rows[key] = aside, features(around, s), shape(around[a:e]) if s[0] == "phone" else ""
-                    if len(heap) < sample:
-                        heapq.heappush(heap, -key)
-                    else:
-                        del rows[-heapq.heapreplace(heap, -key)]
-        # One row with the count of each class, then its spans, in bounded batches.
-        out = [(*k, None, n, None, None, None) for k, n in seen.items()]
-        out += [(*k, key, None, *row) for k, rows in best.items() for key, row in rows.items()]
-        for i in range(0, len(out), 5000):
-            kinds, ys, keys, ns, asides, xs, shapes = zip(*out[i:i + 5000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(ys, pa.int32()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()),
-                 pa.array(asides, pa.bool_()), pa.array(xs, pa.list_(pa.int32())), pa.array(shapes, pa.string())],
-                names=["kind", "y", "key", "n", "aside", "x", "shape"])
+                    # Other forms of a span are in its fold.
+                    held[key] = [1, span_key(t, own) % FOLDS, features(around, s), shape(around[s[1]:s[2]]) if s[0] == "phone" else ""]
+                    if len(held) >= 5000:
+                        yield rows()
+        if held:
+            yield rows()
         give_back()
-    spans = cut_lineage(docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "kind int, y int, key long, n long, aside boolean, x array<int>, shape string"))
-    counts = {(r.kind, r.y): r.n for r in spans.where("n is not null").groupBy("kind", "y").agg(F.sum("n").alias("n")).collect()}
+    spans = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "kind int, y int, key long, n long, fold int, x array<int>, shape string")
+    return spans.groupBy("kind", "y", "key").agg(
+        F.sum("n").alias("n"), F.min(F.struct("fold", "x", "shape")).alias("row")).select("kind", "y", "key", "n", "row.*")
+
+
+def without_known_shapes(spans: DataFrame) -> DataFrame:
+    """spans less the negatives in the shape of a phone number, which may be one and carry no label.
+
+    A shape is known if one in CLASS positives or more has it, so that a
+    single odd number does not take the label of all dates.
+    """
+    phones = spans.where((F.col("kind") == KINDS.index("phone")) & (F.col("y") == 1))
+    shapes = phones.groupBy("shape").agg(F.count(F.lit(1)).alias("m"))
+    known = shapes.crossJoin(F.broadcast(shapes.agg(F.sum("m").alias("all")))).where(
+        (F.col("shape") != "") & (F.col("m") * CLASS >= F.col("all"))).select("shape", F.lit(0).alias("y"))
+    return spans.join(F.broadcast(known), ["shape", "y"], "left_anti")  # CLASS shapes at most
+
+
+def binned(spans: DataFrame, edges: list[np.ndarray], weights: dict[tuple[int, int], float]) -> DataFrame:
+    """Blocks of groups of spans that agree in kind, label, fold and bins, with their weight, number and occurrences."""
+    def to_bins(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(4).flatten().to_numpy().reshape(-1, N_FEATURES)
+            bins = np.stack([np.searchsorted(e, x[:, j]) for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array([r.tobytes() for r in bins], pa.binary())], names=["kind", "y", "fold", "n", "bins"])
+
+    def to_blocks(batches):
+        def block():
+            kind, y, fold, m, n = (np.concatenate([h[j] for h in held]) for j in range(5))
+            bins = np.frombuffer(b"".join(h[5] for h in held), np.uint8).reshape(-1, N_FEATURES).T
+            held.clear()
+            w = np.array([weights[c] for c in zip(kind.tolist(), y.tolist())]) * m
+            return pa.RecordBatch.from_arrays(
+                [pa.array([np.ascontiguousarray(a, t).tobytes()], pa.binary()) for a, t in zip((kind, y, fold, m, n, w, bins), BLOCK.values())],
+                names=list(BLOCK))
+        held: list[tuple] = []
+        for b in batches:
+            if b.num_rows:
+                held.append((*(b.column(j).to_numpy() for j in range(5)), b"".join(b.column(5).to_pylist())))
+            if sum(len(h[0]) for h in held) >= GROUPS:
+                yield block()
+        if held:
+            yield block()
+    groups = cut_lineage(
+        spans.select("kind", "y", "fold", "n", "x").mapInArrow(to_bins, "kind int, y int, fold int, n long, bins binary")
+        .groupBy("kind", "y", "fold", "bins").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")))
+    n = groups.count()
+    parts = max(math.ceil(n / GROUPS), min(groups.sparkSession.sparkContext.defaultParallelism, n // 256 + 1))
+    return cut_lineage(groups.select("kind", "y", "fold", "m", "n", "bins").coalesce(parts)
+                       .mapInArrow(to_blocks, ", ".join(f"{c} binary" for c in BLOCK)))
+
+
+# Columns of a block and their types.
+BLOCK = {"kind": np.uint8, "y": np.uint8, "fold": np.uint8, "m": np.int64, "n": np.int64, "w": np.float64, "bins": np.uint8}
+
+
+def arrays(block) -> list[np.ndarray]:
+    kind, y, fold, m, n, w, bins = (np.frombuffer(block[c], t) for c, t in BLOCK.items())
+    return [kind, y, fold, m, n, w, bins.reshape(N_FEATURES, -1)]
+
+
+def summed(blocks: DataFrame, of, size: int) -> np.ndarray:
+    """Sum over all blocks of ``of(block)``, arrays of ``size`` whole numbers."""
+    def run(rows):
+        out = np.zeros(size)
+        for r in rows:
+            out += of(arrays(r))
+        yield out
+    rdd = blocks.rdd.mapPartitions(run)
+    return rdd.treeReduce(np.add, depth=1 if rdd.getNumPartitions() <= 32 else 2)
+
+
+def histograms(models: list[Trees], level: int, at: np.ndarray):
+    """Function of a block: sums of gradients, second derivatives and spans.
+
+    They stand by model, node of the last tree's ``level`` and bin; bins of
+    feature j begin at ``at[j]``.  Model m leaves out fold m, the last none.
+    """
+    width, nodes = int(at[-1]), 2 ** level
+
+    def of(block):
+        _, y, fold, m, _, w, bins = block
+        out = np.zeros((len(models), 3, nodes * width))
+        for k, t in enumerate(models):
+            use = np.flatnonzero(fold != k)
+            x = bins[:, use]
+            prob = 1 / (1 + np.exp(-margins(x, t.feature[:-1], t.cut[:-1], t.value[:-1], t.bias)))
+            node = leaves(x, t.feature[-1:], t.cut[-1:], level)[0] - (nodes - 1)
+            sums = np.rint(UNIT * w[use] * (y[use] - prob)), np.rint(UNIT * w[use] * prob * (1 - prob)), m[use]
+            for j in range(N_FEATURES):
+                cell = node * width + at[j] + x[j]
+                for o, s in zip(out[k], sums):
+                    o += np.bincount(cell, weights=s, minlength=nodes * width)
+        return out.ravel()
+    return of
+
+
+def boost(blocks: DataFrame, edges: list[np.ndarray], biases: list[float], rounds: int = ROUNDS) -> list[Trees]:
+    """Logistic gradient boosting over bins: a model without each fold, and one of all; cuts are bins.
+
+    Each level of a round is one pass over all blocks, for all models.
+    """
+    at = np.cumsum([0, *(len(e) + 1 for e in edges)])
+    models = [Trees(np.zeros((0, NODES), np.int64), np.zeros((0, NODES)), np.zeros((0, NODES)), b, {}) for b in biases]
+    for _ in range(rounds):
+        for t in models:
+            t.feature, t.cut, t.value = (np.vstack([a, np.full((1, NODES), fill, a.dtype)])
+                                         for a, fill in ((t.feature, 0), (t.cut, np.inf), (t.value, 0)))
+        for level in range(DEPTH):
+            nodes, first = 2 ** level, 2 ** level - 1
+            got = summed(blocks, histograms(models, level, at), len(models) * 3 * nodes * int(at[-1]))
+            for t, (g, h, m) in zip(models, got.reshape(len(models), 3, nodes, -1)):
+                g, h = g / UNIT, h / UNIT
+                for i in range(nodes):
+                    k, gs, hs = first + i, g[i, :at[1]].sum(), h[i, :at[1]].sum()
+                    best, left = 1e-6, (gs, hs)
+                    for j in range(N_FEATURES if m[i, :at[1]].sum() > 8 else 0):
+                        gl, hl = np.cumsum(g[i, at[j]:at[j + 1] - 1]), np.cumsum(h[i, at[j]:at[j + 1] - 1])
+                        gain = gl ** 2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs ** 2 / (hs + 1)
+                        if len(gain) and gain.max() > best:
+                            c = int(gain.argmax())
+                            best, t.feature[-1, k], t.cut[-1, k], left = gain[c], j, c, (gl[c], hl[c])
+                    if level == DEPTH - 1:
+                        t.value[-1, 2 * k + 1] = RATE * left[0] / (left[1] + 1)
+                        t.value[-1, 2 * k + 2] = RATE * (gs - left[0]) / (hs - left[1] + 1)
+    return models
+
+
+def scores(models: list[Trees]):
+    """Function of a block: occurrences of positive and of all spans by kind and step of the margin.
+
+    A span's margin is that of the model which has not seen its fold; only
+    margins of at least 0 are counted.
+    """
+    def of(block):
+        kind, y, fold, _, n, _, bins = block
+        out = np.zeros((2, len(KINDS) * GRID * TOP))
+        for k, t in enumerate(models[:-1]):
+            own = np.flatnonzero(fold == k)
+            z = margins(bins[:, own], t.feature, t.cut, t.value, t.bias)
+            own, z = own[z >= 0], z[z >= 0]
+            cell = kind[own].astype(np.int64) * (GRID * TOP) + np.minimum(z * GRID, GRID * TOP - 1).astype(np.int64)
+            for o, s in zip(out, (n[own] * y[own], n[own])):
+                o += np.bincount(cell, weights=s, minlength=len(o))
+        return out.ravel()
+    return of
+
+
+def calibrate(hits: np.ndarray, every: np.ndarray, precision: float = PRECISION) -> float:
+    """Least score met, of at least 0.5 and down to its step, whose selection is as precise as asked; 2 if none."""
+    if not hits.sum():
+        return 2.0
+    of_hits, of_every = (np.cumsum(a[::-1])[::-1] for a in (hits, every))
+    good = np.flatnonzero((every > 0) & (of_hits >= precision * of_every))
+    return float(1 / (1 + np.exp(-good[0] / GRID))) if len(good) else 2.0
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Trees:
+    """Trees and thresholds from all labelled spans of all documents."""
     trees = Trees(np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 1)), 0.0, {k: 2.0 for k in KINDS})
-    if not counts:
-        return trees
-    each = spans.where("n is null").groupBy("kind", "y", "key").agg(
-        F.min(F.struct("aside", "x", "shape")).alias("row")).select("kind", "y", "key", "row.*")
-    parts = [each.where((F.col("kind") == k) & (F.col("y") == y)).orderBy("key").limit(sample) for k, y in sorted(counts)]
-    got = parts[0]
-    for part in parts[1:]:
-        got = got.unionByName(part)
-    got = got.toArrow().to_pandas().sort_values(["kind", "y", "key"], kind="stable")
-    # A span counts for all spans of its kind and label.
-    had = got.groupby(["kind", "y"])["key"].transform("size")
-    got["weight"] = [counts[k, y] / h for k, y, h in zip(got["kind"], got["y"], had)]
-    # Number runs of the shape of a known phone number may be one: no label.
-    known = set(got["shape"][got["y"] == 1]) - {""}
-    got = got[(got["y"] == 1) | ~got["shape"].isin(known)]
-    x, y = np.array(got["x"].tolist(), np.int64).reshape(-1, N_FEATURES), got["y"].to_numpy().astype(float)
-    weight, aside = got["weight"].to_numpy(), got["aside"].to_numpy().astype(bool)
-    if min(y[~aside].sum(), (1 - y[~aside]).sum()) < 5:
+    spans = cut_lineage(without_known_shapes(cut_lineage(labelled(docs, text_col))))
+    have = {(r.kind, r.y, r.fold): r.m for r in spans.groupBy("kind", "y", "fold").agg(F.count(F.lit(1)).alias("m")).collect()}
+
+    def number(kinds=range(len(KINDS)), ys=(0, 1), out=-1, weights=None) -> float:
+        """Distinct spans, or their weight, less those of a fold."""
+        return sum(m * (weights[k, y] if weights else 1) for (k, y, fold), m in have.items() if k in kinds and y in ys and fold != out)
+    if min(number(ys=[y], out=k) for y in (0, 1) for k in range(FOLDS)) < 5:
         return trees
-    trees = Trees(*boost(x[~aside], y[~aside]), trees.thresholds)
-    p = trees.score(x)
-    for n, kind in enumerate(KINDS):
-        own = x[:, 0] == n
-        if y[own].sum() >= LEAST:
-            trees.thresholds[kind] = calibrate(p[own & aside], y[own & aside], weight[own & aside])
-    return trees
-
-
-def calibrate(p: np.ndarray, y: np.ndarray, weight: np.ndarray, precision: float = PRECISION) -> float:
-    """Least threshold of at least 0.5 whose selection is as precise as asked; 2 if none."""
-    if not y.sum():
-        return 2.0
-    order = np.argsort(-p, kind="stable")
-    hit = np.cumsum((weight * y)[order]) / np.cumsum(weight[order])
-    last = np.flatnonzero(np.r_[p[order][1:] < p[order][:-1], True])  # ends of equal scores
-    good = [k for k in last if hit[k] >= precision and p[order][k] >= 0.5]
-    return float(p[order][good[-1]]) if good else 2.0
+    weights = {(k, y): min(1.0, CLASS / number([k], [y])) for k, y, _ in have}
+    # Quantiles of the features, each class in its weight.
+    weight = F.element_at(F.create_map(*[F.lit(v) for (k, y), w in sorted(weights.items()) for v in (2 * k + y, math.ceil(w * (1 << 20)))]),
+                          F.col("kind") * 2 + F.col("y")).cast("long")
+    shares = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    row = spans.withColumn("w", weight).agg(*[F.percentile(F.col("x")[j], shares, F.col("w")) for j in range(N_FEATURES)]).first()
+    edges = [np.unique(np.floor(q)).astype(np.int64) for q in row]
+    p = [number(ys=[1], out=k, weights=weights) / number(out=k, weights=weights) for k in (*range(FOLDS), -1)]
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    blocks = binned(spans, edges, weights)
+    models = boost(blocks, edges, [float(b) for b in np.log(p / (1 - p))])
+    hits, every = summed(blocks, scores(models), 2 * len(KINDS) * GRID * TOP).reshape(2, len(KINDS), -1)
+    whole = models[-1]
+    # Cuts between bins are cuts of the features; a node without one has infinity.
+    cut = np.array([[edges[j][int(c)] if np.isfinite(c) else np.inf for j, c in zip(*nodes)] for nodes in zip(whole.feature, whole.cut)])
+    thresholds = {kind: calibrate(hits[k], every[k]) if number([k], [1]) >= LEAST else 2.0 for k, kind in enumerate(KINDS)}
+    return Trees(whole.feature, cut, whole.value, whole.bias, thresholds)
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], trees: Trees | None) -> list[tuple[str, int, int]]:

@@ -5,6 +5,9 @@ import random
 import re
 import time
 
+import numpy as np
+import pytest
+
 from mountwait.llm import decontam, pii, styletree
 
 
@@ -222,6 +225,88 @@ def test_proposals_are_whole():
     assert pii.redact(text, pii.find_spans(text, trees)[1]) == 'the token = "[SECRET]" is long'
 
 
+def brute_boost(x, y, w, edges):
+    """Margins of the rows of x after boosting on those of weight above 0, and a function for other rows: plain masks."""
+    p = np.clip((w * y).sum() / w.sum(), 1e-3, 1 - 1e-3)
+    margin = np.full(len(x), np.log(p / (1 - p)))
+    for _ in range(pii.ROUNDS):
+        prob = 1 / (1 + np.exp(-margin))
+        g, h = np.rint(pii.UNIT * w * (y - prob)), np.rint(pii.UNIT * w * prob * (1 - prob))
+        add = np.zeros(len(x))
+
+        def grow(at, level):
+            gs, hs = g[at].sum() / pii.UNIT, h[at].sum() / pii.UNIT
+            if level == pii.DEPTH:
+                add[at] = pii.RATE * gs / (hs + 1)
+                return
+            best, side = 1e-6, None
+            for j, e in enumerate(edges if (at & (w > 0)).sum() > 8 else []):
+                for c in e:
+                    low = at & (x[:, j] <= c)
+                    gl, hl = g[low].sum() / pii.UNIT, h[low].sum() / pii.UNIT
+                    gain = gl ** 2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs ** 2 / (hs + 1)
+                    if gain > best:
+                        best, side = gain, x[:, j] <= c
+            if side is None:
+                grow(at, level + 1)
+            else:
+                grow(at & side, level + 1)
+                grow(at & ~side, level + 1)
+        grow(np.ones(len(x), bool), 0)
+        margin = margin + add
+    return margin
+
+
+def test_trees_and_thresholds_come_from_all_spans(docs):
+    """Weights, quantiles, trees and thresholds against plain counts over every span, more than a class may weigh."""
+    texts = [f"order {10_000_000 + 7919 * i} or {i % 9}{i}-{1000 + i}-{i % 7}000 and x" for i in range(1500)]
+    texts += [f"write to user{i}@mail{i % 7}.example.com or call +1 (212) 555-{1000 + i} today" for i in range(90)]
+    texts += [f'the word token = "{hashlib.sha1(bytes([i])).hexdigest()}" here' for i in range(60)]
+    texts += [f"see {hashlib.md5(bytes([i])).hexdigest()} there" for i in range(50)] * 3
+    held = {}
+    for t in texts:
+        for around, s, y, own in pii.training_spans(t):
+            row = held.setdefault((s[0], y, pii.span_key(around, s)), [
+                0, pii.span_key(t, own) % pii.FOLDS, pii.features(around, s), pii.shape(around[s[1]:s[2]]) if s[0] == "phone" else ""])
+            row[0] += 1
+    known = {r[3] for (_, y, _), r in held.items() if y and r[3]}
+    rows = [(*k, *r) for k, r in held.items() if k[1] or r[3] not in known]
+    kinds, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    n, fold, x = np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
+    size = {c: sum((k, v) == c for k, v in zip(kinds, y)) for c in {(k, int(v)) for k, v in zip(kinds, y)}}
+    assert max(size.values()) > 1.2 * pii.CLASS
+    w = np.array([min(1.0, pii.CLASS / size[k, v]) for k, v in zip(kinds, y)])
+    freq = np.ceil(w * (1 << 20)).astype(np.int64)
+    edges = []
+    for col in x.T:
+        order = np.argsort(col, kind="stable")
+        ends, place = np.cumsum(freq[order]), np.arange(1, pii.BINS) / pii.BINS * (freq.sum() - 1)
+        lo, hi = (col[order][np.searchsorted(ends, np.minimum(f(place), freq.sum() - 1), "right")] for f in (np.floor, np.ceil))
+        edges.append(np.unique(np.floor(lo + (hi - lo) * (place - np.floor(place)))))
+    trees = pii.fit(docs(list(enumerate(texts))))
+    assert np.allclose(trees.margin(x), brute_boost(x, y, w, edges), atol=1e-9)
+    z = np.zeros(len(x))
+    for k in range(pii.FOLDS):
+        z = np.where(fold == k, brute_boost(x, y, np.where(fold == k, 0, w), edges), z)
+    for kind in pii.KINDS:
+        own = (kinds == kind) & (z >= 0)
+        step = np.minimum(np.floor(z * pii.GRID), pii.GRID * pii.TOP - 1)
+        good = [c for c in sorted(set(step[own])) if (n * y)[own & (step >= c)].sum() >= pii.PRECISION * n[own & (step >= c)].sum()]
+        learnt = ((kinds == kind) & (y == 1)).sum() >= pii.LEAST and (n * y)[own].sum()
+        assert trees.thresholds[kind] == pytest.approx(1 / (1 + np.exp(-good[0] / pii.GRID)) if learnt and good else 2.0), kind
+
+
+def test_one_odd_phone_number_does_not_unlabel_all_dates(llm):
+    phone = pii.KINDS.index("phone")
+    spans = llm.createDataFrame(
+        [(phone, 1, k, "000-0000") for k in range(pii.CLASS + 1)] + [(phone, 1, -1, "0000-00-00"), (phone, 1, -2, "")]
+        + [(phone, 0, k, s) for k, s in enumerate(["000-0000", "0000-00-00", "", "00 00"])] + [(0, 0, 9, "")],
+        "kind int, y int, key long, shape string")
+    left = {(r.kind, r["shape"]) for r in pii.without_known_shapes(spans).where("y = 0").collect()}
+    assert left == {(phone, "0000-00-00"), (phone, ""), (phone, "00 00"), (0, "")}
+    assert pii.without_known_shapes(spans).where("y = 1").count() == pii.CLASS + 3
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var a="</p>";</script></head>
 <body class=home><nav><ul><li><a href="/">Home</a><li>About</ul></nav><div class="x7">Follow us everywhere</div>
 <!-- c <p>no</p> --><article><h1>Title {i}</h1><p>Some <b>bo</b>ld &eacute;{i}<br>line<p>Second &lt;par&gt; {i}
