@@ -442,14 +442,19 @@ def arrays(block) -> list[np.ndarray]:
 
 
 def summed(blocks: DataFrame, of, size: int) -> np.ndarray:
-    """Sum over all blocks of ``of(block)``, arrays of ``size`` whole numbers."""
-    def run(rows):
+    """Sum over all blocks of ``of(block)``, arrays of ``size`` whole numbers; one array a task reaches the driver."""
+    def run(batches):
         out = np.zeros(size)
-        for r in rows:
-            out += of(arrays(r))
-        yield out
-    rdd = blocks.rdd.mapPartitions(run)
-    return rdd.treeReduce(np.add, depth=1 if rdd.getNumPartitions() <= 32 else 2)
+        for b in batches:
+            for r in b.to_pylist():
+                out += of(arrays(r))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+        give_back()
+    tasks = max(32, blocks.sparkSession.sparkContext.defaultParallelism)
+    out = np.zeros(size)
+    for r in blocks.coalesce(tasks).mapInArrow(run, "sums binary").collect():
+        out += np.frombuffer(r.sums)
+    return out
 
 
 def histograms(models: list[Trees], level: int, at: np.ndarray):
